@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,7 +107,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 8 <<
             yield batch
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        lengths = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(col), 0).to_pylist()
         start = held = 0
         for i, k in enumerate(lengths):
             if held and held + k > max_bytes:
