@@ -88,6 +88,8 @@ class Parser:
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.languages = [name for name, _ in samples]
+        if not samples:
+            return
         letters = sorted({c for _, text in samples for c in text})
         self.alphabet = {c: i + 1 for i, c in enumerate(letters)}  # 0: unknown
         tables = [Automaton(text, self.alphabet).table for _, text in samples]

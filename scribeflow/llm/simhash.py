@@ -224,3 +224,153 @@ def fingerprint_table(df: DataFrame) -> DataFrame:
     """The contract's view: 3-word shingles, 2 bits, hexadecimal fingerprints."""
     out = near_groups(df, 3, 2)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- Near copies by shingle similarity, for filtering a corpus -------------------
+#
+# Texts that share a given part of their shingles differ in some 15 % of their
+# fingerprint bits, too many for a radius of two.  So the fingerprint is longer,
+# and a table of references is made for each of many sets of places: a reference
+# differs from zero in one place, so that its distance less that to zero is the bit
+# there.  Texts that agree on all coordinates of some table are candidates, the
+# distance of the first 64 bits discards, and the shingle sets verify.
+
+SIMILAR_WORDS = 4
+SIMILAR_TABLES = 64
+SIMILAR_PLACES = 18
+#: Of the first 64 bits; copies at a similarity of 0.8 differ in 10 with a deviation of 3.
+SIMILAR_MAX_BITS = 22
+
+
+def wide_block(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of the word sequence and a fingerprint of ``SIMILAR_WORDS`` longs per text."""
+    parts, lengths, owner, keys = [], [], [], []
+    for i, text in enumerate(texts):
+        key = xxhash.xxh3_64()
+        for words in word_pieces((text or "").encode("utf-8", "surrogatepass").lower(), width):
+            h = shingle_hashes(words, width)
+            key.update(h.tobytes())
+            parts.append(h)
+            lengths.append(len(h))
+            owner.append(i)
+        keys.append(key.intdigest())
+    fp = np.zeros((len(texts), SIMILAR_WORDS), np.uint64)
+    if parts:
+        h, lengths = np.concatenate(parts), np.array(lengths)
+        n = np.bincount(owner, lengths, len(texts)).astype(np.int64)
+        for w in range(SIMILAR_WORDS):
+            counts = np.zeros((len(texts), 64), np.int64)
+            np.add.at(counts, owner, bit_counts(h, lengths))
+            fp[:, w] = np.packbits(2 * counts > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return np.array(keys, np.uint64), fp
+
+
+def table_buckets(fp: np.ndarray) -> np.ndarray:
+    """The bucket of each fingerprint in each table: (fingerprints, tables)."""
+    rng = np.random.default_rng(818)
+    places = np.stack([rng.choice(64 * SIMILAR_WORDS, SIMILAR_PLACES, replace=False) for _ in range(SIMILAR_TABLES)])
+    bits = np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+    code = bits[:, places].astype(np.int64) @ (1 << np.arange(SIMILAR_PLACES, dtype=np.int64))
+    return code | np.arange(SIMILAR_TABLES, dtype=np.int64)[None, :] << SIMILAR_PLACES
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    parts = [shingle_hashes(w, width) for w in word_pieces((text or "").encode("utf-8", "surrogatepass").lower(), width)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): the smallest id of each group of near copies.
+
+    Two texts are linked where the Jaccard similarity of their shingle sets is
+    ``threshold`` or more; groups are the components of the links.  Candidates come
+    from the tables above; a bucket of up to ``BUCKET_CAP`` texts gives all pairs,
+    a larger one pairs of each text with the text nearest to the bucket's majority
+    fingerprint, so that a group of thousands gives a row per text and table.  Texts
+    without words form one group; rows without ``doc_id`` are left out.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+
+    def marks(batches: Iterator[pa.RecordBatch]):
+        for b in slices(batches, "text", 8 << 20):
+            key, fp = wide_block(b.column(1).to_pylist(), width)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key.view(np.int64)), pa.array([x.tobytes() for x in fp], pa.binary())], names=["doc_id", "node", "fp"])
+
+    own = written(rows.mapInArrow(marks, "doc_id long, node long, fp binary"), "wide")
+    distinct = written(own.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp")), "wide-distinct")
+
+    def expand(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            node, held = b.column(0).to_numpy(), b.column(1).to_pylist()
+            for at in range(0, len(node), 4096):
+                fp = np.frombuffer(b"".join(held[at : at + 4096]), np.uint64).reshape(-1, SIMILAR_WORDS)
+                bucket = table_buckets(fp)
+                first = fp[:, 0].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), pa.array(np.repeat(node[at : at + 4096], SIMILAR_TABLES)), pa.array(np.repeat(first, SIMILAR_TABLES))], names=["bucket", "node", "bits"])
+
+    table = written(distinct.select("node", "fp").mapInArrow(expand, "bucket long, node long, bits long"), "tables")
+    sizes = written(table.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "table-sizes")
+    light = table.join(sizes.where(F.col("n") <= BUCKET_CAP).select("bucket"), "bucket", "left_semi")
+
+    def near(a: str, b: str):
+        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= SIMILAR_MAX_BITS
+
+    pairs = light.alias("x").join(light.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & near("x.bits", "y.bits"))
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    heavy = written(table.join(sizes.where(F.col("n") > BUCKET_CAP).select("bucket"), "bucket", "left_semi"), "heavy")
+    ones = [F.sum(F.shiftright("bits", k).bitwiseAND(F.lit(1))).alias(f"s{k}") for k in range(64)]
+    middle = heavy.groupBy("bucket").agg(F.count("*").alias("n"), *ones)
+    majority = F.lit(0).cast("long")
+    for k in range(64):
+        one = F.lit((1 << k) if k < 63 else -(1 << 63)).cast("long")
+        majority = majority.bitwiseOR(F.when(2 * F.col(f"s{k}") > F.col("n"), one).otherwise(F.lit(0).cast("long")))
+    middle = written(middle.select("bucket", majority.alias("middle")), "middles")
+    ranked = heavy.join(middle, "bucket").select("bucket", "node", "bits", F.bit_count(F.col("bits").bitwiseXOR(F.col("middle"))).alias("away"))
+    leader = written(ranked.groupBy("bucket").agg(F.min_by(F.struct("node", "bits"), F.struct("away", "node")).alias("lead")), "leaders")
+    spread = heavy.join(leader, "bucket").where((F.col("lead.node") != F.col("node")) & near("lead.bits", "bits"))
+    pairs = pairs.unionByName(spread.select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")))
+    pairs = written(pairs.distinct(), "candidates")
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = distinct.join(needed, "node").select("node", F.col("low").alias("doc_id"))
+
+    def sets(batches: Iterator[pa.RecordBatch]):
+        for b in slices(batches, "text", 8 << 20):
+            texts = b.column(1).to_pylist()
+            held = [shingle_set(t, width).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary())], names=["node", "grams"])
+
+    grams = rows.join(needed, "doc_id").select("node", "text").mapInArrow(sets, "node long, grams binary")
+    grams = written(grams.groupBy("node").agg(F.first("grams").alias("grams")), "grams")
+    both = pairs.join(grams.withColumnRenamed("node", "a").withColumnRenamed("grams", "ga"), "a")
+    both = both.join(grams.withColumnRenamed("node", "b").withColumnRenamed("grams", "gb"), "b").select("a", "b", "ga", "gb")
+
+    def verify(batches: Iterator[pa.RecordBatch]):
+        for b in slices(batches, "ga", 8 << 20):
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                shared = 0
+                if min(len(x), len(y)) >= threshold * max(len(x), len(y)):
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= threshold * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    found = connected_components(both.mapInArrow(verify, "a long, b long"), "similar")
+    member = written(found.join(distinct.select("node", "low"), "node"), "similar-members")
+    lowest = member.groupBy("component").agg(F.min("low").alias("component_id"))
+    linked = member.join(lowest, "component").select("node", F.col("component_id").alias("linked"))
+    labels = distinct.join(linked, "node", "left").select("node", F.coalesce("linked", "low").alias("component_id"))
+    return own.select("doc_id", "node").join(written(labels, "similar-labels"), "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The documents but for near copies of one with a smaller ``doc_id``.
+
+    Rows without ``doc_id`` stay; rows that share one stay or go together.
+    """
+    gone = similar_groups(docs, width, threshold).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
