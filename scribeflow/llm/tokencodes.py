@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import gather, whitespace_runs
+from .bpe import PairIndexCodec
 from .common import read_whole, scratch_path, slices, write_once
 
 MAGIC = b"DACT0001"
@@ -38,7 +38,6 @@ CHUNK_BITS = 8
 RANK_BLOCK = 512
 #: Bytes of text that a file covers, about.
 FILE_BYTES = 32 << 20
-CACHE_ENTRIES = 500_000
 
 
 class AddressableIds:
@@ -132,37 +131,24 @@ def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, Addres
     return doc_ids, known, ends, AddressableIds.from_bytes(view[16 + 17 * n :])
 
 
-class LibraryEncoder:
-    """The tokenizers library, asked once for each distinct run without white space.
+class LibraryEncoder(PairIndexCodec):
+    """The tokenizers library, asked once for each distinct word of a block.
 
-    The vocabulary drops white space and no word spans it, so a text has the ids of
-    its runs, end to end.
+    Words are split as for pair merging; a text has the ids of its words, end to end.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known: dict[str, list[int]] = {}
-
-    def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        counts, flat = whitespace_runs(texts)
-        coded = flat.dictionary_encode()
-        runs = coded.dictionary.to_pylist()
-        new = [x for x in runs if x not in self.known]
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known.clear()
-            new = runs
-        for at in range(0, len(new), 10_000):
-            block = new[at : at + 10_000]
-            self.known.update((x, e.ids) for x, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False)))
-        found = [self.known[x] for x in runs]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for x in found for i in x), np.int64, int(lengths.sum()))
-        return gather(counts, coded.indices.to_numpy().astype(np.int64), lengths, ids)
+        super().__init__(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+
+    def merge_block(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        out: list[tuple[int, ...]] = []
+        for at in range(0, len(words), 10_000):
+            block = [w.decode() for w in words[at : at + 10_000]]
+            out += [tuple(e.ids) for e in self.library.encode_batch_fast(block, add_special_tokens=False)]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -189,7 +175,7 @@ def write_tokens(df: DataFrame, path: str, folder: str, end_id: int = 1, id_col:
         from pyspark import TaskContext
 
         own, docs, known, counts, ids = encoder(path), [], [], [], []
-        for b in slices(batches, "text", 16 << 20):
+        for b in slices(batches, "text", 8 << 20):
             c, i = _with_end(*own.encode_block(b.column(1)), end_id)
             docs.append(pa.compute.fill_null(b.column(0), 0).to_numpy())
             known.append(pa.compute.is_valid(b.column(0)).to_numpy(zero_copy_only=False))
