@@ -22,6 +22,7 @@ _ABBREVIATION = re.compile(r"\b(?:e\.g|i\.e|etc|vs|mr|ms|mrs|dr|prof|sr|jr|st)\.
 _INITIALS = re.compile(r"\b(?:[A-Z]\.){2,}\s*$")
 _INITIAL = re.compile(r"\b[A-Z]\.\s*$")
 # Fixed value: punctuation that loose comparison ignores.
+_ANY_KANA = re.compile("[あ-んア-ン]")
 _LOOSE = set("。、！？「」『』（）｛｝［］【】〈〉《》・…ー，．：；‐‑‒–—―−.,!?\"'’‘“”(){}[]<>:;_-")
 
 
@@ -29,7 +30,6 @@ def _kana(c: str) -> str:
     return chr(ord(c) - 0x60) if "ァ" <= c <= "ヶ" else c
 
 
-@lru_cache(maxsize=65536)
 def _strict_char(c: str) -> str:
     """A character for strict comparison: folded, without marks, symbols and space."""
     out = ""
@@ -40,30 +40,82 @@ def _strict_char(c: str) -> str:
     return out
 
 
-@lru_cache(maxsize=65536)
 def _loose_char(c: str) -> str:
     """A character for loose comparison: only listed punctuation and space go."""
     return "".join(_kana(x) for x in unicodedata.normalize("NFKC", c).lower() if unicodedata.category(x) != "Cf" and x not in _LOOSE and not x.isspace())
 
 
+class _Table(dict):
+    """Folded characters by code point, filled as they occur; for ``str.translate``."""
+
+    def __init__(self, fold: Callable[[str], str]):
+        self.fold = fold
+
+    def __missing__(self, point: int) -> str:
+        own = self[point] = self.fold(chr(point))
+        return own
+
+
+_STRICT, _LOOSE_TABLE = _Table(_strict_char), _Table(_loose_char)
+
+
 def strict(text: str) -> str:
     """Text for comparison without white space, punctuation and symbols (F2)."""
-    return "".join(_strict_char(c) for c in unicodedata.normalize("NFKC", text.strip()))
+    return (text if text.isascii() else unicodedata.normalize("NFKC", text)).translate(_STRICT)
 
 
 def loose(text: str) -> str:
     """Text for comparison without listed punctuation and white space (F1)."""
-    return "".join(map(_loose_char, unicodedata.normalize("NFKC", text)))
+    return (text if text.isascii() else unicodedata.normalize("NFKC", text)).translate(_LOOSE_TABLE)
 
 
-def indexed(text: str, fold: Callable[[str], str]) -> tuple[str, list[int]]:
+def indexed(text: str, table: _Table) -> tuple[str, list[int]]:
     """Folded characters and the place each comes from."""
-    out, places = [], []
-    for i, c in enumerate(text):
-        for x in fold(c):
-            out.append(x)
-            places.append(i)
-    return "".join(out), places
+    parts = [table[ord(c)] for c in text]
+    places = np.repeat(np.arange(len(parts)), np.fromiter(map(len, parts), np.int64, len(parts)))
+    return "".join(parts), places.tolist()
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def repeats_window(codes: np.ndarray, size: int) -> bool:
+    """Whether some window of a size may occur twice: equal rolling hashes."""
+    n = len(codes) - size + 1
+    if n < 2:
+        return False
+    base = np.uint64(0x9E3779B97F4A7C15)
+    power = np.cumprod(np.full(len(codes), base, np.uint64))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power)])
+    hashes = (sums[size:] - sums[:-size]) * power[::-1][:n]
+    return len(np.unique(hashes)) < n
+
+
+def _echoes(codes: np.ndarray, shift: int, least: int, mask: np.ndarray) -> None:
+    """Mark the places from which ``least`` characters recur ``shift`` further on."""
+    if shift >= len(codes):
+        return
+    equal = codes[:-shift] == codes[shift:]
+    if np.count_nonzero(equal) < least:
+        return
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], equal.view(np.int8), [0]])))
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        if b - a >= least:
+            mask[a : b - least + 1] = True
+
+
+def _replace_at(pattern: re.Pattern, text: str, mask: np.ndarray, new: Callable[[re.Match], str]) -> str:
+    """``pattern.sub`` that tries the marked places only."""
+    out, at = [], 0
+    for i in np.flatnonzero(mask).tolist():
+        if i < at:
+            continue
+        m = pattern.match(text, i)
+        if m:
+            out += (text[at:i], new(m))
+            at = m.end()
+    return "".join([*out, text[at:]]) if out else text
 
 
 def inclusion(a: str, b: str) -> float:
@@ -198,11 +250,13 @@ def block_text(text: str, min_chars: int, max_unit: int = 1000) -> tuple[str, li
     with itself, so that only true starts are tried.
     """
     low = max(20, min_chars)
-    folded, places = indexed(text, _strict_char)
+    folded, places = indexed(text, _STRICT)
     n = len(folded)
     if n < 2 * low:
         return text, []
-    codes = np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = _codes(folded)
+    if not repeats_window(codes, low):
+        return text, []
     starts: dict[int, list[tuple[int, int]]] = {}
     for unit in range(low, min(max_unit, n // 2) + 1):
         equal = codes[:-unit] == codes[unit:]
@@ -391,9 +445,20 @@ def collapse_phrases(text: str, enumerations: int | None = None) -> str:
             return collapse_enumeration(m[0], enumerations)
         return m[1]
 
-    for p in ranges:
-        text = p.sub(one, text)
-    return flexible.sub(r"\1", text)
+    # Back-references are tried only where a comparison of the text with itself allows.
+    for (low, high, times), p in zip(config.PHRASE_RANGES, ranges):
+        codes = _codes(text)
+        mask = np.zeros(len(codes), bool)
+        for unit in range(low, high + 1):
+            _echoes(codes, unit, unit * (times - 1), mask)
+        text = _replace_at(p, text, mask, one)
+    low, high = min(r[0] for r in config.PHRASE_RANGES), max(r[1] for r in config.PHRASE_RANGES)
+    gap = max((len(m) for m in re.findall(r"\s+", text)), default=0)
+    codes = _codes(text)
+    mask = np.zeros(len(codes), bool)
+    for shift in range(low, high + gap + 1):
+        _echoes(codes, shift, max(low, shift - gap), mask)
+    return _replace_at(flexible, text, mask, lambda m: m[1])
 
 
 def reduce_short_kana(text: str, original_length: int, plan: CleaningPlan, strict_reference: bool = True) -> str:
@@ -448,14 +513,27 @@ def _python_pattern(java: str) -> re.Pattern:
     return re.compile(java.replace("\\z", "\\Z"), flags)
 
 
-def artefact_rules(language: str) -> list[tuple[str, str]]:
-    """The patterns for a language, all of them for auto, instructions behind them."""
+def _needle(pattern: str) -> str:
+    """Lower-case text without which a pattern cannot match ('' where there is none)."""
+    if pattern == config.KANA_SWITCH:
+        return ""
+    plain = re.sub(r"^\(\?[a-zA-Z]+\)", "", pattern)
+    found = re.match(r"\(\?:((?:[^\W_]| )+)", plain) or re.match(r"(?:\\\[)?((?:[^\W_]| |[♪～])+)", plain)
+    if found:
+        return found[1].lower()
+    return "・" if plain.count("・") > 2 else ""
+
+
+@lru_cache(maxsize=8)
+def artefact_rules(language: str) -> list[tuple[str, str, str]]:
+    """(pattern, kind, needle) for a language, all of them for auto, instructions
+    behind them (F18)."""
     table = config.ARTEFACT_PATTERNS
     order = ("ja", "en", "zh", "ko") if language == "auto" else (language if language in table else "ja",)
-    out: list[tuple[str, str]] = []
+    out: list[tuple[str, str, str]] = []
     for code in order:
-        out += table[code]
-        out += [(f"\\A{re.escape(p)}{config.ENDINGS[code]}?\\s*\\z", config.PHRASE) for p in config.INSTRUCTIONS]
+        out += [(p, kind, _needle(p)) for p, kind in table[code]]
+        out += [(f"\\A{re.escape(p)}{config.ENDINGS[code]}?\\s*\\z", config.PHRASE, p.lower()) for p in config.INSTRUCTIONS]
     return out
 
 
@@ -469,16 +547,21 @@ def clean_artefacts(text: str, language: str, plan: CleaningPlan, with_paragraph
     rules = artefact_rules(language)
     for _ in range(plan.iterations):
         start = len(own)
-        for pattern, kind in rules:
+        low = own.lower()
+        for pattern, kind, needle in rules:
+            if needle not in low:
+                continue
             before = len(own)
             if pattern == config.KANA_SWITCH:
-                own = reduce_short_kana(own, size, plan)
+                if _ANY_KANA.search(own):
+                    own = reduce_short_kana(own, size, plan)
             else:
                 rest = _python_pattern(pattern).sub("", own)
                 if size and (before - len(rest)) / size <= (1.0 if kind == config.REPEAT else plan.pattern_limit):
                     own = rest
             if len(own) != before:
                 matched.append(pattern)
+                low = own.lower()
         own = collapse_phrases(own, plan.enumerations)
         if len(own) == start or (start - len(own)) / start > plan.iteration_limit:
             break
@@ -535,7 +618,7 @@ def inline_connector(previous: str, following: str) -> str:
 
 
 def _skip(text: str, at: int) -> int:
-    while at < len(text) and not _loose_char(text[at]):
+    while at < len(text) and not _LOOSE_TABLE[ord(text[at])]:
         at += 1
     return at
 
@@ -547,7 +630,7 @@ def _common(previous: str, current: str, least: int, plan: ModelPlan, soft: bool
     latest = 250 if soft else max(60, len(head) // 4)
     trailing = 200 if soft else max(200, int(len(tail) * 0.8))
     if folded:
-        (a, _), (b, places) = indexed(tail, _loose_char), indexed(head, _loose_char)
+        (a, _), (b, places) = indexed(tail, _LOOSE_TABLE), indexed(head, _LOOSE_TABLE)
     else:
         a, b, places = tail, head, range(len(head))
     found = longest_common(a, b, max(20, least), latest, max(0, len(a) - trailing))

@@ -68,7 +68,7 @@ def parse_time(text: Column, decimal_minutes: bool = False) -> Column:
 
 def size_label(size: Column) -> Column:
     """Bytes with a unit of 1024, two places."""
-    k = F.least(F.floor(F.log(F.lit(1024.0), size)), F.lit(3))
+    k = F.least(F.floor(F.log(1024.0, size)), F.lit(3))
     value = round_half_up(size / F.pow(F.lit(1024.0), k) * 100) / 100
     text = F.regexp_replace(F.format_string("%.2f", value), "\\.?0+\\z", "")
     return F.when(size == 0, "0 Bytes").otherwise(F.concat(text, F.lit(" "), F.element_at(F.array(*[F.lit(u) for u in ("Bytes", "KB", "MB", "GB")]), (k + 1).cast("int"))))

@@ -5,7 +5,7 @@ Lengths count code points.  Ids in brackets name rows of the operator inventory.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -293,17 +293,26 @@ def connector(previous: Column, following: Column) -> Column:
     return F.when(ok, " ").otherwise("")
 
 
-def budgeted(text: Column, original: Column, patterns: Sequence[tuple[str, str]], phrase_limit: float) -> Column:
-    """Pattern removal in order, each phrase pattern only within its share (F16)."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value once: bodies may name it often without copies of its expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
-    def step(own: Column, rule: tuple[str, str]) -> Column:
-        pattern, kind = rule
-        rest = F.regexp_replace(own, pattern, "")
-        if kind == config.REPEAT:
-            return rest
-        return F.when((F.length(own) - F.length(rest)) / F.length(original) <= phrase_limit, rest).otherwise(own)
+def removed_in_turn(text: Column, size: Column, rules: Sequence[tuple[str, float]]) -> Column:
+    """Patterns removed one after another, each only within its share of ``size``."""
+    table = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(float(limit)).alias("most")) for p, limit in rules])
 
-    return reduce(step, [p for p in patterns if p[0] != config.KANA_SWITCH], text)
+    def step(own: Column, rule: Column) -> Column:
+        rest = F.regexp_replace(own, rule["pattern"], F.lit(""))
+        return let(rest, lambda r: F.when((F.length(own) - F.length(r)) / size <= rule["most"], r).otherwise(own))
+
+    return F.aggregate(table, text, step)
+
+
+def budgeted(text: Column, original: Column, patterns: Sequence[tuple[str, str]], phrase_limit: float) -> Column:
+    """Pattern removal in order, each phrase pattern only within its share (F16)."""
+    rules = [(p, 1.0 if kind == config.REPEAT else phrase_limit) for p, kind in patterns if p != config.KANA_SWITCH]
+    return removed_in_turn(text, F.length(original), rules)
 
 
 def collapse_phrases(text: Column) -> Column:
@@ -373,19 +382,20 @@ def leak_cleaned(text: Column, plan: config.CleaningPlan, prompts: Sequence[str]
 
     Where more than the emergency share would go, the text stays as it is.
     """
-    own = text
-    for _, pattern in config.LEAK_TAGS:
-        rest = F.regexp_replace(own, pattern, "")
-        own = F.when((F.length(own) - F.length(rest)) / F.length(text) > plan.pattern_limit, own).otherwise(rest)
+    n = F.length(text)
+    own = removed_in_turn(text, n, [(p, plan.pattern_limit) for _, p in config.LEAK_TAGS])
     own = F.regexp_replace(own, config.ANY_TAG, "")
-    for_prompts = F.lit(None).cast("string")
-    for prompt in reversed([*config.INSTRUCTIONS, *prompts]):
-        for_prompts = F.when(own.startswith(prompt), strip(F.substring(own, F.lit(len(prompt) + 1), F.length(own)))).otherwise(for_prompts)
-    own = F.coalesce(for_prompts, own)
+    known = F.array(*[F.lit(p) for p in (*config.INSTRUCTIONS, *prompts)])
+
+    def without_prompt(t: Column) -> Column:
+        first = F.get(F.filter(known, lambda p: F.startswith(t, p)), F.lit(0))
+        return F.when(first.isNull(), t).otherwise(strip(F.substring(t, F.length(first) + 1, F.length(t))))
+
+    own = let(own, without_prompt)
     for pattern in config.LEAK_CONTEXTS:
         own = F.regexp_replace(own, pattern, "")
     own = strip(F.regexp_replace(dedupe_paragraphs(own), "\\n{3,}", "\n\n"))
-    return F.when(F.length(text) == 0, own).when((F.length(text) - F.length(own)) / F.length(text) > plan.emergency, text).otherwise(own)
+    return let(own, lambda t: F.when(n == 0, t).when((n - F.length(t)) / n > plan.emergency, text).otherwise(t))
 
 
 def leak_suspect(text: Column) -> Column:

@@ -2,17 +2,14 @@
 
 Rules are rows (lang, kind, ord, pat_ord, pattern, replacement, category, priority,
 context_keywords).  A dictionary is small by nature (its limits are below), and its
-size is checked before it is turned into a chain of expressions; larger sets of
-rules go to one Arrow function per batch.
+size is checked before it becomes a constant of an expression.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +17,6 @@ from .. import config
 from ..functions.predicates import has_keyword
 
 RULE_SCHEMA = "lang string, kind string, ord int, pat_ord int, pattern string, replacement string, category string, priority int, context_keywords array<string>"
-CHAIN_RULES = 64
 
 
 def top_rules(rules: DataFrame) -> DataFrame:
@@ -51,35 +47,34 @@ def replace_all(text: Column, pattern: str, replacement: str) -> Column:
 
 
 def corrected(text: Column, rules: Sequence[Row]) -> Column:
-    """All rules in order; a condition looks at the text corrected so far."""
+    """All rules in order; a condition looks at the text corrected so far.
 
-    def step(own: Column, rule: Row) -> Column:
-        done = replace_all(own, rule["pattern"], rule["replacement"])
-        if rule["kind"] != "contextual":
-            return done
-        words = F.array(*[F.lit(w) for w in rule["context_keywords"] or ()]).cast("array<string>")
-        return F.when(has_keyword(own, words), done).otherwise(own)
-
-    return reduce(step, rules, text)
-
-
-def correct(docs: DataFrame, rules: DataFrame, text: str = "text", out: str = "corrected", most: int = 10_000) -> DataFrame:
-    """Add the corrected text.  Up to ``CHAIN_RULES`` rules become expressions."""
+    One fold over a constant array of rules: the expression grows with their number,
+    not with its powers.
+    """
+    if not rules:
+        return text
+    table = F.array(
+        *[
+            F.struct(
+                F.lit(literal(r["pattern"])).alias("pattern"),
+                F.lit(r["replacement"].replace("\\", "\\\\").replace("$", "\\$")).alias("new"),
+                F.lit(r["kind"] == "contextual").alias("asks"),
+                F.array(*[F.lit(w) for w in r["context_keywords"] if r["kind"] == "contextual"] if r["context_keywords"] is not None else []).cast("array<string>").alias("words"),
+            )
+            for r in rules
+        ]
+    )
+    return F.aggregate(table, text, lambda own, r: F.when(~r["asks"] | has_keyword(own, r["words"]), F.regexp_replace(own, r["pattern"], r["new"])).otherwise(own))
+
+
+def correct(docs: DataFrame, rules: DataFrame, text: str = "text", out: str = "corrected", most: int = 2_000) -> DataFrame:
+    """Add the corrected text; more than ``most`` rules are an error, not cut short."""
     held = rules.orderBy("kind", "ord", "pat_ord").limit(most + 1).collect()
     if len(held) > most:
         raise ValueError(f"more than {most} rules")
     held = sorted(held, key=lambda r: ({"definite": 0, "contextual": 1}.get(r["kind"], 2), r["ord"], r["pat_ord"]))
-    if len(held) <= CHAIN_RULES:
-        return docs.withColumn(out, corrected(F.col(text), held))
-    steps = [(re.compile(re.escape(r["pattern"]), re.I), r["replacement"], r["context_keywords"] if r["kind"] == "contextual" else None) for r in held]
-
-    def run(t: str | None) -> str | None:
-        for pattern, new, words in steps if t else ():
-            if words is None or any(w in t for w in words):
-                t = pattern.sub(lambda _, new=new: new, t)
-        return t
-
-    return docs.withColumn(out, F.pandas_udf(lambda s: s.map(run).astype(object), "string")(text))
+    return docs.withColumn(out, corrected(F.col(text), held))
 
 
 def hints(rules: DataFrame) -> DataFrame:
@@ -125,4 +120,4 @@ def merged(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def rules_frame(spark, rows: Sequence[tuple]) -> DataFrame:
-    return spark.createDataFrame(pd.DataFrame(rows, columns=[c.split()[0] for c in RULE_SCHEMA.split(", ")]).astype(object), RULE_SCHEMA) if rows else spark.createDataFrame([], RULE_SCHEMA)
+    return spark.createDataFrame(list(rows), RULE_SCHEMA)

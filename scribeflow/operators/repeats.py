@@ -55,16 +55,13 @@ def tail_run(df: DataFrame, key: str = "doc_id", text: str = "text", least: int
     return df.select(key, F.get(back, F.lit(0)).alias("line"), n.cast("long").alias("n")).where(F.col("n") >= least)
 
 
-def repeats_phrase(text: Column) -> Column:
-    """Gate of phrase collapsing: some phrase repeats at once, a gap allowed."""
-    return text.rlike("(?U)(.{5,30}?)\\s*\\1")
-
-
 def collapse_phrases(df: DataFrame, text: str = "text", out: str = "collapsed", enumerations: int | None = None) -> DataFrame:
-    """Phrase repetition (W15); lists are handled where asked for."""
-    if enumerations is None:
-        return df.withColumn(out, T.collapse_phrases(F.col(text)))
-    return routed(df, text, out, repeats_phrase(F.col(text)), lambda t: kernels.collapse_phrases(t, enumerations))
+    """Phrase repetition (W15); lists keep one round where asked for.
+
+    A vectorised comparison of each text with itself, in the Arrow function, decides
+    whether the back-reference patterns run: they cost far more than the transfer.
+    """
+    return routed(df, text, out, F.length(text) >= 10, lambda t: kernels.collapse_phrases(t, enumerations))
 
 
 def sentence_marks(text: Column) -> Column:

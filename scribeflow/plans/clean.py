@@ -79,28 +79,6 @@ def continuation_stages(plan: CleaningPlan) -> list[Stage]:
     return [block_stage(plan, 120), Stage("tail", lambda t, lang: (lambda r: (r[0], [], r[1]))(kernels.compress_tail(t, lang, tail)))]
 
 
-def may_change(text: Column) -> Column:
-    """Gate R1: texts that no stage can change are not sent to Python.
-
-    A stage changes a text only if white space is untidy, a phrase, sentence or
-    block occurs twice, or a listed artefact occurs; the tests hold this against
-    the stages themselves.
-    """
-    untidy = text.rlike("\\r|[ \\t]{2,}|\\t|\\n{3,}|[\\uFFF0-\\uFFFF]") | (text != T.strip(text))
-    listed = text.rlike("(?iu)[\\[♪・<]|thank|okay|subscribe|[\\u3040-\\u30FF\\u4E00-\\u9FFF\\uAC00-\\uD7AF]")
-    again = text.rlike("(?U)(.{5,30}?)\\s*\\1")
-    return untidy | listed | again | repeats_sentence(text)
-
-
-def repeats_sentence(text: Column) -> Column:
-    """Whether neighbouring sentences could be alike: nearly equal length, or equal ones anywhere."""
-    parts = T.sentences(text)
-    size = F.transform(parts, lambda s: F.length(F.regexp_replace(s, "(?U)[\\s\\p{P}\\p{S}]+", "")))
-    near = F.exists(F.zip_with(F.slice(size, 1, F.greatest(F.size(size) - 1, F.lit(0))), F.slice(size, 2, F.greatest(F.size(size) - 1, F.lit(0))), lambda a, b: F.least(a, b) >= 0.85 * F.greatest(a, b)), lambda x: x)
-    bare = F.transform(parts, lambda s: F.lower(F.regexp_replace(s, "(?U)[\\s\\p{P}\\p{S}]+", "")))
-    return near | (F.size(F.array_distinct(bare)) < F.size(bare))
-
-
 def run_stages(df: DataFrame, stages: Sequence[Stage], text: str, language: str, out: str, audit: str) -> DataFrame:
     """All stages in one Arrow function (C1): the text and a row of audit per stage.
 
@@ -126,11 +104,8 @@ def run_stages(df: DataFrame, stages: Sequence[Stage], text: str, language: str,
             notes.append(rows)
         return pd.DataFrame({"text": pd.Series(done, dtype=object), "stages": notes})
 
-    gate = may_change(F.col(text))
-    df = df.withColumn("_ran", run(F.when(gate, F.col(text)), F.when(gate, F.col(language))))
-    idle = F.array(*[F.struct(F.lit(s.name).alias("cleaner"), F.length(text).alias("before"), F.length(text).alias("after"), F.array().cast("array<string>").alias("issues"), F.array().cast("array<string>").alias("patterns")) for s in stages])
-    rows = F.when(F.col("_ran.text").isNull(), idle).otherwise(F.col("_ran.stages")).cast(STAGE_SCHEMA)
-    return df.withColumns({out: F.coalesce("_ran.text", text), audit: rows}).drop("_ran")
+    ran = run(text, language)
+    return df.withColumn("_ran", ran).withColumns({out: F.col("_ran.text"), audit: F.col("_ran.stages").cast(STAGE_SCHEMA)}).drop("_ran")
 
 
 def clean(df: DataFrame, model: str, text: str = "text", language: str | None = None, seconds: str | None = None) -> DataFrame:

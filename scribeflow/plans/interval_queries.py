@@ -1,0 +1,384 @@
+"""Queries over intervals, chunks, samples, dictionaries and histories.
+
+Events stand for intervals and frames: per user, start in kiloseconds and end a
+``value`` later; frames are the user's events in order, speech where the type is
+view or click, an error frame where it is error.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from .. import config
+from ..functions import signal as S
+from ..functions import text as T
+from ..operators import catalog, chunking, dictionary, intervals, merging
+from ..sources import asr, sinks
+from ..streaming import sessions
+from .registry import query, table
+
+_BASE = 1704067200000000
+_IV = f"(SELECT user_id, event_id, (epoch_us(ts) - {_BASE}) / 1e9::DOUBLE AS start, (epoch_us(ts) - {_BASE}) / 1e9::DOUBLE + value AS \"end\" FROM events)"
+_FRAMES = "(SELECT user_id AS file_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 1 WHEN 'error' THEN -1 ELSE 0 END AS label FROM events)"
+_SPEECH = f"""(SELECT file_id, seg, min(frame * 0.03::DOUBLE) AS start, max(frame * 0.03::DOUBLE) + 0.03 AS "end" FROM (SELECT *, sum(CASE WHEN label = 1 AND coalesce(p, 0) <> 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY frame) AS seg
+ FROM (SELECT *, lag(label) OVER (PARTITION BY file_id ORDER BY frame) AS p FROM {_FRAMES} WHERE label >= 0)) WHERE label = 1 GROUP BY file_id, seg)"""
+
+
+def _intervals(spark, d):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    start = (us - _BASE) / 1e9
+    return table(spark, d, "events").select("user_id", "event_id", start.alias("start"), (start + F.col("value")).alias("end"))
+
+
+def _frames(spark, d):
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    label = F.when(F.col("event_type").isin("view", "click"), 1).when(F.col("event_type") == "error", -1).otherwise(0)
+    rows = table(spark, d, "events").select(F.col("user_id").alias("file_id"), (F.row_number().over(by) - 1).cast("long").alias("frame"), label.alias("label"))
+    return rows.withColumn("t", F.col("frame") * 0.03)
+
+
+def _rounded(df, *cols):
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+@query("speech_islands", f'SELECT file_id, round(start, 6) AS start, round("end", 6) AS "end" FROM {_SPEECH}')
+def speech_islands(spark, d):
+    return _rounded(intervals.speech_intervals(_frames(spark, d)).drop("seg"), "start", "end")
+
+
+_BRIDGED = f"""(SELECT file_id, greatest(0, min(start) - 0.02) AS start, max("end") + 0.02 AS "end" FROM (SELECT *, sum(CASE WHEN p IS NULL OR round(start - p, 6) >= 0.07 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY start) AS i
+ FROM (SELECT *, lag("end") OVER (PARTITION BY file_id ORDER BY start) AS p FROM {_SPEECH})) GROUP BY file_id, i)"""
+
+
+@query("gap_bridge", f'SELECT file_id, round(start, 6) AS start, round("end", 6) AS "end" FROM {_BRIDGED} WHERE round("end" - start, 6) >= 0.101')
+def gap_bridge(spark, d):
+    rows = intervals.bridge_gaps(intervals.speech_intervals(_frames(spark, d)), max_silence=0.075, padding=0.02, min_speech=0.1005)
+    return _rounded(rows, "start", "end")
+
+
+@query("gap_midpoints", f"""SELECT file_id, round(("end" + n) / 2, 6) AS boundary FROM (SELECT *, lead(start) OVER (PARTITION BY file_id ORDER BY start) AS n FROM {_SPEECH}) WHERE round(n - "end", 6) >= 0.05""")
+def gap_midpoints(spark, d):
+    return _rounded(intervals.gap_midpoints(intervals.speech_intervals(_frames(spark, d)), min_gap=0.045), "boundary")
+
+
+@query(
+    "vad_stats",
+    f"""SELECT t.file_id, round(coalesce(s.speech, 0) / t.duration, 6) AS speech_ratio, round(1 - coalesce(s.speech, 0) / t.duration, 6) AS silence_ratio, coalesce(s.n, 0) AS total_segments, round(coalesce(s.speech / s.n, 0), 6) AS average_segment
+ FROM (SELECT file_id, count(*) * 0.03::DOUBLE AS duration FROM {_FRAMES} GROUP BY file_id) t LEFT JOIN (SELECT file_id, sum("end" - start) AS speech, count(*) AS n FROM {_SPEECH} GROUP BY file_id) s USING (file_id)""",
+)
+def vad_stats(spark, d):
+    frames = _frames(spark, d)
+    totals = frames.groupBy("file_id").agg((F.count("*") * 0.03).alias("duration"))
+    rows = intervals.speech_statistics(intervals.speech_intervals(frames), totals).drop("compression_ratio")
+    return _rounded(rows, "speech_ratio", "silence_ratio", "average_segment")
+
+
+@query("adjacent_overlap", f"""SELECT user_id, event_id, round(coalesce(greatest(0, least(pe, "end") - greatest(ps, start)), 0), 6) AS overlap FROM (SELECT *, lag(start) OVER w AS ps, lag("end") OVER w AS pe FROM {_IV} WINDOW w AS (PARTITION BY user_id ORDER BY start, event_id))""")
+def adjacent_overlap(spark, d):
+    rows = _intervals(spark, d).withColumnsRenamed({"start": "startTime", "end": "endTime"})
+    return _rounded(intervals.neighbour_overlap(rows, "user_id", "event_id"), "overlap").select("user_id", "event_id", "overlap")
+
+
+@query("span_seconds", f'SELECT user_id, round(greatest(0, max("end") - min(start)), 6) AS span FROM {_IV} GROUP BY user_id')
+def span_seconds(spark, d):
+    return _rounded(_intervals(spark, d).groupBy("user_id").agg(intervals.span_seconds("start", "end").alias("span")), "span")
+
+
+@query(
+    "boundary_snap",
+    f"""WITH b AS (SELECT user_id, "end" AS boundary FROM {_IV}), t AS (SELECT DISTINCT user_id, pos, pos * 100.0::DOUBLE AS target FROM {_IV}, generate_series(0, 25) AS g(pos)),
+ n AS (SELECT user_id, pos, arg_min(boundary, (abs(boundary - target), boundary)) AS near FROM t JOIN b USING (user_id) WHERE abs(boundary - target) < 5 GROUP BY user_id, pos)
+ SELECT user_id, pos, round(CASE pos WHEN 0 THEN 0 WHEN 25 THEN 2600 ELSE coalesce(near, target) END, 6) AS snapped FROM t LEFT JOIN n USING (user_id, pos)""",
+)
+def boundary_snap(spark, d):
+    rows = _intervals(spark, d)
+    targets = rows.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(25).cast("long"))).alias("pos"))
+    targets = targets.withColumns({"target": F.col("pos") * 100.0, "duration": F.lit(2600.0)})
+    out = intervals.snap(targets, rows.select("user_id", F.col("end").alias("boundary")), "user_id")
+    return _rounded(out.select("user_id", "pos", "snapped"), "snapped")
+
+
+_PLAN = """(SELECT *, greatest(ceil(d / (c - 5)), 1)::BIGINT AS raw FROM (SELECT doc_id, length(text) / 2.0::DOUBLE AS d, floor(greatest(least(60, length(text) / 2.0::DOUBLE), 60) / 10 + 0.5) * 10 AS c FROM documents))"""
+
+
+@query("chunk_plan", f"SELECT doc_id, d > 60 AS needs_chunking, CASE WHEN d > 60 THEN CASE WHEN d - (raw - 1) * (c - 5) < 15 AND raw > 1 THEN raw - 1 ELSE raw END ELSE 1 END AS total_chunks, CASE WHEN d > 60 THEN c ELSE d END AS chunk_duration, CASE WHEN d > 60 THEN 'duration' END AS reason FROM {_PLAN}")
+def chunk_plan(spark, d):
+    rows = chunking.with_plan(table(spark, d, "documents").select("doc_id", (F.length("text") / 2).alias("duration")), most_mb=1e9)
+    return rows.select("doc_id", "needs_chunking", "total_chunks", "chunk_duration", "reason")
+
+
+@query("audio_chunks", f"""WITH p AS (SELECT doc_id, d, CASE WHEN d > 60 THEN CASE WHEN d - (raw - 1) * 55 < 15 AND raw > 1 THEN raw - 1 ELSE raw END ELSE 1 END AS n FROM {_PLAN}),
+ s AS (SELECT doc_id, d, unnest(generate_series(0, CASE WHEN d > 60 THEN least(n, greatest(ceil((d - 60) / 55.0), 0)::BIGINT + 1) ELSE 1 END - 1)) AS k FROM p), e AS (SELECT *, lead(k) OVER (PARTITION BY doc_id ORDER BY k) AS nk FROM s)
+ SELECT doc_id, k AS id, k * 55.0::DOUBLE AS "startTime", CASE WHEN nk IS NULL THEN d ELSE nk * 55.0 + 5 END::DOUBLE AS "endTime", nk IS NOT NULL AS "hasOverlap" FROM e WHERE CASE WHEN nk IS NULL THEN d ELSE nk * 55.0 + 5 END - k * 55.0 >= 0.1""")
+def audio_chunks(spark, d):
+    rows = chunking.with_plan(table(spark, d, "documents").select("doc_id", (F.length("text") / 2).alias("duration")), most_mb=1e9)
+    return chunking.audio_chunks(chunking.chunk_starts(rows, "doc_id"), "doc_id").select("doc_id", F.col("id").cast("long").alias("id"), "startTime", "endTime", "hasOverlap")
+
+
+@query("wave_groups", "SELECT doc_id, n, CASE WHEN n <= 5 THEN [n] WHEN floor(n / ceil(n / 5.0)) < 3 THEN [n] ELSE [floor(n / ceil(n / 5.0))::BIGINT + CASE WHEN i > ceil(n / 5.0) - n % ceil(n / 5.0) THEN 1 ELSE 0 END for i in generate_series(1, ceil(n / 5.0)::BIGINT)] END AS sizes, CASE WHEN ceil(n / 5.0) <= 1 THEN 1 ELSE least(CASE WHEN length(text) >= 7200 THEN 4 WHEN length(text) >= 2700 THEN 3 ELSE 2 END, 4, ceil(n / 5.0))::INT END AS concurrency FROM (SELECT doc_id, text, (doc_id % 40 + 1)::BIGINT AS n FROM documents)")
+def wave_groups(spark, d):
+    n = F.col("doc_id") % 40 + 1
+    rows = table(spark, d, "documents").select("doc_id", n.cast("long").alias("n"), F.length("text").alias("seconds"))
+    return rows.select("doc_id", "n", chunking.wave_sizes(F.col("n")).alias("sizes"), chunking.wave_concurrency(F.col("seconds"), F.ceil(F.col("n") / 5)).alias("concurrency"))
+
+
+@query("wave_places")
+def wave_places(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("id"))
+    return chunking.in_waves(rows, "conv_id")
+
+
+@query("adaptive_chunks")
+def adaptive_chunks(spark, d):
+    plan = config.ModelPlan("test", "whisper", 0.5, 0.1, 0.2, 0.06, 0.1, 1, 0, 0, 0.0)
+    return _rounded(chunking.adaptive_chunks(_frames(spark, d), plan), "startTime", "endTime")
+
+
+@query("silence_snap")
+def silence_snap(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("file_id"), F.flatten(F.array_repeat(F.transform("embedding", lambda x: x.cast("double") * 0.05), 4)).alias("samples"))
+    targets = rows.select("file_id", F.lit(0).alias("pos"), F.lit(10.0).alias("target"))
+    return chunking.silence_snap(rows, targets, 10)
+
+
+@query("rms_energy", "SELECT vec_id, round(sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in embedding]) / len(embedding)), 6) AS energy FROM embeddings")
+def rms_energy(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.round(S.rms(F.col("embedding")), 6).alias("energy"))
+
+
+@query("waveform_minmax", "SELECT vec_id, b, round(list_min(p)::DOUBLE, 6) AS low, round(list_max(p)::DOUBLE, 6) AS high FROM (SELECT vec_id, b, embedding[b * 7 + 1 : b * 7 + 7] AS p FROM embeddings, generate_series(0, 9) AS g(b))")
+def waveform_minmax(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(S.waveform(F.col("embedding"), 10)).alias("b", "w"))
+    return rows.select("vec_id", F.col("b").cast("long").alias("b"), F.round("w.low", 6).alias("low"), F.round("w.high", 6).alias("high"))
+
+
+@query("mono_mix", "SELECT vec_id, [round((x::DOUBLE + embedding[len(embedding) - i + 1]::DOUBLE) / 2, 6) for x, i in embedding] AS mono FROM embeddings")
+def mono_mix(spark, d):
+    channel = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, d, "embeddings").select("vec_id", F.transform(S.mono(channel, F.reverse(channel)), lambda x: F.round(x, 6)).alias("mono"))
+
+
+@query("pcm16", "SELECT vec_id, [CASE WHEN x < 0 THEN trunc(greatest(x::DOUBLE, -1) * 32768) ELSE trunc(least(x::DOUBLE, 1) * 32767) END::INT for x in embedding] AS samples FROM embeddings")
+def pcm16(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", S.pcm16(F.col("embedding")).alias("samples"))
+
+
+@query("resample_half", "SELECT vec_id, [round(embedding[2 * i + 1]::DOUBLE, 6) for i in generate_series(0, len(embedding) // 2 - 1)] AS samples FROM embeddings")
+def resample_half(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.transform(S.resample(F.col("embedding"), 32000, 16000), lambda x: F.round(x, 6)).alias("samples"))
+
+
+@query("range_slice", "SELECT vec_id, embedding[11:30] AS samples FROM embeddings")
+def range_slice(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", S.time_slice(F.col("embedding"), 10, F.lit(1.0), F.lit(3.0)).alias("samples"))
+
+
+_RULES = [
+    ("multi", "definite", 0, 0, "the", "THE", "noun", 5, None),
+    ("multi", "definite", 1, 0, "que", "Q$1", "noun", 1, None),
+    ("multi", "definite", 1, 1, "und", "&\\", None, None, None),
+    ("multi", "contextual", 0, 0, "ed", "<ED>", "technical", 4, ["THE"]),
+    ("multi", "contextual", 1, 0, "la", "LA", "place", 2, ["Q$1", "nowhere"]),
+]
+
+
+def _rules(spark):
+    return dictionary.rules_frame(spark, _RULES)
+
+
+@query(
+    "dictionary_correct",
+    r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, 'the', 'THE', 'gi'), 'que', 'Q$1', 'gi'), 'und', '&\\', 'gi') AS t FROM documents),
+ b AS (SELECT doc_id, CASE WHEN contains(t, 'THE') THEN regexp_replace(t, 'ed', '<ED>', 'gi') ELSE t END AS t FROM a)
+ SELECT doc_id, CASE WHEN contains(t, 'Q$1') OR contains(t, 'nowhere') THEN regexp_replace(t, 'la', 'LA', 'gi') ELSE t END AS corrected FROM b""",
+)
+def dictionary_correct(spark, d):
+    return dictionary.correct(table(spark, d, "documents").select("doc_id", "text"), _rules(spark)).select("doc_id", "corrected")
+
+
+@query("dictionary_relevant", "SELECT doc_id, o AS ord, 0::INT AS pat_ord FROM (SELECT DISTINCT doc_id, o FROM documents, (VALUES (0, 'THE'), (1, 'Q$1'), (1, 'nowhere'), (2, 'sh'), (2, 'ció')) AS r(o, w) WHERE contains(text, w))")
+def dictionary_relevant(spark, d):
+    rules = dictionary.rules_frame(spark, [*_RULES, ("multi", "contextual", 2, 0, "x", "y", None, None, ["sh", "ció"])])
+    return dictionary.relevant(table(spark, d, "documents"), rules)
+
+
+@query("dictionary_topk", "SELECT ord, priority FROM (SELECT item_id::INT AS ord, (item_id % 5 + 1)::INT AS priority FROM benchmark) ORDER BY priority DESC, ord LIMIT 20")
+def dictionary_topk(spark, d):
+    rows = table(spark, d, "benchmark").select(
+        F.lit("multi").alias("lang"), F.lit("plain").alias("kind"), F.col("item_id").cast("int").alias("ord"), F.lit(0).alias("pat_ord"), F.col("text").alias("pattern"), (F.col("item_id") % 5 + 1).cast("int").alias("priority")
+    )
+    return dictionary.top_rules(rows).select("ord", "priority")
+
+
+@query("dictionary_hints", "SELECT * FROM (VALUES (1, '【noun】the→THE、que→Q$1'), (2, '【technical】ed→<ED>'), (3, '【place】la→LA'), (4, '【other】und→&\\')) AS v(line_no, hint)")
+def dictionary_hints(spark, d):
+    rules = _rules(spark).withColumn("ord", F.col("ord") + F.when(F.col("kind") == "contextual", 10).otherwise(0))
+    rules = rules.withColumn("ord", F.when(F.col("pattern") == "und", 99).otherwise(F.col("ord")))
+    return dictionary.hints(rules).select("line_no", "hint")
+
+
+def _results(spark, d):
+    rows = table(spark, d, "conversations")
+    return rows.select(
+        F.col("conv_id").alias("doc_id"),
+        F.col("turn").cast("int").alias("id"),
+        "text",
+        (F.col("turn") * 60.0).alias("startTime"),
+        (F.col("turn") * 60.0 + 50).alias("endTime"),
+        (F.col("turn") % 3 != 2).alias("success"),
+        F.when(F.col("turn") % 3 == 2, F.concat(F.lit("API error "), F.col("conv_id").cast("string"))).alias("error"),
+    )
+
+
+@query("simple_merge", "SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE turn % 3 <> 2 GROUP BY conv_id")
+def simple_merge(spark, d):
+    return merging.simple_merge(_results(spark, d), "doc_id")
+
+
+@query(
+    "failure_report",
+    """SELECT conv_id AS doc_id, count(*) AS failed, CASE WHEN count(*) = 1 THEN '**処理に失敗したチャンク:**' ELSE '**処理に失敗した' || count(*) || '個のチャンク:**' END || chr(10) || string_agg('- チャンク ' || turn || ' (' || turn || ':00 - ' || turn || ':50): API error ' || conv_id, chr(10) ORDER BY turn) AS report
+ FROM conversations WHERE turn % 3 = 2 GROUP BY conv_id""",
+)
+def failure_report(spark, d):
+    return merging.failure_report(_results(spark, d), "doc_id")
+
+
+@query("placeholder_merge", """SELECT conv_id AS doc_id, string_agg(CASE WHEN turn % 3 = 2 THEN '【欠損: チャンク' || (turn + 1) || ' (' || printf('%02d:%02d:00', turn // 60, turn % 60) || '–' || printf('%02d:%02d:50', turn // 60, turn % 60) || ')】' || chr(10) || 'API error ' || conv_id ELSE text END, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id""")
+def placeholder_merge(spark, d):
+    return merging.simple_merge(merging.with_placeholders(_results(spark, d)), "doc_id")
+
+
+@query("merge_outcome", "SELECT conv_id AS doc_id, count(*) AS chunks, count(*) FILTER (turn % 3 <> 2) AS succeeded, CASE WHEN count(*) FILTER (turn % 3 <> 2) = 0 THEN 'failed' WHEN count(*) FILTER (turn % 3 = 2) > 0 THEN 'partial' ELSE 'complete' END AS outcome FROM conversations GROUP BY conv_id")
+def merge_outcome(spark, d):
+    return merging.outcome(_results(spark, d), "doc_id")
+
+
+_SHORT = "length(text) BETWEEN 1200 AND 2500"
+
+
+@query("overlap_merge")
+def overlap_merge(spark, d):
+    docs = table(spark, d, "documents").where(F.length("text").between(1200, 2500))
+    chunks = chunking.text_chunks(docs, 600, 100).withColumns({"success": F.lit(True), "error": F.lit(None).cast("string")})
+    return merging.overlap_merge(chunks, config.model_plan("gpt-4o-transcribe"))
+
+
+_SEG_CTE = f"""WITH RECURSIVE s AS (SELECT user_id, event_type AS text, (epoch_us(ts) - {_BASE}) / 1e9::DOUBLE AS start, (epoch_us(ts) - {_BASE}) / 1e9::DOUBLE + value AS "end", row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+ f AS (SELECT user_id, i, 0 AS pos, text, start, "end" FROM s WHERE i = 1
+ UNION ALL SELECT user_id, i, CASE WHEN act = 'new' THEN pos + 1 ELSE pos END, CASE act WHEN 'new' THEN t WHEN 'join' THEN text || ' ' || t ELSE text END, CASE act WHEN 'new' THEN s2 ELSE start END, CASE act WHEN 'drop' THEN "end" ELSE e2 END FROM (
+ SELECT f.user_id, s.i, f.pos, f.text, f.start, f."end", s.text AS t, s.start AS s2, s."end" AS e2, CASE WHEN s.text = f.text AND s.start - f.start <= 30 THEN 'drop' WHEN s.start < f."end" THEN CASE WHEN s."end" <= f."end" THEN 'drop' WHEN (f."end" - s.start) / (s."end" - s.start) >= 0.5 THEN 'join' ELSE 'new' END ELSE 'new' END AS act
+ FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1))
+ SELECT user_id, pos, arg_max(text, i) AS text, round(arg_max(start, i), 6) AS start, round(arg_max("end", i), 6) AS "end" FROM f GROUP BY user_id, pos"""
+
+
+@query("segment_dedupe", _SEG_CTE)
+def segment_dedupe(spark, d):
+    rows = _intervals(spark, d).join(table(spark, d, "events").select("event_id", F.col("event_type").alias("text")), "event_id")
+    return _rounded(merging.dedupe_segments(rows, "user_id", ["event_id"]), "start", "end")
+
+
+@query("stamped_merge")
+def stamped_merge(spark, d):
+    segment = F.struct(F.col("text"), F.col("startTime").alias("start"), F.col("endTime").alias("end"))
+    rows = _results(spark, d).withColumn("segments", F.array(segment))
+    return merging.timed_merge(rows, "doc_id", stamped=True)
+
+
+@query("previous_context")
+def previous_context(spark, d):
+    return merging.chunk_context(_results(spark, d), ["doc_id"], "id", 120).select("doc_id", "id", "context")
+
+
+@query(
+    "asr_rows",
+    """SELECT conv_id AS doc_id, turn AS id, trim(text) AS text, turn * 60.0::DOUBLE + 1.5 AS first_start, turn * 60.0::DOUBLE + 2.25 AS first_end, 'en' AS language FROM conversations""",
+)
+def asr_rows(spark, d):
+    raw = F.to_json(F.struct("text", F.lit("en").alias("language"), F.array(F.struct("text", F.lit(1.5).alias("start"), F.lit(2.25).alias("end"))).alias("segments")))
+    rows = asr.whisper_rows(_results(spark, d).withColumn("json", raw), ["doc_id", F.col("id").cast("long").alias("id")])
+    first = F.get("segments", F.lit(0))
+    return rows.select("doc_id", "id", "text", first["start"].alias("first_start"), first["end"].alias("first_end"), "language")
+
+
+_TASKS = """(SELECT event_id::VARCHAR AS id, (epoch_us(ts) // 1000)::BIGINT AS start_ms, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'partial' ELSE 'completed' END AS status, user_id::INT AS chunks, value AS cost FROM events)"""
+
+
+def _tasks(spark, d):
+    rows = table(spark, d, "events")
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "partial").otherwise("completed")
+    return rows.select(
+        F.col("event_id").cast("string").alias("id"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("startTime"),
+        status.alias("status"),
+        F.col("user_id").cast("int").alias("totalChunks"),
+        F.col("user_id").cast("int").alias("completedChunks"),
+        F.col("value").alias("estimatedCost"),
+    )
+
+
+@query("history_topk", f"SELECT id, start_ms, status FROM {_TASKS} ORDER BY start_ms DESC, id LIMIT 50")
+def history_topk(spark, d):
+    return catalog.newest(_tasks(spark, d)).select("id", F.col("startTime").alias("start_ms"), "status")
+
+
+@query("status_summary", f"SELECT status, count(*) AS tasks, sum(chunks)::BIGINT AS chunks, sum(chunks)::BIGINT AS done, round(sum(cost), 3) AS cost FROM {_TASKS} GROUP BY status")
+def status_summary(spark, d):
+    return catalog.status_summary(_tasks(spark, d)).withColumn("cost", F.round("cost", 3))
+
+
+@query("task_last_state", "SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def task_last_state(spark, d):
+    return catalog.last_state(table(spark, d, "events"), "user_id", "event_id", "event_type")
+
+
+@query("history_upsert", "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'updated' ELSE event_type END AS event_type FROM events WHERE event_id % 7 <> 0")
+def history_upsert(spark, d):
+    rows = table(spark, d, "events").select("event_id", "event_type")
+    new = rows.where("event_id % 10 = 0").withColumn("event_type", F.lit("updated"))
+    return dictionary.delete(dictionary.upsert(rows, new, ["event_id"]), rows.where("event_id % 7 = 0").select("event_id"))
+
+
+@query("first_seen_type", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
+def first_seen_type(spark, d):
+    return catalog.first_seen(table(spark, d, "events"), ["user_id", "event_type"], ["event_id"]).select("user_id", "event_type", "event_id")
+
+
+@query("localised_labels", "SELECT key, CASE key WHEN 'view' THEN 'Ansicht' WHEN 'click' THEN 'Click' ELSE key END AS message FROM (SELECT DISTINCT event_type AS key FROM events)")
+def localised_labels(spark, d):
+    words = spark.createDataFrame([("de", "view", "Ansicht"), ("en", "view", "View"), ("en", "click", "Click")], "locale string, key string, message string")
+    return catalog.localised(table(spark, d, "events").select(F.col("event_type").alias("key")).distinct(), words, "de")
+
+
+@query("session_windows", """SELECT user_id, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT *, sum(CASE WHEN p IS NULL OR ts > p + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events)) GROUP BY user_id, s""")
+def session_windows(spark, d):
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return sessions.sessions(rows, "6 hours").select("user_id", "n", F.round("total", 6).alias("total"))
+
+
+@query("hopping_windows", """SELECT user_id, count(*) AS n, (epoch_ms(ts) // 43200000 - k)::BIGINT AS hop FROM events, (VALUES (0), (1)) AS v(k) GROUP BY user_id, hop""")
+def hopping_windows(spark, d):
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = sessions.hops(rows, "1 day", "12 hours")
+    return out.select("user_id", "n", (F.unix_millis("window.start") / 43200000).cast("long").alias("hop"))
+
+
+@query("note_events", "SELECT 'completed' AS type, doc_id AS id, length(text) AS measure FROM documents UNION ALL SELECT 'ready-for-translation', doc_id, ceil(length(text) / 2.5::DOUBLE)::BIGINT FROM documents WHERE length(text) > 0")
+def note_events(spark, d):
+    rows = sinks.events(table(spark, d, "documents"), "doc_id")
+    e = F.from_json("value", "type string, id long, length long, tokens long")
+    return rows.select(e.alias("e")).select("e.type", "e.id", F.coalesce("e.length", "e.tokens").alias("measure"))
+
+
+@query("pcm_base64", "SELECT vec_id, base64(encode(label::VARCHAR)) AS audio FROM embeddings")
+def pcm_base64(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", asr.realtime_append(F.col("label").cast("string").cast("binary")).alias("json"))
+    return rows.select("vec_id", F.get_json_object("json", "$.audio").alias("audio"))
+
+
+@query("language_resolution", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'zh' WHEN 2 THEN lang ELSE 'auto' END AS language FROM documents")
+def language_resolution(spark, d):
+    k = F.col("doc_id") % 4
+    asked = F.when(k == 0, "en-US").when(k == 1, "zh-CN").otherwise("auto")
+    return table(spark, d, "documents").select("doc_id", T.resolve_language(asked, F.when(k == 2, F.col("lang"))).alias("language"))

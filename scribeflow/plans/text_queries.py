@@ -419,7 +419,7 @@ def error_taxonomy(spark, d):
  strftime(ts, '%Y-%m-%d %H:%M') AS stamp FROM events""")
 def time_labels(spark, d):
     s = F.col("value") * 60
-    return table(spark, d, "events").select("event_id", N.minutes_seconds(s).alias("mss"), N.full_clock(s).alias("full"), N.stamp(F.unix_millis("ts")).alias("stamp"))
+    return table(spark, d, "events").select("event_id", N.minutes_seconds(s).alias("mss"), N.full_clock(s).alias("full"), N.stamp(F.unix_millis(F.col("ts").cast("timestamp"))).alias("stamp"))
 
 
 @query("time_parse", "SELECT event_id, t, (CASE WHEN n >= 100 THEN (n // 100) * 60 + least(n % 100, 59) ELSE n END)::DOUBLE AS seconds, (m * 60 + least(n % 100, 59))::DOUBLE AS colon FROM (SELECT event_id, event_id % 1000 AS n, event_id % 7 AS m, (event_id % 1000)::VARCHAR AS t FROM events)")
@@ -510,7 +510,11 @@ def clean_audit(spark, d):
     return clean.audit(clean.clean(table(spark, d, "documents"), "gpt-4o-mini-transcribe"), "doc_id").withColumn("reduction", F.round("reduction", 6))
 
 
-@query("leak_clean", r"SELECT doc_id, trim(replace(replace(text, chr(13), chr(13)), '<context>', ''), E' \t\n\r') AS cleaned FROM documents WHERE NOT regexp_matches(text, '<|(?m)^Context|(?m)^Previous context|\n[ \t]*\n')")
+@query(
+    "leak_clean",
+    r"""SELECT doc_id, CASE WHEN (n - length(c)) / n::DOUBLE > 0.5 THEN w ELSE c END AS cleaned FROM (SELECT doc_id, w, n, trim(CASE WHEN k / n::DOUBLE <= 0.1 THEN substr(w, k + 1) ELSE substr(w, 10) END, E' \t\n\r') AS c
+ FROM (SELECT doc_id, w, length(w) AS n, CASE WHEN instr(w, chr(10)) > 0 THEN instr(w, chr(10)) - 1 ELSE length(w) END AS k FROM (SELECT doc_id, '<context>' || text AS w FROM documents WHERE NOT regexp_matches(text, '<|(?m)^Context|(?m)^Previous context|\n[ \t]*\n'))))""",
+)
 def leak_clean(spark, d):
     plan = config.cleaning_plan("gpt-4o-transcribe")
     rows = table(spark, d, "documents").where(~F.col("text").rlike("<|(?m)^Context|(?m)^Previous context|\\n[ \\t]*\\n"))
