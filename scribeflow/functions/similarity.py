@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def chars(text: Column) -> Column:
     """The characters of a text; an empty text has none."""
@@ -12,9 +14,17 @@ def chars(text: Column) -> Column:
 
 
 def ngrams(text: Column, n: Column) -> Column:
-    """All n-grams of a text in order; none where it is shorter."""
-    last = F.length(text) - n + 1
-    return F.when((last >= 1) & (n >= 1), F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, n))).otherwise(F.array().cast("array<string>"))
+    """All n-grams of a text in order; none where it is shorter.
+
+    Slices of the array of characters: a substring would walk from the text's start.
+    """
+    return let(chars(text), lambda c: F.when((F.size(c) >= n) & (n >= 1), F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(c, i, n), ""))).otherwise(F.array().cast("array<string>")))
+
+
+def gram_set(text: Column, n: Column) -> Column:
+    """The distinct n-grams of a text as 64-bit hashes: set functions on longs use a
+    hash set, those on texts compare all with all."""
+    return F.array_distinct(F.transform(ngrams(text, n), lambda g: F.xxhash64(g)))
 
 
 def ngram_size(length: Column, use: str) -> Column:
@@ -26,9 +36,14 @@ def ngram_size(length: Column, use: str) -> Column:
 def ngram_jaccard(a: Column, b: Column, n: int = 3) -> Column:
     """Jaccard similarity of n-gram sets; n shrinks to half the shorter text."""
     size = F.least(F.lit(n), F.floor(F.least(F.length(a), F.length(b)) / 2)).cast("int")
-    x, y = F.array_distinct(ngrams(a, size)), F.array_distinct(ngrams(b, size))
-    shared = F.size(F.array_intersect(x, y))
-    return F.when(a == b, 1.0).when((F.length(a) == 0) | (F.length(b) == 0) | (size < 1), 0.0).otherwise(shared / (F.size(x) + F.size(y) - shared))
+    sets = F.struct(gram_set(a, size).alias("x"), gram_set(b, size).alias("y"))
+
+    def measure(s: Column) -> Column:
+        shared = F.size(F.array_intersect(s["x"], s["y"]))
+        return shared / (F.size(s["x"]) + F.size(s["y"]) - shared)
+
+    plain = F.when(a == b, 1.0).when((F.length(a) == 0) | (F.length(b) == 0) | (size < 1), 0.0)
+    return plain.otherwise(let(sets, measure))
 
 
 def inclusion(a: Column, b: Column) -> Column:
