@@ -37,7 +37,7 @@ MAGIC = b"DACT0001"
 CHUNK_BITS = 8
 RANK_BLOCK = 512
 #: Bytes of text that a file covers, about.
-FILE_BYTES = 32 << 20
+FILE_BYTES = 16 << 20
 
 
 class AddressableIds:
