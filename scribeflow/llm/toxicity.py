@@ -36,9 +36,11 @@ from .common import fraction_hash, slices
 GRAMS = (4, 5, 6)
 BUCKET_BITS = 22
 FEATURES = 4000
-SAMPLE_ROWS = 4000
-SAMPLE_CHARS = 24 << 20
+SAMPLE_ROWS = 3000
+SAMPLE_CHARS = 16 << 20
 MIN_DOCS = 4
+#: Sample rows whose features are held at once.
+BLOCK_ROWS = 100
 #: ASCII letters lower-cased, other ASCII to space; bytes of other letters stay.
 FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -102,10 +104,10 @@ def fit(texts: list[str | None], labels: np.ndarray, features: int = FEATURES) -
     if not positive or not negative:
         return None
     counts = np.zeros((2, 1 << BUCKET_BITS), np.int32)
-    for lo in range(0, len(texts), 500):
-        rows, buckets = present(*text_bytes(texts[lo : lo + 500]))
+    for lo in range(0, len(texts), BLOCK_ROWS):
+        rows, buckets = present(*text_bytes(texts[lo : lo + BLOCK_ROWS]))
         for c in (0, 1):
-            counts[c] += np.bincount(buckets[labels[lo + rows] == c], minlength=1 << BUCKET_BITS).astype(np.int32)
+            np.add.at(counts[c], buckets[labels[lo + rows] == c], 1)
     seen = np.flatnonzero(counts.sum(0) >= MIN_DOCS)
     p, q = counts[1, seen] / positive, counts[0, seen] / negative
     ratio = np.log(((counts[1, seen] + 1) / (positive + 2)) / ((counts[0, seen] + 1) / (negative + 2)))
@@ -118,8 +120,8 @@ def fit(texts: list[str | None], labels: np.ndarray, features: int = FEATURES) -
     slot = np.zeros(1 << BUCKET_BITS, np.int32)
     slot[chosen] = np.arange(len(chosen))
     rows, cols = [], []
-    for lo in range(0, len(texts), 500):
-        r, b = present(*text_bytes(texts[lo : lo + 500]), wanted)
+    for lo in range(0, len(texts), BLOCK_ROWS):
+        r, b = present(*text_bytes(texts[lo : lo + BLOCK_ROWS]), wanted)
         rows.append(r + lo)
         cols.append(slot[b])
     rows, cols = np.concatenate(rows), np.concatenate(cols)
