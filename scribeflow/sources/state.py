@@ -31,7 +31,7 @@ def write_state(rows: DataFrame, path: str) -> None:
 
 def split_names(text: Column) -> Column:
     """'a, b ,,c' to its trimmed non-empty parts: the older form of ``from``."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def parse_dictionary(rows: DataFrame, raw: str = "json") -> DataFrame:
@@ -54,7 +54,7 @@ def parse_dictionary(rows: DataFrame, raw: str = "json") -> DataFrame:
         "lang",
         "kind",
         "ord",
-        F.filter(F.transform(names, F.trim), lambda x: x != "").alias("from"),
+        F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x != "").alias("from"),
         get("$.to", "string").alias("to"),
         get("$.category", "string").alias("category"),
         get("$.priority", "int").alias("priority"),
