@@ -228,13 +228,14 @@ def ngram_set_size(spark, d):
     return table(spark, d, "documents").where(F.length("text") < 3000).select("doc_id", F.size(S.gram_set(F.col("text"), F.lit(5))).cast("long").alias("grams"))
 
 
-_PAIRS = "p AS (SELECT x.doc_id AS a, y.doc_id AS b, x.text AS s, y.text AS t FROM documents x JOIN documents y ON substr(x.text, 1, 40) = substr(y.text, 1, 40) AND x.doc_id < y.doc_id WHERE length(x.text) >= 40 AND length(y.text) >= 40)"
-
-
 @query(
     "ngram_jaccard_pairs",
-    f"""WITH {_PAIRS}, g AS (SELECT a, b, s = t AS same, list_distinct([substr(s, i, 3) for i in generate_series(1, length(s) - 2)]) AS x, list_distinct([substr(t, i, 3) for i in generate_series(1, length(t) - 2)]) AS y FROM p)
- SELECT a, b, round(CASE WHEN same THEN 1 ELSE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y)))::DOUBLE END, 6) AS similarity FROM g""",
+    """WITH p AS (SELECT x.doc_id AS a, y.doc_id AS b, x.text = y.text AS same FROM documents x JOIN documents y ON substr(x.text, 1, 40) = substr(y.text, 1, 40) AND x.doc_id < y.doc_id WHERE length(x.text) >= 40 AND length(y.text) >= 40),
+ d AS (SELECT doc_id, string_split(text, '') AS c FROM documents WHERE doc_id IN (SELECT a FROM p UNION SELECT b FROM p)),
+ g AS (SELECT DISTINCT doc_id, c[i] || c[i + 1] || c[i + 2] AS gram FROM (SELECT doc_id, c, unnest(generate_series(1, len(c) - 2)) AS i FROM d)),
+ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+ s AS (SELECT a, b, count(*) AS shared FROM p JOIN g x ON x.doc_id = a JOIN g y ON y.doc_id = b AND y.gram = x.gram GROUP BY a, b)
+ SELECT a, b, round(CASE WHEN same THEN 1 ELSE coalesce(shared, 0) / (x.n + y.n - coalesce(shared, 0))::DOUBLE END, 6) AS similarity FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b LEFT JOIN s USING (a, b)""",
 )
 def ngram_jaccard_pairs(spark, d):
     return similar.jaccard_pairs(table(spark, d, "documents")).withColumn("similarity", F.round("similarity", 6))
