@@ -236,10 +236,22 @@ def fingerprint_table(df: DataFrame) -> DataFrame:
 # distance of the first 64 bits discards, and the shingle sets verify.
 
 SIMILAR_WORDS = 4
-SIMILAR_TABLES = 64
-SIMILAR_PLACES = 18
+#: Chance that a bit of two texts at the threshold differs, and of finding such a pair.
+SIMILAR_FLIP, SIMILAR_MISS = 0.1515, 0.09
+#: Texts that share a bucket by chance.
+SIMILAR_CROWD = 4
 #: Of the first 64 bits; copies at a similarity of 0.8 differ in 10 with a deviation of 3.
 SIMILAR_MAX_BITS = 22
+#: Rows of a large bucket that are held at once.
+BUCKET_BLOCK = 1 << 16
+
+
+def table_shape(n: int) -> tuple[int, int]:
+    """(tables, places of each) for ``n`` texts: places so that few share a bucket by
+    chance, tables so that a pair at the threshold is missed in one of eleven cases."""
+    places = max(16, int(np.ceil(np.log2(max(1, n) / SIMILAR_CROWD))))
+    found = (1 - SIMILAR_FLIP) ** places
+    return int(np.ceil(np.log(SIMILAR_MISS) / np.log(1 - found))), places
 
 
 def wide_block(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,13 +279,89 @@ def wide_block(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndar
     return np.array(keys, np.uint64), fp
 
 
-def table_buckets(fp: np.ndarray) -> np.ndarray:
+def table_buckets(fp: np.ndarray, tables: int, places: int) -> np.ndarray:
     """The bucket of each fingerprint in each table: (fingerprints, tables)."""
     rng = np.random.default_rng(818)
-    places = np.stack([rng.choice(64 * SIMILAR_WORDS, SIMILAR_PLACES, replace=False) for _ in range(SIMILAR_TABLES)])
+    at = np.stack([rng.choice(64 * SIMILAR_WORDS, places, replace=False) for _ in range(tables)])
     bits = np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
-    code = bits[:, places].astype(np.int64) @ (1 << np.arange(SIMILAR_PLACES, dtype=np.int64))
-    return code | np.arange(SIMILAR_TABLES, dtype=np.int64)[None, :] << SIMILAR_PLACES
+    code = np.zeros((len(fp), tables), np.int64)
+    for k in range(places):
+        code |= bits[:, at[:, k]].astype(np.int64) << np.int64(k)
+    return code | np.arange(tables, dtype=np.int64)[None, :] << np.int64(places)
+
+
+def near_in_runs(bucket: np.ndarray, node: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within runs of one bucket, each of at most ``BUCKET_CAP`` rows."""
+    left, right = [], []
+    for gap in range(1, min(BUCKET_CAP, len(bucket))):
+        at = np.flatnonzero(bucket[:-gap] == bucket[gap:])
+        if not len(at):
+            break
+        at = at[np.bitwise_count(bits[at] ^ bits[at + gap]) <= SIMILAR_MAX_BITS]
+        left.append(node[at])
+        right.append(node[at + gap])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+def near_middle(node: np.ndarray, bits: np.ndarray, lead: tuple[int, int] | None) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
+    """Pairs of each row of a large bucket with the row nearest to the majority
+    fingerprint of its block; ``lead`` is that row of the bucket's first block."""
+    ones = np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    majority = np.packbits(2 * ones > len(bits), bitorder="little").view(np.uint64)[0]
+    away = np.bitwise_count(bits.view(np.uint64) ^ majority)
+    at = int(np.lexsort((node, away))[0])
+    near = np.bitwise_count(bits ^ bits[at]) <= SIMILAR_MAX_BITS
+    near[at] = False
+    left, right = np.full(int(near.sum()), node[at]), node[near]
+    own = (int(node[at]), int(bits[at]))
+    if lead is not None:
+        left, right = np.append(left, lead[0]), np.append(right, own[0])
+    return left, right, lead or own
+
+
+def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates (a, b) from rows (bucket, node, bits) in order of the bucket.
+
+    Only the rows of the bucket that goes on are kept from batch to batch, and a
+    large bucket passes in blocks.
+    """
+    held = [np.zeros(0, np.int64)] * 3
+    lead: tuple[int, int] | None = None  # of the open bucket, once it is large
+
+    def told(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
+
+    def closed(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        nonlocal lead
+        bucket, node, bits = rows
+        edge = np.flatnonzero(np.diff(bucket)) + 1
+        starts, ends = np.append(0, edge), np.append(edge, len(bucket))
+        size = ends - starts
+        for k in np.flatnonzero(size > BUCKET_CAP).tolist() + ([0] if lead is not None and size[0] <= BUCKET_CAP else []):
+            s, e = starts[k], ends[k]
+            left, right, _ = near_middle(node[s:e], bits[s:e], lead if k == 0 else None)
+            yield told(left, right)
+        small = np.repeat(size <= BUCKET_CAP, size)
+        if lead is not None:
+            small[: ends[0]] = False
+        lead = None
+        yield told(*near_in_runs(bucket[small], node[small], bits[small]))
+
+    for b in batches:
+        rows = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns)]
+        if not len(rows[0]):
+            continue
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        if last:
+            yield from closed([r[:last] for r in rows])
+        held = [r[last:] for r in rows]
+        while len(held[0]) >= BUCKET_BLOCK:
+            left, right, lead = near_middle(held[1][:BUCKET_BLOCK], held[2][:BUCKET_BLOCK], lead)
+            yield told(left, right)
+            held = [r[BUCKET_BLOCK:] for r in held]
+    if len(held[0]):
+        yield from closed(held)
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -288,8 +376,8 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> D
     Two texts are linked where the Jaccard similarity of their shingle sets is
     ``threshold`` or more; groups are the components of the links.  Candidates come
     from the tables above; a bucket of up to ``BUCKET_CAP`` texts gives all pairs,
-    a larger one pairs of each text with the text nearest to the bucket's majority
-    fingerprint, so that a group of thousands gives a row per text and table.  Texts
+    a larger one pairs of each text with the text nearest to the majority fingerprint
+    of its block, so that a group of thousands gives a row per text and table.  Texts
     without words form one group; rows without ``doc_id`` are left out.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
@@ -302,37 +390,21 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> D
     own = written(rows.mapInArrow(marks, "doc_id long, node long, fp binary"), "wide")
     distinct = written(own.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp")), "wide-distinct")
 
+    tables, places = table_shape(distinct.count())
+
     def expand(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             node, held = b.column(0).to_numpy(), b.column(1).to_pylist()
             for at in range(0, len(node), 4096):
                 fp = np.frombuffer(b"".join(held[at : at + 4096]), np.uint64).reshape(-1, SIMILAR_WORDS)
-                bucket = table_buckets(fp)
+                bucket = table_buckets(fp, tables, places)
                 first = fp[:, 0].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), pa.array(np.repeat(node[at : at + 4096], SIMILAR_TABLES)), pa.array(np.repeat(first, SIMILAR_TABLES))], names=["bucket", "node", "bits"])
-
-    table = written(distinct.select("node", "fp").mapInArrow(expand, "bucket long, node long, bits long"), "tables")
-    sizes = written(table.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "table-sizes")
-    light = table.join(sizes.where(F.col("n") <= BUCKET_CAP).select("bucket"), "bucket", "left_semi")
-
-    def near(a: str, b: str):
-        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= SIMILAR_MAX_BITS
-
-    pairs = light.alias("x").join(light.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & near("x.bits", "y.bits"))
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    heavy = written(table.join(sizes.where(F.col("n") > BUCKET_CAP).select("bucket"), "bucket", "left_semi"), "heavy")
-    ones = [F.sum(F.shiftright("bits", k).bitwiseAND(F.lit(1))).alias(f"s{k}") for k in range(64)]
-    middle = heavy.groupBy("bucket").agg(F.count("*").alias("n"), *ones)
-    majority = F.lit(0).cast("long")
-    for k in range(64):
-        one = F.lit((1 << k) if k < 63 else -(1 << 63)).cast("long")
-        majority = majority.bitwiseOR(F.when(2 * F.col(f"s{k}") > F.col("n"), one).otherwise(F.lit(0).cast("long")))
-    middle = written(middle.select("bucket", majority.alias("middle")), "middles")
-    ranked = heavy.join(middle, "bucket").select("bucket", "node", "bits", F.bit_count(F.col("bits").bitwiseXOR(F.col("middle"))).alias("away"))
-    leader = written(ranked.groupBy("bucket").agg(F.min_by(F.struct("node", "bits"), F.struct("away", "node")).alias("lead")), "leaders")
-    spread = heavy.join(leader, "bucket").where((F.col("lead.node") != F.col("node")) & near("lead.bits", "bits"))
-    pairs = pairs.unionByName(spread.select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")))
-    pairs = written(pairs.distinct(), "candidates")
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), pa.array(np.repeat(node[at : at + 4096], tables)), pa.array(np.repeat(first, tables))], names=["bucket", "node", "bits"])
+
+    table = distinct.select("node", "fp").mapInArrow(expand, "bucket long, node long, bits long")
+    # One shuffle of 24 bytes a row; every bucket is then one run.
+    dealt = table.repartition("bucket").sortWithinPartitions("bucket", "node")
+    pairs = written(dealt.mapInArrow(bucket_pairs, "a long, b long").distinct(), "candidates")
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     needed = distinct.join(needed, "node").select("node", F.col("low").alias("doc_id"))
