@@ -17,7 +17,7 @@ import numpy as np
 from .. import config
 from ..config import CleaningPlan, ModelPlan, TailRules
 
-_SENTENCE = re.compile(r"[^。.!?！？]*[。.!?！？]+\s*")
+_SENTENCE_END = re.compile(r"[。.!?！？]+\s*")
 _ABBREVIATION = re.compile(r"\b(?:e\.g|i\.e|etc|vs|mr|ms|mrs|dr|prof|sr|jr|st)\.\s*$", re.I)
 _INITIALS = re.compile(r"\b(?:[A-Z]\.){2,}\s*$")
 _INITIAL = re.compile(r"\b[A-Z]\.\s*$")
@@ -143,10 +143,10 @@ def jaccard(a: str, b: str, n: int = 3) -> float:
 def sentences(text: str, language: str = "auto") -> list[str]:
     """Sentences with their trailing space; abbreviations and decimals are rejoined."""
     out, end = [], 0
-    for m in _SENTENCE.finditer(text):
+    for m in _SENTENCE_END.finditer(text):
+        if text[end : m.end()].strip():
+            out.append(text[end : m.end()])
         end = m.end()
-        if m[0].strip():
-            out.append(m[0])
     if text[end:].strip():
         out.append(text[end:])
     if language not in ("en", "auto"):
@@ -879,7 +879,7 @@ def token_chunks(text: str, max_tokens: int = 3000) -> list[tuple[str, int, int,
 def last_sentences(text: str, most: int) -> str:
     """The last whole sentences within a length, else the end of the text."""
     kept, size = [], 0
-    for s in reversed(re.findall(r"[^。.!?！？\n]*[。.!?！？\n]|[^。.!?！？\n]+$", text)):
+    for s in reversed(re.split(r"(?<=[。.!?！？\n])", text)):
         s = s.strip()
         if not s:
             continue

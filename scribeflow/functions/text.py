@@ -164,11 +164,10 @@ def dedupe_lines(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences by end marks, the unterminated rest last (F9, without abbreviations)."""
-    pattern = "[^。.!?！？]*[。.!?！？]+\\s*"
-    done = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
-    rest = F.regexp_replace(text, f"(?s)\\A(?:{pattern})+", "")
-    whole = F.concat(done, F.when(F.length(rest) > 0, F.array(rest)).otherwise(F.array().cast("array<string>")))
-    return F.filter(whole, lambda s: F.length(strip(s)) > 0)
+    # Marks are set behind each end, then split: a search for whole sentences would
+    # walk the unterminated rest once per character.
+    parts = F.split(F.regexp_replace(text, "([。.!?！？]+\\s*)", "$1\u0000"), "\u0000", -1)
+    return F.filter(parts, lambda s: F.length(strip(s)) > 0)
 
 
 def transcript(text: Column) -> Column:

@@ -170,9 +170,8 @@ def tail_repeat(spark, d):
 
 @query(
     "sentence_split",
-    r"""WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '[^。.!?！？]*[。.!?！？]+\s*') AS parts FROM documents),
- w AS (SELECT doc_id, list_append(parts, substr(text, length(array_to_string(parts, '')) + 1)) AS parts FROM m),
- s AS (SELECT doc_id, unnest(parts) AS s FROM w) SELECT doc_id, count(*) AS sentences, sum(length(s))::BIGINT AS chars, max(length(s)) AS longest FROM s WHERE trim(s, E' \t\n\r') <> '' GROUP BY doc_id""",
+    r"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([。.!?！？]+\s*)', '\1' || chr(1), 'g'), chr(1))) AS s FROM documents)
+ SELECT doc_id, count(*) AS sentences, sum(length(s))::BIGINT AS chars, max(length(s)) AS longest FROM s WHERE trim(s, E' \t\n\r') <> '' GROUP BY doc_id""",
 )
 def sentence_split(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
