@@ -16,7 +16,7 @@ from ..functions import text as T
 from ..operators import catalog, chunking, dictionary, intervals, merging
 from ..sources import asr, sinks
 from ..streaming import sessions
-from .registry import query, table
+from .registry import query, spread, table
 
 _BASE = 1704067200000000
 _IV = f"(SELECT user_id, event_id, (epoch_us(ts) - {_BASE}) / 1e9::DOUBLE AS start, (epoch_us(ts) - {_BASE}) / 1e9::DOUBLE + value AS \"end\" FROM events)"
@@ -194,7 +194,7 @@ def _rules(spark):
  SELECT doc_id, CASE WHEN contains(t, 'Q$1') OR contains(t, 'nowhere') THEN regexp_replace(t, 'la', 'LA', 'gi') ELSE t END AS corrected FROM b""",
 )
 def dictionary_correct(spark, d):
-    return dictionary.correct(table(spark, d, "documents").select("doc_id", "text"), _rules(spark)).select("doc_id", "corrected")
+    return dictionary.correct(spread(table(spark, d, "documents")).select("doc_id", "text"), _rules(spark)).select("doc_id", "corrected")
 
 
 @query("dictionary_relevant", "SELECT doc_id, o AS ord, 0::INT AS pat_ord FROM (SELECT DISTINCT doc_id, o FROM documents, (VALUES (0, 'THE'), (1, 'Q$1'), (1, 'nowhere'), (2, 'sh'), (2, 'ció')) AS r(o, w) WHERE contains(text, w))")
@@ -260,7 +260,7 @@ _SHORT = "length(text) BETWEEN 1200 AND 2500"
 
 @query("overlap_merge")
 def overlap_merge(spark, d):
-    docs = table(spark, d, "documents").where(F.length("text").between(1200, 2500))
+    docs = spread(table(spark, d, "documents")).where(F.length("text").between(1200, 2500))
     chunks = chunking.text_chunks(docs, 600, 100).withColumns({"success": F.lit(True), "error": F.lit(None).cast("string")})
     return merging.overlap_merge(chunks, config.model_plan("gpt-4o-transcribe"))
 

@@ -11,7 +11,7 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import catalog, chunking, repeats, similar
 from . import clean, postprocess, report
-from .registry import query, table
+from .registry import query, spread, table
 
 _COUNT = "len(regexp_extract_all({0}, '{1}'))"
 _JA, _ZH, _EN, _KO = "[\\x{3040}-\\x{309F}\\x{30A0}-\\x{30FF}\\x{4E00}-\\x{9FAF}]", "[\\x{4E00}-\\x{9FFF}]", "[a-zA-Z]", "[\\x{AC00}-\\x{D7AF}\\x{1100}-\\x{11FF}\\x{3130}-\\x{318F}]"
@@ -174,48 +174,48 @@ def tail_repeat(spark, d):
  SELECT doc_id, count(*) AS sentences, sum(length(s))::BIGINT AS chars, max(length(s)) AS longest FROM s WHERE trim(s, E' \t\n\r') <> '' GROUP BY doc_id""",
 )
 def sentence_split(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
+    rows = spread(table(spark, d, "documents")).select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum(F.length("s")).alias("chars"), F.max(F.length("s")).cast("long").alias("longest"))
 
 
 @query("phrase_repeat_collapse")
 def phrase_repeat_collapse(spark, d):
-    return repeats.collapse_phrases(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "collapsed")
+    return repeats.collapse_phrases(spread(table(spark, d, "documents")).select("doc_id", "text")).select("doc_id", "collapsed")
 
 
 @query("enumeration_collapse")
 def enumeration_collapse(spark, d):
-    return repeats.collapse_phrases(table(spark, d, "documents").select("doc_id", "text"), enumerations=3).select("doc_id", "collapsed")
+    return repeats.collapse_phrases(spread(table(spark, d, "documents")).select("doc_id", "text"), enumerations=3).select("doc_id", "collapsed")
 
 
 @query("sentence_collapse")
 def sentence_collapse(spark, d):
-    return repeats.collapse_sentences(table(spark, d, "documents").select("doc_id", "text"), config.cleaning_plan("gpt-4o-transcribe")).select("doc_id", "collapsed")
+    return repeats.collapse_sentences(spread(table(spark, d, "documents")).select("doc_id", "text"), config.cleaning_plan("gpt-4o-transcribe")).select("doc_id", "collapsed")
 
 
 @query("paragraph_compress")
 def paragraph_compress(spark, d):
-    return repeats.compress_paragraphs(table(spark, d, "documents").select("doc_id", "text"), config.cleaning_plan("gpt-4o-transcribe")).select("doc_id", "collapsed")
+    return repeats.compress_paragraphs(spread(table(spark, d, "documents")).select("doc_id", "text"), config.cleaning_plan("gpt-4o-transcribe")).select("doc_id", "collapsed")
 
 
 @query("block_repeat")
 def block_repeat(spark, d):
-    return repeats.compress_blocks(table(spark, d, "documents").select("doc_id", "text"), config.cleaning_plan("gpt-4o-transcribe")).select("doc_id", "collapsed")
+    return repeats.compress_blocks(spread(table(spark, d, "documents")).select("doc_id", "text"), config.cleaning_plan("gpt-4o-transcribe")).select("doc_id", "collapsed")
 
 
 @query("tail_compress")
 def tail_compress(spark, d):
-    return repeats.compress_tail(table(spark, d, "documents").select("doc_id", "text"), config.TailRules()).select("doc_id", "collapsed")
+    return repeats.compress_tail(spread(table(spark, d, "documents")).select("doc_id", "text"), config.TailRules()).select("doc_id", "collapsed")
 
 
 @query("stamped_tail_compress")
 def stamped_tail_compress(spark, d):
-    return repeats.compress_stamped_tail(table(spark, d, "documents").select("doc_id", "text"), config.TailRules()).select("doc_id", "collapsed")
+    return repeats.compress_stamped_tail(spread(table(spark, d, "documents")).select("doc_id", "text"), config.TailRules()).select("doc_id", "collapsed")
 
 
 @query("folded_text")
 def folded_text(spark, d):
-    rows = repeats.folded(table(spark, d, "documents").select("doc_id", "text"))
+    rows = repeats.folded(spread(table(spark, d, "documents")).select("doc_id", "text"))
     return repeats.folded(rows, out="loose", loose=True).select("doc_id", "folded", "loose")
 
 
@@ -291,7 +291,7 @@ def shared_grams(spark, d):
 
 @query("candidate_regions")
 def candidate_regions(spark, d):
-    return similar.candidate_regions(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return similar.candidate_regions(spread(table(spark, d, "documents")).select("doc_id", "text"), "doc_id")
 
 
 @query("window_alignment")
@@ -493,18 +493,18 @@ def meta_info_parse(spark, d):
 
 @query("full_clean")
 def full_clean(spark, d):
-    rows = table(spark, d, "documents").withColumn("seconds", F.col("n_chars") / 15)
+    rows = spread(table(spark, d, "documents")).withColumn("seconds", F.col("n_chars") / 15)
     return clean.clean(rows, "gpt-4o-transcribe", seconds="seconds").select("doc_id", "cleaned", F.col("pass"))
 
 
 @query("full_clean_whisper")
 def full_clean_whisper(spark, d):
-    return clean.clean(table(spark, d, "documents"), "whisper-1").select("doc_id", "cleaned", F.col("pass"))
+    return clean.clean(spread(table(spark, d, "documents")), "whisper-1").select("doc_id", "cleaned", F.col("pass"))
 
 
 @query("clean_audit")
 def clean_audit(spark, d):
-    return clean.audit(clean.clean(table(spark, d, "documents"), "gpt-4o-mini-transcribe"), "doc_id").withColumn("reduction", F.round("reduction", 6))
+    return clean.audit(clean.clean(spread(table(spark, d, "documents")), "gpt-4o-mini-transcribe"), "doc_id").withColumn("reduction", F.round("reduction", 6))
 
 
 @query(
