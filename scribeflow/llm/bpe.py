@@ -73,6 +73,8 @@ def whitespace_runs(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
 class PairIndexCodec:
     """Encoder and decoder for a byte-level BPE vocabulary with word ends."""
 
+    cache_entries = CACHE_ENTRIES
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -182,7 +184,7 @@ class PairIndexCodec:
         """Lengths and ids, end to end, of distinct words; merges those not yet known."""
         known = self.words
         new = [w for w in words if w not in known and not isinstance(w, int)]
-        if len(known) + len(new) > CACHE_ENTRIES:
+        if len(known) + len(new) > self.cache_entries:
             known.clear()
             new = [w for w in words if not isinstance(w, int)]
         for at in range(0, len(new), BLOCK_WORDS):

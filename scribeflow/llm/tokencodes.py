@@ -135,8 +135,11 @@ class LibraryEncoder(PairIndexCodec):
     """The tokenizers library, asked once for each distinct word of a block.
 
     Words are split as for pair merging; a text has the ids of its words, end to end.
+    Asking costs more than merging, so more words are remembered.
     """
 
+    cache_entries = 600_000
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         super().__init__(path)
