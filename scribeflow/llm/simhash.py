@@ -246,6 +246,10 @@ SIMILAR_MAX_BITS = 22
 SIMILAR_ALL_BITS = 64
 #: Rows of a large bucket that are held at once.
 BUCKET_BLOCK = 1 << 16
+#: Parts of the hash range in the sketch of a text, a byte each.
+SKETCH = 256
+#: Rows of a large bucket that one task compares with as many others, and at once.
+EXACT_BLOCK, EXACT_STRIP = 1 << 12, 32
 
 
 def table_shape(n: int) -> tuple[int, int]:
@@ -281,6 +285,39 @@ def wide_block(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndar
     return np.array(keys, np.uint64), fp
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """A byte of the least of the sorted hashes in each part of their range, 0 where none is."""
+    at = np.searchsorted(own, np.arange(SKETCH, dtype=np.uint64) << np.uint64(56))
+    full = np.append(at[1:], len(own)) > at
+    out = np.zeros(SKETCH, np.uint8)
+    out[full] = 1 + own[at[full]] % np.uint64(255)
+    return out
+
+
+def unlinked_pairs(component: np.ndarray, fp: np.ndarray, sketches: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (row of ``left``, row of ``right``) of different components that may
+    reach the threshold by their bits and by their sketches.
+
+    The sketches agree in a part of their filled places with the similarity as mean;
+    a pair at the threshold is let go below four deviations only.
+    """
+    out = [(np.zeros(0, np.int64),) * 2]
+    for at in range(0, len(left), EXACT_STRIP):
+        strip = left[at : at + EXACT_STRIP]
+        near = component[strip][:, None] != component[right][None, :]
+        away = np.zeros(near.shape, np.uint16)
+        for w in range(SIMILAR_WORDS):
+            away += np.bitwise_count(fp[strip, w][:, None] ^ fp[right, w][None, :])
+        x, y = np.nonzero(near & (away <= SIMILAR_ALL_BITS))
+        x, y = strip[x], right[y]
+        a, b = sketches[x], sketches[y]
+        filled = np.count_nonzero(a | b, axis=1)
+        same = np.count_nonzero((a == b) & (a != 0), axis=1)
+        may = same >= threshold * filled - 4 * np.sqrt(threshold * (1 - threshold) * filled)
+        out.append((x[may], y[may]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def table_buckets(fp: np.ndarray, tables: int, places: int) -> np.ndarray:
     """The bucket of each fingerprint in each table: (fingerprints, tables)."""
     rng = np.random.default_rng(818)
@@ -293,9 +330,10 @@ def table_buckets(fp: np.ndarray, tables: int, places: int) -> np.ndarray:
 
 
 def near_in_runs(bucket: np.ndarray, node: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within runs of one bucket, each of at most ``BUCKET_CAP`` rows."""
+    """Pairs within runs of one bucket, each of few rows."""
     left, right = [], []
-    for gap in range(1, min(BUCKET_CAP, len(bucket))):
+    bits = bits.view(np.uint64)  # of a signed number, bitwise_count takes the absolute value
+    for gap in range(1, len(bucket)):
         at = np.flatnonzero(bucket[:-gap] == bucket[gap:])
         if not len(at):
             break
@@ -313,7 +351,7 @@ def near_middle(node: np.ndarray, bits: np.ndarray, lead: tuple[int, int] | None
     majority = np.packbits(2 * ones > len(bits), bitorder="little").view(np.uint64)[0]
     away = np.bitwise_count(bits.view(np.uint64) ^ majority)
     at = int(np.lexsort((node, away))[0])
-    near = np.bitwise_count(bits ^ bits[at]) <= SIMILAR_MAX_BITS
+    near = np.bitwise_count((bits ^ bits[at]).view(np.uint64)) <= SIMILAR_MAX_BITS
     near[at] = False
     left, right = np.full(int(near.sum()), node[at]), node[near]
     own = (int(node[at]), int(bits[at]))
@@ -322,8 +360,9 @@ def near_middle(node: np.ndarray, bits: np.ndarray, lead: tuple[int, int] | None
     return left, right, lead or own
 
 
-def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (a, b) from rows (bucket, node, bits) in order of the bucket.
+def bucket_pairs(batches: Iterator[pa.RecordBatch], cap: int = BUCKET_CAP) -> Iterator[pa.RecordBatch]:
+    """Candidates (a, b) from rows (bucket, node, bits) in order of the bucket, and
+    each row of a large bucket as ``large`` with its bucket and node.
 
     Only the rows of the bucket that goes on are kept from batch to batch, and a
     large bucket passes in blocks.
@@ -332,7 +371,10 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lead: tuple[int, int] | None = None  # of the open bucket, once it is large
 
     def told(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
+        return marked(np.minimum(left, right), np.maximum(left, right), False)
+
+    def marked(a: np.ndarray, b: np.ndarray, large: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), large))], names=["a", "b", "large"])
 
     def closed(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         nonlocal lead
@@ -340,11 +382,12 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.diff(bucket)) + 1
         starts, ends = np.append(0, edge), np.append(edge, len(bucket))
         size = ends - starts
-        for k in np.flatnonzero(size > BUCKET_CAP).tolist() + ([0] if lead is not None and size[0] <= BUCKET_CAP else []):
+        for k in np.flatnonzero(size > cap).tolist() + ([0] if lead is not None and size[0] <= cap else []):
             s, e = starts[k], ends[k]
             left, right, _ = near_middle(node[s:e], bits[s:e], lead if k == 0 else None)
             yield told(left, right)
-        small = np.repeat(size <= BUCKET_CAP, size)
+            yield marked(bucket[s:e], node[s:e], True)
+        small = np.repeat(size <= cap, size)
         if lead is not None:
             small[: ends[0]] = False
         lead = None
@@ -361,6 +404,7 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while len(held[0]) >= BUCKET_BLOCK:
             left, right, lead = near_middle(held[1][:BUCKET_BLOCK], held[2][:BUCKET_BLOCK], lead)
             yield told(left, right)
+            yield marked(held[0][:BUCKET_BLOCK], held[1][:BUCKET_BLOCK], True)
             held = [r[BUCKET_BLOCK:] for r in held]
     if len(held[0]):
         yield from closed(held)
@@ -377,20 +421,24 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> D
 
     Two texts are linked where the Jaccard similarity of their shingle sets is
     ``threshold`` or more; groups are the components of the links.  Candidates come
-    from the tables above; a bucket of up to ``BUCKET_CAP`` texts gives all pairs,
-    a larger one pairs of each text with the text nearest to the majority fingerprint
-    of its block, so that a group of thousands gives a row per text and table.  Texts
-    without words form one group; rows without ``doc_id`` are left out.
+    from the tables above; a bucket of up to ``BUCKET_CAP`` texts gives all pairs.
+    A larger one first gives pairs of each text with the text nearest to the majority
+    fingerprint of its block, so that a group of thousands gives a row per text and
+    table; once these are verified, all texts of such a bucket that are not linked yet
+    are compared with each other in blocks.  Texts without words form one group; rows
+    without ``doc_id`` are left out.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
     def marks(batches: Iterator[pa.RecordBatch]):
         for b in slices(batches, "text", 8 << 20):
-            key, fp = wide_block(b.column(1).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key.view(np.int64)), pa.array([x.tobytes() for x in fp], pa.binary())], names=["doc_id", "node", "fp"])
+            texts = b.column(1).to_pylist()
+            key, fp = wide_block(texts, width)
+            held = [sketch(shingle_set(t, width)).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key.view(np.int64)), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(held, pa.binary())], names=["doc_id", "node", "fp", "sketch"])
 
-    own = written(rows.mapInArrow(marks, "doc_id long, node long, fp binary"), "wide")
-    distinct = written(own.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp")), "wide-distinct")
+    own = written(rows.mapInArrow(marks, "doc_id long, node long, fp binary, sketch binary"), "wide")
+    distinct = written(own.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "wide-distinct")
 
     tables, places = table_shape(distinct.count())
 
@@ -406,7 +454,9 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> D
     table = distinct.select("node", "fp").mapInArrow(expand, "bucket long, node long, bits long")
     # One shuffle of 24 bytes a row; every bucket is then one run.
     dealt = table.repartition("bucket").sortWithinPartitions("bucket", "node")
-    pairs = dealt.mapInArrow(bucket_pairs, "a long, b long").distinct()
+    cap = BUCKET_CAP
+    dealt = written(dealt.mapInArrow(lambda batches: bucket_pairs(batches, cap), "a long, b long, large boolean"), "dealt")
+    pairs = dealt.where("not large").select("a", "b").distinct()
     # All bits of both before any text is fetched: chance pairs end here.
     sides = [distinct.select(F.col("node").alias(k), F.col("fp").alias(f"f{k}")) for k in "ab"]
 
@@ -419,20 +469,12 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> D
     both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "fa", "fb")
     pairs = written(both.mapInArrow(screen, "a long, b long"), "candidates")
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = distinct.join(needed, "node").select("node", F.col("low").alias("doc_id"))
-
     def sets(batches: Iterator[pa.RecordBatch]):
         for b in slices(batches, "text", 8 << 20):
             texts = b.column(1).to_pylist()
             held = [shingle_set(t, width).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary())], names=["node", "grams"])
 
-    grams = rows.join(needed, "doc_id").select("node", "text").mapInArrow(sets, "node long, grams binary")
-    grams = written(grams.groupBy("node").agg(F.first("grams").alias("grams")), "grams")
-    both = pairs.join(grams.withColumnRenamed("node", "a").withColumnRenamed("grams", "ga"), "a")
-    both = both.join(grams.withColumnRenamed("node", "b").withColumnRenamed("grams", "gb"), "b").select("a", "b", "ga", "gb")
-
     def verify(batches: Iterator[pa.RecordBatch]):
         for b in slices(batches, "ga", 8 << 20):
             keep = []
@@ -444,7 +486,43 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> D
                 keep.append(shared >= threshold * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    found = connected_components(both.mapInArrow(verify, "a long, b long"), "similar")
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        needed = distinct.join(needed, "node").select("node", F.col("low").alias("doc_id"))
+        grams = rows.join(needed, "doc_id").select("node", "text").mapInArrow(sets, "node long, grams binary")
+        grams = written(grams.groupBy("node").agg(F.first("grams").alias("grams")), f"grams-{name}")
+        both = pairs.join(grams.withColumnRenamed("node", "a").withColumnRenamed("grams", "ga"), "a")
+        both = both.join(grams.withColumnRenamed("node", "b").withColumnRenamed("grams", "gb"), "b").select("a", "b", "ga", "gb")
+        return both.mapInArrow(verify, "a long, b long")
+
+    def compare(cell: pa.Table) -> pa.Table:
+        node, component, part = (cell.column(c).to_numpy() for c in ("node", "component", "part"))
+        fp = np.frombuffer(b"".join(cell.column("fp").to_pylist()), np.uint64).reshape(-1, SIMILAR_WORDS)
+        sketches = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        first = part == part.min()
+        # A block meets another one, or itself.
+        left, right = np.flatnonzero(first), np.flatnonzero(~first)
+        x, y = unlinked_pairs(component, fp, sketches, left, right if len(right) else left, threshold)
+        once = (x < y) | (len(right) > 0)
+        x, y = x[once], y[once]
+        return pa.table({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])})
+
+    found = connected_components(verified(pairs, "first"), "similar")
+    large = dealt.where("large").select(F.col("a").alias("bucket"), F.col("b").alias("node"))
+    large = large.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    large = written(large, "large")
+    # Buckets of one component have nothing to add.
+    open_ = large.groupBy("bucket").agg(F.ceil(F.count("*") / EXACT_BLOCK).cast("int").alias("parts"), F.min("component").alias("x"), F.max("component").alias("y"))
+    open_ = written(open_.where("x <> y").select("bucket", "parts"), "open")
+    if not open_.isEmpty():
+        cells = large.join(open_, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+        cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        cells = cells.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).join(distinct.select("node", "fp", "sketch"), "node")
+        more = cells.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+        more = written(verified(written(more, "more"), "more"), "more-links")
+        if not more.isEmpty():
+            known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            found = connected_components(known.unionByName(more), "similar-more")
     member = written(found.join(distinct.select("node", "low"), "node"), "similar-members")
     lowest = member.groupBy("component").agg(F.min("low").alias("component_id"))
     linked = member.join(lowest, "component").select("node", F.col("component_id").alias("linked"))

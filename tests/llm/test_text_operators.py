@@ -290,3 +290,31 @@ def test_similar_groups(spark, cap, monkeypatch):
     kept = simhash.keep_one(df).collect()
     assert {r.doc_id for r in kept} == set(got.values()) | {None}
     assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_near_copies_in_large_buckets(spark, monkeypatch):
+    """Texts of one template fill buckets; pairs of copies among them are found all the same."""
+    monkeypatch.setattr(simhash, "BUCKET_CAP", 4)
+    monkeypatch.setattr(simhash, "EXACT_BLOCK", 64)
+    rng = random.Random(3)
+    template = [f"t{i}" for i in range(200)]
+    texts, want = [], []
+    for i in range(700):
+        own = template + [f"{i}-{rng.randrange(10**9)}" for _ in range(90)]
+        want.append(len(texts))
+        texts.append(" ".join(own))
+        if i % 10 == 0:
+            for at in rng.sample(range(290), 4):
+                own[at] = f"x{rng.randrange(10**9)}"
+            want.append(want[-1])
+            texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+    # Copies at a similarity of 0.87 or more, other texts at about 0.5.
+    assert sum(got[i] != k for i, k in enumerate(want)) <= 4
+
+
+def test_near_in_runs_counts_the_sign_bit():
+    bits = np.array([0, 1 << 63], np.uint64).view(np.int64)
+    left, right = simhash.near_in_runs(np.zeros(2, np.int64), np.arange(2), bits)
+    assert (left.tolist(), right.tolist()) == ([0], [1])
