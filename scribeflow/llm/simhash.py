@@ -236,8 +236,8 @@ def fingerprint_table(df: DataFrame) -> DataFrame:
 # distance of the first 64 bits discards, and the shingle sets verify.
 
 SIMILAR_WORDS = 4
-#: Chance that a bit of two texts at the threshold differs, and of finding such a pair.
-SIMILAR_FLIP, SIMILAR_MISS = 0.1515, 0.09
+#: Chance that a bit of two texts at the threshold differs, and of missing such a pair.
+SIMILAR_FLIP, SIMILAR_MISS = 0.1515, 0.033
 #: Texts that share a bucket by chance.
 SIMILAR_CROWD = 4
 #: Of the first 64 bits; copies at a similarity of 0.8 differ in 10 with a deviation of 3.
@@ -254,7 +254,7 @@ EXACT_BLOCK, EXACT_STRIP = 1 << 12, 32
 
 def table_shape(n: int) -> tuple[int, int]:
     """(tables, places of each) for ``n`` texts: places so that few share a bucket by
-    chance, tables so that a pair at the threshold is missed in one of eleven cases."""
+    chance, tables so that a pair at the threshold is missed in one of thirty cases."""
     places = max(16, int(np.ceil(np.log2(max(1, n) / SIMILAR_CROWD))))
     found = (1 - SIMILAR_FLIP) ** places
     return int(np.ceil(np.log(SIMILAR_MISS) / np.log(1 - found))), places

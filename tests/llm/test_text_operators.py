@@ -318,3 +318,10 @@ def test_near_in_runs_counts_the_sign_bit():
     bits = np.array([0, 1 << 63], np.uint64).view(np.int64)
     left, right = simhash.near_in_runs(np.zeros(2, np.int64), np.arange(2), bits)
     assert (left.tolist(), right.tolist()) == ([0], [1])
+
+
+@pytest.mark.parametrize("n", [1, 10**5, 10**7])
+def test_tables_miss_few_pairs_at_the_threshold(n):
+    tables, places = simhash.table_shape(n)
+    flip = np.arccos(2 * 0.8 / 1.8) / np.pi
+    assert (1 - (1 - flip) ** places) ** tables <= 0.0335
