@@ -260,29 +260,26 @@ def table_shape(n: int) -> tuple[int, int]:
     return int(np.ceil(np.log(SIMILAR_MISS) / np.log(1 - found))), places
 
 
-def wide_block(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of the word sequence and a fingerprint of ``SIMILAR_WORDS`` longs per text."""
-    parts, lengths, owner, keys = [], [], [], []
-    for i, text in enumerate(texts):
-        key = xxhash.xxh3_64()
+def wide_block(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """A hash of the word sequence, a fingerprint of ``SIMILAR_WORDS`` longs and a
+    sketch per text.  A shingle counts once, however often the text repeats it: the
+    fingerprints of equal sets are equal."""
+    sets, keys = [], []
+    for text in texts:
+        key, parts = xxhash.xxh3_64(), []
         for words in word_pieces((text or "").encode("utf-8", "surrogatepass").lower(), width):
-            h = shingle_hashes(words, width)
-            key.update(h.tobytes())
-            parts.append(h)
-            lengths.append(len(h))
-            owner.append(i)
+            parts.append(shingle_hashes(words, width))
+            key.update(parts[-1].tobytes())
+        sets.append(np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64))
         keys.append(key.intdigest())
     fp = np.zeros((len(texts), SIMILAR_WORDS), np.uint64)
-    if parts:
-        h, lengths = np.concatenate(parts), np.array(lengths)
-        n = np.bincount(owner, lengths, len(texts)).astype(np.int64)
+    if texts:
+        h, n = np.concatenate(sets), np.array([len(x) for x in sets])
         for w in range(SIMILAR_WORDS):
-            counts = np.zeros((len(texts), 64), np.int64)
-            np.add.at(counts, owner, bit_counts(h, lengths))
-            fp[:, w] = np.packbits(2 * counts > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+            fp[:, w] = np.packbits(2 * bit_counts(h, n) > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-    return np.array(keys, np.uint64), fp
+    return np.array(keys, np.uint64), fp, [sketch(x).tobytes() for x in sets]
 
 
 def sketch(own: np.ndarray) -> np.ndarray:
@@ -432,9 +429,7 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> D
 
     def marks(batches: Iterator[pa.RecordBatch]):
         for b in slices(batches, "text", 8 << 20):
-            texts = b.column(1).to_pylist()
-            key, fp = wide_block(texts, width)
-            held = [sketch(shingle_set(t, width)).tobytes() for t in texts]
+            key, fp, held = wide_block(b.column(1).to_pylist(), width)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key.view(np.int64)), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(held, pa.binary())], names=["doc_id", "node", "fp", "sketch"])
 
     own = written(rows.mapInArrow(marks, "doc_id long, node long, fp binary, sketch binary"), "wide")

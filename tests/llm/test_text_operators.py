@@ -325,3 +325,18 @@ def test_tables_miss_few_pairs_at_the_threshold(n):
     tables, places = simhash.table_shape(n)
     flip = np.arccos(2 * 0.8 / 1.8) / np.pi
     assert (1 - (1 - flip) ** places) ** tables <= 0.0335
+
+
+def test_near_copies_with_repeats(spark):
+    """A sentence repeated more often leaves the shingle set, and so the similarity, as it is."""
+    rng = random.Random(4)
+    texts, want = [], []
+    for i in range(40):
+        own = " ".join(f"{i}-{rng.randrange(10**9)}" for _ in range(300))
+        line = " ".join(f"{i}-{rng.randrange(10**9)}" for _ in range(10))
+        want += [2 * i, 2 * i]
+        texts += [own + f" {line}" * 2, own + f" {line}" * 10]
+    fp = simhash.wide_block(texts, 5)[1]
+    assert (fp[::2] == fp[1::2]).all()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == dict(enumerate(want))
