@@ -255,12 +255,9 @@ def merge_outcome(spark, d):
     return merging.outcome(_results(spark, d), "doc_id")
 
 
-_SHORT = "length(text) BETWEEN 1200 AND 2500"
-
-
 @query("overlap_merge")
 def overlap_merge(spark, d):
-    docs = spread(table(spark, d, "documents")).where(F.length("text").between(1200, 2500))
+    docs = spread(table(spark, d, "documents"))
     chunks = chunking.text_chunks(docs, 600, 100).withColumns({"success": F.lit(True), "error": F.lit(None).cast("string")})
     return merging.overlap_merge(chunks, config.model_plan("gpt-4o-transcribe"))
 

@@ -50,3 +50,9 @@ def test_rows(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_overlap_merge_takes_all_lengths(spark):
+    got = {r.doc_id for r in QUERIES["overlap_merge"](spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert got == {r.doc_id for r in docs.where("length(text) > 0").select("doc_id").collect()}
