@@ -71,14 +71,6 @@ def stages_of(plan: CleaningPlan, artefacts: bool = True, paragraphs: bool = Tru
     return ([artefact_stage(plan, paragraphs)] if artefacts else []) + rest
 
 
-def continuation_stages(plan: CleaningPlan) -> list[Stage]:
-    """What a context for the next chunk goes through."""
-    from dataclasses import replace
-
-    tail = replace(plan.tail, paragraphs=8, sentences=20)
-    return [block_stage(plan, 120), Stage("tail", lambda t, lang: (lambda r: (r[0], [], r[1]))(kernels.compress_tail(t, lang, tail)))]
-
-
 def run_stages(df: DataFrame, stages: Sequence[Stage], text: str, language: str, out: str, audit: str) -> DataFrame:
     """All stages in one Arrow function (C1): the text and a row of audit per stage.
 
@@ -112,8 +104,9 @@ def clean(df: DataFrame, model: str, text: str = "text", language: str | None =
     """Clean a text column by a model's strategy (C4).
 
     Adds ``cleaned``, ``stages``, ``issues`` and ``pass`` (1, or 2 and 3 for the
-    milder passes: without paragraph compression, then without artefact removal).
-    Milder passes run on the rows that ask for them only.
+    milder passes: without paragraph compression, then without artefact removal), all
+    of the pass that was chosen.  Each pass is judged by the same rule on its own text
+    and issues; milder passes run on the rows that ask for them only.
     """
     plan = config.cleaning_plan(model)
     spoken = F.col(language) if language else F.lit("auto")
@@ -124,43 +117,25 @@ def clean(df: DataFrame, model: str, text: str = "text", language: str | None =
     else:
         base = base.withColumn("_lead", F.col("_text"))
 
-    def once(rows: DataFrame, nth: int, **how: bool) -> DataFrame:
-        out = run_stages(rows, stages_of(plan, **how), "_lead", "_lang", "cleaned", "stages")
-        found = T.japanese_issues(F.col("cleaned"), F.length("_text"), F.col("_secs"), plan)
-        checks = F.when(T.is_japanese(F.col("cleaned"), F.col("_lang"), plan.japanese), found).otherwise(F.array().cast("array<string>"))
-        return out.withColumns({"issues": F.concat(F.flatten(F.transform("stages", lambda s: s["issues"])), checks), "pass": F.lit(nth)})
-
-    out = once(base, 1)
-    bad = T.needs_fallback(F.col("cleaned"), F.length("_text"), F.col("issues"), F.col("_secs"), plan) & (F.length("_text") > 0)
-    # The milder passes are one more function whose input is null for nearly all rows.
-    again = F.pandas_udf(_fallback(plan), "text string, pass int")
-    milder = again(F.when(bad, F.col("_lead")), F.when(bad, F.col("_lang")), F.when(bad, F.col("_secs")))
-    out = out.withColumn("_milder", milder)
-    out = out.withColumns({"cleaned": F.coalesce("_milder.text", "cleaned"), "pass": F.coalesce("_milder.pass", "pass")})
-    return out.drop("_text", "_lang", "_secs", "_lead", "_milder")
-
-
-def _fallback(plan: CleaningPlan):
-    def run(texts: pd.Series, languages: pd.Series, seconds: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, lang, secs in zip(texts, languages, seconds):
-            if t is None:
-                rows.append((None, None))
-                continue
-            for nth, how in ((2, {"paragraphs": False}), (3, {"artefacts": False})):
-                own = t
-                for stage in stages_of(plan, **how):
-                    own = stage.clean(own, lang)[0]
-                timed = secs is not None and secs == secs and secs >= plan.fallback_seconds
-                ratio = len("".join(own.split())) / (secs * plan.japanese.chars_per_second) if timed else None
-                if own and not (timed and ratio < plan.fallback_ratio and len(own) < plan.fallback_length):
-                    break
-            rows.append((own, nth))
-        return pd.DataFrame(rows, columns=["text", "pass"]).astype({"text": object, "pass": "Int32"})
-
-    # Types for the Arrow function, which reads annotations of the function itself.
-    run.__annotations__ = {"texts": pd.Series, "languages": pd.Series, "seconds": pd.Series, "return": pd.DataFrame}
-    return run
+    def once(rows: DataFrame, nth: int, asked: Column, **how: bool) -> tuple[DataFrame, Column]:
+        """A pass over the rows that ask for it, and which of them ask for a milder one."""
+        text, notes, issues = f"_text{nth}", f"_stages{nth}", f"_issues{nth}"
+        rows = rows.withColumn("_asked", F.when(asked, F.col("_lead")))
+        rows = run_stages(rows, stages_of(plan, **how), "_asked", "_lang", text, notes)
+        found = T.japanese_issues(F.col(text), F.length("_text"), F.col("_secs"), plan)
+        checks = F.when(asked & T.is_japanese(F.col(text), F.col("_lang"), plan.japanese), found).otherwise(F.array().cast("array<string>"))
+        rows = rows.withColumn(issues, F.concat(F.flatten(F.transform(notes, lambda s: s["issues"])), checks))
+        bad = T.needs_fallback(F.col(text), F.length("_text"), F.col(issues), F.col("_secs"), plan) & (F.length("_text") > 0)
+        return rows.withColumn(f"_bad{nth}", F.coalesce(asked & bad, F.lit(False))), F.col(f"_bad{nth}")
+
+    # The milder passes are functions whose input is null for nearly all rows.
+    out, bad1 = once(base, 1, F.lit(True))
+    out, bad2 = once(out, 2, bad1, paragraphs=False)
+    out, _ = once(out, 3, bad2, paragraphs=False, artefacts=False)
+    chosen = lambda name: F.when(bad2, F.col(f"{name}3")).when(bad1, F.col(f"{name}2")).otherwise(F.col(f"{name}1"))
+    nth = F.when(bad2, F.lit(3)).when(bad1, F.lit(2)).otherwise(F.lit(1))
+    out = out.withColumns({"cleaned": chosen("_text"), "stages": chosen("_stages"), "issues": chosen("_issues"), "pass": nth})
+    return out.select(*[c for c in df.columns if c not in ("cleaned", "stages", "issues", "pass")], "cleaned", "stages", "issues", "pass")
 
 
 def audit(df: DataFrame, key: str) -> DataFrame:

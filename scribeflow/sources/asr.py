@@ -77,9 +77,10 @@ def retried(call: Callable[[], str], retries: int = 3, delay: float = 1.0, sleep
     raise AssertionError
 
 
-def transcribe(chunks: DataFrame, model: Callable[[bytes, str], str], keys: list[str], group: str, order: str = "id", context: int = 500, retries: int = 1, delay: float = 2.0) -> DataFrame:
+def transcribe(chunks: DataFrame, model: Callable[[bytes, str], str], keys: list[str], group: str, order: str = "id", context: int = 500, retries: int = 1, delay: float = 2.0, most_mb: float = 25.0, language: str = "auto") -> DataFrame:
     """Call a model chunk by chunk within each group, each with the end of the text
-    before it; after a failure the context is empty (S10, W20).  A failure is a row."""
+    before it, cleared of loops (S10, W20, C8); after a failure the context is empty.
+    A failure is a row, and so is a chunk beyond the size that the service takes."""
     from ..functions import kernels
 
     cols = [c for c in chunks.columns if c != "data"]
@@ -88,13 +89,17 @@ def transcribe(chunks: DataFrame, model: Callable[[bytes, str], str], keys: list
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         before, out = "", []
         for row in pdf.sort_values(order).to_dict("records"):
+            own = {c: row[c] for c in cols}
             prompt = kernels.last_sentences(before, context) if before else ""
             try:
+                size = len(row["data"] or b"") / (1024 * 1024)
+                if size > most_mb:
+                    raise ValueError(f"Chunk size {size:.1f}MB exceeds API limit of {most_mb:g}MB")
                 text = retried(lambda r=row, p=prompt: model(r["data"], p), retries, delay)
-                out.append({**{c: row[c] for c in cols}, "text": text, "success": True, "error": None})
-                before = text
+                out.append({**own, "text": text, "success": True, "error": None})
+                before = kernels.continuation(text, language) if text else ""
             except Exception as error:
-                out.append({**{c: row[c] for c in cols}, "text": "", "success": False, "error": str(error)})
+                out.append({**own, "text": "", "success": False, "error": str(error)})
                 before = ""
         return pd.DataFrame(out)
 
