@@ -710,82 +710,208 @@ def merge_chunks(chunks: Iterable[tuple[str, float, float]], plan: ModelPlan, se
     return (out or "").strip()
 
 
-def dedupe_segments(segments: Iterable[tuple[str, float, float]], window: float = 30.0, ratio: float = 0.5) -> list[tuple[str, float, float]]:
-    """Ordered segments without repeats and containments; a half overlap extends (M4)."""
-    out: list[tuple[str, float, float]] = []
-    for text, start, end in segments:
-        if not out:
-            out.append((text, start, end))
-            continue
-        before, first, last = out[-1]
-        if text.strip() == before.strip() and start - first <= window:
-            continue
-        if start < last:
-            if end <= last:
-                continue
-            if (last - start) / (end - start) >= ratio:
-                out[-1] = (f"{before} {text}", first, end)
-                continue
-        out.append((text, start, end))
-    return out
+Segment = tuple[str, float, float]
+
+
+def next_segment(last: Segment | None, new: Segment, window: float = 30.0, ratio: float = 0.5) -> tuple[Segment, bool]:
+    """The open segment after a new one, and whether the last one is closed by it (M4).
+
+    Repeats within the window and contained segments go; a half overlap extends.
+    """
+    if last is None:
+        return new, False
+    (before, first, until), (text, start, end) = last, new
+    if text.strip() == before.strip() and start - first <= window:
+        return last, False
+    if start < until:
+        if end <= until:
+            return last, False
+        if (until - start) / (end - start) >= ratio:
+            return (f"{before} {text}", first, end), False
+    return new, True
+
+
+def dedupe_segments(segments: Iterable[Segment], window: float = 30.0, ratio: float = 0.5) -> list[Segment]:
+    """Ordered segments without repeats and containments (M4)."""
+    out, last = [], None
+    for new in segments:
+        before = last
+        last, closed = next_segment(last, new, window, ratio)
+        if closed:
+            out.append(before)
+    return out + [last] if last else out
+
+
+class ChunkMachine:
+    """Chunks from frame labels by length and silence (W2, P17, T4), frame by frame.
+
+    A chunk after the first starts an overlap before the end of the last one kept;
+    chunks below the least length are dropped and move nothing.
+    """
+
+    def __init__(self, plan: ModelPlan, frame_seconds: float = 0.03, state: tuple | None = None):
+        self.plan, self.frame_seconds = plan, frame_seconds
+        self.start, self.kept_end, self.silent, self.end, self.made = state or (None, 0.0, 0.0, 0.0, 0)
+
+    @property
+    def state(self) -> tuple:
+        return self.start, self.kept_end, self.silent, self.end, self.made
+
+    def close(self) -> tuple[int, float, float, bool] | None:
+        """The open chunk as (id, start, end, has overlap), if it is long enough."""
+        start, self.start = self.start, None
+        if start is None or self.end - start < self.plan.min_chunk:
+            return None
+        self.made += 1
+        return self.made - 1, start, self.end, self.end > self.kept_end + self.plan.overlap_seconds
+
+    def step(self, frame: int, t: float, label: int, last: bool) -> tuple[int, float, float, bool] | None:
+        """Take a frame; returns the chunk that it ends."""
+        if label < 0:
+            return None
+        plan = self.plan
+        self.silent = 0.0 if label == 1 else self.silent + self.frame_seconds
+        if self.start is None:
+            self.start = t if frame == 0 else self.kept_end
+        self.end = t + self.frame_seconds
+        size = self.end - self.start
+        wish = plan.chunk_seconds
+        quiet = label != 1 and ((size >= wish and self.silent >= plan.min_silence) or (size >= wish + plan.force_after and self.silent > plan.min_silence / 5))
+        if last or size >= wish + plan.variance_seconds or (size >= wish - plan.variance_seconds and quiet):
+            made = self.close()
+            if made:
+                self.kept_end = self.end - plan.overlap_seconds
+            return made
+        return None
 
 
 def duplicate_spans(text: str, least: int, similarity: float, reach: int = 1000) -> str:
-    """Later repeats of passages within reach removed (W24; off in every plan)."""
-    n = 3 if least < 100 else 5 if least < 500 else 7
-    keep, i = [True] * len(text), 0
-    while i + 2 * least <= len(text):
-        piece = text[i : i + least]
-        folded, hit = loose(piece), None
-        at = text.find(piece[: min(12, least)], i + least, min(len(text), i + reach + least))
-        while at >= 0 and hit is None:
-            if jaccard(folded, loose(text[at : at + least]), n) >= similarity:
-                hit = at
-            else:
-                at = text.find(piece[: min(12, least)], at + 1, min(len(text), i + reach + least))
-        if hit is None:
+    """Later repeats of passages within reach removed (W24; off in every plan).
+
+    Every place within reach of a passage is compared by the grams of the folded text.
+    Only those are measured whose grams occur often enough in the passage: the number
+    of such places is a running sum, and no likeness can exceed it.
+    """
+    if len(text) < 2 * least:
+        return text
+    size = 3 if least < 100 else 5 if least < 500 else 7
+    folded, places = indexed(text, _LOOSE_TABLE)
+    # Where the folded text of a place starts; its end is the start of the next one.
+    first = np.searchsorted(np.array(places, np.int64), np.arange(len(text) + 1))
+    known: dict[str, int] = {}
+    grams = np.array([known.setdefault(folded[i : i + size], len(known)) for i in range(len(folded) - size + 1)], np.int64)
+    mark = np.zeros(len(known) + 1, bool)
+    gone: list[tuple[int, int]] = []
+    covered = np.zeros(len(text) + 1, bool)
+    i = 0
+    while i < len(text) - least:
+        if covered[i]:
             i += 1
             continue
-        size = least
-        while hit + size < len(text) and i + size < hit and text[i + size] == text[hit + size]:
-            size += 1
-        keep[hit : hit + size] = [False] * min(size, len(text) - hit)
-        i += size
-    return "".join(c for c, k in zip(text, keep) if k)
+        own = grams[first[i] : max(first[i], first[i + least] - size + 1)]
+        starts = np.arange(i + least, min(i + reach, len(text)) - least + 1)
+        if len(own) and len(starts):
+            mark[own] = True
+            inside = np.concatenate([[0], np.cumsum(mark[grams])])
+            low, high = first[starts], np.maximum(first[starts], first[starts + least] - size + 1)
+            near = starts[inside[high] - inside[low] >= similarity * len(np.unique(own))]
+            mark[own] = False
+            after = 0
+            for s in near.tolist():
+                if s < after or covered[s] or jaccard(loose(text[i : i + least]), loose(text[s : s + least]), size) < similarity:
+                    continue
+                end = s + least
+                while end < len(text) and text[i + end - s] == text[end]:
+                    end += 1
+                if jaccard(loose(text[i : i + end - s]), loose(text[s:end]), size) >= similarity:
+                    gone.append((s, end))
+                    covered[s:end] = True
+                    after = end
+        i += 1
+    return "".join(c for c, g in zip(text, covered) if not g) if gone else text
 
 
 # --- Fuzzy overlap (library function) ---------------------------------------------------------
 
+# A character and its variants in loose transcription.
+VARIANTS = {"ー": "〜～―", "、": "，,", "。": "．.", " ": "　\t"}
+_VARIANT_OF = {ord(v): ord(base) for base, own in VARIANTS.items() for v in own}
+
 
-def fuzzy_equal(a: str, b: str) -> bool:
-    """Equal characters, or variants of kana, dashes and commas (F8)."""
-    if a == b or _kana(a) == _kana(b):
-        return True
-    return any(a in group and b in group for group in ("ー－―—–-", "、,，", "。.．", " 　"))
+def fuzzy_equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether code points are equal, one kana in both scripts, or a listed variant (F8)."""
+    hira = lambda x, y: (x >= 0x3040) & (x <= 0x309F) & (y == x + 0x60)
+    own = (a == b) | hira(a, b) | hira(b, a)
+    for variant, base in _VARIANT_OF.items():
+        own |= (a == variant) & (b == base) | (a == base) & (b == variant)
+    return own
 
 
-def fuzzy_overlap(a: str, b: str, least: int = 20, similarity: float = 0.85, size: int = 3) -> tuple[int, int, int, float] | None:
-    """(place in a, place in b, length, similarity) of the best fuzzy common run (M11):
-    shared n-grams give seeds, seeds grow both ways, the longest run that is like wins."""
+def fuzzy_overlap(a: str, b: str, least: int = 20, similarity: float = 0.8, size: int = 3, screen: bool = True) -> tuple[int, int, int, float] | None:
+    """(place in a, place in b, length, similarity) of the best fuzzy common run.
+
+    With ``screen``, common n-grams are seeds, in order of their places; one within 50
+    characters of the last seed taken, in both texts, is passed over.  A seed grows both
+    ways while characters are fuzzily equal; of the runs of ``least`` or more whose
+    n-gram similarity is enough, the one with the largest similarity times length wins,
+    the first among equals.  Without it, see ``aligned_overlap``.
+    """
+    if len(a) < least or len(b) < least:
+        return None
+    x, y = _codes(a).astype(np.int64), _codes(b).astype(np.int64)
+    if not screen:
+        return aligned_overlap(x, y, least, similarity)
     index: dict[str, list[int]] = {}
-    for i in range(len(a) - size + 1):
-        index.setdefault(a[i : i + size], []).append(i)
-    best, seen = None, set()
     for j in range(len(b) - size + 1):
-        for i in index.get(b[j : j + size], ()):
-            if (i - j, j // max(1, least)) in seen:
+        index.setdefault(b[j : j + size], []).append(j)
+    best, taken = None, None
+    for i in range(len(a) - size + 1):
+        for j in index.get(a[i : i + size], ()):
+            if taken and abs(i - taken[0]) <= 50 and abs(j - taken[1]) <= 50:
                 continue
-            seen.add((i - j, j // max(1, least)))
-            lo, hi, miss = 0, size, 0
-            while i + hi < len(a) and j + hi < len(b) and (fuzzy_equal(a[i + hi], b[j + hi]) or miss < 2):
-                miss += not fuzzy_equal(a[i + hi], b[j + hi])
-                hi += 1
-            while i + lo > 0 and j + lo > 0 and fuzzy_equal(a[i + lo - 1], b[j + lo - 1]):
-                lo -= 1
-            n = hi - lo
-            like = sum(fuzzy_equal(a[i + lo + k], b[j + lo + k]) for k in range(n)) / n
-            if n >= least and like >= similarity and (best is None or n > best[2]):
-                best = (i + lo, j + lo, n, like)
+            taken = i, j
+            back = fuzzy_equal(x[:i][::-1][:j], y[:j][::-1][:i])
+            ahead = fuzzy_equal(x[i:][: len(y) - j], y[j:][: len(x) - i])
+            lead = len(back) if back.all() else int(back.argmin())
+            n = lead + (len(ahead) if ahead.all() else int(ahead.argmin()))
+            if n < least:
+                continue
+            like = jaccard(a[i - lead : i - lead + n], b[j - lead : j - lead + n], size)
+            if like >= similarity and (best is None or like * n > best[2] * best[3]):
+                best = (i - lead, j - lead, n, like)
+    return best
+
+
+def aligned_overlap(x: np.ndarray, y: np.ndarray, least: int, similarity: float, window: int = 200) -> tuple[int, int, int, float] | None:
+    """The aligned run of up to ``window`` characters with most fuzzily equal ones, at
+    least 80 % of them, whatever lies between; the first place in a, then in b."""
+    best = None
+    for shift in range(-(len(x) - least), len(y) - least + 1):
+        i0, j0 = max(0, -shift), max(0, shift)
+        same = fuzzy_equal(x[i0:][: len(y) - j0], y[j0:][: len(x) - i0])
+        sums = np.concatenate([[0], np.cumsum(same)])
+        for n in range(least, min(window, len(same)) + 1):
+            hits = sums[n:] - sums[:-n]
+            k = int(hits.argmax())
+            share = hits[k] / n
+            if share >= max(0.8, similarity):
+                found = (int(hits[k]), -(i0 + k), -(j0 + k), -n, float(share))
+                best = max(best, found) if best else found
+    return (-best[1], -best[2], -best[3], best[4]) if best else None
+
+
+def exact_duplicate(a: str, b: str, least: int = 10, window: int = 500) -> tuple[int, int, int] | None:
+    """(length, place in a, place in b) of the longest text that starts in the last
+    ``window`` characters of a and in the first of b; the first among equals (M12)."""
+    x, y = _codes(a), _codes(b)
+    run = np.zeros(len(y) + 1, np.int64)
+    best = None
+    for i in range(len(x) - 1, max(0, len(x) - window) - 1, -1):
+        # How far both texts agree from i and each place of b on.
+        run[:-1] = np.where(y == x[i], run[1:] + 1, 0)
+        head = run[: min(len(y), window)]
+        if len(head) and head.max() >= max(least, best[0] if best else 0):
+            best = (int(head.max()), i, int(head.argmax()))
     return best
 
 
@@ -891,6 +1017,33 @@ def last_sentences(text: str, most: int) -> str:
     return " ".join(kept) or (text[-most:] if most else text)
 
 
+def continuation(text: str, language: str = "auto") -> str:
+    """The text that may go on as context: blocks and loops at the end taken out."""
+    own = compress_blocks(text.strip(), language, 120, 20)[0]
+    return compress_tail(own, language, TailRules(paragraphs=8, sentences=20, unit_paragraphs=3, unit_sentences=5))[0].strip()
+
+
+def user_pattern(pattern: str) -> tuple[str, bool]:
+    """A pattern given by a user, as the pattern to run and whether it is a literal.
+
+    ``/body/flags`` is taken as it says; else signs of a pattern make it one, line by
+    line where it has anchors or line feeds, case-blind where it mixes cases; what does
+    not compile, and all else, is literal text.
+    """
+    given = re.fullmatch(r"/(.*)/([gimuy]*)", pattern, re.S)
+    if given and given[1]:
+        flags = "".join(f for f in "im" if f in given[2])
+        return (f"(?{flags})" if flags else "") + given[1], False
+    if not given and re.search(r"[\^$\\.*+?\[\]{}()|]", pattern):
+        flags = "i" * bool(re.search("[a-z]", pattern) and re.search("[A-Z]", pattern)) + "m" * any(x in pattern for x in ("^", "$", "\\n"))
+        try:
+            re.compile(pattern)
+            return (f"(?{flags})" if flags else "") + pattern, False
+        except re.error:
+            pass
+    return re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", pattern), True
+
+
 # --- Meta information ------------------------------------------------------------------------------
 # Labels by field, tried in this order, longer labels first.
 META_LABELS = {

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions import kernels
 from ..functions.text import round_half_up
 
 MIN_LAST = 15.0
@@ -114,48 +115,35 @@ def in_waves(chunks: DataFrame, key: str, order: str = "id", least: int = 3, mos
 
 
 def adaptive_chunks(frames: DataFrame, plan: config.ModelPlan, key: str = "file_id", frame_seconds: float = 0.03) -> DataFrame:
-    """Chunks from frame labels by length and silence (W2, P17): a fold per file.
+    """Chunks from frame labels by length and silence (W2, P17): see ``ChunkMachine``.
 
-    A chunk after the first starts an overlap before the end of the last one kept;
-    chunks below the least length are dropped and move nothing.
+    Frames arrive sorted and only the machine's state is held, so that a file of any
+    length takes no more memory than a batch.
     """
-    least, wish, most = plan.chunk_seconds - plan.variance_seconds, plan.chunk_seconds, plan.chunk_seconds + plan.variance_seconds
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        total = int(pdf["frame"].max())
-        out: list[tuple[float, float, bool]] = []
-        start, kept_end, silent, end = None, 0.0, 0.0, 0.0
-
-        def close() -> bool:
-            if end - start < plan.min_chunk:
-                return False
-            out.append((start, end, end > kept_end + plan.overlap_seconds))
-            return True
-
-        for frame, t, label in zip(pdf["frame"], pdf["t"], pdf["label"]):
-            if label < 0:
-                continue
-            silent = 0.0 if label == 1 else silent + frame_seconds
-            if start is None:
-                start = t if frame == 0 else kept_end
-            end = t + frame_seconds
-            size = end - start
-            quiet = label != 1 and (
-                (size >= wish and silent >= plan.min_silence) or (size >= wish + plan.force_after and silent > plan.min_silence / 5)
-            )
-            if frame == total or size >= most or (size >= least and quiet):
-                if close():
-                    kept_end = end - plan.overlap_seconds
-                start = None
-        if start is not None:
-            close()
-        own = pdf[key].iloc[0]
-        return pd.DataFrame([(own, i, s, e, o, plan.overlap_seconds if o else 0.0) for i, (s, e, o) in enumerate(out)], columns=[key, "id", "startTime", "endTime", "hasOverlap", "overlapDuration"])
-
     kind = dict(frames.dtypes)[key]
-    schema = f"{key} {kind}, id int, startTime double, endTime double, hasOverlap boolean, overlapDuration double"
-    return frames.select(key, "frame", "t", "label").groupBy(key).applyInPandas(fold, schema)
+    names = [key, "id", "startTime", "endTime", "hasOverlap", "overlapDuration"]
+    total = frames.groupBy(key).agg(F.max("frame").alias("_total"))
+    rows = frames.select(key, "frame", "t", "label").join(total, key)
+    rows = rows.repartition(key).sortWithinPartitions(key, "frame")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, machine = None, None
+
+        def told(made) -> list[tuple]:
+            return [(own, *made, plan.overlap_seconds if made[3] else 0.0)] if made else []
+
+        for pdf in batches:
+            out = []
+            for k, frame, t, label, last in zip(pdf[key], pdf["frame"], pdf["t"], pdf["label"], pdf["_total"]):
+                if machine is None or k != own:
+                    out += told(machine.close()) if machine else []
+                    own, machine = k, kernels.ChunkMachine(plan, frame_seconds)
+                out += told(machine.step(frame, t, label, frame == last))
+            yield pd.DataFrame(out, columns=names)
+        if machine:
+            yield pd.DataFrame(told(machine.close()), columns=names)
+
+    return rows.mapInPandas(fold, f"{key} {kind}, id int, startTime double, endTime double, hasOverlap boolean, overlapDuration double")
 
 
 def silence_snap(samples: DataFrame, targets: DataFrame, rate: int, key: str = "file_id", threshold: float = 0.01) -> DataFrame:
@@ -173,13 +161,12 @@ def silence_snap(samples: DataFrame, targets: DataFrame, rate: int, key: str = "
             out = []
             for own, pos, target, data in zip(pdf[key], pdf["pos"], pdf["target"], pdf["samples"]):
                 x = np.asarray(data, np.float64)
-                sums = np.concatenate([[0.0], np.cumsum(x * x)])
                 at = int(np.floor(target * rate))
                 best, low = at, np.inf
                 end = min(len(x), at + 5 * rate)
                 for i in range(max(0, at - 5 * rate), end - rate, max(1, rate // 10)):
-                    stop = min(len(x), i + rate)
-                    energy = np.sqrt((sums[stop] - sums[i]) / (stop - i))
+                    # Each window by itself: equal windows have equal energies.
+                    energy = np.sqrt(np.mean(np.square(x[i : i + rate])))
                     if energy < low and energy < threshold:
                         best, low = i, energy
                 out.append((own, pos, target, best / rate))

@@ -114,15 +114,34 @@ def flatten_segments(results: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def dedupe_segments(segments: DataFrame, key: str, order: list[str], window: float = 30.0, ratio: float = 0.5) -> DataFrame:
-    """Ordered segments without repeats and containments (M4, J2): a fold per key."""
-    kind = dict(segments.dtypes)[key]
+    """Ordered segments without repeats and containments.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", *order], kind="stable")
-        kept = kernels.dedupe_segments(zip(pdf["text"], pdf["start"], pdf["end"]), window, ratio)
-        return pd.DataFrame([(pdf[key].iloc[0], i, *s) for i, s in enumerate(kept)], columns=[key, "pos", "text", "start", "end"])
+    Rows arrive sorted and only the open segment of a key is held, so a key of any
+    length takes no more memory than a batch.
+    """
+    kind = dict(segments.dtypes)[key]
+    rows = segments.select(key, "text", "start", "end", *order)
+    rows = rows.repartition(key).sortWithinPartitions(key, "start", *order).select(key, "text", "start", "end")
 
-    return segments.select(key, "text", "start", "end", *order).groupBy(key).applyInPandas(fold, f"{key} {kind}, pos int, text string, start double, end double")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, last, pos, any_row = None, None, 0, False
+        for pdf in batches:
+            out = []
+            for k, text, start, end in pdf.itertuples(index=False):
+                if not any_row or k != own:
+                    if last is not None:
+                        out.append((own, pos, *last))
+                    own, last, pos, any_row = k, None, 0, True
+                before = last
+                last, closed = kernels.next_segment(last, (text, start, end), window, ratio)
+                if closed:
+                    out.append((own, pos, *before))
+                    pos += 1
+            yield pd.DataFrame(out, columns=[key, "pos", "text", "start", "end"])
+        if last is not None:
+            yield pd.DataFrame([(own, pos, *last)], columns=[key, "pos", "text", "start", "end"])
+
+    return rows.mapInPandas(fold, f"{key} {kind}, pos int, text string, start double, end double")
 
 
 def stamped_line() -> Column:
@@ -161,9 +180,9 @@ def overlay(results: DataFrame, processed: DataFrame, keys: list[str]) -> DataFr
 
 def chunk_context(results: DataFrame, key: list[str], order: str, most: int) -> DataFrame:
     """Add the context for each chunk: the last sentences of its predecessor in the
-    group, empty after a failure (W20)."""
+    group, without loops and repeated blocks, empty after a failure (W20, C8)."""
     from pyspark.sql import Window
 
     before = F.lag(F.when(F.col("success"), F.col("text"))).over(Window.partitionBy(*key).orderBy(order))
-    tail = F.pandas_udf(lambda s: s.map(lambda t: kernels.last_sentences(t, most) if t else ""), "string")
+    tail = F.pandas_udf(lambda s: s.map(lambda t: kernels.last_sentences(kernels.continuation(t), most) if t else ""), "string")
     return results.withColumn("_before", before).withColumn("context", F.when(F.col("_before").isNull(), F.lit("")).otherwise(tail("_before"))).drop("_before")
