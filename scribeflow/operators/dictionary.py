@@ -8,8 +8,9 @@ size is checked before it becomes a constant of an expression.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -87,15 +88,56 @@ def hints(rules: DataFrame) -> DataFrame:
     return out.select("lang", "category", line.alias("hint"), F.row_number().over(Window.partitionBy("lang").orderBy("first", "category")).alias("line_no"))
 
 
-def relevant(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def relevant(docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text", block: int = 50_000) -> DataFrame:
     """Contextual rules whose keywords occur in each text (J4, J10): (key, ord, pat_ord).
 
-    The small side is exploded by keyword and broadcast only under the size that
-    the session allows; Spark picks another join beyond it.
+    The keywords become one automaton, and a text is read once for all of them.  More
+    than ``block`` keywords are taken in blocks, each in a scan of its own: no join of
+    texts with keywords.
     """
-    words = rules.where("kind = 'contextual'").select("ord", "pat_ord", F.explode("context_keywords").alias("word")).distinct()
-    hit = docs.select(key, text).join(words, F.col(text).contains(F.col("word")))
-    return hit.select(key, "ord", "pat_ord").distinct()
+    words = rules.where("kind = 'contextual'").select("ord", "pat_ord", F.explode("context_keywords").alias("word")).where("word is not null").distinct()
+    kind = dict(docs.dtypes)[key]
+    rows, out = docs.select(key, text), None
+    for held in _blocks(words, block):
+        part = rows.mapInPandas(_keyword_scan(held, key, text), f"{key} {kind}, ord int, pat_ord int")
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+def _blocks(words: DataFrame, size: int) -> Iterator[list[tuple[int, int, str]]]:
+    """Keywords in blocks of bounded size; one empty block where there are none."""
+    held: list[tuple[int, int, str]] = []
+    some = False
+    for r in words.toLocalIterator():
+        held.append((r["ord"], r["pat_ord"], r["word"]))
+        if len(held) == size:
+            yield held
+            held, some = [], True
+    if held or not some:
+        yield held
+
+
+def _keyword_scan(words: Sequence[tuple[int, int, str]], key: str, text: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        own: dict[str, list[tuple[int, int]]] = {}
+        for o, p, w in words:
+            own.setdefault(w, []).append((o, p))
+        always = own.pop("", [])  # every text contains the empty word
+        found = ahocorasick.Automaton()
+        for w, at in own.items():
+            found.add_word(w, at)
+        found.make_automaton()
+        for pdf in batches:
+            out = []
+            for k, t in zip(pdf[key], pdf[text]):
+                if t is not None:
+                    hits = set(always).union(*(at for _, at in found.iter(t))) if own else set(always)
+                    out += [(k, o, p) for o, p in hits]
+            yield pd.DataFrame(out, columns=[key, "ord", "pat_ord"])
+
+    return run
 
 
 def flattened(entries: DataFrame) -> DataFrame:

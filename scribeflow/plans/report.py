@@ -13,13 +13,11 @@ def measured(docs: DataFrame) -> DataFrame:
     """A row per document; one scan, no shuffle, no Python."""
     tidy = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tidy", T.tidy(F.col("text")))
     lines = collapse_equal_lines(tidy, "tidy", "collapsed")
-    return lines.select(
-        "doc_id",
-        T.detect_language(F.col("collapsed")).alias("detected"),
-        F.length("text").alias("chars"),
-        F.length("collapsed").alias("kept"),
-        T.estimate_tokens(F.col("collapsed"), T.detect_language(F.col("collapsed"))).alias("tokens"),
-    )
+    kept = F.length("collapsed")
+    # The class is bound once: its patterns count over the whole text.
+    told = T.let(T.detect_language(F.col("collapsed")), lambda d: F.struct(d.alias("detected"), T.estimate_tokens(F.col("collapsed"), d).alias("tokens")))
+    rows = lines.select("doc_id", F.length("text").alias("chars"), kept.alias("kept"), told.alias("told"))
+    return rows.select("doc_id", "told.detected", "chars", "kept", "told.tokens")
 
 
 def language_report(docs: DataFrame) -> DataFrame:
