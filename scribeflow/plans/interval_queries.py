@@ -123,19 +123,46 @@ def wave_groups(spark, d):
     return rows.select("doc_id", "n", chunking.wave_sizes(F.col("n")).alias("sizes"), chunking.wave_concurrency(F.col("seconds"), F.ceil(F.col("n") / 5)).alias("concurrency"))
 
 
-@query("wave_places")
+_SIZES = "CASE WHEN n <= 5 OR floor(n / ceil(n / 5.0)) < 3 THEN [n] ELSE [floor(n / ceil(n / 5.0))::BIGINT + CASE WHEN i > ceil(n / 5.0) - n % ceil(n / 5.0) THEN 1 ELSE 0 END for i in generate_series(1, ceil(n / 5.0)::BIGINT)] END"
+
+
+@query(
+    "wave_places",
+    f"""SELECT conv_id, id, "group", (nth - coalesce(ends["group"], 0))::BIGINT AS place FROM (SELECT *, len([e for e in ends if e <= nth])::INT AS "group" FROM (SELECT conv_id, id, nth, [list_sum(sizes[1:i])::BIGINT for i in generate_series(1, len(sizes))] AS ends
+ FROM (SELECT conv_id, id, nth, {_SIZES} AS sizes FROM (SELECT conv_id, turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations))))""",
+)
 def wave_places(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("id"))
     return chunking.in_waves(rows, "conv_id")
 
 
-@query("adaptive_chunks")
+_CHUNKS = f"""f AS (SELECT file_id, frame, frame * 0.03::DOUBLE AS t, label, max(frame) OVER (PARTITION BY file_id) AS total, row_number() OVER (PARTITION BY file_id ORDER BY frame) AS k FROM {_FRAMES} WHERE TRUE),
+ known AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY frame) AS i FROM f WHERE label >= 0), last AS (SELECT file_id, max(i) AS n FROM known GROUP BY file_id),
+ st AS (SELECT file_id, 0::BIGINT AS i, NULL::DOUBLE AS start, 0::DOUBLE AS kept, 0::DOUBLE AS silent, 0::DOUBLE AS stop, 0 AS made, NULL::DOUBLE AS s, NULL::DOUBLE AS e, false AS o FROM last
+ UNION ALL SELECT file_id, i + 1, CASE WHEN cut THEN NULL ELSE own END, CASE WHEN cut AND own_end - own >= 0.1 THEN own_end - 0.1 ELSE kept END, quiet, own_end, made + CASE WHEN cut AND own_end - own >= 0.1 THEN 1 ELSE 0 END,
+  CASE WHEN cut AND own_end - own >= 0.1 THEN own END, own_end, own_end > kept + 0.1
+ FROM (SELECT *, frame = total OR own_end - own >= 0.5::DOUBLE + 0.2 OR (own_end - own >= 0.5::DOUBLE - 0.2 AND label <> 1 AND ((own_end - own >= 0.5 AND quiet >= 0.06) OR (own_end - own >= 0.5::DOUBLE + 0.1 AND quiet > 0.06::DOUBLE / 5))) AS cut
+  FROM (SELECT st.*, frame, total, label, CASE WHEN label = 1 THEN 0 ELSE silent + 0.03 END AS quiet, t + 0.03 AS own_end, coalesce(start, CASE WHEN frame = 0 THEN t ELSE kept END) AS own FROM st JOIN known ON known.file_id = st.file_id AND known.i = st.i + 1)))"""
+
+
+@query(
+    "adaptive_chunks",
+    f"""WITH RECURSIVE {_CHUNKS}, ended AS (SELECT file_id, made - 1 AS id, s, e, o FROM st WHERE s IS NOT NULL
+ UNION ALL SELECT file_id, made, start, stop, stop > kept + 0.1 FROM st JOIN last USING (file_id) WHERE st.i = n AND start IS NOT NULL AND stop - start >= 0.1)
+ SELECT file_id, id, round(s, 6) AS "startTime", round(e, 6) AS "endTime", o AS "hasOverlap", CASE WHEN o THEN 0.1 ELSE 0 END::DOUBLE AS "overlapDuration" FROM ended""",
+)
 def adaptive_chunks(spark, d):
     plan = config.ModelPlan("test", "whisper", 0.5, 0.1, 0.2, 0.06, 0.1, 1, 0, 0, 0.0)
     return _rounded(chunking.adaptive_chunks(_frames(spark, d), plan), "startTime", "endTime")
 
 
-@query("silence_snap")
+@query(
+    "silence_snap",
+    """WITH x AS (SELECT vec_id AS file_id, [v::DOUBLE * 0.05 for v in embedding || embedding || embedding || embedding] AS s FROM embeddings),
+ e AS (SELECT file_id, i, sqrt(list_sum([v * v for v in s[i + 1 : i + 10]]) / 10) AS energy FROM x, generate_series(50, least(len(s), 150) - 11) AS g(i)),
+ b AS (SELECT file_id, arg_min(i, (round(energy, 12), i)) AS first FROM e WHERE energy < 0.01 GROUP BY file_id)
+ SELECT file_id, 0 AS pos, 10.0::DOUBLE AS target, coalesce(first / 10.0::DOUBLE, 10.0) AS snapped FROM x LEFT JOIN b USING (file_id)""",
+)
 def silence_snap(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("file_id"), F.flatten(F.array_repeat(F.transform("embedding", lambda x: x.cast("double") * 0.05), 4)).alias("samples"))
     targets = rows.select("file_id", F.lit(0).alias("pos"), F.lit(10.0).alias("target"))
@@ -276,14 +303,23 @@ def segment_dedupe(spark, d):
     return _rounded(merging.dedupe_segments(rows, "user_id", ["event_id"]), "start", "end")
 
 
-@query("stamped_merge")
+@query(
+    "stamped_merge",
+    """SELECT conv_id AS doc_id, string_agg('[' || turn || ':00 → ' || turn || ':50] ' || trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')), chr(10) ORDER BY turn) AS text FROM conversations WHERE turn % 3 <> 2 GROUP BY conv_id""",
+)
 def stamped_merge(spark, d):
     segment = F.struct(F.col("text"), F.col("startTime").alias("start"), F.col("endTime").alias("end"))
     rows = _results(spark, d).withColumn("segments", F.array(segment))
     return merging.timed_merge(rows, "doc_id", stamped=True)
 
 
-@query("previous_context")
+@query(
+    "previous_context",
+    """WITH r AS (SELECT conv_id, turn, trim(lag(CASE WHEN turn % 3 <> 2 THEN text END) OVER (PARTITION BY conv_id ORDER BY turn), E' \\t\\n\\r') AS before FROM conversations),
+ p AS (SELECT *, [trim(x, E' \\t\\n\\r') for x in string_split(regexp_replace(before, '([。.!?！？\\n])', '\\1' || chr(1), 'g'), chr(1)) if trim(x, E' \\t\\n\\r') <> ''] AS parts FROM r),
+ k AS (SELECT *, coalesce(list_max([j for j in generate_series(1, len(parts)) if list_sum([length(x) for x in parts[len(parts) - j + 1 :]]) + j - 1 <= 120]), 0) AS n FROM p)
+ SELECT conv_id AS doc_id, turn::INT AS id, CASE WHEN before IS NULL OR before = '' THEN '' WHEN n > 0 THEN array_to_string(parts[len(parts) - n + 1 :], ' ') ELSE right(before, 120) END AS context FROM k""",
+)
 def previous_context(spark, d):
     return merging.chunk_context(_results(spark, d), ["doc_id"], "id", 120).select("doc_id", "id", "context")
 

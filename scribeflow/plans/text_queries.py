@@ -158,14 +158,19 @@ def line_runs(spark, d):
     return repeats.line_runs(table(spark, d, "documents"))
 
 
+_ENDED = "(SELECT doc_id, text || repeat(chr(10) || ' See you. ', (doc_id % 5)::INT) || CASE WHEN doc_id % 3 = 0 THEN chr(10) ELSE '' END AS text FROM documents)"
+
+
 @query(
     "tail_repeat",
-    f"""WITH l AS (SELECT doc_id, i, trim(line, E' \\t\\n\\r') AS t FROM {_LINES}), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS back FROM l WHERE t <> ''),
+    f"""WITH l AS (SELECT doc_id, i, trim(line, E' \\t\\n\\r') AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {_ENDED})), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS back FROM l WHERE t <> ''),
  last AS (SELECT doc_id, t AS line FROM k WHERE back = 1), stop AS (SELECT k.doc_id, min(back) AS b FROM k JOIN last USING (doc_id) WHERE t <> line GROUP BY k.doc_id), total AS (SELECT doc_id, count(*) AS c FROM k GROUP BY doc_id)
  SELECT doc_id, line, coalesce(b - 1, c)::BIGINT AS n FROM last JOIN total USING (doc_id) LEFT JOIN stop USING (doc_id) WHERE coalesce(b - 1, c) >= 2""",
 )
 def tail_repeat(spark, d):
-    return repeats.tail_run(table(spark, d, "documents"), least=2)
+    end = F.when(F.col("doc_id") % 3 == 0, "\n").otherwise("")
+    rows = table(spark, d, "documents").select("doc_id", F.concat("text", F.repeat(F.lit("\n See you. "), (F.col("doc_id") % 5).cast("int")), end).alias("text"))
+    return repeats.tail_run(rows, least=2)
 
 
 @query(
@@ -213,7 +218,11 @@ def stamped_tail_compress(spark, d):
     return repeats.compress_stamped_tail(spread(table(spark, d, "documents")).select("doc_id", "text"), config.TailRules()).select("doc_id", "collapsed")
 
 
-@query("folded_text")
+@query(
+    "folded_text",
+    r"""SELECT doc_id, regexp_replace(lower(text), '[\pP\pS\pZ\x{200B}-\x{200F}\s\x0b\x1c-\x1f\x85]', '', 'g') AS folded,
+ regexp_replace(lower(text), '[\s\x0b\x1c-\x1f\x85\pZ。、！？「」『』（）｛｝［］【】〈〉《》・…ー，．：；‐‑‒–—―−.,!?"''’‘“”(){}\[\]<>:;_-]', '', 'g') AS loose FROM documents""",
+)
 def folded_text(spark, d):
     rows = repeats.folded(spread(table(spark, d, "documents")).select("doc_id", "text"))
     return repeats.folded(rows, out="loose", loose=True).select("doc_id", "folded", "loose")
@@ -221,10 +230,12 @@ def folded_text(spark, d):
 
 @query(
     "ngram_set_size",
-    "SELECT doc_id, (SELECT count(DISTINCT substr(text, i, 5)) FROM generate_series(1, length(text) - 4) AS g(i)) AS grams FROM documents WHERE length(text) < 3000",
+    """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS x, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE length(text) > 0),
+ g AS (SELECT doc_id, x || lead(x, 1) OVER w || lead(x, 2) OVER w || lead(x, 3) OVER w || lead(x, 4) OVER w AS gram FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+ SELECT d.doc_id, count(DISTINCT gram) AS grams FROM documents d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id""",
 )
 def ngram_set_size(spark, d):
-    return table(spark, d, "documents").where(F.length("text") < 3000).select("doc_id", F.size(S.gram_set(F.col("text"), F.lit(5))).cast("long").alias("grams"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.size(S.gram_set(F.col("text"), F.lit(5))).cast("long").alias("grams"))
 
 
 @query(
@@ -243,6 +254,13 @@ def ngram_jaccard_pairs(spark, d):
 _BENCH = "(SELECT x.item_id AS a, y.item_id AS b, x.text AS s, y.text AS t FROM benchmark x JOIN benchmark y ON y.item_id = x.item_id + 1)"
 
 
+# DuckDB's distance counts bytes: the letters beyond ASCII that the texts have become
+# control characters of one byte, one for one.
+_LETTERS = "éÉßÇçäÄóÓèÈñÑíÍêÊüÜöÖáÁúÚàâô"
+_CONTROLS = [1, 2, 3, 4, 5, 6, 7, 8, 11, 12, *range(14, 32), 127]
+_SAME_BYTES = "(SELECT a, b, " + ", ".join("translate({0}, '{1}', concat({2})) AS {0}".format(c, _LETTERS, ", ".join(f"chr({k})" for k in _CONTROLS[: len(_LETTERS)])) for c in "st") + f" FROM {_BENCH})"
+
+
 def _bench_pairs(spark, d):
     rows = table(spark, d, "benchmark")
     # Neighbours by an equi join; no window over all rows.
@@ -250,11 +268,9 @@ def _bench_pairs(spark, d):
     return rows.select(F.col("item_id").alias("a"), F.col("text").alias("s")).join(after, "a")
 
 
-@query("levenshtein_similarity", f"SELECT a, b, round((greatest(length(s), length(t)) - levenshtein(s, t)) / greatest(length(s), length(t))::DOUBLE, 6) AS similarity FROM {_BENCH} WHERE regexp_full_match(s || t, '[\\x00-\\x7F]*')")
+@query("levenshtein_similarity", f"SELECT a, b, round((greatest(length(s), length(t)) - levenshtein(s, t)) / greatest(length(s), length(t))::DOUBLE, 6) AS similarity FROM {_SAME_BYTES}")
 def levenshtein_similarity(spark, d):
-    # DuckDB's distance counts bytes: the SQL holds for plain ASCII pairs.
-    pairs = _bench_pairs(spark, d).where(F.concat("s", "t").rlike("\\A\\p{ASCII}*\\z"))
-    return pairs.select("a", "b", F.round(S.edit_similarity(F.col("s"), F.col("t")), 6).alias("similarity"))
+    return _bench_pairs(spark, d).select("a", "b", F.round(S.edit_similarity(F.col("s"), F.col("t")), 6).alias("similarity"))
 
 
 @query(
@@ -277,37 +293,62 @@ def char_frequency_similarity(spark, d):
 
 @query(
     "rewrite_check",
-    f"SELECT a, b, ((greatest(length(s), length(t)) - levenshtein(s, t)) / greatest(length(s), length(t))::DOUBLE < 0.5) OR length(t) / length(s)::DOUBLE < 0.8 OR length(t) / length(s)::DOUBLE > 1.5 AS suspicious FROM {_BENCH} WHERE regexp_full_match(s || t, '[\\x00-\\x7F]*')",
+    f"SELECT a, b, ((greatest(length(s), length(t)) - levenshtein(s, t)) / greatest(length(s), length(t))::DOUBLE < 0.5) OR length(t) / length(s)::DOUBLE < 0.8 OR length(t) / length(s)::DOUBLE > 1.5 AS suspicious FROM {_SAME_BYTES}",
 )
 def rewrite_check(spark, d):
-    pairs = _bench_pairs(spark, d).where(F.concat("s", "t").rlike("\\A\\p{ASCII}*\\z"))
-    return pairs.select("a", "b", S.suspicious_rewrite(F.col("s"), F.col("t")).alias("suspicious"))
+    return _bench_pairs(spark, d).select("a", "b", S.suspicious_rewrite(F.col("s"), F.col("t")).alias("suspicious"))
 
 
-@query("shared_grams")
+@query(
+    "shared_grams",
+    """WITH c AS (SELECT item_id AS doc_id, string_split(text, '') AS c FROM benchmark), g AS (SELECT doc_id, i - 1 AS pos, array_to_string(c[i : i + 7], '') AS gram FROM c, generate_series(1, len(c) - 7) AS s(i)),
+ p AS (SELECT *, lag(pos) OVER (PARTITION BY doc_id, gram ORDER BY pos) AS before FROM g), q AS (SELECT * FROM p WHERE pos - before > 50),
+ m AS (SELECT *, CASE WHEN lag(before) OVER w IS NULL OR before - lag(before) OVER w > 50 THEN 1 ELSE 0 END AS fresh FROM q WINDOW w AS (PARTITION BY doc_id ORDER BY before, pos)),
+ k AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY before, pos) AS cluster FROM m)
+ SELECT doc_id, cluster::BIGINT AS cluster, min(before)::INT AS first, min(pos)::INT AS second, count(*) AS grams FROM k GROUP BY doc_id, cluster""",
+)
 def shared_grams(spark, d):
-    return similar.shared_grams(table(spark, d, "benchmark").withColumnRenamed("item_id", "doc_id"), "doc_id", 8)
+    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return similar.shared_grams(rows, "doc_id", 8)
 
 
-@query("candidate_regions")
+@query(
+    "candidate_regions",
+    """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS x, generate_subscripts(string_split(text, ''), 1) - 1 AS pos FROM documents WHERE length(text) > 0),
+ g AS (SELECT doc_id, pos, x || lead(x, 1) OVER w || lead(x, 2) OVER w || lead(x, 3) OVER w || lead(x, 4) OVER w AS gram FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+ h AS (SELECT doc_id, gram, min(pos) AS place FROM g WHERE pos <= 19 AND pos % 2 = 0 AND gram IS NOT NULL GROUP BY doc_id, gram), t AS (SELECT doc_id, count(*) AS total FROM h GROUP BY doc_id),
+ hits AS (SELECT doc_id, g.pos, h.place FROM g JOIN h USING (doc_id, gram) JOIN t USING (doc_id) WHERE g.pos >= 24 AND 1 >= greatest(1, total * 0.1)),
+ m AS (SELECT *, max(pos) OVER (PARTITION BY doc_id ORDER BY place, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM hits),
+ k AS (SELECT *, sum(CASE WHEN reach IS NULL OR pos - (reach + 48) > 24 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place, pos) AS rank FROM m)
+ SELECT doc_id, rank::INT AS rank, arg_min(pos, (place, pos))::INT AS position, (max(pos) + 48)::INT AS end_position, 1::BIGINT AS score FROM k WHERE rank <= 10 GROUP BY doc_id, rank""",
+)
 def candidate_regions(spark, d):
-    return similar.candidate_regions(spread(table(spark, d, "documents")).select("doc_id", "text"), "doc_id")
+    return similar.candidate_regions(spread(table(spark, d, "documents")).select("doc_id", "text"), "doc_id", size=24)
 
 
-@query("window_alignment")
+@query(
+    "window_alignment",
+    f"""WITH t AS (SELECT item_id, translate(text, '{_LETTERS}', concat({", ".join(f"chr({k})" for k in _CONTROLS[: len(_LETTERS)])})) AS text FROM benchmark),
+ w AS (SELECT item_id, regexp_split_to_array(text, '[ \n\t\r]+') AS words FROM t),
+ s AS (SELECT item_id, [x for x in string_split(regexp_replace(text, '([。.!?！？]+[ \n\t\r]*)', '\\1' || chr(16384), 'g'), chr(16384)) if trim(x, E' \t\n\r') <> ''] AS parts FROM t),
+ p AS (SELECT item_id, i - 1 AS pos, parts[i] AS seg, len(regexp_split_to_array(trim(parts[i]), ' +')) AS n FROM s, generate_series(1, len(parts)) AS g(i)),
+ c AS (SELECT item_id, pos, a, seg, array_to_string(words[a : a + n - 1], ' ') AS own FROM p JOIN w USING (item_id), generate_series(1, greatest(len(words) - n + 1, 1)) AS g(a)),
+ m AS (SELECT item_id, pos, a, CASE WHEN greatest(length(seg), length(own)) = 0 THEN 1 ELSE (greatest(length(seg), length(own)) - levenshtein(seg, own)) / greatest(length(seg), length(own))::DOUBLE END AS sim FROM c)
+ SELECT item_id, pos::INT AS pos, (arg_max(a, (sim, -a)) - 1)::INT AS start_word, round(max(sim), 6) AS similarity FROM m GROUP BY item_id, pos""",
+)
 def window_alignment(spark, d):
-    items = table(spark, d, "benchmark")
-    words = items.select("item_id", F.split("text", "\\s+").alias("words"))
-    segments = items.select("item_id", F.posexplode(F.slice(T.sentences(F.col("text")), 1, 2)).alias("pos", "text"))
+    items = spread(table(spark, d, "benchmark"))
+    words = items.select("item_id", F.split("text", "[ \\n\\t\\r]+").alias("words"))
+    segments = items.select("item_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "text"))
     return similar.window_alignment(segments, words, "item_id").withColumn("similarity", F.round("similarity", 6))
 
 
 @query(
     "kana_unify",
-    f"SELECT doc_id, translate(t, '{T.KATAKANA}', '{T.HIRAGANA}') AS folded FROM (SELECT doc_id, 'カタカナ ひらがな ヴァ ー' || substr(text, 1, 20) AS t FROM documents)",
+    f"SELECT doc_id, translate(t, '{T.KATAKANA}', '{T.HIRAGANA}') AS folded FROM (SELECT doc_id, 'カタカナ ひらがな ヴァ ー' || text AS t FROM documents)",
 )
 def kana_unify(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.unify_kana(F.concat(F.lit("カタカナ ひらがな ヴァ ー"), F.substring("text", 1, 20))).alias("folded"))
+    return table(spark, d, "documents").select("doc_id", T.unify_kana(F.concat(F.lit("カタカナ ひらがな ヴァ ー"), "text")).alias("folded"))
 
 
 @query("callout_note", "SELECT doc_id, '> [!note] Transcription' || chr(10) || '> ' || replace(text, chr(10), chr(10) || '> ') AS body, CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '...' ELSE text END AS preview FROM documents")
@@ -465,29 +506,74 @@ def text_windows(spark, d):
     return rows.withColumns({"startTime": F.round("startTime", 6), "endTime": F.round("endTime", 6)})
 
 
-@query("greedy_pack")
+def _packed(most: int) -> str:
+    """SQL of texts packed by lines, a state per text: the open segment, its counted
+    size, the rest of a line that is being cut, and what a step gives out."""
+    head, cut = f"substr(rest, 1, {most})", "length(regexp_extract({0}, '(?s)^.*{1}[ \\t\\n\\r\\x0B\\f]*'))"
+    ends = [cut.format(head, p) for p in ("[。！？]", "[.!?]", "[、,]")]
+    at = f"CASE WHEN {ends[0]} > 0 THEN {ends[0]} WHEN {ends[1]} > 0 THEN {ends[1]} WHEN {ends[2]} > 0 THEN {ends[2]} ELSE {most} END"
+    return f"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE length(text) + 1 > {most}),
+ last AS (SELECT doc_id, max(i) AS n FROM lines GROUP BY doc_id),
+ st AS (SELECT doc_id, 0 AS step, 0::BIGINT AS i, '' AS own, 0::BIGINT AS size, NULL::VARCHAR AS rest, NULL::VARCHAR AS out FROM last
+ UNION ALL SELECT doc_id, step + 1, CASE act WHEN 'cut' THEN i WHEN 'rest' THEN i WHEN 'end' THEN n + 1 ELSE i + 1 END,
+  CASE act WHEN 'add' THEN CASE WHEN own <> '' THEN own || chr(10) || line ELSE line END WHEN 'fresh' THEN line WHEN 'rest' THEN rest WHEN 'cut' THEN CASE WHEN after = '' THEN piece ELSE '' END ELSE '' END,
+  CASE act WHEN 'add' THEN size + length(line) + 1 WHEN 'fresh' THEN length(line) + 1 WHEN 'rest' THEN length(rest) WHEN 'cut' THEN CASE WHEN after = '' THEN length(piece) ELSE 0 END ELSE 0 END,
+  CASE act WHEN 'open' THEN line WHEN 'cut' THEN CASE WHEN after = '' THEN NULL ELSE after END END,
+  CASE WHEN act IN ('fresh', 'open', 'end') AND own <> '' THEN own WHEN act = 'cut' AND after <> '' THEN piece END
+ FROM (SELECT *, substr(rest, 1, cut) AS piece, trim(substr(rest, cut + 1), E' \\t\\n\\r\\x0b\\x0c') AS after FROM (SELECT st.*, n, line, CASE WHEN rest IS NOT NULL THEN CASE WHEN length(rest) > {most} THEN 'cut' ELSE 'rest' END WHEN st.i = n THEN 'end' WHEN size + length(line) + 1 <= {most} THEN 'add' WHEN length(line) + 1 > {most} THEN 'open' ELSE 'fresh' END AS act,
+  CASE WHEN rest IS NOT NULL THEN {at} END AS cut FROM st JOIN last USING (doc_id) LEFT JOIN lines ON lines.doc_id = st.doc_id AND lines.i = st.i + 1 WHERE st.i <= n))),
+ packed AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1)::INT AS pos, out AS segment FROM st WHERE out IS NOT NULL
+ UNION ALL SELECT doc_id, 0, text FROM documents WHERE NOT coalesce(length(text) + 1 > {most}, false))"""
+
+
+@query("greedy_pack", f"WITH RECURSIVE {_packed(1000)} SELECT doc_id, pos, segment FROM packed")
 def greedy_pack(spark, d):
-    return postprocess.segments(table(spark, d, "documents"), most=1000)
+    return postprocess.segments(spread(table(spark, d, "documents")), most=1000)
 
 
-@query("translation_chunks")
+def _pieces(tokens: int) -> str:
+    """SQL of pieces within a token budget: a row per cut place of each text."""
+    size = int(tokens * 2.5)
+    low = int(size * 0.7)
+    return f"""long AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE ceil(length(text) / 2.5::DOUBLE) > {tokens}),
+ st AS (SELECT doc_id, 0::BIGINT AS place, 0 AS nth, NULL::BIGINT AS until FROM long
+ UNION ALL SELECT doc_id, stop, nth + 1, stop FROM (SELECT doc_id, place, nth, n, CASE WHEN place + {size} >= n THEN n WHEN blank > {size} * 0.7 THEN place + blank + 2 WHEN mark IS NOT NULL THEN place + mark + length(regexp_extract(substr(piece, mark + 1), '^[ \\t\\n\\r]+')) ELSE place + {size} END AS stop
+  FROM (SELECT *, CASE WHEN contains(piece, chr(10) || chr(10)) THEN length(piece) - instr(reverse(piece), chr(10) || chr(10)) - 1 ELSE -1 END AS blank,
+   list_max([p for p in generate_series(1, {low + 1}) if regexp_full_match(substr(piece, p, 2), '(?s)[.!?。！？][ \\t\\n\\r]')]) AS mark
+   FROM (SELECT st.*, n, substr(text, place + 1, {size}) AS piece FROM st JOIN long USING (doc_id) WHERE place < n)))),
+ cuts AS (SELECT doc_id, nth - 1 AS nth, coalesce(lag(until) OVER (PARTITION BY doc_id ORDER BY nth), 0) AS start, until AS "end" FROM st WHERE until IS NOT NULL)"""
+
+
+@query(
+    "translation_chunks",
+    f"""WITH RECURSIVE {_pieces(1000)} SELECT doc_id, nth::INT AS index, trim(substr(text, start + 1, "end" - start), E' \\t\\n\\r') AS text, ceil(("end" - start) / 4.0)::INT AS tokens, start::INT AS start, "end"::INT AS "end" FROM cuts JOIN long USING (doc_id)
+ UNION ALL SELECT doc_id, 0, text, ceil(length(text) / 2.5::DOUBLE)::INT, 0, length(text)::INT FROM documents WHERE ceil(length(text) / 2.5::DOUBLE) <= 1000""",
+)
 def translation_chunks(spark, d):
-    return postprocess.token_chunks(table(spark, d, "documents"), 1000)
+    return postprocess.token_chunks(spread(table(spark, d, "documents")), 1000)
 
 
-@query("translation_metadata")
+@query(
+    "translation_metadata",
+    f"""WITH RECURSIVE {_pieces(2700)} SELECT doc_id, length(text)::INT AS total_length, ceil(length(text) / 2.5::DOUBLE)::BIGINT AS tokens, coalesce(k, 1) AS chunks, coalesce(k, 1) > 1 AS needs_chunking, 2700 AS optimal_chunk_size
+ FROM documents LEFT JOIN (SELECT doc_id, count(*) AS k FROM cuts GROUP BY doc_id) USING (doc_id)""",
+)
 def translation_metadata(spark, d):
-    return postprocess.translation_metadata(table(spark, d, "documents"))
+    return postprocess.translation_metadata(spread(table(spark, d, "documents")))
 
 
-@query("post_process", "SELECT doc_id, text, 1.0::DOUBLE AS confidence FROM documents WHERE length(text) < 2000")
+@query("post_process", f"WITH RECURSIVE {_packed(2000)} SELECT doc_id, string_agg('<' || segment || '>', '' ORDER BY pos) AS text, 1.0::DOUBLE AS confidence FROM packed GROUP BY doc_id")
 def post_process(spark, d):
-    return postprocess.post_process(table(spark, d, "documents").where(F.length("text") < 2000))
+    return postprocess.post_process(spread(table(spark, d, "documents")), lambda text, language: f"<{text}>", most=2000)
 
 
-@query("meta_info_parse")
+@query(
+    "meta_info_parse",
+    r"""WITH l AS (SELECT item_id, [trim(x, E' \t\r') for x in string_split(text, chr(10)) if trim(x, E' \t\r') <> ''] AS own FROM benchmark)
+ SELECT item_id, ['x', 'y', 'z'] AS keywords, '話者: A, B' || chr(10) || '議題: ' || array_to_string(own, chr(10)) || chr(10) || '日時: 2024-01-01' || chr(10) || 'more' || chr(10) || 'rest' AS context FROM l""",
+)
 def meta_info_parse(spark, d):
-    raw = F.concat(F.lit("Speakers: A, B\nTopic: "), F.substring("text", 1, 30), F.lit("\nKeywords: x, y、z\nrest\nDate: 2024-01-01\nmore"))
+    raw = F.concat(F.lit("Speakers: A, B\nTopic: "), "text", F.lit("\nKeywords: x, y、z\nrest\nDate: 2024-01-01\nmore"))
     return postprocess.meta_info(table(spark, d, "benchmark").select("item_id", raw.alias("rawContent"))).select("item_id", "keywords", "context")
 
 
@@ -510,18 +596,26 @@ def clean_audit(spark, d):
 @query(
     "leak_clean",
     r"""SELECT doc_id, CASE WHEN (n - length(c)) / n::DOUBLE > 0.5 THEN w ELSE c END AS cleaned FROM (SELECT doc_id, w, n, trim(CASE WHEN k / n::DOUBLE <= 0.1 THEN substr(w, k + 1) ELSE substr(w, 10) END, E' \t\n\r') AS c
- FROM (SELECT doc_id, w, length(w) AS n, CASE WHEN instr(w, chr(10)) > 0 THEN instr(w, chr(10)) - 1 ELSE length(w) END AS k FROM (SELECT doc_id, '<context>' || text AS w FROM documents WHERE NOT regexp_matches(text, '<|(?m)^Context|(?m)^Previous context|\n[ \t]*\n'))))""",
+ FROM (SELECT doc_id, w, length(w) AS n, CASE WHEN instr(w, chr(10)) > 0 THEN instr(w, chr(10)) - 1 ELSE length(w) END AS k FROM (SELECT doc_id, '<context>' || text AS w FROM documents)))""",
 )
 def leak_clean(spark, d):
     plan = config.cleaning_plan("gpt-4o-transcribe")
-    rows = table(spark, d, "documents").where(~F.col("text").rlike("<|(?m)^Context|(?m)^Previous context|\\n[ \\t]*\\n"))
+    rows = table(spark, d, "documents")
     return rows.select("doc_id", T.leak_cleaned(F.concat(F.lit("<context>"), "text"), plan).alias("cleaned"))
 
 
-@query("contamination_level", "SELECT page_id, CASE WHEN regexp_matches(html, '</?[\\pL\\pN_-]{1,16}[^>]*?>') THEN 'medium' ELSE 'low' END AS level FROM pages WHERE NOT regexp_matches(html, '(?i)(context|前の文脈|上文|이전 문맥|続き)\\s*[:：]')")
+_INSTRUCTED = " OR ".join("contains(h, '{}')".format(p.replace("'", "''")) for p in config.INSTRUCTIONS)
+
+
+@query(
+    "contamination_level",
+    f"""SELECT page_id, CASE WHEN score >= 4 THEN 'high' WHEN score >= 2 THEN 'medium' ELSE 'low' END AS level FROM (SELECT page_id, CASE WHEN regexp_matches(h, '</?[\\pL\\pN_-]{{1,16}}[^>]*?>') THEN 2 ELSE 0 END + CASE WHEN {_INSTRUCTED} THEN 3 ELSE 0 END
+ + CASE WHEN regexp_matches(h, '(?i)(context|前の文脈|上文|이전 문맥|続き)\\s*[:：]') THEN 1 ELSE 0 END AS score FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN html WHEN 1 THEN regexp_replace(html, '<[^>]*>', '', 'g') WHEN 2 THEN 'Context: ' || html ELSE '{config.INSTRUCTIONS[0].replace("'", "''")}' || html END AS h FROM pages))""",
+)
 def contamination_level(spark, d):
-    rows = table(spark, d, "pages").where(~F.col("html").rlike("(?i)(context|前の文脈|上文|이전 문맥|続き)\\s*[:：]"))
-    return rows.select("page_id", clean.contamination(F.col("html")).alias("level"))
+    k = F.col("page_id") % 4
+    h = F.when(k == 0, F.col("html")).when(k == 1, F.regexp_replace("html", "<[^>]*>", "")).when(k == 2, F.concat(F.lit("Context: "), "html")).otherwise(F.concat(F.lit(config.INSTRUCTIONS[0]), "html"))
+    return table(spark, d, "pages").select("page_id", clean.contamination(h).alias("level"))
 
 
 @query("conversation_labels", "SELECT conv_id, turn, string_agg(CASE WHEN (i - 1) % 2 = 0 THEN 'A: ' ELSE 'B: ' END || trim(line), chr(10) ORDER BY i) AS text FROM (SELECT conv_id, turn, line, row_number() OVER (PARTITION BY conv_id, turn ORDER BY j) AS i FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS j FROM conversations) WHERE trim(line) <> '') GROUP BY conv_id, turn")
