@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import posixpath
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -23,18 +23,25 @@ _scratch: list[tuple[SparkSession, str]] = []
 def scratch_root(spark: SparkSession) -> str:
     """The folder that the whole cluster shares, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a folder of this process is
-    made and installed as the checkpoint folder.
+    A path without a scheme is one of the cluster's default file system.  Where the
+    setting is absent, a local session gets a folder of this process, installed as
+    its checkpoint folder; on a cluster that is an error, as executors would not
+    share it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root if "://" in root or root.startswith("file:") else f"file://{os.path.abspath(root)}"
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return str(held.get()).replace("file:/", "file:///", 1) if "://" not in held.get() else held.get()
-    made = f"file://{tempfile.mkdtemp(prefix='scribeflow-')}"
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not root:
+        held = context._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            root = held.get()
+        elif context.master.split("[")[0] == "local":
+            root = f"file://{tempfile.mkdtemp(prefix='scribeflow-')}"
+            context.setCheckpointDir(root)
+        else:
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+    path = context._jvm.org.apache.hadoop.fs.Path(root)
+    made = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file:///" + made[5:].lstrip("/") if made.startswith("file:") else made
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -69,7 +76,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a URI, as seen from an executor."""
+    """File system and path of a qualified URI, as seen from an executor."""
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     return pafs.FileSystem.from_uri(uri)
@@ -78,14 +85,33 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 def write_once(uri: str, data: bytes | memoryview) -> None:
     """Write a file under a temporary name and move it into place.
 
-    A task that runs twice writes the same bytes, so the last move is harmless.
+    The name follows from the part, so a task that runs twice writes the same bytes
+    to the same place.  Temporary names of lost tasks are swept with their folder.
     """
     fs, path = open_fs(uri)
-    fs.create_dir(os.path.dirname(path), recursive=True)
+    fs.create_dir(posixpath.dirname(path), recursive=True)
     held = f"{path}.{uuid.uuid4().hex}.tmp"
     with fs.open_output_stream(held) as out:
         out.write(data)
-    fs.move(held, path)
+    put(fs, held, path)
+
+
+def put(fs: pafs.FileSystem, held: str, path: str) -> None:
+    """Move a finished file into place; where an earlier attempt has put it, that one stays."""
+    try:
+        fs.move(held, path)
+    except OSError:
+        if fs.get_file_info(path).type != pafs.FileType.File:
+            raise
+        fs.delete_file(held)
+
+
+def drop_temporary(uri: str) -> None:
+    """Delete what lost or doubled tasks have left under temporary names in a folder."""
+    fs, path = open_fs(uri)
+    for info in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)):
+        if info.path.endswith(".tmp"):
+            fs.delete_file(info.path)
 
 
 def read_whole(uri: str) -> bytes:
@@ -128,10 +154,13 @@ def connected_components(links: DataFrame, name: str = "components", max_rounds:
 
     ``links`` has long columns a and b.  Alternates the large-star and small-star
     steps, each a grouped minimum plus a join on the node, until no link changes.
-    Every round is written to the shared folder, so a lost executor costs one
-    round at most, and nothing of the graph reaches the driver but one number.
+    The minima are written before the join, so that both its sides are plain
+    shuffles and Spark deals a node with very many links to several tasks.  Every
+    step is written to the shared folder, so a lost executor costs one step at most,
+    and nothing of the graph reaches the driver but one number.  Raises
+    ``RuntimeError`` after ``max_rounds`` (the rounds grow with the logarithm of the
+    longest path).
     """
-    spark = links.sparkSession
     # Both orders are kept implicit: (u, v) with u > v.
     edges = written(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(),
@@ -140,10 +169,10 @@ def connected_components(links: DataFrame, name: str = "components", max_rounds:
     before = None
     for turn in range(1, max_rounds + 1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-low-{turn}")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large.distinct(), f"{name}-large-{turn}")
+        down = written(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-down-{turn}")
         small = (
             large.join(down, "u")
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
