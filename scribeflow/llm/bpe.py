@@ -99,7 +99,13 @@ class PairIndexCodec:
         self.from_symbol = {s: b for b, s in enumerate(symbols)}
         # Only the normaliser and the splitter of the library serve rare characters.
         self.library = Tokenizer.from_file(path)
-        self.words: dict[str | bytes, tuple[int, ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty the cache: the place of each word met, and the runs of their ids."""
+        self.words: dict[str | bytes | int, int] = {}
+        self.word_lengths = np.zeros(0, np.int64)
+        self.word_ids = np.zeros(0, np.int32)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of symbols, -1 where no merge exists."""
@@ -108,8 +114,8 @@ class PairIndexCodec:
         at[at == len(self.pair_keys)] = 0
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
 
-    def merge_block(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """Merge all words of a block together by ascending rank."""
+    def merge_block(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Merge all words of a block together by ascending rank: lengths, and ids end to end."""
         data = np.frombuffer(b"".join(words), np.uint8)
         n = len(data)
         ends = np.cumsum([len(w) for w in words])
@@ -165,9 +171,7 @@ class PairIndexCodec:
             side = np.concatenate([ahead, places])
             add(side, self._ranks(symbol[side], symbol[np.concatenate([places, beyond])]))
         alive = symbol[:n] >= 0
-        ids = symbol[:n][alive].tolist()
-        stops = np.cumsum(alive)[ends - 1].tolist()
-        return [tuple(ids[s:e]) for s, e in zip([0, *stops[:-1]], stops)]
+        return np.diff(np.cumsum(alive)[ends - 1], prepend=0), symbol[:n][alive]
 
     def _odd_chunk(self, chunk: str) -> list[bytes | int]:
         """Words and special ids of a run with special tokens or rare characters."""
@@ -182,17 +186,24 @@ class PairIndexCodec:
 
     def _word_ids(self, words: list[str | bytes | int]) -> tuple[np.ndarray, np.ndarray]:
         """Lengths and ids, end to end, of distinct words; merges those not yet known."""
-        known = self.words
-        new = [w for w in words if w not in known and not isinstance(w, int)]
-        if len(known) + len(new) > self.cache_entries:
-            known.clear()
-            new = [w for w in words if not isinstance(w, int)]
-        for at in range(0, len(new), BLOCK_WORDS):
-            block = new[at : at + BLOCK_WORDS]
-            known.update(zip(block, self.merge_block([w if isinstance(w, bytes) else w.encode() for w in block])))
-        found = [(w,) if isinstance(w, int) else known[w] for w in words]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return lengths, np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))
+        new = [w for w in words if w not in self.words]
+        if len(self.words) + len(new) > self.cache_entries:
+            self._forget()
+            new = words
+        lengths, ids = [self.word_lengths], [self.word_ids]
+        asked = [w for w in new if not isinstance(w, int)]
+        for at in range(0, len(asked), BLOCK_WORDS):
+            n, own = self.merge_block([w if isinstance(w, bytes) else w.encode() for w in asked[at : at + BLOCK_WORDS]])
+            lengths.append(n)
+            ids.append(own)
+        special = dict.fromkeys(w for w in new if isinstance(w, int))
+        if new:
+            first = len(self.words)
+            self.words.update(zip(chain(asked, special), range(first, first + len(asked) + len(special))))
+            self.word_lengths = np.concatenate([*lengths, np.ones(len(special), np.int64)])
+            self.word_ids = np.concatenate([*ids, np.fromiter(special, np.int32, len(special))])
+        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        return self.word_lengths[at], gather(np.ones(len(at), np.int64), at, self.word_lengths, self.word_ids)[1]
 
     def _chunk_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Lengths and ids, end to end, of distinct runs without white space."""

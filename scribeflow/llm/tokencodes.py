@@ -8,29 +8,30 @@ its position with one look per level, without decoding a block.
 
 One file holds the documents of one range of ``doc_id`` in ascending order, with
 an index of document ids and local starts.  A manifest table names the files that
-committed and their token counts; global starts come from its prefix sums, which
-has one row per file.
+committed and their token counts; global starts come from its prefix sums, taken
+in Spark.  A file's name follows from its part, so that a task that runs again
+writes the same file.
 
 Defined cases: null text counts as empty; an empty text has the end id only;
-documents with equal or null ``doc_id`` are ordered by text, nulls first; an empty
-table writes no file and reads back as no row; other columns are ignored.
+documents with null ``doc_id`` come first; those with equal or null ``doc_id`` are
+ordered by a hash of their text, equal ones as read; an empty table writes no
+file and reads back as no row; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import PairIndexCodec
+from .bpe import WORD_END, PairIndexCodec
 from .common import read_whole, scratch_path, slices, write_once
 
 MAGIC = b"DACT0001"
@@ -38,6 +39,10 @@ CHUNK_BITS = 8
 RANK_BLOCK = 512
 #: Bytes of text that a file covers, about.
 FILE_BYTES = 16 << 20
+#: Files whose token counts are summed together before the sums over groups.
+GROUP_FILES = 4096
+#: Distinct words remembered by one worker, and words of one question to the library.
+CACHE_WORDS, ASKED_WORDS = 500_000, 4_000
 
 
 class AddressableIds:
@@ -134,24 +139,32 @@ def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, Addres
 class LibraryEncoder(PairIndexCodec):
     """The tokenizers library, asked once for each distinct word of a block.
 
-    Words are split as for pair merging; a text has the ids of its words, end to end.
-    Asking costs more than merging, so more words are remembered.
+    Words are split as for pair merging, and some thousands are put to the library
+    as one text; the ids of a word end at the token that carries the mark of a word's
+    end.  A text has the ids of its words, end to end.
     """
 
-    cache_entries = 600_000
+    cache_entries = CACHE_WORDS
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         super().__init__(path)
         self.library.no_truncation()
         self.library.no_padding()
-
-    def merge_block(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        out: list[tuple[int, ...]] = []
-        for at in range(0, len(words), 10_000):
-            block = [w.decode() for w in words[at : at + 10_000]]
-            out += [tuple(e.ids) for e in self.library.encode_batch_fast(block, add_special_tokens=False)]
-        return out
+        self.closes = np.zeros(len(self.token_strings), bool)
+        self.closes[[i for i, s in self.tokens.items() if s.endswith(WORD_END)]] = True
+
+    def merge_block(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        lengths, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for at in range(0, len(words), ASKED_WORDS):
+            block = b" ".join(words[at : at + ASKED_WORDS]).decode()
+            own = np.array(self.library.encode_batch_fast([block], add_special_tokens=False)[0].ids, np.int32)
+            stops = np.flatnonzero(self.closes[own]) + 1
+            if len(stops) != len(words[at : at + ASKED_WORDS]):
+                raise ValueError("the library splits words further than the reader of texts")
+            lengths.append(np.diff(stops, prepend=0))
+            ids.append(own)
+        return np.concatenate(lengths), np.concatenate(ids)
 
 
 @lru_cache(maxsize=2)
@@ -163,16 +176,30 @@ def _with_end(counts: np.ndarray, ids: np.ndarray, end_id: int) -> tuple[np.ndar
     return counts + 1, np.insert(ids, np.cumsum(counts), end_id)
 
 
+def with_starts(files: DataFrame) -> DataFrame:
+    """Add the tokens before each file: prefix sums within groups of files, then over the groups."""
+    files = files.withColumn("_group", F.floor(F.col("part") / GROUP_FILES))
+    inner = Window.partitionBy("_group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    groups = files.groupBy("_group").agg(F.sum("n_tokens").alias("_sum"))
+    # One row per thousands of files: the only step that takes them in one task.
+    outer = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("_group", F.coalesce(F.sum("_sum").over(outer), F.lit(0)).alias("_before"))
+    out = files.withColumn("start", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).join(groups, "_group")
+    return out.withColumn("start", (F.col("start") + F.col("_before")).cast("long")).drop("_group", "_before")
+
+
 def write_tokens(df: DataFrame, path: str, folder: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write token files in ascending document order; returns the manifest.
 
     The manifest (file, part, n_docs, n_tokens, start) is a table in ``folder``.
+    Rows of one ``doc_id`` (or none) are dealt by a hash of their text and their place
+    as well, so that no range has more than its share however often an id repeats.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(total // FILE_BYTES) + 1
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumns({"_hash": F.xxhash64("text"), "_at": F.monotonically_increasing_id()})
+    order = ["doc_id", "_hash", "_at"]
+    ordered = rows.repartitionByRange(int(total // FILE_BYTES) + 1, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
@@ -186,7 +213,7 @@ def write_tokens(df: DataFrame, path: str, folder: str, end_id: int = 1, id_col:
             ids.append(i.astype(np.uint32))
         if docs:
             part = TaskContext.get().partitionId()
-            name = f"{folder}/tokens-{part:06d}-{uuid.uuid4().hex[:8]}.dac"
+            name = f"{folder}/tokens-{part:07d}.dac"
             counts = np.concatenate(counts)
             write_once(name, pack_file(np.concatenate(docs), np.concatenate(known), counts, np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays(
@@ -194,16 +221,11 @@ def write_tokens(df: DataFrame, path: str, folder: str, end_id: int = 1, id_col:
                 names=["file", "part", "n_docs", "n_tokens"],
             )
 
-    made = ordered.mapInArrow(run, "file string, part int, n_docs long, n_tokens long")
-    made.write.parquet(f"{folder}/files")
-    files = sorted(spark.read.parquet(f"{folder}/files").collect(), key=lambda r: r["part"])
-    start, listed = 0, []
-    for r in files:
-        listed.append((r["file"], r["part"], r["n_docs"], r["n_tokens"], start))
-        start += r["n_tokens"]
-    manifest = spark.createDataFrame(listed, "file string, part int, n_docs long, n_tokens long, start long")
-    manifest.coalesce(1).write.parquet(f"{folder}/manifest")
-    return manifest
+    files = ordered.select("doc_id", "text").mapInArrow(run, "file string, part int, n_docs long, n_tokens long")
+    files.write.parquet(f"{folder}/files")
+    spark = df.sparkSession
+    with_starts(spark.read.schema(files.schema).parquet(f"{folder}/files")).write.parquet(f"{folder}/manifest")
+    return spark.read.parquet(f"{folder}/manifest")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:

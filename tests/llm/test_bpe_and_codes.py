@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 tokenizers = pytest.importorskip("tokenizers")
 
@@ -93,16 +94,16 @@ def test_addressable_ids_random_access():
 
 def test_token_files(spark, library, monkeypatch):
     monkeypatch.setattr(tokencodes, "FILE_BYTES", 4000)
+    monkeypatch.setattr(tokencodes, "GROUP_FILES", 3)
     rows = [(i * 3 % 31, t) for i, t in enumerate(ODD + _random_texts(60))] + [(None, "lost"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 as start")
     folder = tokencodes.scratch_path(spark, "t")
     manifest = tokencodes.write_tokens(df, word_vocabulary(), folder)
     assert manifest.count() > 1
     out = sorted(tokencodes.read_tokens(manifest).collect(), key=lambda r: r.start)
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    order = [(r.doc_id, library.encode(r.text or "", add_special_tokens=False).ids + [1]) for r in df.orderBy("doc_id", F.xxhash64("text")).collect()]
     start, stream = 0, []
-    for r, (i, t) in zip(out, order, strict=True):
-        ids = library.encode(t or "", add_special_tokens=False).ids + [1]
+    for r, (i, ids) in zip(out, order, strict=True):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
         stream += ids
@@ -110,3 +111,14 @@ def test_token_files(spark, library, monkeypatch):
         assert tokencodes.token_at(manifest, k) == stream[k]
     with pytest.raises(IndexError):
         tokencodes.token_at(manifest, start)
+
+
+def test_many_rows_of_one_id_spread_over_files(spark, monkeypatch):
+    monkeypatch.setattr(tokencodes, "FILE_BYTES", 800)
+    df = spark.createDataFrame([(None, "same words here")] * 300 + [(7, f"text {i}") for i in range(300)], "doc_id long, text string")
+    manifest = tokencodes.write_tokens(df, word_vocabulary(), tokencodes.scratch_path(spark, "t"))
+    sizes = [r.n_docs for r in manifest.collect()]
+    assert sum(sizes) == 600 and max(sizes) < 120
+    out = sorted(tokencodes.read_tokens(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in out] == [None] * 300 + [7] * 300
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(out, out[1:]))
