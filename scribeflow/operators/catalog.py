@@ -22,6 +22,11 @@ def search_files(files: DataFrame, query: str, limit: int | None = None, cols: S
     return out.limit(limit) if limit else out
 
 
+def notes_of(files: DataFrame, stamp: str, column: str = "transcription_timestamp", extension: str = "extension") -> DataFrame:
+    """Notes whose front matter holds a time stamp."""
+    return files.where((F.lower(extension) == "md") & F.col(column).contains(stamp))
+
+
 def sort_files(files: DataFrame, by: str, ascending: bool = False, tie: str = "path") -> DataFrame:
     """Times from new to old and names from A to Z; ``ascending`` turns both around (O2)."""
     times = by in ("ctime", "mtime")

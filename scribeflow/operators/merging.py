@@ -186,3 +186,23 @@ def chunk_context(results: DataFrame, key: list[str], order: str, most: int) ->
     before = F.lag(F.when(F.col("success"), F.col("text"))).over(Window.partitionBy(*key).orderBy(order))
     tail = F.pandas_udf(lambda s: s.map(lambda t: kernels.last_sentences(kernels.continuation(t), most) if t else ""), "string")
     return results.withColumn("_before", before).withColumn("context", F.when(F.col("_before").isNull(), F.lit("")).otherwise(tail("_before"))).drop("_before")
+
+
+def seam_overlaps(pairs: DataFrame, keys: list[str], least: int = 20, similarity: float = 0.8) -> DataFrame:
+    """Fuzzy and exact overlap of two neighbouring texts.
+
+    ``pairs`` has ``previous`` and ``current``; a row per pair, null where none is found.
+    """
+    fuzzy = "struct<previous_start:int,current_start:int,length:int,similarity:double>"
+    exact = "struct<length:int,previous_start:int,current_start:int>"
+
+    @F.pandas_udf(f"fuzzy {fuzzy}, exact {exact}")
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y in zip(a, b):
+            near = kernels.fuzzy_overlap(x or "", y or "", least, similarity)
+            same = kernels.exact_duplicate(x or "", y or "")
+            out.append((dict(zip(("previous_start", "current_start", "length", "similarity"), near)) if near else None, dict(zip(("length", "previous_start", "current_start"), same)) if same else None))
+        return pd.DataFrame(out, columns=["fuzzy", "exact"])
+
+    return pairs.withColumn("_seam", run("previous", "current")).select(*keys, F.col("_seam.fuzzy").alias("fuzzy"), F.col("_seam.exact").alias("exact"))

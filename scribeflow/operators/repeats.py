@@ -78,7 +78,7 @@ def compress_paragraphs(df: DataFrame, plan: CleaningPlan, text: str = "text", o
 
 
 def compress_blocks(df: DataFrame, plan: CleaningPlan, text: str = "text", out: str = "collapsed", language: str = "auto") -> DataFrame:
-    gate = F.length(text) >= 2 * plan.block_chars
+    gate = (F.length(text) >= 2 * plan.block_chars) | F.col(text).contains("\r")
     return routed(df, text, out, gate, lambda t: kernels.compress_blocks(t, language, plan.block_chars, plan.block_sentences)[0])
 
 
@@ -95,3 +95,20 @@ def compress_stamped_tail(df: DataFrame, rules: TailRules, text: str = "text", o
 def folded(df: DataFrame, text: str = "text", out: str = "folded", loose: bool = False) -> DataFrame:
     """Text for comparison: compatibility forms, case, kana, marks (F1, F2)."""
     return df.withColumn(out, arrow_text(kernels.loose if loose else kernels.strict)(text))
+
+
+def folded_places(df: DataFrame, text: str = "text", out: str = "places") -> DataFrame:
+    """The place in the text of each character of its strict fold."""
+    places = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else kernels.indexed(t, kernels._STRICT)[1]).astype(object), "array<long>")
+    return df.withColumn(out, places(text))
+
+
+def reduce_short_kana(df: DataFrame, plan: CleaningPlan, text: str = "text", out: str = "reduced", strict_reference: bool = True) -> DataFrame:
+    """Short kana words that occur too often."""
+    fold = lambda t: kernels.reduce_short_kana(t, len(t), plan, strict_reference)
+    return routed(df, text, out, F.col(text).rlike("[あ-んア-ン]"), fold)
+
+
+def without_duplicates(df: DataFrame, least: int, similarity: float, reach: int = 1000, text: str = "text", out: str = "collapsed") -> DataFrame:
+    """Later repeats of passages within reach removed."""
+    return routed(df, text, out, F.length(text) >= 2 * least, lambda t: kernels.duplicate_spans(t, least, similarity, reach))
