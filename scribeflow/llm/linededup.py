@@ -1,13 +1,16 @@
 """Line deduplication by a sharded minimal perfect hash.
 
-Every document gives the 128-bit hashes of its distinct line keys.  A grouped
-count with partial aggregation keeps the hashes found in two documents or more,
-with their smallest document.  These go to shards by the top bits of the hash;
-each shard task builds a minimal perfect hash (levels of bit arrays) and writes
-it with three arrays: fingerprint, count and first document.  Documents then
-probe the arrays: a task gathers the hashes of a block of documents, visits the
-shards it needs one after another and holds one shard at a time.  No line is
-joined, and no text leaves its task.
+Every document gives the 128-bit hashes of its distinct line keys, written once.  A
+grouped count with partial aggregation keeps the hashes found in two documents or
+more, with their smallest document.  These go to shards by the top bits of the
+hash; each shard task builds a minimal perfect hash (levels of bit arrays) and
+writes it with three arrays: fingerprint, count and first document.  The hashes of
+the documents (24 bytes a line, no text) are then dealt in order of the shards and
+probe the arrays: a task holds one shard at a time and reads each of its shards
+once.  A hash that very many documents have is dealt to several tasks, as order
+within a shard is by document.  The marks of lines that go are joined to the
+documents by ``doc_id``.  What is read of the index grows with the lines, not with
+lines times shards.
 
 A hash in one document only never loses a line, so it need not be indexed; the
 fingerprint (64 further bits) tells it from the indexed ones.
@@ -16,20 +19,20 @@ Defined cases: null or empty text is one empty line; short keys never match; a
 repeated line in one document only stays; rows with null ``doc_id`` are not
 counted and lose no line; rows that share a ``doc_id`` count as one document and
 each keeps or loses lines alike; an empty table gives an empty result; other
-columns pass through.
+columns pass through, but for those with the names of the three that are added,
+which are replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +41,8 @@ from .common import SPACE_BYTES, read_whole, scratch_path, slices, write_once, w
 MIN_KEY_CHARS = 10
 #: Keys per shard: a shard of so many takes about 6 MB while it is probed.
 SHARD_KEYS = 1 << 18
-#: Text bytes of a block of documents whose hashes are probed together.
-PROBE_BYTES = 32 << 20
+#: Line hashes that one task probes, about: 24 bytes each.
+PROBE_LINES = 1 << 20
 MIX = 0x9E3779B97F4A7C15
 
 
@@ -157,9 +160,8 @@ def _hashes(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([digest(k) for k in keys]), "<u8").reshape(-1, 2)
 
 
-def build_index(df: DataFrame, folder: str, id_col: str, text_col: str, min_chars: int, shard_keys: int) -> tuple[int, list[str | None]]:
-    """Write the shards; returns the number of shard bits and the file of each shard."""
-    spark = df.sparkSession
+def line_hashes(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """(h, f, doc): the hash of each distinct long enough line key of each row."""
 
     def keys(batches: Iterator[pa.RecordBatch]):
         for b in slices(batches, text_col, 8 << 20):
@@ -173,12 +175,23 @@ def build_index(df: DataFrame, folder: str, id_col: str, text_col: str, min_char
             h = _hashes(found).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(docs, pa.int64())], names=["h", "f", "doc"])
 
-    lines = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias(text_col)).mapInArrow(keys, "h long, f long, doc long")
+    return df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias(text_col)).mapInArrow(keys, "h long, f long, doc long")
+
+
+def _shard(bits: int) -> Column:
+    return F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
+
+
+def shard_file(folder: str, shard: int) -> str:
+    return f"{folder}/shard-{shard:010d}.mph"
+
+
+def build_index(lines: DataFrame, folder: str, shard_keys: int) -> tuple[int, DataFrame]:
+    """Write the shards; returns the number of shard bits and a row (shard) for each."""
     grouped = lines.groupBy("h", "f").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"))
     # Rows that share a doc_id are one document.
-    shared = written(grouped.where("n > 1 and first <> last").drop("last"), "lines")
-    total = shared.count()
-    bits = max(0, int(total // shard_keys).bit_length())
+    shared = written(grouped.where("n > 1 and first <> last").drop("last"), "lines-shared")
+    bits = max(0, int(shared.count() // shard_keys).bit_length())
 
     def build(batches: Iterator[pa.RecordBatch]):
         parts: dict[int, list[tuple[np.ndarray, ...]]] = {}
@@ -188,17 +201,42 @@ def build_index(df: DataFrame, folder: str, id_col: str, text_col: str, min_char
                 parts.setdefault(s, []).append(tuple(c[cols[4] == s] for c in cols[:4]))
         for s, held in parts.items():
             h, f, n, first = (np.concatenate(x) for x in zip(*held))
-            name = f"{folder}/shard-{s:08d}-{uuid.uuid4().hex[:8]}.mph"
-            write_once(name, _shard_bytes(h.view(np.uint64), f.view(np.uint64), n, first))
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([name])], names=["shard", "file"])
+            write_once(shard_file(folder, s), _shard_bytes(h.view(np.uint64), f.view(np.uint64), n, first))
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64())], names=["shard"])
 
-    shard = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
-    dealt = shared.withColumn("shard", shard).repartition(1 << bits, "shard").select("h", "f", "n", "first", "shard")
-    made = written(dealt.mapInArrow(build, "shard long, file string"), "shards")
-    names: list[str | None] = [None] * (1 << bits)
-    for r in made.collect():  # one row per shard
-        names[r["shard"]] = r["file"]
-    return bits, names
+    dealt = shared.withColumn("shard", _shard(bits)).repartition(1 << bits, "shard").select("h", "f", "n", "first", "shard")
+    return bits, written(dealt.mapInArrow(build, "shard long"), "shards")
+
+
+def probe(lines: DataFrame, folder: str, bits: int) -> DataFrame:
+    """(doc, h) of the lines that go: indexed, and first in another document."""
+    parts = int(lines.count() // PROBE_LINES) + 1
+    asked = lines.withColumn("shard", _shard(bits))
+    asked = asked.repartitionByRange(parts, "shard", F.xxhash64("doc", "h")).sortWithinPartitions("shard")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        held: tuple[int, Shard | None] = (-1, None)
+        for b in batches:
+            h, f, doc, shard = (b.column(i).to_numpy() for i in range(4))
+            gone = np.zeros(len(h), bool)
+            for part in np.split(np.arange(len(h)), np.flatnonzero(np.diff(shard)) + 1) if len(h) else ():
+                s = int(shard[part[0]])
+                if s != held[0]:
+                    held = (s, load_shard(shard_file(folder, s)))  # one shard at a time
+                if held[1] is not None:
+                    n, first = held[1].probe(h[part].view(np.uint64), f[part].view(np.uint64))
+                    gone[part] = (n > 1) & (first != doc[part])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[gone]), pa.array(h[gone])], names=["doc", "h"])
+
+    return asked.select("h", "f", "doc", "shard").mapInArrow(run, "doc long, h long")
+
+
+def load_shard(uri: str) -> Shard | None:
+    """A shard, or None where no shared line falls into it."""
+    try:
+        return Shard(read_whole(uri))
+    except FileNotFoundError:
+        return None
 
 
 def dedup_lines(
@@ -216,50 +254,33 @@ def dedup_lines(
     """
     spark = df.sparkSession
     folder = scratch_path(spark, "line-index")
-    bits, names = build_index(df, folder, id_col, text_col, min_chars, shard_keys)
+    lines = written(line_hashes(df, id_col, text_col, min_chars), "line-hashes")
+    bits, _ = build_index(lines, folder, shard_keys)
+    # A document has no more marks than lines.
+    marks = written(probe(lines, folder, bits).groupBy("doc").agg(F.collect_list("h").alias("marks")), "line-marks")
     df = df.drop(*columns)
     schema = T.StructType([*df.schema.fields, T.StructField(columns[0], T.StringType()), T.StructField(columns[1], T.LongType()), T.StructField(columns[2], T.LongType())])
+    # Rows without doc_id are dealt by their text: they find no mark.
+    key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), key.alias("key"), F.col(id_col).isNotNull().alias("known"))
+    joined = rows.join(marks, (F.col("key") == F.col("doc")) & F.col("known"), "left").select("row.*", F.col("marks").alias("scribeflow:marks"))
+    at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        held: dict[int, Shard] = {}
-        for b in slices(batches, text_col, PROBE_BYTES):
-            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-            docs = b.column(b.schema.get_field_index(id_col)).cast(pa.int64()).to_pylist()
-            at, row, keys = [], [], []
-            counts = []
-            for i, text in enumerate(texts):
-                lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
-                counts.append(len(lines))
-                if docs[i] is not None:
-                    for j, x in enumerate(lines):
-                        k = line_key(x)
-                        if _long_enough(k, min_chars):
-                            at.append(j)
-                            row.append(i)
-                            keys.append(k)
-            h = _hashes(keys)
-            owner = np.array(docs, dtype=object)[row].astype(np.int64) if row else np.zeros(0, np.int64)
-            drop = np.zeros(len(keys), bool)
-            shard = (h[:, 0] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-            order = np.argsort(shard, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                if not len(part) or names[s := int(shard[part[0]])] is None:
-                    continue
-                if s not in held:
-                    held = {s: Shard(read_whole(names[s]))}  # one shard at a time
-                n, first = held[s].probe(h[part, 0], h[part, 1])
-                drop[part] = (n > 1) & (first != owner[part])
-            gone: dict[int, set[int]] = {}
-            for k in np.flatnonzero(drop).tolist():
-                gone.setdefault(row[k], set()).add(at[k])
-            kept = [t if i not in gone else "\n".join([x for j, x in enumerate(t.split("\n")) if j not in gone[i]]) for i, t in enumerate(texts)]
-            dropped = [len(gone.get(i, ())) for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([k or "" for k in kept], pa.string()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())],
-                names=[*b.schema.names, *columns],
-            )
-
-    return df.mapInArrow(run, schema)
+        for b in slices(batches, text_col, 8 << 20):
+            texts, held = pc.fill_null(b.column(at).cast(pa.string()), ""), b.column(b.num_columns - 1)
+            counts = pc.add(pc.count_substring(texts, "\n"), 1).to_numpy()
+            kept, dropped = texts.to_pylist() if held.null_count < len(held) else texts, np.zeros(len(texts), np.int64)
+            for i in np.flatnonzero(held.is_valid()).tolist():
+                own = kept[i].split("\n")
+                wanted = [line_key(x.encode("utf-8", "surrogatepass")) for x in own]
+                gone = np.isin(_hashes(wanted)[:, 0].view(np.int64), held[i].values.to_numpy()) if wanted else np.zeros(0, bool)
+                dropped[i] = gone.sum()
+                kept[i] = "\n".join([x for x, g in zip(own, gone.tolist()) if not g])
+            out = [*b.columns[:-1], pa.array(kept, pa.string()) if isinstance(kept, list) else kept, pa.array(counts, pa.int64()), pa.array(dropped)]
+            yield pa.RecordBatch.from_arrays(out, names=[f.name for f in schema.fields])
+
+    return joined.mapInArrow(run, schema)
 
 
 def line_table(df: DataFrame) -> DataFrame:
