@@ -12,7 +12,7 @@ Labels are learned from rows whose crc32 of the decimal ``doc_id`` is not
 divisible by 5 (``fold``).  Only the text enters a score.
 
 Parameters that bound training: ``SAMPLE_ROWS`` rows of each class, drawn by a
-hash of the id, and ``SAMPLE_CHARS`` characters in all.
+hash of the id, and ``SAMPLE_CHARS`` characters, half of them for each class.
 
 Defined cases: null and empty texts have the score of the intercept, made to be
 a clean one; null labels and labels of unknown documents are ignored; a document
@@ -27,17 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fraction_hash, slices
+from .common import fraction_hash, slices, written
 
 GRAMS = (4, 5, 6)
 BUCKET_BITS = 22
 FEATURES = 4000
 SAMPLE_ROWS = 3000
 SAMPLE_CHARS = 16 << 20
+#: Tasks that count the grams of the sample; each holds two counts a bucket.
+COUNT_TASKS = 8
 MIN_DOCS = 4
 #: Sample rows whose features are held at once.
 BLOCK_ROWS = 100
@@ -86,10 +88,10 @@ def present(data: np.ndarray, ends: np.ndarray, wanted: np.ndarray | None = None
 
 
 class Model:
-    """Weights of the kept buckets and an intercept."""
+    """Weights of the kept buckets, the log-count ratios in them, and an intercept."""
 
-    def __init__(self, buckets: np.ndarray, weights: np.ndarray, intercept: float):
-        self.buckets, self.weights, self.intercept = buckets, weights, intercept
+    def __init__(self, buckets: np.ndarray, ratios: np.ndarray, weights: np.ndarray, intercept: float):
+        self.buckets, self.ratios, self.weights, self.intercept = buckets, ratios, weights, intercept
 
     def dense(self) -> tuple[np.ndarray, np.ndarray]:
         wanted, weight = np.zeros(1 << BUCKET_BITS, bool), np.zeros(1 << BUCKET_BITS)
@@ -97,40 +99,40 @@ class Model:
         return wanted, weight
 
 
-def fit(texts: list[str | None], labels: np.ndarray, features: int = FEATURES) -> Model | None:
-    """A model from labelled texts; None where a class is missing."""
-    labels = np.asarray(labels, np.float64)
-    positive, negative = labels.sum(), (1 - labels).sum()
-    if not positive or not negative:
-        return None
+def class_counts(texts: list[str | None], labels: np.ndarray) -> np.ndarray:
+    """In how many texts of each class a bucket is present: (2, buckets)."""
     counts = np.zeros((2, 1 << BUCKET_BITS), np.int32)
     for lo in range(0, len(texts), BLOCK_ROWS):
         rows, buckets = present(*text_bytes(texts[lo : lo + BLOCK_ROWS]))
         for c in (0, 1):
             np.add.at(counts[c], buckets[labels[lo + rows] == c], 1)
-    seen = np.flatnonzero(counts.sum(0) >= MIN_DOCS)
-    p, q = counts[1, seen] / positive, counts[0, seen] / negative
-    ratio = np.log(((counts[1, seen] + 1) / (positive + 2)) / ((counts[0, seen] + 1) / (negative + 2)))
-    pooled = (counts[1, seen] + counts[0, seen]) / (positive + negative)
-    z = np.abs(p - q) / np.sqrt(pooled * (1 - pooled) * (1 / positive + 1 / negative) + 1e-12)
-    best = np.sort(np.lexsort((seen, -z))[:features])
-    chosen, scale = seen[best], ratio[best]
-    wanted = np.zeros(1 << BUCKET_BITS, bool)
-    wanted[chosen] = True
-    slot = np.zeros(1 << BUCKET_BITS, np.int32)
-    slot[chosen] = np.arange(len(chosen))
-    rows, cols = [], []
-    for lo in range(0, len(texts), BLOCK_ROWS):
-        r, b = present(*text_bytes(texts[lo : lo + BLOCK_ROWS]), wanted)
-        rows.append(r + lo)
-        cols.append(slot[b])
-    rows, cols = np.concatenate(rows), np.concatenate(cols)
+    return counts
+
+
+def ratio_and_weight(toxic: np.ndarray, clean: np.ndarray, positive: int, negative: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smoothed log-count ratio of buckets, and how far their shares are apart by chance."""
+    ratio = np.log(((toxic + 1) / (positive + 2)) / ((clean + 1) / (negative + 2)))
+    pooled = (toxic + clean) / (positive + negative)
+    z = np.abs(toxic / positive - clean / negative) / np.sqrt(pooled * (1 - pooled) * (1 / positive + 1 / negative) + 1e-12)
+    return ratio, z
+
+
+def slots_of(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of the kept buckets, and the place of each among them."""
+    wanted, slot = np.zeros(1 << BUCKET_BITS, bool), np.zeros(1 << BUCKET_BITS, np.int32)
+    wanted[buckets], slot[buckets] = True, np.arange(len(buckets))
+    return wanted, slot
+
+
+def solve(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic regression on scaled presence, classes balanced."""
+    labels = np.asarray(labels, np.float64)
     value = scale[cols]
-    balance = np.where(labels == 1, 0.5 / positive, 0.5 / negative)
-    w, bias = np.zeros(len(chosen)), -1.0
+    balance = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
+    w, bias = np.zeros(len(scale)), -1.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, 301):
-        logit = np.bincount(rows, value * w[cols], len(texts)) + bias
+        logit = np.bincount(rows, value * w[cols], len(labels)) + bias
         error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels) * balance
         g = np.bincount(cols, value * error[rows], len(w)) + 1e-4 * w
         gb = error.sum()
@@ -139,11 +141,34 @@ def fit(texts: list[str | None], labels: np.ndarray, features: int = FEATURES) -
         rate = 0.05 / (1 - 0.9**step) * np.sqrt(1 - 0.999**step)
         w -= rate * m / (np.sqrt(v) + 1e-10)
         bias -= rate * mb / (np.sqrt(vb) + 1e-10)
-    return Model(chosen, w * scale, min(float(bias), -0.5))
+    return w * scale, min(float(bias), -0.5)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_class: int = SAMPLE_ROWS) -> tuple[list[str | None], np.ndarray]:
-    """Texts and labels of a bounded sample of the training fold, on the driver."""
+def fit(texts: list[str | None], labels: np.ndarray, features: int = FEATURES) -> Model | None:
+    """A model from labelled texts in memory; None where a class is missing."""
+    labels = np.asarray(labels, np.int64)
+    positive, negative = int(labels.sum()), int((1 - labels).sum())
+    if not positive or not negative:
+        return None
+    counts = class_counts(texts, labels)
+    seen = np.flatnonzero(counts.sum(0) >= MIN_DOCS)
+    ratio, z = ratio_and_weight(counts[1, seen], counts[0, seen], positive, negative)
+    best = np.sort(np.lexsort((seen, -z))[:features])
+    wanted, slot = slots_of(seen[best])
+    rows, cols = [], []
+    for lo in range(0, len(texts), BLOCK_ROWS):
+        r, b = present(*text_bytes(texts[lo : lo + BLOCK_ROWS]), wanted)
+        rows.append(r + lo)
+        cols.append(slot[b])
+    return Model(seen[best], ratio[best], *solve(np.concatenate(rows), np.concatenate(cols), labels, ratio[best]))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_class: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(toxic, nth, text): a bounded sample of the training fold, nth in each class.
+
+    Each class has half of ``chars`` to itself; a text over a sixteenth of that is
+    passed over.  A document with several rows counts once, with its smallest text.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("draw", fraction_hash(F.col("doc_id"), seed=5))
@@ -153,19 +178,60 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_class: int = SA
         rate = F.when(F.col("toxic") == label, F.lit(min(1.0, rows_per_class / n))).otherwise(rate)
     drawn = F.broadcast(known.where(F.col("draw") < rate))  # about rows_per_class ids of each class
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = texts.join(drawn, "doc_id").orderBy("draw", "doc_id", "text").limit(2 * rows_per_class + 1000)
-    held, marks, size = [], [], 0
-    for r in joined.select("text", "toxic").toLocalIterator():
-        size += len(r["text"] or "")
-        if size > SAMPLE_CHARS:
-            break
-        held.append(r["text"])
-        marks.append(r["toxic"])
-    return held, np.array(marks, np.int64)
-
-
-def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    return fit(*labelled_sample(docs, labels))
+    size = F.coalesce(F.length("text"), F.lit(0))
+    joined = texts.join(drawn, "doc_id").where(size <= chars // 32).groupBy("doc_id", "toxic", "draw").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("toxic").orderBy("draw", "doc_id")
+    told = joined.withColumns({"nth": F.row_number().over(order), "so_far": F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    return written(told.where(F.col("so_far") <= chars // 2).select("toxic", "nth", "text"), "toxic-sample")
+
+
+def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model | None:
+    """A model from the labelled documents; None where a class is missing.
+
+    Grams are counted on the executors; the driver gets the kept buckets, and of each
+    sampled text which of them it has.
+    """
+    sample = labelled_sample(docs, labels, sample_rows, sample_chars)
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    positive, negative = sizes.get(1, 0), sizes.get(0, 0)
+    if not positive or not negative:
+        return None
+    dealt = sample.repartition(COUNT_TASKS)
+
+    def counted(batches: Iterator[pa.RecordBatch]):
+        total = np.zeros((2, 1 << BUCKET_BITS), np.int32)
+        for b in batches:
+            total += class_counts(b.column(1).to_pylist(), b.column(0).to_numpy())
+        at = np.flatnonzero(total.any(0))
+        for lo in range(0, len(at), 1 << 18):
+            own = at[lo : lo + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(total[1, own]), pa.array(total[0, own])], names=["bucket", "toxic", "clean"])
+
+    def weighed(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            ratio, z = ratio_and_weight(b.column(1).to_numpy(), b.column(2).to_numpy(), positive, negative)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ratio), pa.array(z)], names=["bucket", "ratio", "z"])
+
+    counts = dealt.select("toxic", "text").mapInArrow(counted, "bucket int, toxic int, clean int")
+    counts = counts.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") + F.col("clean") >= MIN_DOCS)
+    best = counts.mapInArrow(weighed, "bucket int, ratio double, z double").orderBy(F.col("z").desc(), "bucket").limit(features)
+    best = sorted((r.bucket, r.ratio) for r in best.collect())
+    buckets, ratios = np.array([x[0] for x in best], np.int64), np.array([x[1] for x in best])
+
+    def marked(batches: Iterator[pa.RecordBatch]):
+        wanted, slot = slots_of(buckets)
+        for b in batches:
+            for lo in range(0, b.num_rows, BLOCK_ROWS):
+                part = b.slice(lo, BLOCK_ROWS)
+                rows, found = present(*text_bytes(part.column(2).to_pylist()), wanted)
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=part.num_rows))])
+                held = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(slot[found], pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), held], names=["toxic", "nth", "slots"])
+
+    told = dealt.select("toxic", "nth", "text").mapInArrow(marked, "toxic int, nth int, slots array<int>").toArrow().sort_by([("toxic", "ascending"), ("nth", "ascending")])
+    slots = told.column("slots").combine_chunks()
+    rows = np.repeat(np.arange(told.num_rows), np.diff(slots.offsets.to_numpy()))
+    return Model(buckets, ratios, *solve(rows, slots.flatten().to_numpy(), told.column("toxic").to_numpy(), ratios))
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_col: str = "score", reject: float | None = None) -> DataFrame:
@@ -177,7 +243,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_co
     def run(batches: Iterator[pa.RecordBatch]):
         own = held.value
         wanted, weight = own.dense() if own else (None, None)
-        for b in slices(batches, text_col, 8 << 20):
+        for b in slices(batches, text_col, 4 << 20):
             if own is None:
                 value = np.zeros(b.num_rows)
             else:
