@@ -4,14 +4,17 @@ Pages are range-sorted by ``page_id`` into parts.  A part is a run of archives;
 an archive is closed at the first record behind ``ROLL_BYTES`` compressed bytes.
 Headers and digests are made anew for every record, each record is a gzip member
 of its own, and ids, dates and order depend on the rows only, so that a second
-run writes the same bytes.  An archive is written under a temporary name and moved
-into place; the manifest lists the archives of tasks that succeeded, and readers
-go by the manifest alone.
+run writes the same bytes under the same names.  An archive is written under a
+temporary name and moved into place; the manifest lists the archives of tasks that
+succeeded, readers go by the manifest alone, and what lost tasks leave under
+temporary names is deleted behind it.
 
 Of records with equal payloads of at least ``min_bytes`` bytes the one with the
 largest ``page_id`` is a response and the others revisit it.  Which payloads occur
-twice is found on digests; the few marks that say so travel to the pages of their
-id in the same sort, so that the html is shuffled once.
+twice is found on digests, salted where they are joined, as one payload may be very
+common; the few marks that say so travel to the pages of their id and digest in the
+same sort, so that the html is shuffled once.  Ranges are of ids and digests: an id
+that very many pages share (or none) is cut into several.
 
 Defined cases: null html is an empty payload; null urls are written as
 ``urn:none``; rows with null ``page_id`` come first, are always responses and are
@@ -33,10 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import open_fs, scratch_path, slices, written
+from .common import drop_temporary, open_fs, put, scratch_path, slices, written
 
 ROLL_BYTES = 64 << 20
 PART_BYTES = 48 << 20
+#: Shares into which the pages of one payload are dealt where digests meet.
+SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.UUID("6f1c1c52-6a0c-4b0e-9a63-2f6c0d7a7a11")
 PAGE_FIELD, REFERS_FIELD = "WARC-X-Page-ID", "WARC-X-Refers-To-Page-ID"
@@ -87,10 +92,11 @@ class Archive:
     """An archive file under a temporary name until it is closed."""
 
     def __init__(self, folder: str, part: int, nth: int):
-        self.uri = f"{folder}/pages-{part:06d}-{nth:04d}-{uuid.uuid4().hex[:8]}.warc.gz"
+        self.uri = f"{folder}/pages-{part:06d}-{nth:04d}.warc.gz"
         self.fs, self.path = open_fs(self.uri)
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
-        self.out = self.fs.open_output_stream(self.path + ".tmp")
+        self.held = f"{self.path}.{uuid.uuid4().hex}.tmp"
+        self.out = self.fs.open_output_stream(self.held)
         self.size = self.records = 0
         info = f"software: scribeflow\r\nformat: WARC File Format 1.1\r\npart: {part}\r\nnumber: {nth}\r\n".encode()
         self.write(warc_record("warcinfo", [("WARC-Record-ID", record_id(None, f"info-{part}-{nth}", 0)), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], info))
@@ -103,7 +109,7 @@ class Archive:
 
     def close(self) -> tuple[str, int, int]:
         self.out.close()
-        self.fs.move(self.path + ".tmp", self.path)
+        put(self.fs, self.held, self.path)
         return self.uri, self.records, self.size
 
 
@@ -111,32 +117,32 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes
     """Write all pages below ``folder``; returns the manifest (file, part, nth, records, bytes)."""
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    marks = written(rows.where(F.col("page_id").isNotNull() & (F.length("payload") >= min_bytes)).select("page_id", F.unhex(F.sha1("payload")).alias("sha")), "digests")
+    rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))
+    marks = written(rows.where(F.col("page_id").isNotNull() & (F.length("payload") >= min_bytes)).select("page_id", "sha"), "digests")
     shared = marks.groupBy("sha").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    told = marks.distinct().join(shared, "sha").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "sha", "keep")
+    salted = marks.distinct().withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    told = salted.join(shared, ["sha", "salt"]).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "sha", "keep")
     total = rows.agg(F.sum(F.length("payload"))).first()[0] or 0
     parts = int(total // PART_BYTES) + 1
-    none = [F.lit(None).cast("binary").alias("sha"), F.lit(None).cast("long").alias("keep")]
-    dealt = told.unionByName(rows.select("*", *none)).repartitionByRange(parts, "page_id")
-    # Marks before pages of the same id; then a fixed order of the pages.
-    dealt = dealt.sortWithinPartitions("page_id", F.col("keep").isNull(), "payload", "url")
+    dealt = told.unionByName(rows.select("*", F.lit(None).cast("long").alias("keep"))).repartitionByRange(parts, "page_id", "sha")
+    # The mark before the pages of the same id and digest; then a fixed order of the pages.
+    dealt = dealt.sortWithinPartitions("page_id", "sha", F.col("keep").isNull(), "url")
 
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
 
         part, nth, archive, made = TaskContext.get().partitionId(), 0, None, []
-        current, keep, repeats = object(), {}, {}
+        current, keep, repeat = None, None, -1
         for b in slices(batches, "payload", 16 << 20):
             for page_id, url, payload, sha, kept in zip(*(c.to_pylist() for c in b.columns)):
-                if page_id != current:
-                    current, keep, repeats = page_id, {}, {}
+                if (page_id, sha) != current:
+                    current, keep, repeat = (page_id, sha), None, -1
                 if payload is None:
-                    keep[sha] = kept
+                    keep = kept
                     continue
-                own = hashlib.sha1(payload).digest()
-                repeat = repeats[own] = repeats.get(own, -1) + 1
-                first = keep.get(own)
-                refers = first if first is not None and (first != page_id or repeat) else None
+                repeat += 1
+                refers = keep if keep is not None and (keep != page_id or repeat) else None
                 if archive and archive.size >= roll_bytes:
                     made.append((*archive.close(), nth))
                     archive, nth = None, nth + 1
@@ -152,6 +158,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes
 
     schema = "file string, part int, nth int, records long, bytes long"
     dealt.mapInArrow(run, schema).write.parquet(f"{folder}/manifest")
+    drop_temporary(folder)
     return spark.read.schema(schema).parquet(f"{folder}/manifest")
 
 
