@@ -1,7 +1,8 @@
 """Language identification by cross-parsing with suffix automata.
 
 A bounded sample of labelled text per language becomes a suffix automaton, which
-accepts exactly the substrings of the sample.  A text is parsed greedily against
+accepts exactly the substrings of the sample.  Its edges take a bounded table for
+frequent letters and a sorted list for others, whatever the script.  A text is parsed greedily against
 each automaton: a phrase is the longest match from the current place (a letter
 unknown to the sample is a phrase of its own).  The fewer phrases a language
 needs per letter, the lower the cross entropy; the language with the fewest
@@ -24,8 +25,10 @@ result; repeated rows give repeated results; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,8 @@ SAMPLE_CHARS = 40_000
 #: Most characters that one row gives to a sample: samples mix many rows.
 ROW_CHARS = 2_000
 SEGMENT = 1_024
+#: Letters of a language with a column of their own in the table of moves.
+DENSE = 40
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -48,13 +53,13 @@ def folded(text: str | None) -> str:
 
 
 class Automaton:
-    """Suffix automaton of a text as a dense table: state, letter -> state (0: none)."""
+    """Suffix automaton of a text: its edges as arrays of state, letter (code point) and state."""
 
-    def __init__(self, text: str, alphabet: dict[str, int]):
+    def __init__(self, text: str):
         moves: list[dict[int, int]] = [{}]
         link, length = [-1], [0]
         last = 0
-        for c in map(alphabet.__getitem__, text):
+        for c in map(ord, text):
             new = len(moves)
             moves.append({})
             length.append(length[last] + 1)
@@ -77,37 +82,63 @@ class Automaton:
                         p = link[p]
                     link[q] = link[new] = copy
             last = new
-        self.table = np.zeros((len(moves), len(alphabet) + 1), np.int32)
-        for s, own in enumerate(moves):
-            for c, t in own.items():
-                self.table[s, c] = t
+        self.size = len(moves)
+        sizes = np.fromiter(map(len, moves), np.int64, len(moves))
+        self.source = np.repeat(np.arange(self.size), sizes)
+        self.letter = np.fromiter(chain.from_iterable(moves), np.int64, int(sizes.sum()))
+        self.target = np.fromiter(chain.from_iterable(m.values() for m in moves), np.int64, int(sizes.sum()))
 
 
 class Parser:
-    """The automata of all languages in one table, over one alphabet."""
+    """The automata of all languages in one table.
 
-    def __init__(self, samples: tuple[tuple[str, str], ...]):
+    Each language has columns for its own ``DENSE`` most frequent letters; edges by its
+    other letters are a sorted list of (state, letter).  So a state takes as much for
+    a language of thousands of signs as for one of thirty letters.
+    """
+
+    def __init__(self, samples: tuple[tuple[str, str], ...], dense: int = DENSE):
         self.languages = [name for name, _ in samples]
         if not samples:
             return
-        letters = sorted({c for _, text in samples for c in text})
-        self.alphabet = {c: i + 1 for i, c in enumerate(letters)}  # 0: unknown
-        tables = [Automaton(text, self.alphabet).table for _, text in samples]
-        starts = np.cumsum([0, *[len(t) for t in tables]])
-        self.width = len(letters) + 1
-        self.roots = starts[:-1].astype(np.int32)
+        own = [Automaton(text) for _, text in samples]
+        starts = np.cumsum([0, *[a.size for a in own]])
+        self.roots = starts[:-1]
+        # Column 0: a letter that the sample lacks; the last: one of the sorted list.
+        self.width, self.rare = dense + 2, dense + 1
+        self.code = np.zeros((len(own), 0x110000), np.uint8 if dense < 250 else np.uint16)
         # -1 stands for no move; the state of a language is its own plus the start.
-        flat = [np.where(t > 0, t + s, -1) for t, s in zip(tables, starts)]
-        self.flat = np.concatenate(flat).astype(np.int32).ravel()
-        self.code = np.zeros(0x110000, np.int16)
-        for c, i in self.alphabet.items():
-            self.code[ord(c)] = i
+        table = np.full((int(starts[-1]), self.width), -1, np.int32 if starts[-1] < 1 << 31 else np.int64)
+        keys, targets = [], []
+        for k, (a, (_, text), start) in enumerate(zip(own, samples, starts.tolist())):
+            common = sorted(Counter(text).items(), key=lambda x: (-x[1], x[0]))
+            self.code[k, [ord(c) for c, _ in common]] = np.minimum(np.arange(len(common)) + 1, self.rare)
+            column = self.code[k, a.letter]
+            few = column == self.rare
+            table[a.source[~few] + start, column[~few]] = a.target[~few] + start
+            keys.append((a.source[few] + start) << 21 | a.letter[few])
+            targets.append(a.target[few] + start)
+        self.flat = table.ravel()
+        keys, targets = np.concatenate(keys), np.concatenate(targets)
+        order = np.argsort(keys)
+        self.keys, self.targets = keys[order], targets[order].astype(table.dtype)
+
+    def moves(self, state: np.ndarray, column: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """The next state for each text and language, -1 where there is none."""
+        move = self.flat[state * self.width + column]
+        if len(self.keys):
+            text, language = np.nonzero(column == self.rare)
+            if len(text):
+                key = state[text, language] << 21 | points[text].astype(np.int64)
+                at = np.searchsorted(self.keys, key)
+                at[at == len(self.keys)] = 0
+                move[text, language] = np.where(self.keys[at] == key, self.targets[at], -1)
+        return move
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of each folded text in each language: (texts, languages)."""
         out = np.zeros((len(texts), len(self.languages)), np.int64)
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = self.code[points]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         per = -(-sizes // SEGMENT)
         owner = np.repeat(np.arange(len(texts)), per)
@@ -119,17 +150,17 @@ class Parser:
         k = len(self.roots)
         state = np.tile(self.roots, (len(order), 1))
         count = np.ones((len(order), k), np.int32)  # the phrase that is open
-        root_moves = self.flat.reshape(-1, self.width)[self.roots]  # (languages, letters)
         active = np.searchsorted(-length, -np.arange(SEGMENT), "left")  # segments longer than a step
         for step in range(int(length[0]) if len(length) else 0):
             n = int(active[step])
-            letter = codes[start[:n] + step].astype(np.int32)[:, None]
-            move = self.flat[state[:n] * self.width + letter]
+            letter = points[start[:n] + step]
+            column = self.code[:, letter].T
+            move = self.moves(state[:n], column, letter)
             broken = move < 0
             if broken.any():
                 fresh = state[:n] == self.roots
                 count[:n] += broken & ~fresh
-                again = root_moves[:, letter.ravel()].T
+                again = self.moves(np.broadcast_to(self.roots, (n, k)), column, letter)
                 move = np.where(broken, again, move)
                 # An unknown letter is a phrase by itself: the next starts behind it.
                 alone = move < 0
