@@ -7,9 +7,11 @@ one role are merged into a block by array functions; a block is written as
 
 and a line feed.  Inside roles and texts a backslash is doubled and control
 strings are broken by one: ``###`` to ``\#\#\#``, ``</turn>`` to ``<\/turn>``,
-``</join>`` to ``<\/join>``, in roles also ``:`` to ``\:``.  Dropping each single
-backslash undoes that.  The output also has its pieces with the loss mask: the
-texts of assistant turns count, marks and all else do not.
+``</join>`` to ``<\/join>``, in roles also a space to ``\ ``, so that the first colon
+with a space ends the role.  Dropping each single backslash undoes that.  The output
+also has its pieces with the loss mask: the texts of assistant turns count, marks
+and all else do not.  Reading back takes roles, texts and the mask from the
+formatted text alone.
 
 A conversation is one output text, so its turns meet in one row by definition;
 partial collection runs before the shuffle, and no step is more than linear in
@@ -38,7 +40,7 @@ def escape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    return F.replace(escape(role), F.lit(":"), F.lit("\\:"))
+    return F.replace(escape(role), F.lit(" "), F.lit("\\ "))
 
 
 def unescape(text: Column) -> Column:
@@ -87,8 +89,8 @@ def format_conversations(rows: DataFrame, loss_role: str = LOSS_ROLE) -> DataFra
     return held.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"), "pieces")
 
 
-def parse_conversations(df: DataFrame) -> DataFrame:
-    """conv_id, formatted and turns: array of (role, text), read from ``formatted``."""
+def parse_conversations(df: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
+    """conv_id, formatted and turns: array of (role, text, loss), read from ``formatted``."""
     raw = F.split("formatted", F.lit(END + "\n"), -1)
     df = df.withColumn("raw", F.filter(F.slice(raw, 1, F.greatest(F.size(raw) - 1, F.lit(0))), lambda x: F.length(x) > 0))
 
@@ -96,7 +98,7 @@ def parse_conversations(df: DataFrame) -> DataFrame:
         at = F.instr(block, MIDDLE)
         role = unescape(F.substring(block, F.lit(len(HEAD) + 1), at - (len(HEAD) + 1)))
         body = F.split(F.substring(block, at + len(MIDDLE), F.length(block)), F.lit(JOIN), -1)
-        return F.transform(body, lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
+        return F.transform(body, lambda t: F.struct(role.alias("role"), unescape(t).alias("text"), (role == F.lit(loss_role)).alias("loss")))
 
     return df.withColumn("turns", F.flatten(F.transform("raw", turns))).drop("raw")
 
@@ -107,8 +109,8 @@ def conversation_table(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     kept = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    back = parse_conversations(format_conversations(kept.unionByName(extra)))
-    loss = F.array_join(F.transform(F.filter("pieces", lambda p: p["loss"]), lambda p: unescape(p["piece"])), "")
+    back = parse_conversations(format_conversations(kept.unionByName(extra)).select("conv_id", "formatted"))
+    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
@@ -127,7 +129,7 @@ WITH turns AS (
   SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM (VALUES (0), (1)) AS v(i)),
 escaped AS (
   SELECT *, replace(replace(replace(replace(text, '\', '\\'), '###', '\#\#\#'), '</join>', '<\/join>'), '</turn>', '<\/turn>') AS body,
-    replace(replace(replace(replace(replace(role, '\', '\\'), '###', '\#\#\#'), '</join>', '<\/join>'), '</turn>', '<\/turn>'), ':', '\:') AS who,
+    replace(replace(replace(replace(replace(role, '\', '\\'), '###', '\#\#\#'), '</join>', '<\/join>'), '</turn>', '<\/turn>'), ' ', '\ ') AS who,
     lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS earlier
   FROM turns),
 sized AS (

@@ -79,6 +79,17 @@ def test_media_rows(spark):
         payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert r.media_sha256 == hashlib.sha256(gif.write_gif(payload)).hexdigest()
+    assert len({r.feature for r in out if r.doc_id == 3}) == 1
+    long = next(r for r in out if r.doc_id == 5)
+    seen = np.frombuffer(("long text " * 40_000).encode(), np.uint8)
+    bins = np.bincount((seen >> 6) << 4 | (seen >> 3 & 3) << 2 | (seen & 3), minlength=64)
+    bins[0] += -len(seen) % 64
+    parts = dict(p.split("=") for p in long.feature.split(";"))
+    assert parts["frames"] == "7" and parts["ms"] == "700" and len(np.flatnonzero(bins)) > 4
+    # All but the last frame fill the screen; the last one lies over the one before.
+    whole = seen[: 6 * 65536]
+    assert sum(int(x.split(":")[1]) for x in parts["colours"].split(",")) == 7 * 65536
+    assert set(np.flatnonzero(bins).tolist()) == {int(x.split(":")[0]) for x in parts["colours"].split(",")} and len(whole)
     assert gif.media_table(df.limit(0)).count() == 0
     stored = spark.createDataFrame([(7, bytearray(gif.write_gif(b"q" * 64 * 1500))), (8, None)], "doc_id long, image binary")
     frames = gif.frame_table(stored, "doc_id", "image").orderBy("frame").collect()
@@ -117,7 +128,7 @@ def test_warc_round_trip(spark, min_bytes, roll, monkeypatch):
         assert manifest.agg({"records": "sum"}).first()[0] == len(PAGES)
         files = manifest.orderBy("part", "nth").collect()
         assert len(files) > 1
-        made.append([hashlib.sha1(read_whole(f.file)).hexdigest() for f in files])
+        made.append([(f.file.rpartition("/")[2], hashlib.sha1(read_whole(f.file)).hexdigest()) for f in files])
         assert all(gzip.decompress(read_whole(f.file)).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") for f in files)
     assert made[0] == made[1]
     ids = {}
@@ -129,6 +140,18 @@ def test_warc_round_trip(spark, min_bytes, roll, monkeypatch):
             assert ids[fields["WARC-Refers-To"]]["WARC-Payload-Digest"] == fields["WARC-Payload-Digest"]
 
 
+def test_one_id_and_one_payload_of_many_pages(spark, monkeypatch):
+    monkeypatch.setattr(warc, "PART_BYTES", 1500)
+    rows = [(None, f"http://x/{i}", f"page without id {i}") for i in range(400)] + [(i, "http://y", "the same page") for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = scratch_path(spark, "w")
+    manifest = warc.write_archives(df, folder)
+    assert max(r.records for r in manifest.collect()) < 250
+    out = warc.read_archives(manifest).collect()
+    assert {(r.page_id, r.refers_to) for r in out if r.page_id is not None} == {(i, 399 if i < 399 else None) for i in range(400)}
+    assert sum(r.record_type == "response" for r in out) == 401
+
+
 def test_warc_empty(spark):
     assert warc.page_table(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -161,3 +184,31 @@ def test_chat_against_sql(spark):
     merged = chat.format_conversations(spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c")], "conv_id long, turn long, role string, text string")).first()
     assert merged.formatted == "### user: a</join>b</turn>\n### assistant: c</turn>\n"
     assert chat.conversation_table(df.limit(0)).count() == 1
+
+
+def test_roles_and_texts_of_control_strings_come_back(spark):
+    """Roles and texts made of the template's own marks, read back from the output alone."""
+    rng = random.Random(11)
+    bits = [": ", ":", " ", "\\", "###", "### ", "</turn>", "</turn>\n", "</join>", "<", "/", "turn>", "\n", "a", "assistant", "é"]
+    make = lambda: "".join(rng.choices(bits, k=rng.randrange(6)))
+    rows = [(c, t, make(), make()) for c in range(300) for t in range(rng.randrange(1, 5))]
+    rows += [(300, 0, "a: b", "hello: x"), (301, 0, "a:", " x"), (302, 0, "a\\", ": y"), (303, 0, "two\nlines: z", "t"), (304, 0, "", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = {}
+    for c, _, role, text in sorted(rows, key=lambda r: (r[0], r[1])):
+        want.setdefault(c, []).append((role, text, role == "assistant"))
+    back = chat.parse_conversations(chat.format_conversations(df).select("conv_id", "formatted")).collect()
+    assert {r.conv_id: [tuple(t) for t in r.turns] for r in back} == want
+    for r in chat.format_conversations(df).collect():
+        told = [p.piece for p in r.pieces if p.loss]
+        assert len(told) == sum(t[2] for t in want[r.conv_id])
+
+
+def test_chat_on_random_roles_against_sql(spark):
+    rng = random.Random(13)
+    rows = [(c, t, rng.choice(["a: b", "a:", "b\\ :", "assistant", "x </turn> y", "###:"]), rng.choice(EVIL)) for c in range(30) for t in range(5)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    db = duckdb.connect()
+    db.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    db.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    assert sorted(map(tuple, chat.conversation_table(df).collect()), key=str) == sorted(db.execute(chat.CHAT_SQL).fetchall(), key=str)
