@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Sequence
 from functools import lru_cache
 
@@ -940,20 +941,30 @@ def edit_similarity(a: str, b: str) -> float:
 # --- Packing and splitting ----------------------------------------------------------------------
 
 
+_CUT_MARKS = [re.compile(p) for p in ("[。！？]", "[.!?]", "[、,]")]
+
+
 def split_line(line: str, most: int) -> list[str]:
-    """A long line cut behind the last sentence end, else comma, else hard."""
-    out = []
-    while len(line) > most:
-        head, cut = line[:most], 0
-        for pattern in (r"[。！？]\s*", r"[.!?]\s*", r"[、,]\s*"):
-            ends = [m.end() for m in re.finditer(pattern, head)]
-            if ends:
-                cut = ends[-1]
+    """A long line cut behind the last sentence end, else comma, else hard.
+
+    The places of all marks are known beforehand; a cut is the last place of the
+    strongest kind within reach, and the space behind it goes with the mark.
+    """
+    marks = [[m.start() for m in p.finditer(line)] for p in _CUT_MARKS]
+    out, at, end = [], 0, len(line)
+    while end - at > most:
+        reach, cut = at + most, at + most
+        for places in marks:
+            k = bisect_left(places, reach) - 1
+            if k >= 0 and places[k] >= at:
+                cut = places[k] + 1
+                while cut < reach and line[cut].isspace():
+                    cut += 1
                 break
-        cut = cut or most
-        out.append(line[:cut])
-        line = line[cut:].strip()
-    return [*out, line] if line else out
+        out.append(line[at:cut])
+        rest = line[cut:end]
+        at, end = cut + len(rest) - len(rest.lstrip()), end - (len(rest) - len(rest.rstrip()))
+    return [*out, line[at:end]] if at < end else out
 
 
 def pack_lines(text: str, most: int) -> list[str]:
@@ -983,23 +994,28 @@ def token_chunks(text: str, max_tokens: int = 3000) -> list[tuple[str, int, int,
     in its first 70 %.  The overlap of the interface has no effect, as observed.
     """
     ratio = config.CHARS_PER_TOKEN["auto"]
-    if -(-len(text) // ratio) <= max_tokens:
-        return [(text, int(-(-len(text) // ratio)), 0, len(text))]
-    out, at, size = [], 0, int(max_tokens * ratio)
-    while at < len(text):
-        end = min(at + size, len(text))
-        if end < len(text):
-            piece = text[at:end]
-            blank = piece.rfind("\n\n")
-            if blank > size * 0.7:
-                end = at + blank + 2
-            else:
-                ends = [m.end() for m in re.finditer(r"[.!?。！？]\s+", piece) if m.start() <= size * 0.7]
-                end = at + ends[-1] if ends else end
-        piece = text[at:end]
-        out.append((piece.strip(), -(-len(piece) // 4), at, end))
-        at = end
-    return out
+    whole = int(-(-len(text) // ratio))
+    if whole <= max_tokens:
+        return [(text, whole, 0, len(text))]
+    size = int(max_tokens * ratio)
+    blanks = [m.start() for m in re.finditer(r"\n(?=\n)", text)]
+    ends = list(re.finditer(r"[.!?。！？]\s+", text))
+    starts = [m.start() for m in ends]
+    cuts = [0]
+    while cuts[-1] < len(text):
+        at, reach = cuts[-1], cuts[-1] + size
+        blank = bisect_left(blanks, reach - 1) - 1
+        mark = bisect_right(starts, at + int(size * 0.7)) - 1
+        if reach >= len(text):
+            cut = len(text)
+        elif blank >= 0 and blanks[blank] - at > size * 0.7:
+            cut = blanks[blank] + 2
+        elif mark >= 0 and starts[mark] >= at and starts[mark] + 1 < reach:
+            cut = min(ends[mark].end(), reach)
+        else:
+            cut = reach
+        cuts.append(cut)
+    return [(text[a:b].strip(), -(-(b - a) // 4), a, b) for a, b in zip(cuts, cuts[1:])]
 
 
 def last_sentences(text: str, most: int) -> str:
@@ -1064,32 +1080,22 @@ def _labels() -> list[tuple[str, re.Pattern]]:
 
 
 def parse_meta(raw: str, most_keywords: int = 30) -> tuple[list[str], str]:
-    """Keywords and context of labelled lines."""
+    """Keywords and context of labelled lines.
+
+    A label opens a section, which has the lines up to the next label.  Sections become
+    fields, the last of a name counts; lines before the first label and those behind
+    the line of the keywords are context.
+    """
+    lines = [x for x in map(str.strip, raw.split("\n")) if x]
+    found = [next(((name, m.end()) for name, p in _labels() if (m := p.match(x))), None) for x in lines]
+    opens = [i for i, f in enumerate(found) if f]
+    context = lines[: opens[0]] if opens else lines
     fields: dict[str, str] = {}
-    context, key, value = [], None, []
-
-    def close() -> None:
-        if key and value:
-            fields[key] = "\n".join(value).strip()
-
-    for line in filter(None, map(str.strip, raw.split("\n"))):
-        for name, pattern in _labels():
-            m = pattern.match(line)
-            if m:
-                close()
-                key, value = name, [line[m.end() :].strip()]
-                break
-        else:
-            if key == "keywords":
-                if value and value[0]:
-                    close()
-                    key, value = None, []
-                context.append(line)
-            elif key:
-                value.append(line)
-            else:
-                context.append(line)
-    close()
-    words = [w.strip() for w in re.split("[,、，]", fields.pop("keywords", "")) if w.strip()]
-    parts = [f"{title}: {fields[k]}" for k, title in META_TITLES.items() if fields.get(k)]
-    return words[:most_keywords], "\n".join(parts + context)
+    for i, until in zip(opens, [*opens[1:], len(lines)]):
+        name, cut = found[i]
+        first, rest = lines[i][cut:].strip(), lines[i + 1 : until]
+        fields[name] = first if name == "keywords" else "\n".join([first, *rest]).strip()
+        context = context + rest if name == "keywords" else context
+    words = [w.strip() for w in re.split("[,、，]", fields.get("keywords", "")) if w.strip()]
+    told = [f"{title}: {fields[k]}" for k, title in META_TITLES.items() if fields.get(k)]
+    return words[:most_keywords], "\n".join(told + context)
