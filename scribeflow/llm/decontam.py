@@ -1,46 +1,60 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Tokens are runs without white space, reduced to their letters and digits and
-lower-cased; runs without any are no tokens.  Fixed masks look at 7 of 8 to 10
-consecutive tokens and ignore the rest.  Hashes of the test items under each mask
-are joined with those of the training texts; each hit fixes a diagonal (text
-position less item position), and the aligned tokens on it are compared.
+lower-cased; runs without any are no tokens.  Letters of scripts that are written
+without spaces (Thai to Khmer, Chinese, kana) are a token each.  Fixed masks look
+at 7 of 8 to 10 consecutive tokens and ignore the rest.  Hashes of the test items
+under each mask are joined with those of the training texts; each hit fixes a
+diagonal (text position less item position), and the aligned tokens on it are
+compared.
 
 A text holds a passage of an item if some ``WINDOW`` aligned tokens agree in all
 but ``MISMATCHES`` places.  The masks are lossless for that: any 2 substitutions
-in 13 tokens leave a mask untouched somewhere.  Items of 10 to 12 tokens must
-occur whole; shorter ones are ignored, as no mask fits them.
-
-Test items are a stated query set: they are taken in blocks of bounded size, each
-block held against all texts in one scan, so no text is shuffled.
-
-Defined cases: null and empty texts have no hits; null items are ignored; items
-with equal ``item_id`` are separate items whose best hit counts; repeated texts
-give repeated rows; null ids pass through as null; other columns are ignored by
-``find_leaks`` and kept by ``drop_leaks``.
+in 13 tokens leave a mask untouched somewhere.  Items of fewer than 13 tokens must
+occur whole, without substitution; those below ``SHORTEST`` are looked up by a hash
+of all their tokens.  Items of fewer than ``ALONE`` tokens are found in any prose:
+they count where they are the whole text.
+
+Test items are a stated query set.  They are indexed in blocks of bounded size,
+written to the shared folder; the texts are read and hashed once, and a task takes
+the blocks one after another for each piece of its texts, so no text is shuffled
+and no item passes through the driver.
+
+Defined cases: null and empty texts have no hits; null items and items without
+tokens are ignored; items with equal ``item_id`` are separate items whose best hit
+counts; repeated texts give repeated rows; null ids pass through as null; other
+columns are ignored by ``find_leaks`` and kept by ``drop_leaks``.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import whitespace_runs
-from .common import slices
+from .common import read_whole, scratch_path, slices, write_once, written
 
 # Fixed masks; a family without gap for 13 tokens with 2 substitutions.
 MASKS = ("11101111", "1110100111", "1100111011", "1111001011")
 WINDOW = 13
 MISMATCHES = 2
-SHORTEST = 10
-#: Characters of test items held against the texts in one scan.
+#: Items below it are looked up whole; below the second, as whole texts only.
+SHORTEST, ALONE = 10, 5
+#: Characters of test items that share a block of the index.
 ITEM_BLOCK_CHARS = 4 << 20
+#: Bytes of text that meet the blocks together.
+TEXT_BYTES = 16 << 20
 FILTER_BITS = 22
+#: Letters that are a token each: Thai to Myanmar, Khmer, CJK and kana, and their supplements.
+UNSPACED = "[\u0e00-\u109f\u1780-\u17ff\u2e80-\u9fff\ua000-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff]"
 
 
 def token_value(run: str) -> int:
@@ -54,6 +68,9 @@ def token_value(run: str) -> int:
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Token counts of some texts and all token values, end to end."""
+    texts = pc.fill_null(texts, "")
+    if pc.any(pc.match_substring_regex(texts, UNSPACED)).as_py():
+        texts = pc.replace_substring_regex(texts, f"({UNSPACED})", " \\1 ")
     counts, flat = whitespace_runs(texts)
     coded = flat.dictionary_encode()
     values = np.array([token_value(x) for x in coded.dictionary.to_pylist()], np.uint64)
@@ -68,7 +85,7 @@ def mask_hashes(stream: np.ndarray, mask: str) -> np.ndarray:
     n = len(stream) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, np.uint64(MASKS.index(mask) + 1))
+    out = np.full(n, np.uint64(int("1" + mask, 2)))
     for k, on in enumerate(mask):
         if on == "1":
             out = (out ^ stream[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
@@ -79,39 +96,55 @@ def mask_hashes(stream: np.ndarray, mask: str) -> np.ndarray:
 class ItemIndex:
     """Mask hashes of a block of test items, sorted, with their places."""
 
-    def __init__(self, item_ids: list[int | None], texts: list[str]):
-        counts, self.stream = tokens_of(pa.array(texts, pa.string()))
-        ends = np.cumsum(counts)
-        self.start, self.length, self.item_ids = ends - counts, counts, item_ids
-        owner = np.repeat(np.arange(len(counts)), counts)
-        hashes, places = [], []
-        for mask in MASKS:
-            h = mask_hashes(self.stream, mask)
-            p = np.arange(len(h))
-            inside = (owner[p] == owner[p + len(mask) - 1]) & (counts[owner[p]] >= SHORTEST) if len(h) else np.zeros(0, bool)
-            hashes.append(h[inside])
-            places.append(p[inside])
-        h, p = np.concatenate(hashes), np.concatenate(places)
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.places, self.owner = h[order], p[order], owner
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[(self.hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+    def __init__(self, item_ids: np.ndarray, known: np.ndarray, stream: np.ndarray, counts: np.ndarray):
+        self.item_ids, self.known, self.stream, self.length = item_ids, known, stream, counts
+        self.start = np.cumsum(counts) - counts
+        self.owner = owner = np.repeat(np.arange(len(counts)), counts)
+        self.tables = []
+        for mask in (*MASKS, *("1" * n for n in range(1, SHORTEST))):
+            h = mask_hashes(stream, mask)
+            at = np.flatnonzero(owner[: len(h)] == owner[len(mask) - 1 :]) if len(h) else np.zeros(0, np.int64)
+            size = counts[owner[at]]
+            at = at[size >= SHORTEST] if mask in MASKS else at[size == len(mask)]
+            if not len(at):
+                continue
+            order = np.argsort(h[at], kind="stable")
+            known_bits = np.zeros(1 << FILTER_BITS, bool)
+            known_bits[(h[at] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+            self.tables.append((mask, h[at][order], at[order], known_bits))
+
+    @classmethod
+    def of(cls, item_ids: list[int | None], texts: pa.Array) -> ItemIndex:
+        counts, stream = tokens_of(texts)
+        return cls(np.array([i or 0 for i in item_ids], np.int64), np.array([i is not None for i in item_ids], bool), stream, counts)
+
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, item_ids=self.item_ids, known=self.known, stream=self.stream, counts=self.length)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> ItemIndex:
+        held = np.load(io.BytesIO(data))
+        return cls(*(held[k] for k in ("item_ids", "known", "stream", "counts")))
 
     def hits(self, counts: np.ndarray, stream: np.ndarray) -> np.ndarray:
         """Distinct (text, item, diagonal) of all seed hits."""
         owner = np.repeat(np.arange(len(counts)), counts)
         starts = np.cumsum(counts) - counts
         found = []
-        for mask in MASKS:
+        for mask, hashes, places, known_bits in self.tables:
             h = mask_hashes(stream, mask)
-            at = np.flatnonzero(self.filter[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+            at = np.flatnonzero(known_bits[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
             at = at[owner[at] == owner[at + len(mask) - 1]]
-            low, high = (np.searchsorted(self.hashes, h[at], side) for side in ("left", "right"))
+            if len(mask) < ALONE:
+                at = at[counts[owner[at]] == len(mask)]
+            low, high = (np.searchsorted(hashes, h[at], side) for side in ("left", "right"))
             each = high - low
             total = int(each.sum())
             if not total:
                 continue
-            place = self.places[np.arange(total) + np.repeat(low - (np.cumsum(each) - each), each)]
+            place = places[np.arange(total) + np.repeat(low - (np.cumsum(each) - each), each)]
             at = np.repeat(at, each)
             text, item = owner[at], self.owner[place]
             found.append(np.stack([text, item, (at - starts[text]) - (place - self.start[item])], 1))
@@ -132,33 +165,63 @@ class ItemIndex:
             return None
         return int(sums[best]), low + diagonal + best
 
-    def leaks(self, texts: pa.Array) -> list[tuple[int, int | None, int, int, int]]:
-        """(text, item_id, matched, window, position), the best per text and item id."""
-        counts, stream = tokens_of(texts)
+    def leaks(self, counts: np.ndarray, stream: np.ndarray) -> Iterator[tuple[tuple[int, int | None], tuple[int, int, int]]]:
+        """((text, item_id), (-matched, position, window)) of each verified hit."""
         starts = np.cumsum(counts) - counts
-        best: dict[tuple[int, int | None], tuple[int, int, int]] = {}
         for text, item, diagonal in self.hits(counts, stream).tolist():
             got = self.verify(stream[starts[text] : starts[text] + counts[text]], item, diagonal)
             if got:
-                key, window = (text, self.item_ids[item]), min(WINDOW, int(self.length[item]))
-                new = (-got[0], got[1], window)
-                if key not in best or new < best[key]:
-                    best[key] = new
-        return [(t, i, -m, w, p) for (t, i), (m, p, w) in sorted(best.items(), key=lambda x: (x[0][0], x[0][1] is None, x[0][1] or 0))]
-
-
-def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[tuple[list, list]]:
-    """The test items in blocks of bounded size, streamed through the driver."""
-    ids, texts, size = [], [], 0
-    rows = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    for item, text in rows.toLocalIterator():
-        if texts and size + len(text) > ITEM_BLOCK_CHARS:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(item)
-        texts.append(text)
-        size += len(text)
-    yield ids, texts
+                yield (text, int(self.item_ids[item]) if self.known[item] else None), (-got[0], got[1], min(WINDOW, int(self.length[item])))
+
+
+@lru_cache(maxsize=2)
+def block_of(uri: str) -> ItemIndex:
+    """A block of the index; a small test set stays in its worker between tasks."""
+    return ItemIndex.from_bytes(read_whole(uri))
+
+
+def write_index(items: DataFrame, folder: str, id_col: str = "item_id", text_col: str = "text") -> list[str]:
+    """Index the items in blocks below ``folder``; returns the files, one per millions of characters."""
+    rows = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    if not total:
+        return []
+    limit = ITEM_BLOCK_CHARS
+
+    def build(batches: Iterator[pa.RecordBatch]):
+        from pyspark import TaskContext
+
+        part, n, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def block() -> pa.RecordBatch:
+            uri = f"{folder}/items-{part:05d}-{n:05d}.npz"
+            write_once(uri, ItemIndex.of(ids, pa.array(texts, pa.string())).to_bytes())
+            return pa.RecordBatch.from_arrays([pa.array([uri])], names=["file"])
+
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if texts and size + len(text) > limit:
+                    yield block()
+                    n, ids, texts, size = n + 1, [], [], 0
+                ids.append(item)
+                texts.append(text)
+                size += len(text)
+        if texts:
+            yield block()
+
+    dealt = rows.repartition(int(total // limit) + 1)
+    return sorted(r.file for r in written(dealt.mapInArrow(build, "file string"), "item-files").collect())
+
+
+def leaks_of(texts: pa.Array, files: list[str]) -> list[tuple[int, int | None, int, int, int]]:
+    """(text, item_id, matched, window, position), the best per text and item id."""
+    counts, stream = tokens_of(texts)
+    best: dict[tuple[int, int | None], tuple[int, int, int]] = {}
+    for uri in files:
+        for key, new in block_of(uri).leaks(counts, stream):
+            if key not in best or new < best[key]:
+                best[key] = new
+    return [(t, i, -m, w, p) for (t, i), (m, p, w) in sorted(best.items(), key=lambda x: (x[0][0], x[0][1] is None, x[0][1] or 0))]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,38 +230,28 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     A row per text and item: the tokens that agree in the best window, its length
     and its place in the text's tokens (the first among equals).
     """
+    files = write_index(items, scratch_path(docs.sparkSession, "items"))
     schema = "doc_id long, item_id long, matched int, window int, position long"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias(text_col))
-    out = None
-    for ids, texts in item_blocks(items):
-        held = docs.sparkSession.sparkContext.broadcast((ids, texts))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held):
-            index = ItemIndex(*held.value)
-            for b in slices(batches, text_col, 16 << 20):
-                doc = b.column(0).to_pylist()
-                got = index.leaks(b.column(1))
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": [doc[r[0]] for r in got], "item_id": [r[1] for r in got], "matched": [r[2] for r in got], "window": [r[3] for r in got], "position": [r[4] for r in got]},
-                    schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched", pa.int32()), ("window", pa.int32()), ("position", pa.int64())]),
-                )
-
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    arrow = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched", pa.int32()), ("window", pa.int32()), ("position", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in slices(batches, text_col, TEXT_BYTES):
+            doc, got = b.column(0).to_pylist(), leaks_of(b.column(1), files)
+            columns = [[doc[r[0]] for r in got], *([r[k] for r in got] for k in range(1, 5))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """The texts without any verified passage, all their columns kept."""
-    for ids, texts in item_blocks(items):
-        held = docs.sparkSession.sparkContext.broadcast((ids, texts))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held):
-            index = ItemIndex(*held.value)
-            for b in slices(batches, text_col, 16 << 20):
-                keep = np.ones(b.num_rows, bool)
-                keep[[r[0] for r in index.leaks(b.column(b.schema.get_field_index(text_col)))]] = False
-                yield b.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    files = write_index(items, scratch_path(docs.sparkSession, "items"))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in slices(batches, text_col, TEXT_BYTES):
+            keep = np.ones(b.num_rows, bool)
+            keep[[r[0] for r in leaks_of(b.column(b.schema.get_field_index(text_col)), files)]] = False
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
