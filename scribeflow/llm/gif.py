@@ -4,8 +4,11 @@ The reader follows the format: screen, global and local palettes, LZW code
 streams with growing code widths and clear codes, interlacing, graphic control
 (delay, disposal, transparent index), and keeps each timed frame as a composited
 RGB canvas with a colour histogram.  The writer stores a payload losslessly as
-8-bit indices, 64 samples a row, up to ``FRAME_ROWS`` rows a frame, under a grey
-palette.
+8-bit indices, 64 samples a row, up to ``FRAME_ROWS`` rows a frame, under a palette
+of 256 colours (three bits of red and green, two of blue).
+
+``stored`` makes a column of GIFs, ``with_frames`` reads one into a column of timed
+frames with their histograms, ``frame_table`` has a row per frame with its canvas.
 
 Defined cases: null and empty texts give one frame of 64 zero bytes; texts of any
 length take as many frames as they need; repeated rows give repeated results; null
@@ -25,13 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, written
 
 WIDTH = 64
 FRAME_ROWS = 1024
 DELAY_CS = 10
-GREY = bytes(v for v in range(256) for _ in range(3))
+PALETTE = bytes(x for v in range(256) for x in (v & 0xE0, v << 3 & 0xE0, v << 6 & 0xC0))
 
 
 @dataclass
@@ -89,14 +93,15 @@ def pack_codes(codes: np.ndarray, min_bits: int) -> bytes:
     return np.packbits(bits.astype(np.uint8)[np.arange(12)[None, :] < width[:, None]], bitorder="little").tobytes()
 
 
-def unpack_codes(stream: bytes, min_bits: int) -> Iterator[list[int]]:
+def unpack_codes(stream: bytes, min_bits: int) -> Iterator[np.ndarray]:
     """The codes between clear codes, up to the end code."""
     clear, end = 1 << min_bits, (1 << min_bits) + 1
     data = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.uint32)
     total, at = 8 * len(stream), 0
-    step = 4096
+    # About one code for two bytes of a short stream; a full table has fewer than 4096.
+    step = min(4096, max(64, len(stream)))
     while at < total:
-        held: list[int] = []
+        held: list[np.ndarray] = []
         known = 0
         while True:
             width = code_widths(known + step, min_bits)[known:]
@@ -110,41 +115,55 @@ def unpack_codes(stream: bytes, min_bits: int) -> Iterator[list[int]]:
             value &= ((np.uint32(1) << width.astype(np.uint32)) - np.uint32(1)).astype(np.uint32)
             stop = np.flatnonzero((value == clear) | (value == end))
             if len(stop):
-                held += value[: stop[0]].tolist()
                 at = int(offset[stop[0]] + width[stop[0]])
-                yield held
+                yield np.concatenate([*held, value[: stop[0]]])
                 if value[stop[0]] == end:
                     return
                 break
-            held += value.tolist()
+            held.append(value)
             known += len(value)
             at = int(offset[-1] + width[-1])
 
 
 def lzw_decode(stream: bytes, min_bits: int) -> bytes:
-    """The samples of a code stream."""
-    roots = [bytes([v]) for v in range(1 << min_bits)] + [b"", b""]
-    out: list[bytes] = []
-    emit = out.append
-    for codes in unpack_codes(stream, min_bits):
-        if not codes:
-            continue
-        table = roots.copy()
-        add = table.append
-        before = table[codes[0]]
-        emit(before)
-        for c in codes[1:]:
-            if c < len(table):
-                own = table[c]
-            elif c == len(table):
-                own = before + before[:1]
-            else:
-                raise ValueError("code beyond the table")
-            if len(table) < 4096:
-                add(before + own[:1])
-            emit(own)
-            before = own
-    return b"".join(out)
+    """The samples of a code stream, all codes of it at once.
+
+    The table entry of a code's number is the string of an earlier code and one sample
+    more, which is what the output has from that code's place on.  So each code points
+    to an earlier one; lengths add up along these pointers, and each sample is the one
+    at the end of its chain.  Both are followed in doubling steps.
+    """
+    parts = [c.astype(np.int64) for c in unpack_codes(stream, min_bits) if len(c)]
+    if not parts:
+        return b""
+    codes = np.concatenate(parts) if len(parts) > 1 else parts[0]
+    size = np.array([len(p) for p in parts])
+    begin = np.repeat(np.cumsum(size) - size, size)
+    entry = codes - ((1 << min_bits) + 2)
+    known = entry >= 0
+    if (entry >= np.arange(len(codes)) - begin).any():
+        raise ValueError("code beyond the table")
+    # A root is its own parent.
+    up = np.where(known, entry + begin, np.arange(len(codes)))
+    steps, to = known.astype(np.int64), up
+    while True:
+        further = to[to]
+        if np.array_equal(further, to):
+            break
+        steps, to = steps + steps[to], further
+    length = steps + 1
+    start = np.cumsum(length) - length
+    total = int(length.sum())
+    # Each sample's place in the entry's code; a root's sample is its own.
+    source = np.arange(total) + np.repeat(np.where(known, start[up] - start, 0), length)
+    while True:
+        further = source[source]
+        if np.array_equal(further, source):
+            break
+        source = further
+    out = np.zeros(total, np.uint8)
+    out[start[~known]] = codes[~known]
+    return out[source].tobytes()
 
 
 def _blocks(data: bytes) -> bytes:
@@ -152,11 +171,11 @@ def _blocks(data: bytes) -> bytes:
 
 
 def write_gif(payload: bytes, width: int = WIDTH, frame_rows: int = FRAME_ROWS, delay_cs: int = DELAY_CS) -> bytes:
-    """A payload, a positive multiple of ``width`` bytes, as frames of grey indices."""
+    """A payload, a positive multiple of ``width`` bytes, as frames of palette indices."""
     rows = len(payload) // width
     if not rows or len(payload) % width:
         raise ValueError(f"payload is no positive multiple of {width}")
-    out = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, frame_rows), 0xF7, 0, 0), GREY]
+    out = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, frame_rows), 0xF7, 0, 0), PALETTE]
     for top in range(0, rows, frame_rows):
         part = payload[top * width : (top + frame_rows) * width]
         out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, delay_cs, 0) + b"\0")
@@ -242,48 +261,74 @@ def read_frames(data: bytes) -> Iterator[Frame]:
         delay, disposal, clear_index = 0, 0, None
 
 
-def frame_table(df: DataFrame, id_col: str, gif_col: str) -> DataFrame:
-    """A row per frame of each GIF: its time, place, RGB canvas and histogram."""
+FRAME = pa.struct(
+    [("start_ms", pa.int64()), ("delay_ms", pa.int32()), ("left", pa.int32()), ("top", pa.int32()), ("columns", pa.int32()), ("rows", pa.int32()), ("samples", pa.binary()), ("rgb", pa.binary()), ("histogram", pa.list_(pa.int64()))]
+)
+FRAME_SQL = "struct<start_ms:bigint,delay_ms:int,left:int,top:int,columns:int,rows:int,samples:binary,rgb:binary,histogram:array<bigint>>"
+
+
+def stored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, image): each text as a GIF, padded by zeros to whole rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in slices(batches, "text", 4 << 20):
+            sizes, images = [], []
+            for text in b.column(1).to_pylist():
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                sizes.append(len(raw))
+                images.append(write_gif(raw + bytes(-len(raw) % WIDTH or (0 if raw else WIDTH))))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(images, pa.binary())], names=["id", "n_bytes", "image"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, n_bytes long, image binary")
+
+
+def with_frames(df: DataFrame, gif_col: str = "image", rgb: bool = False, out: str = "frames") -> DataFrame:
+    """Add an array of timed frames: place, palette indices as stored, histogram of the
+    composited canvas and, with ``rgb``, the canvas.  A null image has no frames."""
+    df = df.drop(out)
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T._parse_datatype_string(f"array<{FRAME_SQL}>"))])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in slices(batches, gif_col, 4 << 20):
-            for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                start = 0
-                for n, f in enumerate(read_frames(data) if data else ()):
-                    yield pa.RecordBatch.from_pydict(
-                        {"id": [key], "frame": [n], "start_ms": [start], "delay_ms": [f.delay_ms], "columns": [f.canvas.shape[1]], "rows": [f.canvas.shape[0]], "rgb": [f.canvas.tobytes()], "histogram": [f.histogram.tolist()]},
-                        schema=pa.schema([("id", pa.int64()), ("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int32()), ("columns", pa.int32()), ("rows", pa.int32()), ("rgb", pa.binary()), ("histogram", pa.list_(pa.int64()))]),
-                    )
+            rows = []
+            for data in b.column(b.schema.get_field_index(gif_col)).to_pylist():
+                own, start = [], 0
+                for f in read_frames(data) if data else ():
+                    h, w = f.canvas.shape[:2]
+                    own.append({"start_ms": start, "delay_ms": f.delay_ms, "left": f.left, "top": f.top, "columns": w, "rows": h, "samples": f.indices.tobytes(), "rgb": f.canvas.tobytes() if rgb else None, "histogram": f.histogram})
                     start += f.delay_ms
+                rows.append(own)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.list_(FRAME))], names=[*b.schema.names, out])
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(gif_col).alias(gif_col))
-    return rows.mapInArrow(run, "id long, frame int, start_ms long, delay_ms int, columns int, rows int, rgb binary, histogram array<long>")
+    return df.mapInArrow(run, schema)
 
 
-def media_row(text: str | None) -> tuple:
-    """Digests of a text stored as a GIF and read back."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
-    stored = write_gif(payload)
-    total, parts, n, ms = np.zeros(64, np.int64), [], 0, 0
-    for f in read_frames(stored):
-        parts.append(f.indices.tobytes())
-        total += f.histogram
-        n, ms = n + 1, ms + f.delay_ms
-    back = b"".join(parts)
-    feature = f"frames={n};ms={ms};colours=" + ",".join(f"{k}:{v}" for k, v in enumerate(total.tolist()) if v)
-    return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
+def frame_table(df: DataFrame, id_col: str, gif_col: str) -> DataFrame:
+    """A row per frame of each GIF: its time, place, RGB canvas and histogram."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(gif_col).alias("image"))
+    frames = with_frames(rows, "image", rgb=True).select("id", F.posexplode("frames").alias("frame", "f"))
+    return frames.select("id", "frame", *[f"f.{k}" for k in ("start_ms", "delay_ms", "columns", "rows", "rgb", "histogram")])
 
 
 def media_table(docs: DataFrame) -> DataFrame:
+    """Digests of the payload as read back from the stored images, and features of their frames."""
+    images = written(stored(docs), "images")
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in slices(batches, "text", 4 << 20):
-            rows = [media_row(t) for t in b.column(1).to_pylist()]
+        for b in slices(batches, "frames", 8 << 20):
+            rows, frames = [], b.column(4)
+            for i, (size, media_bytes, media_sha) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))):
+                own = frames.values.slice(frames.offsets[i].as_py(), frames.offsets[i + 1].as_py() - frames.offsets[i].as_py())
+                back = b"".join(own.field("samples").to_pylist())
+                colours = np.sum([x.values.to_numpy() for x in own.field("histogram")], 0)
+                told = f"frames={len(own)};ms={sum(own.field('delay_ms').to_pylist())};colours=" + ",".join(f"{k}:{v}" for k, v in enumerate(colours.tolist()) if v)
+                rows.append((size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), media_bytes, media_sha, told))
             cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", *names])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    told = images.select("id", "n_bytes", F.length("image").cast("long").alias("media_bytes"), F.sha2("image", 256).alias("media_sha256"), "image")
+    framed = with_frames(told, "image").drop("image")
+    return framed.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
