@@ -125,7 +125,7 @@ def fingerprints(df: DataFrame, width: int, id_col: str = "doc_id", text_col: st
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in slices(batches, text_col, 8 << 20):
+        for b in slices(batches, text_col, 4 << 20):
             fp = fingerprint_block(b.column(1).to_pylist(), width)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
@@ -228,58 +228,64 @@ def fingerprint_table(df: DataFrame) -> DataFrame:
 
 # --- Near copies by shingle similarity, for filtering a corpus -------------------
 #
-# Texts that share a given part of their shingles differ in some 15 % of their
-# fingerprint bits, too many for a radius of two.  So the fingerprint is longer,
-# and a table of references is made for each of many sets of places: a reference
-# differs from zero in one place, so that its distance less that to zero is the bit
-# there.  Texts that agree on all coordinates of some table are candidates, the
-# distance of the first 64 bits discards, and the shingle sets verify.
+# Texts that share four fifths of their shingles differ in some 15 % of their
+# fingerprint bits, unrelated ones in half.  Bucket keys of fingerprint bits or of
+# distances to references then need tables whose number grows with the corpus, as
+# unrelated texts meet by chance.  So bucket keys here are made of least shingle
+# hashes, which unrelated texts never share: their number is fixed.  Fingerprints
+# (256 bits) and their distances discard, and the shingle sets verify.
 
 SIMILAR_WORDS = 4
-#: Chance that a bit of two texts at the threshold differs, and of missing such a pair.
-SIMILAR_FLIP, SIMILAR_MISS = 0.1515, 0.033
-#: Texts that share a bucket by chance.
-SIMILAR_CROWD = 4
+#: Tables, and least hashes that make up the key of one.  At a similarity of 0.8 a
+#: pair shares a key of one table with a chance of 0.8 ** 5, of none with 0.0017.
+TABLES, MINIMA = 16, 5
 #: Of the first 64 bits; copies at a similarity of 0.8 differ in 10 with a deviation of 3.
 SIMILAR_MAX_BITS = 22
 #: Of all 256 bits: copies at 0.8 differ in 39 with a deviation of 6, others in 128.
 SIMILAR_ALL_BITS = 64
-#: Rows of a large bucket that are held at once.
-BUCKET_BLOCK = 1 << 16
 #: Parts of the hash range in the sketch of a text, a byte each.
 SKETCH = 256
-#: Rows of a large bucket that one task compares with as many others, and at once.
+#: Rows of a large group that one task takes with as many others, and at once.
 EXACT_BLOCK, EXACT_STRIP = 1 << 12, 32
 
 
-def table_shape(n: int) -> tuple[int, int]:
-    """(tables, places of each) for ``n`` texts: places so that few share a bucket by
-    chance, tables so that a pair at the threshold is missed in one of thirty cases."""
-    places = max(16, int(np.ceil(np.log2(max(1, n) / SIMILAR_CROWD))))
-    found = (1 - SIMILAR_FLIP) ** places
-    return int(np.ceil(np.log(SIMILAR_MISS) / np.log(1 - found))), places
+def min_keys(h: np.ndarray, lengths: np.ndarray, none: np.ndarray) -> np.ndarray:
+    """The bucket of each run of shingle hashes in each table: (runs, TABLES).
 
+    ``none`` is the key of a run without hashes.
+    """
+    rng = np.random.default_rng(818)
+    out = np.repeat(none[:, None], TABLES, 1)
+    full = np.flatnonzero(lengths)
+    if not len(full):
+        return out
+    starts = (np.cumsum(lengths) - lengths)[full]
+    for t in range(TABLES):
+        key = np.full(len(full), t + 1, np.uint64)
+        for mask, odd in rng.integers(0, 1 << 64, (MINIMA, 2), np.uint64, endpoint=False):
+            least = np.minimum.reduceat((h ^ mask) * (odd | np.uint64(1)), starts)
+            key = (key ^ least) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        out[full, t] = key
+    return out
 
-def wide_block(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """A hash of the word sequence, a fingerprint of ``SIMILAR_WORDS`` longs and a
-    sketch per text.  A shingle counts once, however often the text repeats it: the
-    fingerprints of equal sets are equal."""
-    sets, keys = [], []
-    for text in texts:
-        key, parts = xxhash.xxh3_64(), []
-        for words in word_pieces((text or "").encode("utf-8", "surrogatepass").lower(), width):
-            parts.append(shingle_hashes(words, width))
-            key.update(parts[-1].tobytes())
-        sets.append(np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64))
-        keys.append(key.intdigest())
+
+def wide_block(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """A hash of the word sequence, a fingerprint of ``SIMILAR_WORDS`` longs, a sketch
+    and the bucket keys per text.  A shingle counts once, however often the text
+    repeats it: the fingerprints of equal sets are equal."""
+    keys, sets = zip(*[keyed_set(t, width) for t in texts]) if texts else ((), ())
+    node = np.array(keys, np.uint64)
     fp = np.zeros((len(texts), SIMILAR_WORDS), np.uint64)
+    buckets = np.zeros((len(texts), TABLES), np.uint64)
     if texts:
         h, n = np.concatenate(sets), np.array([len(x) for x in sets])
+        buckets = min_keys(h, n, node)
         for w in range(SIMILAR_WORDS):
             fp[:, w] = np.packbits(2 * bit_counts(h, n) > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-    return np.array(keys, np.uint64), fp, [sketch(x).tobytes() for x in sets]
+    return node, fp, [sketch(x).tobytes() for x in sets], buckets
 
 
 def sketch(own: np.ndarray) -> np.ndarray:
@@ -315,143 +321,159 @@ def unlinked_pairs(component: np.ndarray, fp: np.ndarray, sketches: np.ndarray,
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def table_buckets(fp: np.ndarray, tables: int, places: int) -> np.ndarray:
-    """The bucket of each fingerprint in each table: (fingerprints, tables)."""
-    rng = np.random.default_rng(818)
-    at = np.stack([rng.choice(64 * SIMILAR_WORDS, places, replace=False) for _ in range(tables)])
-    bits = np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
-    code = np.zeros((len(fp), tables), np.int64)
-    for k in range(places):
-        code |= bits[:, at[:, k]].astype(np.int64) << np.int64(k)
-    return code | np.arange(tables, dtype=np.int64)[None, :] << np.int64(places)
-
-
-def near_in_runs(bucket: np.ndarray, node: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within runs of one bucket, each of few rows."""
-    left, right = [], []
+def near_in_runs(run: np.ndarray, node: np.ndarray, bits: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within runs of few rows that are of different components and that the
+    first 64 bits leave."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     bits = bits.view(np.uint64)  # of a signed number, bitwise_count takes the absolute value
-    for gap in range(1, len(bucket)):
-        at = np.flatnonzero(bucket[:-gap] == bucket[gap:])
+    for gap in range(1, len(run)):
+        at = np.flatnonzero(run[:-gap] == run[gap:])
         if not len(at):
             break
-        at = at[np.bitwise_count(bits[at] ^ bits[at + gap]) <= SIMILAR_MAX_BITS]
+        at = at[(component[at] != component[at + gap]) & (np.bitwise_count(bits[at] ^ bits[at + gap]) <= SIMILAR_MAX_BITS)]
         left.append(node[at])
         right.append(node[at + gap])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
-
-
-def near_middle(node: np.ndarray, bits: np.ndarray, lead: tuple[int, int] | None) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
-    """Pairs of each row of a large bucket with the row nearest to the majority
-    fingerprint of its block; ``lead`` is that row of the bucket's first block."""
-    ones = np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    majority = np.packbits(2 * ones > len(bits), bitorder="little").view(np.uint64)[0]
-    away = np.bitwise_count(bits.view(np.uint64) ^ majority)
-    at = int(np.lexsort((node, away))[0])
-    near = np.bitwise_count((bits ^ bits[at]).view(np.uint64)) <= SIMILAR_MAX_BITS
-    near[at] = False
-    left, right = np.full(int(near.sum()), node[at]), node[near]
-    own = (int(node[at]), int(bits[at]))
-    if lead is not None:
-        left, right = np.append(left, lead[0]), np.append(right, own[0])
-    return left, right, lead or own
-
-
-def bucket_pairs(batches: Iterator[pa.RecordBatch], cap: int = BUCKET_CAP) -> Iterator[pa.RecordBatch]:
-    """Candidates (a, b) from rows (bucket, node, bits) in order of the bucket, and
-    each row of a large bucket as ``large`` with its bucket and node.
-
-    Only the rows of the bucket that goes on are kept from batch to batch, and a
-    large bucket passes in blocks.
+    x, y = np.concatenate(left), np.concatenate(right)
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def middles(starts: np.ndarray, node: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For runs that begin at ``starts``: the row of each row's middle, which rows are
+    middles, and how many of the first 64 bits a row differs from its middle in.
+
+    The middle of a run is the row nearest to its majority fingerprint.
     """
-    held = [np.zeros(0, np.int64)] * 3
-    lead: tuple[int, int] | None = None  # of the open bucket, once it is large
-
-    def told(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
-        return marked(np.minimum(left, right), np.maximum(left, right), False)
-
-    def marked(a: np.ndarray, b: np.ndarray, large: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), large))], names=["a", "b", "large"])
-
-    def closed(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        nonlocal lead
-        bucket, node, bits = rows
-        edge = np.flatnonzero(np.diff(bucket)) + 1
-        starts, ends = np.append(0, edge), np.append(edge, len(bucket))
-        size = ends - starts
-        for k in np.flatnonzero(size > cap).tolist() + ([0] if lead is not None and size[0] <= cap else []):
-            s, e = starts[k], ends[k]
-            left, right, _ = near_middle(node[s:e], bits[s:e], lead if k == 0 else None)
-            yield told(left, right)
-            yield marked(bucket[s:e], node[s:e], True)
-        small = np.repeat(size <= cap, size)
-        if lead is not None:
-            small[: ends[0]] = False
-        lead = None
-        yield told(*near_in_runs(bucket[small], node[small], bits[small]))
-
-    for b in batches:
-        rows = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns)]
-        if not len(rows[0]):
-            continue
-        last = int(np.searchsorted(rows[0], rows[0][-1]))
-        if last:
-            yield from closed([r[:last] for r in rows])
-        held = [r[last:] for r in rows]
-        while len(held[0]) >= BUCKET_BLOCK:
-            left, right, lead = near_middle(held[1][:BUCKET_BLOCK], held[2][:BUCKET_BLOCK], lead)
-            yield told(left, right)
-            yield marked(held[0][:BUCKET_BLOCK], held[1][:BUCKET_BLOCK], True)
-            held = [r[BUCKET_BLOCK:] for r in held]
-    if len(held[0]):
-        yield from closed(held)
-
-
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """The distinct shingle hashes of a text, sorted."""
-    parts = [shingle_hashes(w, width) for w in word_pieces((text or "").encode("utf-8", "surrogatepass").lower(), width)]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-
-
-def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    size = np.diff(np.append(starts, len(node)))
+    run = np.repeat(np.arange(len(starts)), size)
+    ones = np.add.reduceat(np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32), starts, axis=0)
+    majority = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    away = np.bitwise_count(bits.view(np.uint64) ^ majority[run])
+    order = np.lexsort((node, away, run))
+    hub = order[starts][run]
+    return hub, hub == np.arange(len(node)), np.bitwise_count((bits ^ bits[hub]).view(np.uint64)).astype(np.int64)
+
+
+def keyed_set(text: str | None, width: int) -> tuple[int, np.ndarray]:
+    """The hash of a text's word sequence and its distinct shingle hashes, sorted."""
+    key, parts = xxhash.xxh3_64(), [np.zeros(0, np.uint64)]
+    for words in word_pieces((text or "").encode("utf-8", "surrogatepass").lower(), width):
+        parts.append(shingle_hashes(words, width))
+        key.update(parts[-1].tobytes())
+    return key.intdigest(), np.unique(np.concatenate(parts))
+
+
+def heavy_hubs(heavy: DataFrame) -> DataFrame:
+    """(node, hub, away): a middle for each row of a large bucket (bucket, node, bits, n).
+
+    A bucket is dealt in blocks; each has its middle, and the middles are rows of the
+    next round, until a bucket has one.  No task takes more than a few blocks.
+    """
+
+    def middle(cell: pa.Table) -> pa.Table:
+        node, bits = (cell.column(c).to_numpy() for c in ("node", "bits"))
+        hub, lead, away = middles(np.zeros(1, np.int64), node, bits)
+        return pa.table({"bucket": cell.column("bucket"), "node": node, "hub": node[hub], "away": away, "bits": bits, "lead": lead})
+
+    out, level = None, heavy.select("bucket", "node", "bits", "n")
+    while True:
+        cells = level.withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("n") / EXACT_BLOCK)))
+        cells = cells.select("bucket", "part", "node", "bits").groupBy("bucket", "part")
+        told = written(cells.applyInArrow(middle, "bucket long, node long, hub long, away long, bits long, lead boolean"), "hubs")
+        own = told.where("not lead").select("node", "hub", "away")
+        out = own if out is None else out.unionByName(own)
+        leads = told.where("lead").select("bucket", "node", "bits")
+        level = leads.join(leads.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
+        level = written(level, "leads")
+        if level.isEmpty():
+            return out
+
+
+def rare_groups(grams: DataFrame, threshold: float) -> DataFrame:
+    """(h, node): each text under its rarest shingles, so many that two texts at the
+    threshold share one of them.
+
+    ``grams`` has the sorted shingle hashes of each node.  Of n shingles, in one order
+    for all texts, texts that share ``threshold`` of their union share one of the first
+    n - ceil(threshold * n) + 1.  The order is by the number of texts that have a
+    shingle: what many have comes last.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]):
+        for b in slices(batches, "grams", 4 << 20):
+            held = b.column(1).to_pylist()
+            n = np.array([len(x) // 8 for x in held])
+            h = np.frombuffer(b"".join(held), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(n, n), pa.int64())], names=["h", "node", "n"])
+
+    rows = written(grams.select("node", "grams").mapInArrow(spread, "h long, node long, n long"), "rare-grams")
+    counts = written(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "rare-counts")
+    # Shingles of one text only come first in its order, and meet no other.
+    first = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("own"))
+    held = rows.join(counts, "h").groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.struct("df", "h")).alias("own"))
+    held = held.withColumn("first", first.cast("int")).where("first > 0")
+    return held.select("node", F.explode(F.slice(F.array_sort("own"), 1, F.col("first"))).alias("g")).select(F.col("g.h").alias("h"), "node")
+
+
+def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, cap: int = BUCKET_CAP) -> DataFrame:
     """(doc_id, component_id): the smallest id of each group of near copies.
 
     Two texts are linked where the Jaccard similarity of their shingle sets is
     ``threshold`` or more; groups are the components of the links.  Candidates come
-    from the tables above; a bucket of up to ``BUCKET_CAP`` texts gives all pairs.
-    A larger one first gives pairs of each text with the text nearest to the majority
-    fingerprint of its block, so that a group of thousands gives a row per text and
-    table; once these are verified, all texts of such a bucket that are not linked yet
-    are compared with each other in blocks.  Texts without words form one group; rows
-    without ``doc_id`` are left out.
+    from a fixed number of tables.  First each text is held against the nearest of the
+    middle texts of its buckets, so that a group of thousands costs a pair per text.
+    Texts that share a bucket and are not linked yet are then compared exactly: in
+    buckets of up to ``cap`` texts all pairs that the first 64 bits leave; of larger
+    ones all that share one of their rarest shingles (``rare_groups`` misses no pair),
+    in blocks, by 256 bits; all by their sets in the end.
+    Texts without words form one group; rows without ``doc_id`` are left out.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
     def marks(batches: Iterator[pa.RecordBatch]):
-        for b in slices(batches, "text", 8 << 20):
-            key, fp, held = wide_block(b.column(1).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key.view(np.int64)), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(held, pa.binary())], names=["doc_id", "node", "fp", "sketch"])
-
-    own = written(rows.mapInArrow(marks, "doc_id long, node long, fp binary, sketch binary"), "wide")
-    distinct = written(own.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "wide-distinct")
+        for b in slices(batches, "text", 4 << 20):
+            key, fp, held, buckets = wide_block(b.column(1).to_pylist(), width)
+            cols = [pa.array([x.tobytes() for x in v], pa.binary()) for v in (fp, buckets)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key.view(np.int64)), cols[0], pa.array(held, pa.binary()), cols[1]], names=["doc_id", "node", "fp", "sketch", "keys"])
 
-    tables, places = table_shape(distinct.count())
+    own = written(rows.mapInArrow(marks, "doc_id long, node long, fp binary, sketch binary, keys binary"), "wide")
+    distinct = own.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("fp", "sketch", "keys")])
+    distinct = written(distinct, "wide-distinct")
 
     def expand(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            node, held = b.column(0).to_numpy(), b.column(1).to_pylist()
-            for at in range(0, len(node), 4096):
-                fp = np.frombuffer(b"".join(held[at : at + 4096]), np.uint64).reshape(-1, SIMILAR_WORDS)
-                bucket = table_buckets(fp, tables, places)
-                first = fp[:, 0].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), pa.array(np.repeat(node[at : at + 4096], tables)), pa.array(np.repeat(first, tables))], names=["bucket", "node", "bits"])
-
-    table = distinct.select("node", "fp").mapInArrow(expand, "bucket long, node long, bits long")
-    # One shuffle of 24 bytes a row; every bucket is then one run.
-    dealt = table.repartition("bucket").sortWithinPartitions("bucket", "node")
-    cap = BUCKET_CAP
-    dealt = written(dealt.mapInArrow(lambda batches: bucket_pairs(batches, cap), "a long, b long, large boolean"), "dealt")
-    pairs = dealt.where("not large").select("a", "b").distinct()
+            node = b.column(0).to_numpy()
+            first = np.array([x[:8] for x in b.column(1).to_pylist()], "S8").view(np.int64) if b.num_rows else np.zeros(0, np.int64)
+            buckets = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(np.repeat(node, TABLES)), pa.array(np.repeat(first, TABLES))], names=["bucket", "node", "bits"])
+
+    table = written(distinct.select("node", "fp", "keys").mapInArrow(expand, "bucket long, node long, bits long"), "tables")
+    sizes = written(table.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    shared = written(table.join(sizes, "bucket").select("bucket", "node", "bits", "n"), "shared")
+
+    def hubs_of(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            held = b.column(0)
+            node, bits = (x.to_numpy() for x in held.flatten().flatten())
+            starts = held.offsets.to_numpy()
+            hub, lead, away = middles(starts[:-1] - starts[0], node, bits) if len(held) else (np.zeros(0, np.int64),) * 3
+            rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (node, node[hub], away)], names=["node", "hub", "away"])
+            yield rows.filter(pa.array(~lead.astype(bool)))
+
+    def pairs_of(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            held = b.column(0)
+            node, bits, component = (x.to_numpy() for x in held.flatten().flatten())
+            run = np.repeat(np.arange(len(held)), np.diff(held.offsets.to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in near_in_runs(run, node, bits, component)], names=["a", "b"])
+
+    light = shared.where(F.col("n") <= cap).groupBy("bucket").agg(F.collect_list(F.struct("node", "bits")).alias("own"))
+    hubs = light.select("own").mapInArrow(hubs_of, "node long, hub long, away long")
+    heavy = shared.where(F.col("n") > cap)
+    if large := not heavy.isEmpty():
+        hubs = hubs.unionByName(heavy_hubs(heavy))
+    # The nearest middle of each text.
+    first = hubs.where(F.col("away") <= SIMILAR_MAX_BITS).groupBy("node").agg(F.min(F.struct("away", "hub"))["hub"].alias("hub"))
+    first = written(first.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "nearest")
     # All bits of both before any text is fetched: chance pairs end here.
     sides = [distinct.select(F.col("node").alias(k), F.col("fp").alias(f"f{k}")) for k in "ab"]
 
@@ -461,31 +483,35 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> D
             near = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= SIMILAR_ALL_BITS
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(near))
 
-    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "fa", "fb")
-    pairs = written(both.mapInArrow(screen, "a long, b long"), "candidates")
+    def screened(pairs: DataFrame, name: str) -> DataFrame:
+        both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "fa", "fb")
+        return written(both.mapInArrow(screen, "a long, b long"), name)
 
     def sets(batches: Iterator[pa.RecordBatch]):
-        for b in slices(batches, "text", 8 << 20):
-            texts = b.column(1).to_pylist()
-            held = [shingle_set(t, width).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary())], names=["node", "grams"])
+        for b in slices(batches, "text", 4 << 20):
+            held = [keyed_set(t, width) for t in b.column(1).to_pylist()]
+            # Rows that share a doc_id may differ in text: only the node's own text counts.
+            own = np.array([k for k, _ in held], np.uint64).view(np.int64) == b.column(0).to_numpy()
+            out = pa.RecordBatch.from_arrays([b.column(0), pa.array([g.tobytes() for _, g in held], pa.binary())], names=["node", "grams"])
+            yield out.filter(pa.array(own))
 
     def verify(batches: Iterator[pa.RecordBatch]):
         for b in slices(batches, "ga", 8 << 20):
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = 0
+                common = 0
                 if min(len(x), len(y)) >= threshold * max(len(x), len(y)):
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= threshold * (len(x) + len(y) - shared))
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= threshold * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        needed = distinct.join(needed, "node").select("node", F.col("low").alias("doc_id"))
-        grams = rows.join(needed, "doc_id").select("node", "text").mapInArrow(sets, "node long, grams binary")
-        grams = written(grams.groupBy("node").agg(F.first("grams").alias("grams")), f"grams-{name}")
+    # The sets of all texts that share a bucket; texts are shuffled once.
+    needed = distinct.join(shared.select("node").distinct(), "node").select("node", F.col("low").alias("doc_id"))
+    grams = rows.join(needed, "doc_id").select("node", "text").mapInArrow(sets, "node long, grams binary")
+    grams = written(grams.groupBy("node").agg(F.first("grams").alias("grams")), "grams")
+
+    def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(grams.withColumnRenamed("node", "a").withColumnRenamed("grams", "ga"), "a")
         both = both.join(grams.withColumnRenamed("node", "b").withColumnRenamed("grams", "gb"), "b").select("a", "b", "ga", "gb")
         return both.mapInArrow(verify, "a long, b long")
@@ -502,19 +528,25 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> D
         x, y = x[once], y[once]
         return pa.table({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])})
 
-    found = connected_components(verified(pairs, "first"), "similar")
-    large = dealt.where("large").select(F.col("a").alias("bucket"), F.col("b").alias("node"))
-    large = large.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    large = written(large, "large")
+    found = connected_components(verified(screened(first, "first")), "similar")
+    named = shared.join(found, "node", "left").select("bucket", "node", "bits", "n", F.coalesce("component", "node").alias("component"))
+    named = written(named, "named")
     # Buckets of one component have nothing to add.
-    open_ = large.groupBy("bucket").agg(F.ceil(F.count("*") / EXACT_BLOCK).cast("int").alias("parts"), F.min("component").alias("x"), F.max("component").alias("y"))
-    open_ = written(open_.where("x <> y").select("bucket", "parts"), "open")
-    if not open_.isEmpty():
-        cells = large.join(open_, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-        cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        cells = cells.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).join(distinct.select("node", "fp", "sketch"), "node")
-        more = cells.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
-        more = written(verified(written(more, "more"), "more"), "more-links")
+    open_ = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    left = written(named.join(open_, "bucket", "left_semi"), "open")
+    if not left.isEmpty():
+        light = left.where(F.col("n") <= cap).groupBy("bucket").agg(F.collect_list(F.struct("node", "bits", "component")).alias("own"))
+        more = light.select("own").mapInArrow(pairs_of, "a long, b long")
+        if large:
+            left = left.where(F.col("n") > cap).select("node", "component").distinct()
+            rare = written(rare_groups(grams.join(left.select("node"), "node", "left_semi"), threshold).join(left, "node"), "rare")
+            most = rare.groupBy("h").agg(F.ceil(F.count("*") / EXACT_BLOCK).cast("int").alias("parts"), F.min("component").alias("x"), F.max("component").alias("y"))
+            most = written(most.where("x <> y").select("h", "parts"), "rare-open")
+            cells = rare.join(most, "h").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+            cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            cells = cells.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).join(distinct.select("node", "fp", "sketch"), "node")
+            more = more.unionByName(cells.groupBy("h", "i", "j").applyInArrow(compare, "a long, b long"))
+        more = written(verified(screened(more.distinct().join(first, ["a", "b"], "left_anti"), "more")), "more-links")
         if not more.isEmpty():
             known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
             found = connected_components(known.unionByName(more), "similar-more")
