@@ -7,7 +7,9 @@ it only, so their distance less the distance to the zero reference depends on th
 bits of that band alone.  Two fingerprints that differ in at most ``max_bits``
 bits leave all but ``max_bits`` bands untouched, hence agree on the coordinates of
 some choice of the other bands; each choice gives one bucket key (a hash of its
-coordinates), and no linked pair lacks a common bucket.  Pairs of a bucket are
+coordinates), and no linked pair lacks a common bucket.  (As the references of a band
+are independent, their distances determine its bits: a key amounts to the bits of two
+bands of sixteen.  That is what makes it lossless.)  Pairs of a bucket are
 discarded where any coordinate to further references differs by more than
 ``max_bits`` (triangle inequality), and survivors are verified bit by bit.
 
@@ -243,8 +245,10 @@ TABLES, MINIMA = 16, 5
 SIMILAR_MAX_BITS = 22
 #: Of all 256 bits: copies at 0.8 differ in 39 with a deviation of 6, others in 128.
 SIMILAR_ALL_BITS = 64
-#: Parts of the hash range in the sketch of a text, a byte each.
-SKETCH = 256
+#: Texts of a bucket up to which all its pairs are formed.
+SIMILAR_CAP = 64
+#: Bits that tell texts worth a second look apart: 16 MB, whatever the corpus.
+NEEDED_BITS = 1 << 27
 #: Rows of a large group that one task takes with as many others, and at once.
 EXACT_BLOCK, EXACT_STRIP = 1 << 12, 32
 
@@ -270,9 +274,9 @@ def min_keys(h: np.ndarray, lengths: np.ndarray, none: np.ndarray) -> np.ndarray
     return out
 
 
-def wide_block(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """A hash of the word sequence, a fingerprint of ``SIMILAR_WORDS`` longs, a sketch
-    and the bucket keys per text.  A shingle counts once, however often the text
+def wide_block(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of the word sequence, a fingerprint of ``SIMILAR_WORDS`` longs and the
+    bucket keys per text.  A shingle counts once, however often the text
     repeats it: the fingerprints of equal sets are equal."""
     keys, sets = zip(*[keyed_set(t, width) for t in texts]) if texts else ((), ())
     node = np.array(keys, np.uint64)
@@ -285,40 +289,40 @@ def wide_block(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndar
             fp[:, w] = np.packbits(2 * bit_counts(h, n) > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-    return node, fp, [sketch(x).tobytes() for x in sets], buckets
+    return node, fp, buckets
 
 
-def sketch(own: np.ndarray) -> np.ndarray:
-    """A byte of the least of the sorted hashes in each part of their range, 0 where none is."""
-    at = np.searchsorted(own, np.arange(SKETCH, dtype=np.uint64) << np.uint64(56))
-    full = np.append(at[1:], len(own)) > at
-    out = np.zeros(SKETCH, np.uint8)
-    out[full] = 1 + own[at[full]] % np.uint64(255)
-    return out
-
-
-def unlinked_pairs(component: np.ndarray, fp: np.ndarray, sketches: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (row of ``left``, row of ``right``) of different components that may
-    reach the threshold by their bits and by their sketches.
+def links_in_cell(node: np.ndarray, component: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of ``left`` and ``right`` that join all components that any pair
+    of them at the threshold joins; texts linked already are not compared again.
 
-    The sketches agree in a part of their filled places with the similarity as mean;
-    a pair at the threshold is let go below four deviations only.
+    Pairs that 256 bits leave are measured exactly: the shingles that two texts have
+    at least are numbered, and each text is a row of bits.
     """
-    out = [(np.zeros(0, np.int64),) * 2]
+    size = np.array([len(x) for x in sets])
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column, held = np.cumsum(count > 1) - 1, (count > 1)[place]
+    owner, column = np.repeat(np.arange(len(sets)), size)[held], column[place[held]]
+    rows = np.zeros((len(sets), int((count > 1).sum()) // 64 + 1), np.uint64)
+    np.bitwise_or.at(rows, (owner, column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+    component, a, b = component.copy(), [], []
     for at in range(0, len(left), EXACT_STRIP):
         strip = left[at : at + EXACT_STRIP]
-        near = component[strip][:, None] != component[right][None, :]
-        away = np.zeros(near.shape, np.uint16)
+        away = np.zeros((len(strip), len(right)), np.uint16)
         for w in range(SIMILAR_WORDS):
             away += np.bitwise_count(fp[strip, w][:, None] ^ fp[right, w][None, :])
-        x, y = np.nonzero(near & (away <= SIMILAR_ALL_BITS))
-        x, y = strip[x], right[y]
-        a, b = sketches[x], sketches[y]
-        filled = np.count_nonzero(a | b, axis=1)
-        same = np.count_nonzero((a == b) & (a != 0), axis=1)
-        may = same >= threshold * filled - 4 * np.sqrt(threshold * (1 - threshold) * filled)
-        out.append((x[may], y[may]))
-    return tuple(np.concatenate(c) for c in zip(*out))
+        for x, near in zip(strip.tolist(), away <= SIMILAR_ALL_BITS):
+            others = right[near & (component[right] != component[x])]
+            if not len(others):
+                continue
+            common = np.bitwise_count(rows[others] & rows[x]).sum(1, dtype=np.int64)
+            for y in others[common >= threshold * (size[x] + size[others] - common)].tolist():
+                if component[y] != component[x]:
+                    a.append(node[x])
+                    b.append(node[y])
+                    component[component == component[y]] = component[x]
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    return np.minimum(a, b), np.maximum(a, b)
 
 
 def near_in_runs(run: np.ndarray, node: np.ndarray, bits: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -362,6 +366,18 @@ def keyed_set(text: str | None, width: int) -> tuple[int, np.ndarray]:
     return key.intdigest(), np.unique(np.concatenate(parts))
 
 
+def marked_ids(ids: DataFrame, bits: int = NEEDED_BITS) -> np.ndarray:
+    """A bit map of bounded size in which the bits of all ids are set."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
+    rows = ids.select(place.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows.toLocalIterator():
+        piece = np.frombuffer(r["m"], np.uint8)
+        at = (r["k"] - 1) * len(piece)
+        out[at : at + len(piece)] = piece[: len(out) - at]
+    return out
+
+
 def heavy_hubs(heavy: DataFrame) -> DataFrame:
     """(node, hub, away): a middle for each row of a large bucket (bucket, node, bits, n).
 
@@ -414,7 +430,7 @@ def rare_groups(grams: DataFrame, threshold: float) -> DataFrame:
     return held.select("node", F.explode(F.slice(F.array_sort("own"), 1, F.col("first"))).alias("g")).select(F.col("g.h").alias("h"), "node")
 
 
-def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, cap: int = BUCKET_CAP) -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, cap: int = SIMILAR_CAP) -> DataFrame:
     """(doc_id, component_id): the smallest id of each group of near copies.
 
     Two texts are linked where the Jaccard similarity of their shingle sets is
@@ -424,19 +440,19 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, cap:
     Texts that share a bucket and are not linked yet are then compared exactly: in
     buckets of up to ``cap`` texts all pairs that the first 64 bits leave; of larger
     ones all that share one of their rarest shingles (``rare_groups`` misses no pair),
-    in blocks, by 256 bits; all by their sets in the end.
+    in blocks that give out no more links than they have texts.
     Texts without words form one group; rows without ``doc_id`` are left out.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
     def marks(batches: Iterator[pa.RecordBatch]):
         for b in slices(batches, "text", 4 << 20):
-            key, fp, held, buckets = wide_block(b.column(1).to_pylist(), width)
+            key, fp, buckets = wide_block(b.column(1).to_pylist(), width)
             cols = [pa.array([x.tobytes() for x in v], pa.binary()) for v in (fp, buckets)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key.view(np.int64)), cols[0], pa.array(held, pa.binary()), cols[1]], names=["doc_id", "node", "fp", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key.view(np.int64)), *cols], names=["doc_id", "node", "fp", "keys"])
 
-    own = written(rows.mapInArrow(marks, "doc_id long, node long, fp binary, sketch binary, keys binary"), "wide")
-    distinct = own.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("fp", "sketch", "keys")])
+    own = written(rows.mapInArrow(marks, "doc_id long, node long, fp binary, keys binary"), "wide")
+    distinct = own.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("fp", "keys")])
     distinct = written(distinct, "wide-distinct")
 
     def expand(batches: Iterator[pa.RecordBatch]):
@@ -472,8 +488,7 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, cap:
     if large := not heavy.isEmpty():
         hubs = hubs.unionByName(heavy_hubs(heavy))
     # The nearest middle of each text.
-    first = hubs.where(F.col("away") <= SIMILAR_MAX_BITS).groupBy("node").agg(F.min(F.struct("away", "hub"))["hub"].alias("hub"))
-    first = written(first.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "nearest")
+    nearest = hubs.where(F.col("away") <= SIMILAR_MAX_BITS).groupBy("node").agg(F.min(F.struct("away", "hub"))["hub"].alias("hub"))
     # All bits of both before any text is fetched: chance pairs end here.
     sides = [distinct.select(F.col("node").alias(k), F.col("fp").alias(f"f{k}")) for k in "ab"]
 
@@ -487,48 +502,62 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, cap:
         both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "fa", "fb")
         return written(both.mapInArrow(screen, "a long, b long"), name)
 
-    def sets(batches: Iterator[pa.RecordBatch]):
-        for b in slices(batches, "text", 4 << 20):
-            held = [keyed_set(t, width) for t in b.column(1).to_pylist()]
-            # Rows that share a doc_id may differ in text: only the node's own text counts.
-            own = np.array([k for k, _ in held], np.uint64).view(np.int64) == b.column(0).to_numpy()
-            out = pa.RecordBatch.from_arrays([b.column(0), pa.array([g.tobytes() for _, g in held], pa.binary())], names=["node", "grams"])
-            yield out.filter(pa.array(own))
+    def overlap(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+            return False
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return common >= threshold * (len(x) + len(y) - common)
 
     def verify(batches: Iterator[pa.RecordBatch]):
         for b in slices(batches, "ga", 8 << 20):
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = 0
-                if min(len(x), len(y)) >= threshold * max(len(x), len(y)):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= threshold * (len(x) + len(y) - common))
+            keep = [overlap(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # The sets of all texts that share a bucket; texts are shuffled once.
-    needed = distinct.join(shared.select("node").distinct(), "node").select("node", F.col("low").alias("doc_id"))
-    grams = rows.join(needed, "doc_id").select("node", "text").mapInArrow(sets, "node long, grams binary")
-    grams = written(grams.groupBy("node").agg(F.first("grams").alias("grams")), "grams")
+    # The sets of all texts that share a bucket.  The bit map leaves out most others
+    # before their sets are made, and the join those that it cannot tell apart; no text
+    # is shuffled.
+    nearest = screened(nearest.select(F.col("node").alias("a"), F.col("hub").alias("b")), "nearest").withColumnsRenamed({"a": "node", "b": "hub"})
+    heads = nearest.select(F.col("hub").alias("node")).distinct().withColumn("head", F.lit(True))
+    needed = distinct.select("node", F.col("low").alias("doc_id")).join(shared.select("node").distinct(), "node")
+    needed = written(needed.join(nearest, "node", "left").join(heads, "node", "left"), "needed")
+    marked = docs.sparkSession.sparkContext.broadcast(marked_ids(needed))
+
+    def sets(batches: Iterator[pa.RecordBatch]):
+        bits = marked.value
+        for b in batches:
+            place = b.column(2).to_numpy()
+            b = b.filter(pa.array((bits[place >> 3] >> (place & 7) & 1).astype(bool)))
+            for part in slices([b], "text", 4 << 20):
+                held = [keyed_set(t, width) for t in part.column(1).to_pylist()]
+                node = np.array([k for k, _ in held], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), pa.array([g.tobytes() for _, g in held], pa.binary())], names=["doc_id", "node", "grams"])
+
+    found_sets = rows.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(NEEDED_BITS))).mapInArrow(sets, "doc_id long, node long, grams binary")
+    grams = written(found_sets.join(needed, ["node", "doc_id"]).select("node", "hub", "head", "grams"), "grams")
+    if not grams.groupBy("node").count().where("count > 1").isEmpty():  # repeated rows
+        grams = written(grams.groupBy("node").agg(*[F.first(c).alias(c) for c in ("hub", "head", "grams")]), "grams-once")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(grams.withColumnRenamed("node", "a").withColumnRenamed("grams", "ga"), "a")
-        both = both.join(grams.withColumnRenamed("node", "b").withColumnRenamed("grams", "gb"), "b").select("a", "b", "ga", "gb")
+        both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
+        both = both.join(grams.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b").select("a", "b", "ga", "gb")
         return both.mapInArrow(verify, "a long, b long")
 
     def compare(cell: pa.Table) -> pa.Table:
         node, component, part = (cell.column(c).to_numpy() for c in ("node", "component", "part"))
         fp = np.frombuffer(b"".join(cell.column("fp").to_pylist()), np.uint64).reshape(-1, SIMILAR_WORDS)
-        sketches = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        sets = [np.frombuffer(g, np.uint64) for g in cell.column("grams").to_pylist()]
         first = part == part.min()
         # A block meets another one, or itself.
         left, right = np.flatnonzero(first), np.flatnonzero(~first)
-        x, y = unlinked_pairs(component, fp, sketches, left, right if len(right) else left, threshold)
-        once = (x < y) | (len(right) > 0)
-        x, y = x[once], y[once]
-        return pa.table({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])})
-
-    found = connected_components(verified(screened(first, "first")), "similar")
+        a, b = links_in_cell(node, component, fp, sets, left, right if len(right) else left, threshold)
+        return pa.table({"a": a, "b": b})
+
+    # Each set travels once, to that of its middle.
+    members = grams.where("hub is not null").select("hub", F.col("node").alias("a"), F.col("grams").alias("ga"))
+    middle_sets = grams.where("head").select(F.col("node").alias("hub"), F.col("grams").alias("gb"))
+    first = members.join(middle_sets, "hub").select("a", F.col("hub").alias("b"), "ga", "gb")
+    found = connected_components(first.mapInArrow(verify, "a long, b long"), "similar")
     named = shared.join(found, "node", "left").select("bucket", "node", "bits", "n", F.coalesce("component", "node").alias("component"))
     named = written(named, "named")
     # Buckets of one component have nothing to add.
@@ -536,17 +565,23 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, cap:
     left = written(named.join(open_, "bucket", "left_semi"), "open")
     if not left.isEmpty():
         light = left.where(F.col("n") <= cap).groupBy("bucket").agg(F.collect_list(F.struct("node", "bits", "component")).alias("own"))
-        more = light.select("own").mapInArrow(pairs_of, "a long, b long")
+        tried = nearest.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        pairs = light.select("own").mapInArrow(pairs_of, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+        more = verified(screened(pairs, "more"))
         if large:
             left = left.where(F.col("n") > cap).select("node", "component").distinct()
             rare = written(rare_groups(grams.join(left.select("node"), "node", "left_semi"), threshold).join(left, "node"), "rare")
-            most = rare.groupBy("h").agg(F.ceil(F.count("*") / EXACT_BLOCK).cast("int").alias("parts"), F.min("component").alias("x"), F.max("component").alias("y"))
-            most = written(most.where("x <> y").select("h", "parts"), "rare-open")
+            # Shingles of one passage have the same texts: these meet once.
+            same = [F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("t")]
+            most = rare.groupBy("h").agg(*same, F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+            most = most.groupBy("n", "s", "t").agg(F.min("h").alias("h")).select("h", F.ceil(F.col("n") / EXACT_BLOCK).cast("int").alias("parts"))
+            most = written(most, "rare-open")
             cells = rare.join(most, "h").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
             cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            cells = cells.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).join(distinct.select("node", "fp", "sketch"), "node")
-            more = more.unionByName(cells.groupBy("h", "i", "j").applyInArrow(compare, "a long, b long"))
-        more = written(verified(screened(more.distinct().join(first, ["a", "b"], "left_anti"), "more")), "more-links")
+            cells = cells.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+            cells = cells.join(distinct.select("node", "fp"), "node").join(grams.select("node", "grams"), "node")
+            more = more.unionByName(cells.groupBy("h", "i", "j").applyInArrow(compare, "a long, b long").distinct())
+        more = written(more, "more-links")
         if not more.isEmpty():
             known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
             found = connected_components(known.unionByName(more), "similar-more")

@@ -212,3 +212,26 @@ def test_chat_on_random_roles_against_sql(spark):
     db.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
     db.executemany("insert into conversations values (?, ?, ?, ?)", rows)
     assert sorted(map(tuple, chat.conversation_table(df).collect()), key=str) == sorted(db.execute(chat.CHAT_SQL).fetchall(), key=str)
+
+
+def test_shared_folder(spark, tmp_path):
+    """The cluster's setting is taken as the default file system reads it; lost files are swept."""
+    from types import SimpleNamespace
+
+    from scribeflow.llm import common
+
+    told = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: str(tmp_path)), sparkContext=spark.sparkContext)
+    assert common.scratch_root(told) == f"file://{tmp_path}"
+    assert common.scratch_path(told, "x").startswith(f"file://{tmp_path}/x-")
+    common._scratch.pop()
+    none = SimpleNamespace(get=lambda *a: None)
+    unset = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(getConf=lambda: none, master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    with pytest.raises(RuntimeError):
+        common.scratch_root(SimpleNamespace(conf=none, sparkContext=context))
+    uri = f"file://{tmp_path}/deep/a.bin"
+    common.write_once(uri, b"one")
+    common.write_once(uri, b"one")
+    (tmp_path / "deep" / "b.bin.123.tmp").write_bytes(b"lost")
+    common.drop_temporary(f"file://{tmp_path}/deep")
+    assert [p.name for p in (tmp_path / "deep").iterdir()] == ["a.bin"] and read_whole(uri) == b"one"
