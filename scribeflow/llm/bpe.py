@@ -35,7 +35,7 @@ CACHE_ENTRIES = 300_000
 #: Distinct words merged together: the index of one block holds their places.
 BLOCK_WORDS = 400_000
 #: Bytes of text that share a block.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 WORD_END = "</w>"
 _SPLIT_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[0-9²³¹¼½¾]|(?:[^\w²³¹¼½¾\n]|_)+|\n")
 _WHITE = re.compile(r"[\t-\r\x20\x85\xa0  -     　]+")

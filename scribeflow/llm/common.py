@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import posixpath
 import tempfile
 import uuid
@@ -120,6 +121,15 @@ def read_whole(uri: str) -> bytes:
         return src.read()
 
 
+def release_memory() -> None:
+    """Give freed memory back: a worker stays for other tasks, beside a JVM that needs it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``max_bytes`` in each piece.
 
@@ -133,7 +143,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 8 <<
             yield batch
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        lengths = pc.fill_null(pc.binary_length(col), 0).to_pylist()
+        nested = pa.types.is_nested(col.type)
+        lengths = [col.slice(i, 1).nbytes for i in range(n)] if nested else pc.fill_null(pc.binary_length(col), 0).to_pylist()
         start = held = 0
         for i, k in enumerate(lengths):
             if held and held + k > max_bytes:
@@ -141,6 +152,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 8 <<
                 start, held = i, 0
             held += k
         yield batch.slice(start, n - start)
+    release_memory()
 
 
 def fraction_hash(*cols: Column, seed: int = 0) -> Column:

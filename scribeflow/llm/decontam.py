@@ -51,7 +51,7 @@ SHORTEST, ALONE = 10, 5
 #: Characters of test items that share a block of the index.
 ITEM_BLOCK_CHARS = 4 << 20
 #: Bytes of text that meet the blocks together.
-TEXT_BYTES = 16 << 20
+TEXT_BYTES = 8 << 20
 FILTER_BITS = 22
 #: Letters that are a token each: Thai to Myanmar, Khmer, CJK and kana, and their supplements.
 UNSPACED = "[\u0e00-\u109f\u1780-\u17ff\u2e80-\u9fff\ua000-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff]"

@@ -263,7 +263,8 @@ def dedup_lines(
     # Rows without doc_id are dealt by their text: they find no mark.
     key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
     rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), key.alias("key"), F.col(id_col).isNotNull().alias("known"))
-    joined = rows.join(marks, (F.col("key") == F.col("doc")) & F.col("known"), "left").select("row.*", F.col("marks").alias("scribeflow:marks"))
+    # The marks are the small side of each partition: no text is sorted.
+    joined = rows.join(marks.hint("shuffle_hash"), (F.col("key") == F.col("doc")) & F.col("known"), "left").select("row.*", F.col("marks").alias("scribeflow:marks"))
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]):

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fraction_hash, slices, written
+from .common import fraction_hash, release_memory, slices, written
 
 GRAMS = (4, 5, 6)
 BUCKET_BITS = 22
@@ -41,8 +41,8 @@ SAMPLE_CHARS = 16 << 20
 #: Tasks that count the grams of the sample; each holds two counts a bucket.
 COUNT_TASKS = 8
 MIN_DOCS = 4
-#: Sample rows whose features are held at once.
-BLOCK_ROWS = 100
+#: Characters of sample texts whose grams are held at once.
+BLOCK_CHARS = 1 << 18
 #: ASCII letters lower-cased, other ASCII to space; bytes of other letters stay.
 FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -87,6 +87,18 @@ def present(data: np.ndarray, ends: np.ndarray, wanted: np.ndarray | None = None
     return (pair >> np.uint64(BUCKET_BITS)).astype(np.int64), (pair & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64)
 
 
+def blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of bounded size together; a longer text is a run of its own."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        if i > lo and size + len(t or "") > BLOCK_CHARS:
+            yield lo, i
+            lo, size = i, 0
+        size += len(t or "")
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 class Model:
     """Weights of the kept buckets, the log-count ratios in them, and an intercept."""
 
@@ -99,14 +111,12 @@ class Model:
         return wanted, weight
 
 
-def class_counts(texts: list[str | None], labels: np.ndarray) -> np.ndarray:
-    """In how many texts of each class a bucket is present: (2, buckets)."""
-    counts = np.zeros((2, 1 << BUCKET_BITS), np.int32)
-    for lo in range(0, len(texts), BLOCK_ROWS):
-        rows, buckets = present(*text_bytes(texts[lo : lo + BLOCK_ROWS]))
+def add_counts(counts: np.ndarray, texts: list[str | None], labels: np.ndarray) -> None:
+    """Add to (2, buckets) in how many texts of each class a bucket is present."""
+    for lo, hi in blocks(texts):
+        rows, buckets = present(*text_bytes(texts[lo:hi]))
         for c in (0, 1):
             np.add.at(counts[c], buckets[labels[lo + rows] == c], 1)
-    return counts
 
 
 def ratio_and_weight(toxic: np.ndarray, clean: np.ndarray, positive: int, negative: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,14 +160,15 @@ def fit(texts: list[str | None], labels: np.ndarray, features: int = FEATURES) -
     positive, negative = int(labels.sum()), int((1 - labels).sum())
     if not positive or not negative:
         return None
-    counts = class_counts(texts, labels)
+    counts = np.zeros((2, 1 << BUCKET_BITS), np.int32)
+    add_counts(counts, texts, labels)
     seen = np.flatnonzero(counts.sum(0) >= MIN_DOCS)
     ratio, z = ratio_and_weight(counts[1, seen], counts[0, seen], positive, negative)
     best = np.sort(np.lexsort((seen, -z))[:features])
     wanted, slot = slots_of(seen[best])
     rows, cols = [], []
-    for lo in range(0, len(texts), BLOCK_ROWS):
-        r, b = present(*text_bytes(texts[lo : lo + BLOCK_ROWS]), wanted)
+    for lo, hi in blocks(texts):
+        r, b = present(*text_bytes(texts[lo:hi]), wanted)
         rows.append(r + lo)
         cols.append(slot[b])
     return Model(seen[best], ratio[best], *solve(np.concatenate(rows), np.concatenate(cols), labels, ratio[best]))
@@ -201,7 +212,8 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample_r
     def counted(batches: Iterator[pa.RecordBatch]):
         total = np.zeros((2, 1 << BUCKET_BITS), np.int32)
         for b in batches:
-            total += class_counts(b.column(1).to_pylist(), b.column(0).to_numpy())
+            add_counts(total, b.column(1).to_pylist(), b.column(0).to_numpy())
+        release_memory()
         at = np.flatnonzero(total.any(0))
         for lo in range(0, len(at), 1 << 18):
             own = at[lo : lo + (1 << 18)]
@@ -221,9 +233,10 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample_r
     def marked(batches: Iterator[pa.RecordBatch]):
         wanted, slot = slots_of(buckets)
         for b in batches:
-            for lo in range(0, b.num_rows, BLOCK_ROWS):
-                part = b.slice(lo, BLOCK_ROWS)
-                rows, found = present(*text_bytes(part.column(2).to_pylist()), wanted)
+            texts = b.column(2).to_pylist()
+            for lo, hi in blocks(texts):
+                part = b.slice(lo, hi - lo)
+                rows, found = present(*text_bytes(texts[lo:hi]), wanted)
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=part.num_rows))])
                 held = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(slot[found], pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), held], names=["toxic", "nth", "slots"])
