@@ -112,3 +112,9 @@ def reduce_short_kana(df: DataFrame, plan: CleaningPlan, text: str = "text", out
 def without_duplicates(df: DataFrame, least: int, similarity: float, reach: int = 1000, text: str = "text", out: str = "collapsed") -> DataFrame:
     """Later repeats of passages within reach removed."""
     return routed(df, text, out, F.length(text) >= 2 * least, lambda t: kernels.duplicate_spans(t, least, similarity, reach))
+
+
+def removed(df: DataFrame, before: str = "before", after: str = "after", out: str = "removed") -> DataFrame:
+    """What a removal took from a text, by common start and end."""
+    taken = F.pandas_udf(lambda a, b: a.combine(b, lambda x, y: None if x is None or y is None else kernels.removed_text(x, y)).astype(object), "string")
+    return df.withColumn(out, taken(before, after))

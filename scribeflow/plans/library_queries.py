@@ -358,3 +358,60 @@ def seam_overlaps(spark, d):
 def duplicate_spans(spark, d):
     rows = table(spark, d, "benchmark").select("item_id", F.concat("text", F.lit(" "), F.upper("text"), F.lit(" "), F.reverse("text")).alias("text"))
     return repeats.without_duplicates(spread(rows), 60, 0.9).select("item_id", "collapsed")
+
+
+_SAMPLES = ["これは漢字の文です。", "それは 彼が 家に 本を ", "っっっっっっっっっっっっやばい。", "（「『【〈始め。", "カタカナバカリノブンショウ、", "ひらがなばかりのぶんがながくつづくのでとてもよみにくいですね", "文字�化けあAあ。", "はい"]
+_JA = "CASE k " + " ".join(f"WHEN {i} THEN repeat('{t}', 1 + (doc_id % 23)::INT)" for i, t in enumerate(_SAMPLES)) + " END"
+_N = "len(regexp_extract_all(t, '{}'))"
+
+
+@query(
+    "japanese_checks",
+    f"""SELECT doc_id, doc_id % 2 = 0 AS removed, {_N.format("[はがにをでと](?:[ ]|$)")} > 3 AS incomplete, {_N.format("[あ-んア-ン]{1,2}[あ-んア-ン]{5,}")} > 5 AS merged, n < 60 AS short, m < 100 * 2.0::DOUBLE * 0.3 AS sparse, {_N.format("っ{11,}")} > 0 AS repeated,
+ m > 100 AND {_N.format("[。！？]")} < 2 AS unended, abs({_N.format("[（「『【〈]")} - {_N.format("[）」』】〉]")}) > 2 AS brackets, {_N.format("[ア-ン]")} / n::DOUBLE > 0.3 AS katakana,
+ len([s for s in regexp_split_to_array(t, '[。！？]') if length(s) > 20 AND NOT regexp_matches(s, '[はがにをでと]')]) > 2 AS bare, contains(t, chr(65533)) AS broken, regexp_matches(t, '[あ-ん][A-Z][あ-ん]') AS mixed,
+ {_N.format("[あ-ん]")} / n::DOUBLE > 0.8 AS hiragana, {_N.format("[一-龯]")} / n::DOUBLE < 0.05 AND n > 100 AS kanji, {_N.format("[a-zA-Z]")} / n::DOUBLE > 0.2 AS latin
+ FROM (SELECT doc_id, t, length(t) AS n, length(replace(t, ' ', '')) AS m FROM (SELECT doc_id, {_JA} AS t FROM (SELECT doc_id, doc_id % 8 AS k FROM documents)))""",
+)
+def japanese_checks(spark, d):
+    k = F.col("doc_id") % 8
+    text = F.lit(None).cast("string")
+    for i, t in enumerate(_SAMPLES):
+        text = F.when(k == i, F.repeat(F.lit(t), (1 + F.col("doc_id") % 23).cast("int"))).otherwise(text)
+    rows = table(spark, d, "documents").select("doc_id", text.alias("t"))
+    before = F.length("t") * F.when(F.col("doc_id") % 2 == 0, 2).otherwise(1)
+    issues = rows.withColumn("i", T.japanese_issues(F.col("t"), before, F.lit(100.0), config.cleaning_plan("whisper-1")))
+    named = {
+        "removed": "Excessive text removal", "incomplete": "Possible incomplete", "merged": "Possible merged", "short": "Text too short", "sparse": "Text significantly shorter", "repeated": "Character repetition", "unended": "Missing proper",
+        "brackets": "Unbalanced", "katakana": "High katakana", "broken": "Unicode replacement", "mixed": "Unusual mixed", "hiragana": "Extremely high hiragana", "kanji": "Very low kanji", "latin": "High Latin",
+    }
+    has = lambda start: F.exists("i", lambda x: x.startswith(start))
+    return issues.select("doc_id", *[has(v).alias(c) for c, v in named.items()], F.exists("i", lambda x: x.endswith("long sentences without particles detected")).alias("bare"))
+
+
+@query("dictionary_export", "SELECT 'en' AS lang, CASE WHEN item_id % 3 = 0 THEN 'contextual' ELSE 'definite' END AS kind, [trim(left(text, 5)), 'x' || item_id] AS \"from\", 'to ' || item_id AS \"to\", (item_id % 4)::INT AS priority FROM benchmark")
+def dictionary_export(spark, d):
+    rows = table(spark, d, "benchmark").select(
+        F.lit("en").alias("lang"), F.when(F.col("item_id") % 3 == 0, "contextual").otherwise("definite").alias("kind"), F.col("item_id").cast("int").alias("ord"), F.array(F.left("text", F.lit(5)), F.concat(F.lit("x"), F.col("item_id").cast("string"))).alias("from"),
+        F.concat(F.lit("to "), F.col("item_id").cast("string")).alias("to"), F.lit("noun").alias("category"), (F.col("item_id") % 4).cast("int").alias("priority"), F.array(F.lit("k")).alias("context_keywords"),
+    )
+    return state.parse_dictionary(state.dictionary_document(rows)).select("lang", "kind", "from", "to", "priority")
+
+
+@query("plan_lookup", "SELECT event_type, CASE event_type WHEN 'view' THEN 'whisper-1' WHEN 'click' THEN 'gpt-4o-transcribe' ELSE 'gpt-4o-mini-transcribe' END AS strategy, CASE event_type WHEN 'view' THEN 35 WHEN 'click' THEN 20 ELSE 25 END AS threshold FROM (SELECT DISTINCT event_type FROM events)")
+def plan_lookup(spark, d):
+    names = {"view": "whisper-1", "click": "gpt-4o-transcribe"}
+    plans = spark.createDataFrame([(k, config.cleaning_plan(names.get(k, k)).model, config.cleaning_plan(names.get(k, k)).base_threshold) for k in ("view", "click", "unknown")], "name string, strategy string, threshold int")
+    rows = table(spark, d, "events").select("event_type").distinct().withColumn("name", F.when(F.col("event_type").isin("view", "click"), F.col("event_type")).otherwise("unknown"))
+    return rows.join(plans, "name").select("event_type", "strategy", "threshold")
+
+
+@query(
+    "removed_text",
+    """SELECT item_id, substr(b, s + 1, length(b) - s - list_max([j for j in generate_series(0, n - s) if right(b, j) = right(a, j)])) AS removed FROM (SELECT *, list_max([i for i in generate_series(0, n) if left(b, i) = left(a, i)]) AS s
+ FROM (SELECT item_id, text AS b, left(text, 10) || substr(text, 11 + (item_id % 30)::INT) AS a, least(length(text), length(left(text, 10) || substr(text, 11 + (item_id % 30)::INT))) AS n FROM benchmark))""",
+)
+def removed_text(spark, d):
+    after = F.concat(F.left("text", F.lit(10)), F.expr("substring(text, 11 + cast(item_id % 30 as int))"))
+    rows = table(spark, d, "benchmark").select("item_id", F.col("text").alias("before"), after.alias("after"))
+    return repeats.removed(spread(rows)).select("item_id", "removed")
