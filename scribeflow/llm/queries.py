@@ -73,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": warc.WARC_SQL,
+    "op4_decontamination": decontam.LEAK_SQL,
     "op6_line_dedup": linededup.LINE_SQL,
     "op10_chat": chat.CHAT_SQL,
 }

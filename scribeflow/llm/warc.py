@@ -216,3 +216,18 @@ def page_table(pages: DataFrame) -> DataFrame:
     """Write all pages, read the archives back."""
     manifest = write_archives(pages, scratch_path(pages.sparkSession, "warc"))
     return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# Base 32 takes five hexadecimal digits at a time for four of its own.
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, {5 * i + 1}, 5))::INT >> {shift}) & 31) + 1)::INT, 1)" for i in range(8) for shift in (15, 10, 5, 0))
+WARC_SQL = f"""
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, coalesce(html, '') AS html FROM pages),
+d AS (
+  SELECT page_id, sha1(html) AS x, strlen(html) AS n, max(page_id) OVER (PARTITION BY html) AS keep,
+    count(page_id) OVER (PARTITION BY html) AS c, row_number() OVER (PARTITION BY html, page_id ORDER BY rid) AS k
+  FROM p),
+r AS (SELECT *, page_id IS NOT NULL AND c > 1 AND NOT (page_id = keep AND k = 1) AS again FROM d)
+SELECT page_id, n AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN keep END AS refers_to
+FROM r
+"""

@@ -235,3 +235,12 @@ def test_shared_folder(spark, tmp_path):
     (tmp_path / "deep" / "b.bin.123.tmp").write_bytes(b"lost")
     common.drop_temporary(f"file://{tmp_path}/deep")
     assert [p.name for p in (tmp_path / "deep").iterdir()] == ["a.bin"] and read_whole(uri) == b"one"
+
+
+def test_warc_against_sql(spark):
+    db = duckdb.connect()
+    db.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    db.executemany("insert into pages values (?, ?, ?)", PAGES)
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert sorted(map(tuple, warc.page_table(df).select(cols).collect()), key=str) == sorted(db.execute(warc.WARC_SQL).fetchall(), key=str)

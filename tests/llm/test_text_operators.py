@@ -491,3 +491,25 @@ def test_near_copies_with_repeats(spark):
     assert (fp[::2] == fp[1::2]).all()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == dict(enumerate(want))
+
+
+def test_leaks_against_sql(spark):
+    """The query's SQL on planted passages with and without substitutions."""
+    rng = random.Random(17)
+    vocabulary = ["w%d" % i for i in range(300)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate([6, 9, 12, 13, 14, 25, 40])]
+    texts = [(0, ""), (1, items[0][1])]
+    for d in range(2, 60):
+        piece = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(4)):
+            piece[rng.randrange(len(piece))] = "zz"
+        around = rng.choices(vocabulary, k=rng.randrange(30))
+        texts.append((d, " ".join(around + [x.upper() + ",!"[rng.randrange(2)] for x in piece] + around)))
+    db = duckdb.connect()
+    db.execute("create table documents (doc_id bigint, text varchar)")
+    db.executemany("insert into documents values (?, ?)", texts)
+    db.execute("create table benchmark (item_id bigint, text varchar)")
+    db.executemany("insert into benchmark values (?, ?)", items)
+    got = decontam.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = {tuple(r) for r in db.execute(decontam.LEAK_SQL).fetchall()}
+    assert {tuple(r) for r in got.select("doc_id", "item_id", "matched", "window", "position").collect()} == want == brute_leaks(texts, items) and len(want) > 20
