@@ -65,7 +65,7 @@ def _sweep() -> None:
         try:
             remove_path(spark, path)
         except Exception:  # the context may be gone; the folder is only scratch
-            return
+            continue
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
