@@ -81,25 +81,43 @@ def run_stages(df: DataFrame, stages: Sequence[Stage], text: str, language: str,
 
     @F.pandas_udf(f"text string, stages {STAGE_SCHEMA}")
     def run(texts: pd.Series, languages: pd.Series) -> pd.DataFrame:
-        done, notes = [], []
-        for t, lang in zip(texts, languages):
-            rows = []
-            if t is not None:
-                for stage in stages:
-                    before = len(t)
-                    try:
-                        t, issues, patterns = stage.clean(t, lang or "auto")
-                    except Exception as error:  # a broken stage must not lose the text
-                        issues, patterns = [f"{stage.name} failed: {error}"], []
-                    rows.append({"cleaner": stage.name, "before": before, "after": len(t), "issues": issues, "patterns": patterns})
-            done.append(t)
-            notes.append(rows)
-        return pd.DataFrame({"text": pd.Series(done, dtype=object), "stages": notes})
+        return pd.DataFrame([staged(t, lang, stages) for t, lang in zip(texts, languages)], columns=["text", "stages"]).astype(object)
 
     ran = run(text, language)
     return df.withColumn("_ran", ran).withColumns({out: F.col("_ran.text"), audit: F.col("_ran.stages").cast(STAGE_SCHEMA)}).drop("_ran")
 
 
+def staged(text: str | None, language: str | None, stages: Sequence[Stage]) -> tuple[str | None, list[dict]]:
+    """A text through stages, and a row of audit for each."""
+    rows = []
+    for stage in stages if text is not None else ():
+        before = len(text)
+        try:
+            text, issues, patterns = stage.clean(text, language or "auto")
+        except Exception as error:  # a broken stage must not lose the text
+            issues, patterns = [f"{stage.name} failed: {error}"], []
+        rows.append({"cleaner": stage.name, "before": before, "after": len(text), "issues": issues, "patterns": patterns})
+    return text, rows
+
+
+def with_milder(df: DataFrame, plan: CleaningPlan, asked: Column) -> DataFrame:
+    """Both milder passes over the rows that ask for one, in one function: their texts
+    and stages.  Its input is null for nearly all rows, and so is its answer."""
+    second, third = stages_of(plan, paragraphs=False), stages_of(plan, artefacts=False)
+
+    @F.pandas_udf(f"two struct<text:string,stages:{STAGE_SCHEMA}>, three struct<text:string,stages:{STAGE_SCHEMA}>")
+    def run(texts: pd.Series, languages: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, lang in zip(texts, languages):
+            both = [dict(zip(("text", "stages"), staged(t, lang, s))) for s in (second, third)] if t is not None else (None, None)
+            out.append(both)
+        return pd.DataFrame(out, columns=["two", "three"]).astype(object)
+
+    ran = df.withColumn("_ran", run(F.when(asked, F.col("_lead")), F.when(asked, F.col("_lang"))))
+    parts = {f"_{c}{n}": F.col(f"_ran.{name}.{k}") for n, name in ((2, "two"), (3, "three")) for c, k in (("text", "text"), ("stages", "stages"))}
+    return ran.withColumns(parts).drop("_ran")
+
+
 def clean(df: DataFrame, model: str, text: str = "text", language: str | None = None, seconds: str | None = None) -> DataFrame:
     """Clean a text column by a model's strategy (C4).
 
@@ -117,21 +135,18 @@ def clean(df: DataFrame, model: str, text: str = "text", language: str | None =
     else:
         base = base.withColumn("_lead", F.col("_text"))
 
-    def once(rows: DataFrame, nth: int, asked: Column, **how: bool) -> tuple[DataFrame, Column]:
-        """A pass over the rows that ask for it, and which of them ask for a milder one."""
-        text, notes, issues = f"_text{nth}", f"_stages{nth}", f"_issues{nth}"
-        rows = rows.withColumn("_asked", F.when(asked, F.col("_lead")))
-        rows = run_stages(rows, stages_of(plan, **how), "_asked", "_lang", text, notes)
-        found = T.japanese_issues(F.col(text), F.length("_text"), F.col("_secs"), plan)
-        checks = F.when(asked & T.is_japanese(F.col(text), F.col("_lang"), plan.japanese), found).otherwise(F.array().cast("array<string>"))
-        rows = rows.withColumn(issues, F.concat(F.flatten(F.transform(notes, lambda s: s["issues"])), checks))
-        bad = T.needs_fallback(F.col(text), F.length("_text"), F.col(issues), F.col("_secs"), plan) & (F.length("_text") > 0)
+    def judged(rows: DataFrame, nth: int, asked: Column) -> tuple[DataFrame, Column]:
+        """Issues of a pass on the rows that ask for it, and which of them ask for a milder one."""
+        text, issues = F.col(f"_text{nth}"), f"_issues{nth}"
+        found = T.japanese_issues(text, F.length("_text"), F.col("_secs"), plan)
+        checks = F.when(asked & T.is_japanese(text, F.col("_lang"), plan.japanese), found).otherwise(F.array().cast("array<string>"))
+        rows = rows.withColumn(issues, F.concat(F.flatten(F.transform(f"_stages{nth}", lambda s: s["issues"])), checks))
+        bad = T.needs_fallback(text, F.length("_text"), F.col(issues), F.col("_secs"), plan) & (F.length("_text") > 0)
         return rows.withColumn(f"_bad{nth}", F.coalesce(asked & bad, F.lit(False))), F.col(f"_bad{nth}")
 
-    # The milder passes are functions whose input is null for nearly all rows.
-    out, bad1 = once(base, 1, F.lit(True))
-    out, bad2 = once(out, 2, bad1, paragraphs=False)
-    out, _ = once(out, 3, bad2, paragraphs=False, artefacts=False)
+    out, bad1 = judged(run_stages(base, stages_of(plan), "_lead", "_lang", "_text1", "_stages1"), 1, F.lit(True))
+    out, bad2 = judged(with_milder(out, plan, bad1), 2, bad1)
+    out, _ = judged(out, 3, bad2)
     chosen = lambda name: F.when(bad2, F.col(f"{name}3")).when(bad1, F.col(f"{name}2")).otherwise(F.col(f"{name}1"))
     nth = F.when(bad2, F.lit(3)).when(bad1, F.lit(2)).otherwise(F.lit(1))
     out = out.withColumns({"cleaned": chosen("_text"), "stages": chosen("_stages"), "issues": chosen("_issues"), "pass": nth})
