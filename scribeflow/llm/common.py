@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Single-byte white space: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -161,6 +161,21 @@ def fraction_hash(*cols: Column, seed: int = 0) -> Column:
     return F.shiftrightunsigned(mixed, 11).cast("double") / F.lit(float(1 << 53))
 
 
+def running_total(df: DataFrame, key: str, value: str, name: str, group: int = 4096) -> DataFrame:
+    """Column ``name``: the sum of ``value`` over all rows of a smaller whole number ``key``.
+
+    Sums within groups of neighbouring keys, then over the groups' sums, so that no
+    task holds all rows.  Keys are distinct and not negative.
+    """
+    held = df.withColumn("_run_group", F.floor(F.col(key) / group))
+    inner = Window.partitionBy("_run_group").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.orderBy("_run_group").rowsBetween(Window.unboundedPreceding, -1)
+    sums = held.groupBy("_run_group").agg(F.sum(value).alias("_run_sum"))
+    sums = sums.select("_run_group", F.coalesce(F.sum("_run_sum").over(outer), F.lit(0)).alias("_run_earlier"))
+    out = held.withColumn(name, F.coalesce(F.sum(value).over(inner), F.lit(0))).join(sums, "_run_group")
+    return out.withColumn(name, (F.col(name) + F.col("_run_earlier")).cast("long")).drop("_run_group", "_run_earlier")
+
+
 def connected_components(links: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """Smallest node of each component: (node, component) for nodes with links.
 

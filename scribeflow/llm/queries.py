@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, gif, langid, linededup, simhash, tokencodes, toxicity, warc
+from . import bpe, chat, decontam, gif, langid, linededup, merkle, simhash, tokencodes, toxicity, warc
 
 
 def word_vocabulary() -> str:
@@ -59,6 +59,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_table(table(spark, sf_dir, "conversations"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_gif": op9_gif,
     "op10_chat": op10_chat,
+    "op12_merkle": op12_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -77,4 +82,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": decontam.LEAK_SQL,
     "op6_line_dedup": linededup.LINE_SQL,
     "op10_chat": chat.CHAT_SQL,
+    "op12_merkle": merkle.MERKLE_SQL,
 }
