@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, gif, langid, linededup, merkle, simhash, tokencodes, toxicity, warc
+from . import bpe, chat, decontam, gif, langid, lexical, linededup, merkle, secrets, simhash, tokencodes, toxicity, warc
 
 
 def word_vocabulary() -> str:
@@ -59,10 +59,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_table(table(spark, sf_dir, "conversations"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_table(table(spark, sf_dir, "documents"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -74,7 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_gif": op9_gif,
     "op10_chat": op10_chat,
+    "op11_lexical": op11_lexical,
     "op12_merkle": op12_merkle,
+    "op13_secrets": op13_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -82,5 +92,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": decontam.LEAK_SQL,
     "op6_line_dedup": linededup.LINE_SQL,
     "op10_chat": chat.CHAT_SQL,
+    "op11_lexical": lexical.LEXICAL_SQL,
     "op12_merkle": merkle.MERKLE_SQL,
 }
