@@ -28,6 +28,7 @@ def by_sql(documents, benchmark):
     return sorted(con.execute(f"select item_id, rank, doc_id, score from ({lexical.LEXICAL_SQL})").fetchall())
 
 
+@settings(deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(alphabet="aZz09 .@[`{é\x7f\x00ß中", max_size=12)), max_size=6))
 def test_terms(texts):
     counts, found = lexical.terms_of(pa.array(["drop", *texts], pa.string())[1:])
@@ -57,8 +58,9 @@ def test_empty_tables_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, "a"), (3, "a")], "doc_id long, text string")
     items = spark.createDataFrame([(None, "a b"), (None, "b"), (2, "a")], "item_id long, text string")
     got = lexical.search_table(docs, items).collect()
-    assert sorted((r.item_id is None, r.item_id or 0, r["rank"], r.doc_id) for r in got if r.item_id == 2) == [(False, 2, k, d) for k, d in ((1, 3), (2, None), (3, None))] or len(got) > 3
-    assert [r.doc_id for r in sorted(got, key=lambda r: r["rank"]) if r.item_id == 2][:1] == [3]
+    ranked = sorted(got, key=lambda r: r["rank"])
+    assert [r.doc_id for r in ranked if r.item_id == 2] == [3, None, None]
+    assert [r["rank"] for r in ranked if r.item_id is None] == [1, 1, 2, 3]
     assert lexical.search_table(docs.where("false"), items).count() == 0
     assert lexical.search_table(docs, items.where("false")).count() == 0
 
@@ -160,7 +162,7 @@ def test_costly_values_only():
 
     assert kinds("pwd: t9#Vx!2qLm4w, and") == [("t9#Vx!2qLm4w", "guess")]
     assert kinds("Authorization: Bearer zK8-vv2Q_mPq7x.") == [("zK8-vv2Q_mPq7x", "guess")]
-    for easy in ("password2024", "changedragon", "qwertyuiop", "aaaaaaaaaaaaaaaaaaaaaaa", "correcthorsebattery", "12345678901234", "1999-12-31"):
+    for easy in ("password2024", "changedragon", "qwertyuiop", "zzzzzzzzzzzzzzzzzzzzzzz", "correcthorsebattery", "12345678901234", "1999-12-31"):
         assert kinds(f"pwd: {easy}") == []
     assert secrets.guess_bits("aB3$x9" * 30_000, RANKS) < 60
 
