@@ -85,6 +85,13 @@ def terms_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.diff(np.searchsorted(start, bounds)), found
 
 
+def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(n, total) of each piece: the texts with a term, and all their terms."""
+    for b in slices(batches, "text"):
+        counts = terms_of(b.column(0))[0]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (int((counts > 0).sum()), int(counts.sum()))], names=["n", "total"])
+
+
 def length_parts(lengths: np.ndarray, n: int, total: int) -> np.ndarray:
     """m of each document length; in whole numbers of any size where 64 bits do not hold them."""
     if len(lengths) and int(lengths.max()) * 25 * n >= 1 << 63:
@@ -155,7 +162,7 @@ def build_index(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     """Index every document in ``folder``: shard files and the tables ``shards``, ``terms`` and ``size``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    size = rows.select(F.regexp_count("text", F.lit(TERM)).cast("long").alias("n")).where("n > 0").agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    size = rows.select("text").mapInArrow(count_terms, "n long, total long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
     size.write.parquet(f"{folder}/size")
     n, total = spark.read.parquet(f"{folder}/size").first()
 
