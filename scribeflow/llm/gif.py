@@ -35,6 +35,8 @@ from .common import slices, written
 WIDTH = 64
 FRAME_ROWS = 1024
 DELAY_CS = 10
+#: Decoded bytes after which a piece of rows ends.
+PIECE_BYTES = 8 << 20
 PALETTE = bytes(x for v in range(256) for x in (v & 0xE0, v << 3 & 0xE0, v << 6 & 0xC0))
 
 
@@ -283,25 +285,36 @@ def stored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return rows.mapInArrow(run, "id long, n_bytes long, image binary")
 
 
+def framed(batches: Iterator[pa.RecordBatch], gif_col: str, rgb: bool, out: str) -> Iterator[pa.RecordBatch]:
+    """The batches with a column of timed frames, in pieces of bounded size.
+
+    What an image holds is known only once it is decoded: a piece ends with the image
+    that brings its decoded bytes over ``PIECE_BYTES``.
+    """
+    for b in slices(batches, gif_col, 4 << 20):
+        images = b.column(b.schema.get_field_index(gif_col))
+        first, size, rows = 0, 0, []
+        for k in range(b.num_rows):
+            data = images[k].as_py()
+            own, start = [], 0
+            for f in read_frames(data) if data else ():
+                h, w = f.canvas.shape[:2]
+                own.append({"start_ms": start, "delay_ms": f.delay_ms, "left": f.left, "top": f.top, "columns": w, "rows": h, "samples": f.indices.tobytes(), "rgb": f.canvas.tobytes() if rgb else None, "histogram": f.histogram})
+                start += f.delay_ms
+                size += f.indices.nbytes + 512 + (f.canvas.nbytes if rgb else 0)
+            rows.append(own)
+            if size > PIECE_BYTES or k + 1 == b.num_rows:
+                part = b.slice(first, k + 1 - first)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.list_(FRAME))], names=[*b.schema.names, out])
+                first, size, rows = k + 1, 0, []
+
+
 def with_frames(df: DataFrame, gif_col: str = "image", rgb: bool = False, out: str = "frames") -> DataFrame:
     """Add an array of timed frames: place, palette indices as stored, histogram of the
     composited canvas and, with ``rgb``, the canvas.  A null image has no frames."""
     df = df.drop(out)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T._parse_datatype_string(f"array<{FRAME_SQL}>"))])
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for b in slices(batches, gif_col, 4 << 20):
-            rows = []
-            for data in b.column(b.schema.get_field_index(gif_col)).to_pylist():
-                own, start = [], 0
-                for f in read_frames(data) if data else ():
-                    h, w = f.canvas.shape[:2]
-                    own.append({"start_ms": start, "delay_ms": f.delay_ms, "left": f.left, "top": f.top, "columns": w, "rows": h, "samples": f.indices.tobytes(), "rgb": f.canvas.tobytes() if rgb else None, "histogram": f.histogram})
-                    start += f.delay_ms
-                rows.append(own)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.list_(FRAME))], names=[*b.schema.names, out])
-
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: framed(batches, gif_col, rgb, out), schema)
 
 
 def frame_table(df: DataFrame, id_col: str, gif_col: str) -> DataFrame:
@@ -318,8 +331,8 @@ def media_table(docs: DataFrame) -> DataFrame:
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in slices(batches, "frames", 8 << 20):
-            rows, frames = [], b.column(4)
+        for b in framed(batches, "image", False, "frames"):
+            rows, frames = [], b.column(5)
             for i, (size, media_bytes, media_sha) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))):
                 own = frames.values.slice(frames.offsets[i].as_py(), frames.offsets[i + 1].as_py() - frames.offsets[i].as_py())
                 back = b"".join(own.field("samples").to_pylist())
@@ -330,5 +343,4 @@ def media_table(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", *names])
 
     told = images.select("id", "n_bytes", F.length("image").cast("long").alias("media_bytes"), F.sha2("image", 256).alias("media_sha256"), "image")
-    framed = with_frames(told, "image").drop("image")
-    return framed.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return told.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
