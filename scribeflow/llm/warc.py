@@ -51,7 +51,7 @@ def digest32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id: int | None, payload: str, repeat: int) -> str:
+def record_id(page_id: int | None, payload: str, repeat: int | str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, f'{page_id}/{payload}/{repeat}')}>"
 
 
@@ -66,7 +66,7 @@ def warc_record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes
     return press.compress(b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n") + press.flush()
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, repeat: int, refers: int | None) -> bytes:
+def page_record(page_id: int | None, url: str | None, payload: bytes, repeat: int | str, refers: int | None) -> bytes:
     own = digest32(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     fields = [
@@ -125,14 +125,17 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes
     told = salted.join(shared, ["sha", "salt"]).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "sha", "keep")
     total = rows.agg(F.sum(F.length("payload"))).first()[0] or 0
     parts = int(total // PART_BYTES) + 1
-    dealt = told.unionByName(rows.select("*", F.lit(None).cast("long").alias("keep"))).repartitionByRange(parts, "page_id", "sha")
+    # Pages without id need no mark: equal ones are dealt by their place, however many there are.
+    place = F.when(F.col("page_id").isNull(), F.monotonically_increasing_id())
+    dealt = told.withColumn("place", F.lit(None).cast("long")).unionByName(rows.select("*", F.lit(None).cast("long").alias("keep"), place.alias("place")))
+    dealt = dealt.repartitionByRange(parts, "page_id", "sha", F.when(F.col("page_id").isNull(), F.col("url")), "place")
     # The mark before the pages of the same id and digest; then a fixed order of the pages.
-    dealt = dealt.sortWithinPartitions("page_id", "sha", F.col("keep").isNull(), "url")
+    dealt = dealt.sortWithinPartitions("page_id", "sha", F.col("keep").isNull(), "url", "place").drop("place")
 
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
 
-        part, nth, archive, made = TaskContext.get().partitionId(), 0, None, []
+        part, nth, archive, made, unnamed = TaskContext.get().partitionId(), 0, None, [], 0
         current, keep, repeat = None, None, -1
         for b in slices(batches, "payload", 16 << 20):
             for page_id, url, payload, sha, kept in zip(*(c.to_pylist() for c in b.columns)):
@@ -147,7 +150,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes
                     made.append((*archive.close(), nth))
                     archive, nth = None, nth + 1
                 archive = archive or Archive(folder, part, nth)
-                archive.write(page_record(page_id, url, payload, repeat, refers))
+                unnamed += page_id is None
+                archive.write(page_record(page_id, url, payload, repeat if page_id is not None else f"{part}.{unnamed}", refers))
         if archive:
             made.append((*archive.close(), nth))
         for uri, records, size, n in made:
