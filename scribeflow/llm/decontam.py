@@ -16,9 +16,10 @@ of all their tokens.  Items of fewer than ``ALONE`` tokens are found in any pros
 they count where they are the whole text.
 
 Test items are a stated query set.  They are indexed in blocks of bounded size,
-written to the shared folder; the texts are read and hashed once, and a task takes
-the blocks one after another for each piece of its texts, so no text is shuffled
-and no item passes through the driver.
+written to the shared folder with their sorted tables; the texts are read and
+hashed once, and a task takes each block once for all texts it holds, so no text is
+shuffled and no item passes through the driver.  Hits on passages that repeat
+themselves are cut to the ends of the runs (``ItemIndex``).
 
 Defined cases: null and empty texts have no hits; null items and items without
 tokens are ignored; items with equal ``item_id`` are separate items whose best hit
@@ -48,10 +49,15 @@ WINDOW = 13
 MISMATCHES = 2
 #: Items below it are looked up whole; below the second, as whole texts only.
 SHORTEST, ALONE = 10, 5
+#: The masks, and for items too short for them one of each length.
+TABLES = (*MASKS, *("1" * n for n in range(1, SHORTEST)))
 #: Characters of test items that share a block of the index.
 ITEM_BLOCK_CHARS = 4 << 20
-#: Bytes of text that meet the blocks together.
+#: Bytes of text that meet a block together, and of those that are held while the blocks go by.
 TEXT_BYTES = 8 << 20
+HELD_BYTES = 64 << 20
+#: Blocks that a worker keeps.
+KEPT_BLOCKS = 2
 FILTER_BITS = 22
 #: Letters that are a token each: Thai to Myanmar, Khmer, CJK and kana, and their supplements.
 UNSPACED = "[\u0e00-\u109f\u1780-\u17ff\u2e80-\u9fff\ua000-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff]"
@@ -93,61 +99,90 @@ def mask_hashes(stream: np.ndarray, mask: str) -> np.ndarray:
     return out
 
 
+def _with_before(h: np.ndarray, at: np.ndarray, first: np.ndarray, none: int) -> np.ndarray:
+    """A mix of the hash at each place and of that at the place before; ``first`` places have ``none`` before."""
+    before = np.where(first, np.uint64(none), h[np.maximum(at - 1, 0)])
+    out = (h[at] ^ before * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)
+    return out ^ out >> np.uint64(32)
+
+
 class ItemIndex:
-    """Mask hashes of a block of test items, sorted, with their places."""
-
-    def __init__(self, item_ids: np.ndarray, known: np.ndarray, stream: np.ndarray, counts: np.ndarray):
-        self.item_ids, self.known, self.stream, self.length = item_ids, known, stream, counts
-        self.start = np.cumsum(counts) - counts
-        self.owner = owner = np.repeat(np.arange(len(counts)), counts)
-        self.tables = []
-        for mask in (*MASKS, *("1" * n for n in range(1, SHORTEST))):
-            h = mask_hashes(stream, mask)
-            at = np.flatnonzero(owner[: len(h)] == owner[len(mask) - 1 :]) if len(h) else np.zeros(0, np.int64)
-            size = counts[owner[at]]
-            at = at[size >= SHORTEST] if mask in MASKS else at[size == len(mask)]
-            if not len(at):
-                continue
-            order = np.argsort(h[at], kind="stable")
-            known_bits = np.zeros(1 << FILTER_BITS, bool)
-            known_bits[(h[at] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-            self.tables.append((mask, h[at][order], at[order], known_bits))
+    """Mask hashes of a block of test items, sorted, with their places.
+
+    A hit whose predecessor on the same diagonal is a hit as well says nothing new.
+    Places are therefore sorted by their hash and the hash before: a place of a text
+    meets those of its hash that have *another* hash before them, two ranges of the
+    table.  In periodic passages, where all hashes recur, these are the ends of the
+    runs alone: hits grow with the lengths and not with their product.
+    """
+
+    def __init__(self, item_ids: np.ndarray, known: np.ndarray, stream: np.ndarray, length: np.ndarray, tables: list[tuple[np.ndarray, ...]]):
+        self.item_ids, self.known, self.stream, self.length, self.tables = item_ids, known, stream, length, tables
+        self.start = np.cumsum(length) - length
+        self.owner = np.repeat(np.arange(len(length)), length)
+        self.known_bits = np.zeros(1 << FILTER_BITS, bool)
+        for hashes, *_ in tables:
+            self.known_bits[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
     @classmethod
     def of(cls, item_ids: list[int | None], texts: pa.Array) -> ItemIndex:
         counts, stream = tokens_of(texts)
-        return cls(np.array([i or 0 for i in item_ids], np.int64), np.array([i is not None for i in item_ids], bool), stream, counts)
+        owner, start = np.repeat(np.arange(len(counts)), counts), np.cumsum(counts) - counts
+        tables = []
+        for mask in TABLES:
+            h = mask_hashes(stream, mask)
+            at = np.flatnonzero(owner[: len(h)] == owner[len(mask) - 1 :]) if len(h) else np.zeros(0, np.int64)
+            size = counts[owner[at]]
+            at = at[size >= SHORTEST] if mask in MASKS else at[size == len(mask)]
+            mixed = _with_before(h, at, at == start[owner[at]], 0) if len(at) else np.zeros(0, np.uint64)
+            order = np.lexsort((mixed, h[at]))
+            at, mixed = at[order], mixed[order]
+            # Runs of equal mixes, in order of the mix: where each lies in the table.
+            first = np.flatnonzero(np.concatenate([[True], mixed[1:] != mixed[:-1]])) if len(at) else np.zeros(0, np.int64)
+            by_mix = np.argsort(mixed[first], kind="stable")
+            tables.append((h[at], at, mixed[first][by_mix], first[by_mix], np.append(first, len(at))[1:][by_mix]))
+        return cls(np.array([i or 0 for i in item_ids], np.int64), np.array([i is not None for i in item_ids], bool), stream, counts, tables)
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, item_ids=self.item_ids, known=self.known, stream=self.stream, counts=self.length)
+        tables = {f"t{k}_{j}": x for k, t in enumerate(self.tables) for j, x in enumerate(t)}
+        np.savez(out, item_ids=self.item_ids, known=self.known, stream=self.stream, length=self.length, **tables)
         return out.getvalue()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> ItemIndex:
         held = np.load(io.BytesIO(data))
-        return cls(*(held[k] for k in ("item_ids", "known", "stream", "counts")))
+        return cls(*(held[k] for k in ("item_ids", "known", "stream", "length")), [tuple(held[f"t{k}_{j}"] for j in range(5)) for k in range(len(TABLES))])
 
     def hits(self, counts: np.ndarray, stream: np.ndarray) -> np.ndarray:
         """Distinct (text, item, diagonal) of all seed hits."""
         owner = np.repeat(np.arange(len(counts)), counts)
         starts = np.cumsum(counts) - counts
         found = []
-        for mask, hashes, places, known_bits in self.tables:
+        for mask, (hashes, places, mixes, first, last) in zip(TABLES, self.tables):
+            if not len(places):
+                continue
             h = mask_hashes(stream, mask)
-            at = np.flatnonzero(known_bits[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+            at = np.flatnonzero(self.known_bits[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
             at = at[owner[at] == owner[at + len(mask) - 1]]
             if len(mask) < ALONE:
                 at = at[counts[owner[at]] == len(mask)]
             low, high = (np.searchsorted(hashes, h[at], side) for side in ("left", "right"))
-            each = high - low
-            total = int(each.sum())
-            if not total:
+            at, low, high = (x[high > low] for x in (at, low, high))
+            if not len(at):
                 continue
-            place = places[np.arange(total) + np.repeat(low - (np.cumsum(each) - each), each)]
-            at = np.repeat(at, each)
-            text, item = owner[at], self.owner[place]
-            found.append(np.stack([text, item, (at - starts[text]) - (place - self.start[item])], 1))
+            # Of the range of the hash, the part before and behind those with the same hash before.
+            mixed = _with_before(h, at, at == starts[owner[at]], 1)
+            run = np.minimum(np.searchsorted(mixes, mixed), len(mixes) - 1)
+            same = (mixes[run] == mixed) & (first[run] >= low) & (last[run] <= high)
+            left, right = np.where(same, first[run], high), np.where(same, last[run], high)
+            for begin, each in ((low, left - low), (right, high - right)):
+                total = int(each.sum())
+                if total:
+                    place = places[np.arange(total) + np.repeat(begin - (np.cumsum(each) - each), each)]
+                    where = np.repeat(at, each)
+                    text, item = owner[where], self.owner[place]
+                    found.append(np.unique(np.stack([text, item, (where - starts[text]) - (place - self.start[item])], 1), axis=0))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
     def verify(self, tokens: np.ndarray, item: int, diagonal: int) -> tuple[int, int] | None:
@@ -166,15 +201,27 @@ class ItemIndex:
         return int(sums[best]), low + diagonal + best
 
     def leaks(self, counts: np.ndarray, stream: np.ndarray) -> Iterator[tuple[tuple[int, int | None], tuple[int, int, int]]]:
-        """((text, item_id), (-matched, position, window)) of each verified hit."""
+        """((text, item_id), (-matched, position, window)) of each verified hit that betters those of its text and item.
+
+        Diagonals go by the first place that they can have in the text, and end with
+        the first that is equal throughout: no later one can be better.
+        """
         starts = np.cumsum(counts) - counts
-        for text, item, diagonal in self.hits(counts, stream).tolist():
+        hits = self.hits(counts, stream)
+        hits = hits[np.lexsort((hits[:, 2], np.maximum(hits[:, 2], 0), hits[:, 1], hits[:, 0]))]
+        pair, best = None, None
+        for text, item, diagonal in hits.tolist():
+            if (text, item) != pair:
+                pair, best, window = (text, item), None, min(WINDOW, int(self.length[item]))
+            if best and best[0] == -window and best[1] <= max(0, diagonal):
+                continue
             got = self.verify(stream[starts[text] : starts[text] + counts[text]], item, diagonal)
-            if got:
-                yield (text, int(self.item_ids[item]) if self.known[item] else None), (-got[0], got[1], min(WINDOW, int(self.length[item])))
+            if got and (best is None or (-got[0], got[1]) < best[:2]):
+                best = (-got[0], got[1], window)
+                yield (text, int(self.item_ids[item]) if self.known[item] else None), best
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=KEPT_BLOCKS)
 def block_of(uri: str) -> ItemIndex:
     """A block of the index; a small test set stays in its worker between tasks."""
     return ItemIndex.from_bytes(read_whole(uri))
@@ -213,15 +260,38 @@ def write_index(items: DataFrame, folder: str, id_col: str = "item_id", text_col
     return sorted(r.file for r in written(dealt.mapInArrow(build, "file string"), "item-files").collect())
 
 
-def leaks_of(texts: pa.Array, files: list[str]) -> list[tuple[int, int | None, int, int, int]]:
-    """(text, item_id, matched, window, position), the best per text and item id."""
-    counts, stream = tokens_of(texts)
-    best: dict[tuple[int, int | None], tuple[int, int, int]] = {}
-    for uri in files:
-        for key, new in block_of(uri).leaks(counts, stream):
-            if key not in best or new < best[key]:
-                best[key] = new
-    return [(t, i, -m, w, p) for (t, i), (m, p, w) in sorted(best.items(), key=lambda x: (x[0][0], x[0][1] is None, x[0][1] or 0))]
+Leak = tuple[int, int | None, int, int, int]
+
+
+def leaks_of(batches: Iterator[pa.RecordBatch], text_col: str, files: list[str]) -> Iterator[tuple[pa.RecordBatch, list[Leak]]]:
+    """Each piece of the batches with its leaks: (row, item_id, matched, window, position), the best per row and item id.
+
+    Pieces are gathered and every block is read once for all of them, unless the
+    worker keeps all blocks anyhow.
+    """
+
+    def met(held: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[Leak]]]:
+        tokens = [tokens_of(b.column(b.schema.get_field_index(text_col))) for b in held]
+        best: list[dict[tuple[int, int | None], tuple[int, int, int]]] = [{} for _ in held]
+        for uri in files:
+            for own, (counts, stream) in zip(best, tokens):
+                for key, new in block_of(uri).leaks(counts, stream):
+                    if key not in own or new < own[key]:
+                        own[key] = new
+        for b, own in zip(held, best):
+            yield b, [(t, i, -m, w, p) for (t, i), (m, p, w) in sorted(own.items(), key=lambda x: (x[0][0], x[0][1] is None, x[0][1] or 0))]
+
+    limit = TEXT_BYTES if len(files) <= KEPT_BLOCKS else HELD_BYTES
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in slices(batches, text_col, TEXT_BYTES):
+        if held and size + b.nbytes > limit:
+            yield from met(held)
+            held, size = [], 0
+        held.append(b)
+        size += b.nbytes
+    if held:
+        yield from met(held)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,8 +306,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     arrow = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched", pa.int32()), ("window", pa.int32()), ("position", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in slices(batches, text_col, TEXT_BYTES):
-            doc, got = b.column(0).to_pylist(), leaks_of(b.column(1), files)
+        for b, got in leaks_of(batches, text_col, files):
+            doc = b.column(0).to_pylist()
             columns = [[doc[r[0]] for r in got], *([r[k] for r in got] for k in range(1, 5))]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
@@ -249,9 +319,9 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text") -> Dat
     files = write_index(items, scratch_path(docs.sparkSession, "items"))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in slices(batches, text_col, TEXT_BYTES):
+        for b, got in leaks_of(batches, text_col, files):
             keep = np.ones(b.num_rows, bool)
-            keep[[r[0] for r in leaks_of(b.column(b.schema.get_field_index(text_col)), files)]] = False
+            keep[[r[0] for r in got]] = False
             yield b.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
