@@ -251,6 +251,8 @@ SIMILAR_CAP = 64
 NEEDED_BITS = 1 << 27
 #: Rows of a large group that one task takes with as many others, and at once.
 EXACT_BLOCK, EXACT_STRIP = 1 << 12, 32
+#: Bytes of shingle sets in such a block, and of the bit rows that a task lays out for two of them.
+EXACT_BYTES, LAID_BYTES = 8 << 20, 64 << 20
 
 
 def min_keys(h: np.ndarray, lengths: np.ndarray, none: np.ndarray) -> np.ndarray:
@@ -297,14 +299,19 @@ def links_in_cell(node: np.ndarray, component: np.ndarray, fp: np.ndarray, sets:
     of them at the threshold joins; texts linked already are not compared again.
 
     Pairs that 256 bits leave are measured exactly: the shingles that two texts have
-    at least are numbered, and each text is a row of bits.
+    at least are numbered, and each text is a row of bits.  Where such rows would take
+    more than ``LAID_BYTES``, the sorted sets themselves are intersected.
     """
     size = np.array([len(x) for x in sets])
     _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    column, held = np.cumsum(count > 1) - 1, (count > 1)[place]
-    owner, column = np.repeat(np.arange(len(sets)), size)[held], column[place[held]]
-    rows = np.zeros((len(sets), int((count > 1).sum()) // 64 + 1), np.uint64)
-    np.bitwise_or.at(rows, (owner, column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+    words = int((count > 1).sum()) // 64 + 1
+    rows = None
+    if 8 * words * len(sets) <= LAID_BYTES:
+        column, held = np.cumsum(count > 1) - 1, (count > 1)[place]
+        owner, column = np.repeat(np.arange(len(sets)), size)[held], column[place[held]]
+        rows = np.zeros((len(sets), words), np.uint64)
+        np.bitwise_or.at(rows, (owner, column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+    del place, count
     component, a, b = component.copy(), [], []
     for at in range(0, len(left), EXACT_STRIP):
         strip = left[at : at + EXACT_STRIP]
@@ -315,7 +322,10 @@ def links_in_cell(node: np.ndarray, component: np.ndarray, fp: np.ndarray, sets:
             others = right[near & (component[right] != component[x])]
             if not len(others):
                 continue
-            common = np.bitwise_count(rows[others] & rows[x]).sum(1, dtype=np.int64)
+            if rows is not None:
+                common = np.bitwise_count(rows[others] & rows[x]).sum(1, dtype=np.int64)
+            else:
+                common = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for y in others])
             for y in others[common >= threshold * (size[x] + size[others] - common)].tolist():
                 if component[y] != component[x]:
                     a.append(node[x])
@@ -405,8 +415,8 @@ def heavy_hubs(heavy: DataFrame) -> DataFrame:
 
 
 def rare_groups(grams: DataFrame, threshold: float) -> DataFrame:
-    """(h, node): each text under its rarest shingles, so many that two texts at the
-    threshold share one of them.
+    """(h, node, bytes): each text under its rarest shingles, so many that two texts at the
+    threshold share one of them; the bytes of its set.
 
     ``grams`` has the sorted shingle hashes of each node.  Of n shingles, in one order
     for all texts, texts that share ``threshold`` of their union share one of the first
@@ -427,7 +437,43 @@ def rare_groups(grams: DataFrame, threshold: float) -> DataFrame:
     first = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("own"))
     held = rows.join(counts, "h").groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.struct("df", "h")).alias("own"))
     held = held.withColumn("first", first.cast("int")).where("first > 0")
-    return held.select("node", F.explode(F.slice(F.array_sort("own"), 1, F.col("first"))).alias("g")).select(F.col("g.h").alias("h"), "node")
+    held = held.select("node", (8 * F.col("n")).alias("bytes"), F.explode(F.slice(F.array_sort("own"), 1, F.col("first"))).alias("g"))
+    return held.select(F.col("g.h").alias("h"), "node", "bytes")
+
+
+def exact_links(rare: DataFrame, distinct: DataFrame, grams: DataFrame, threshold: float, across: bool) -> DataFrame:
+    """(a, b): links within groups of ``rare`` (h, node, bytes, component) that hold texts of several components.
+
+    A group is dealt to blocks bounded by rows and by bytes of their sets.  Each block
+    meets itself, and every set is sent once; or, ``across``, each two blocks meet,
+    for what is not linked by then.
+    """
+    # Shingles of one passage have the same texts: these meet once.
+    same = [F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("t")]
+    most = rare.groupBy("h").agg(*same, F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    parts = F.ceil(F.greatest(F.col("n") / EXACT_BLOCK, F.col("bytes") / EXACT_BYTES)).cast("int")
+    most = most.groupBy("n", "bytes", "s", "t").agg(F.min("h").alias("h")).select("h", parts.alias("parts"))
+    if across:
+        most = most.where("parts > 1")
+    cells = rare.drop("bytes").join(written(most, "rare-open"), "h").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    if across:
+        cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("part <> other")
+        cells = cells.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    else:
+        cells = cells.withColumns({"i": F.col("part"), "j": F.col("part")})
+    cells = cells.join(distinct.select("node", "fp"), "node").join(grams.select("node", "grams"), "node")
+
+    def compare(cell: pa.Table) -> pa.Table:
+        node, component, part = (cell.column(c).to_numpy() for c in ("node", "component", "part"))
+        fp = np.frombuffer(b"".join(cell.column("fp").to_pylist()), np.uint64).reshape(-1, SIMILAR_WORDS)
+        sets = [np.frombuffer(g, np.uint64) for g in cell.column("grams").to_pylist()]
+        first = part == part.min()
+        # A block meets another one, or itself.
+        left, right = np.flatnonzero(first), np.flatnonzero(~first)
+        a, b = links_in_cell(node, component, fp, sets, left, right if len(right) else left, threshold)
+        return pa.table({"a": a, "b": b})
+
+    return cells.groupBy("h", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, cap: int = SIMILAR_CAP) -> DataFrame:
@@ -543,16 +589,6 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, cap:
         both = both.join(grams.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b").select("a", "b", "ga", "gb")
         return both.mapInArrow(verify, "a long, b long")
 
-    def compare(cell: pa.Table) -> pa.Table:
-        node, component, part = (cell.column(c).to_numpy() for c in ("node", "component", "part"))
-        fp = np.frombuffer(b"".join(cell.column("fp").to_pylist()), np.uint64).reshape(-1, SIMILAR_WORDS)
-        sets = [np.frombuffer(g, np.uint64) for g in cell.column("grams").to_pylist()]
-        first = part == part.min()
-        # A block meets another one, or itself.
-        left, right = np.flatnonzero(first), np.flatnonzero(~first)
-        a, b = links_in_cell(node, component, fp, sets, left, right if len(right) else left, threshold)
-        return pa.table({"a": a, "b": b})
-
     # Each set travels once, to that of its middle.
     members = grams.where("hub is not null").select("hub", F.col("node").alias("a"), F.col("grams").alias("ga"))
     middle_sets = grams.where("head").select(F.col("node").alias("hub"), F.col("grams").alias("gb"))
@@ -571,16 +607,14 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, cap:
         if large:
             left = left.where(F.col("n") > cap).select("node", "component").distinct()
             rare = written(rare_groups(grams.join(left.select("node"), "node", "left_semi"), threshold).join(left, "node"), "rare")
-            # Shingles of one passage have the same texts: these meet once.
-            same = [F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("t")]
-            most = rare.groupBy("h").agg(*same, F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-            most = most.groupBy("n", "s", "t").agg(F.min("h").alias("h")).select("h", F.ceil(F.col("n") / EXACT_BLOCK).cast("int").alias("parts"))
-            most = written(most, "rare-open")
-            cells = rare.join(most, "h").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-            cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            cells = cells.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
-            cells = cells.join(distinct.select("node", "fp"), "node").join(grams.select("node", "grams"), "node")
-            more = more.unionByName(cells.groupBy("h", "i", "j").applyInArrow(compare, "a long, b long").distinct())
+            inside = written(exact_links(rare, distinct, grams, threshold, False), "inside-links")
+            if not inside.isEmpty():
+                # What blocks have linked within is one component before blocks meet each other.
+                known = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(inside)
+                again = connected_components(known, "similar-inside").select("node", F.col("component").alias("again"))
+                rare = rare.join(again, "node", "left").withColumn("component", F.coalesce("again", "component")).drop("again")
+                more = more.unionByName(inside)
+            more = more.unionByName(exact_links(written(rare, "rare-left"), distinct, grams, threshold, True))
         more = written(more, "more-links")
         if not more.isEmpty():
             known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
