@@ -9,7 +9,9 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from scribeflow.llm import chat, gif, warc
 from scribeflow.llm.common import read_whole, scratch_path
@@ -244,3 +246,23 @@ def test_warc_against_sql(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     assert sorted(map(tuple, warc.page_table(df).select(cols).collect()), key=str) == sorted(db.execute(warc.WARC_SQL).fetchall(), key=str)
+
+
+def test_equal_pages_without_id_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "PART_BYTES", 2000)
+    df = spark.range(0, 300, 1, 6).selectExpr("cast(null as bigint) as page_id", "cast(null as string) as url", "repeat('x', 40) as html")
+    manifest = warc.write_archives(df, scratch_path(spark, "w"))
+    assert manifest.agg(F.max("records")).first()[0] < 150
+    names = [fields["WARC-Record-ID"] for f in manifest.collect() for fields, _ in warc.read_records(read_whole(f.file))]
+    assert len(names) == len(set(names))
+    assert warc.read_archives(manifest).where("record_type = 'response' and page_id is null and payload_bytes = 40").count() == 300
+
+
+def test_images_of_one_letter_take_little_memory():
+    """Images that shrink a hundredfold are decoded in pieces of bounded size."""
+    image = gif.write_gif(b"A" * (1 << 20))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([image] * 40)], names=["id", "image"])
+    assert batch.nbytes < 1 << 20
+    pieces = list(gif.framed(iter([batch]), "image", False, "frames"))
+    assert sum(b.num_rows for b in pieces) == 40 and max(b.nbytes for b in pieces) < 11 << 20
+    assert all(sum(len(f["samples"]) for f in frames) == 1 << 20 for b in pieces[:2] for frames in b.column(2).to_pylist())

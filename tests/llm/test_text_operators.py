@@ -141,6 +141,42 @@ def test_leaks_against_brute_force(spark):
     assert decontam.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_in_passages_that_repeat_themselves(spark):
+    """Hits on periodic passages grow with the lengths, and the best windows stay those of brute force."""
+    for period in ("la", "la lo", "a b c d e f g"):
+        words = (period + " ").split() * (20_000 // len(period.split()))
+        index = decontam.ItemIndex.of([1], pa.array([" ".join(words)]))
+        counts, stream = decontam.tokens_of(pa.array([" ".join(words), " ".join(words[:50] + ["x"] + words)]))
+        assert len(index.hits(counts, stream)) < 6 * 20_000 * 4
+        assert dict(index.leaks(counts, stream)) == {(0, 1): (-13, 0, 13), (1, 1): (-13, 0, 13)}
+    rng = random.Random(3)
+
+    def made():
+        words = " ".join(rng.choice("la lo x".split()) for _ in range(rng.randrange(1, 5))).split() * rng.randrange(1, 20)
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = rng.choice("pqr")
+        return " ".join(words[: rng.randrange(1, 45)])
+
+    items, texts = ([(k, made()) for k in range(40)] for _ in range(2))
+    got = {tuple(r) for r in decontam.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_leaks(texts, items)
+    assert got == want and len(want) > 20
+
+
+def test_each_block_is_read_once_a_task(spark, monkeypatch):
+    """Pieces of text are gathered while the blocks go by."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").coalesce(1)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    monkeypatch.setattr(decontam, "ITEM_BLOCK_CHARS", 800)
+    files = decontam.write_index(bench, decontam.scratch_path(spark, "items"))
+    monkeypatch.setattr(decontam, "TEXT_BYTES", 20_000)
+    reads = []
+    monkeypatch.setattr(decontam, "block_of", lambda uri: reads.append(uri) or decontam.ItemIndex.from_bytes(decontam.read_whole(uri)))
+    pieces = list(decontam.leaks_of(iter(docs.select("doc_id", "text").toArrow().to_batches()), "text", files))
+    assert len(pieces) > 10 and len(files) > 2
+    assert len(reads) == len(files) * len(pieces) and reads[: len(pieces)] == files[:1] * len(pieces)  # by block, from the worker's store
+
+
 def test_masks_leave_no_gap():
     for bad in itertools.combinations(range(13), 2):
         assert any(all(o + k not in bad for k, c in enumerate(m) if c == "1") for m in decontam.MASKS for o in range(13 - len(m) + 1))
@@ -328,24 +364,51 @@ def brute_phrases(text, sample, segment):
 def test_phrases_against_brute_force(dense):
     rng = random.Random(7)
     samples = (("a", "".join(rng.choices("abc d", k=300))), ("b", "".join(rng.choices("bcde ", k=250))))
-    parser = langid.Parser(samples, dense)
+    parser = langid.Parser([langid.pack(t, dense) for _, t in samples])
     texts = ["", "a", "z", "zz", "abz"] + ["".join(rng.choices("abcdez ", k=rng.randrange(1, 2600))) for _ in range(40)]
     got = parser.phrases(texts)
     for t, row in zip(texts, got.tolist()):
         assert row == [brute_phrases(t, s, langid.SEGMENT) for _, s in samples]
 
 
-def test_languages_of_many_signs_take_little_memory():
+def write_languages(folder, samples):
+    files = []
+    for name, text in samples:
+        (folder / name).write_bytes(langid.pack(text))
+        files.append(f"file://{folder}/{name}")
+    return langid.Languages(tuple(n for n, _ in samples), tuple(files))
+
+
+def test_letters_and_marks():
+    assert [langid.folded(t) for t in ("²½", "Ⅷ ①", "12 !", "\u0301\u0308", "a²b", "Cafe\u0301 x", "नमस्ते!", "_ß_")] == ["", "", "", "", "a b", "cafe\u0301 x", "नमस्ते", "ß"]
+
+
+def test_many_languages_in_rounds(tmp_path, monkeypatch):
+    """Rounds give what all languages at once give, and a worker holds one round."""
+    rng = random.Random(8)
+    samples = tuple((f"l{k:02}", "".join(rng.choices("abcdefgh ", [1 + (i * k) % 7 for i in range(9)], k=2000))) for k in range(40))
+    own = write_languages(tmp_path, samples)
+    texts = [s[500:900] for _, s in samples] + ["²", None]
+    monkeypatch.setattr(langid, "ROUND", 40)
+    whole = own.predict(texts)
+    assert whole[0] == [n for n, _ in samples] + ["und"] * 2
+    monkeypatch.setattr(langid, "ROUND", 7)
+    rounds = own.predict(texts)
+    assert rounds[0] == whole[0] and np.allclose(rounds[1], whole[1]) and langid.parser.cache_info().currsize == 1
+
+
+def test_languages_of_many_signs_take_little_memory(tmp_path):
     rng = random.Random(15)
     signs = [chr(0x4E00 + i) for i in range(3000)]
     weights = [1 / (i + 5) for i in range(3000)]
     samples = tuple((name, "".join(rng.choices(signs[k::2], weights[k::2], k=40_000))) for k, name in enumerate(("x", "y")))
-    parser = langid.Parser(samples)
+    parser = langid.Parser([langid.pack(t) for _, t in samples])
     assert parser.flat.nbytes + parser.keys.nbytes + parser.targets.nbytes < 40 << 20
     texts = ["".join(rng.choices(signs[k::2], weights[k::2], k=900)) for k in (0, 1, 0, 1)] + [samples[0][1][1000:1900]]
     assert parser.phrases(texts).tolist() == [[brute_phrases(t, s, langid.SEGMENT) for _, s in samples] for t in texts]
-    assert parser.predict(texts)[0] == ["x", "y", "x", "y", "x"]
-    named, score = parser.predict(["".join(rng.choices(signs[1::2], weights[1::2], k=400_000))])
+    own = write_languages(tmp_path, samples)
+    assert own.predict(texts)[0] == ["x", "y", "x", "y", "x"]
+    named, score = own.predict(["".join(rng.choices(signs[1::2], weights[1::2], k=400_000))])
     assert named == ["y"] and 0 < score[0] <= 1
 
 
@@ -354,10 +417,10 @@ def test_language_held_out(spark):
     out = langid.language_table(docs).join(docs.select("doc_id", "lang"), "doc_id")
     seen = out.where("held_out").toPandas()
     assert (seen.lang_pred == seen.lang).mean() > 0.95
-    odd = spark.createDataFrame([(1, None, "en", 1), (2, "123 !!", "en", 1), (None, "the house", None, 1), (3, "漢字", "en", 1)], "doc_id long, text string, lang string, score int")
-    samples = langid.language_samples(docs)
-    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(odd, samples).collect()}
-    assert got[1] == got[2] == ("und", 0.0) and got[3][0] in [s[0] for s in samples] and len(got) == 4
+    odd = spark.createDataFrame([(1, None, "en", 1), (2, "123 !!", "en", 1), (None, "the house", None, 1), (3, "漢字", "en", 1), (4, "²½", "en", 1), (5, "Ⅷ ①", "en", 1)], "doc_id long, text string, lang string, score int")
+    learned = langid.learn(docs, langid.scratch_path(spark, "automata"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(odd, learned).collect()}
+    assert got[1] == got[2] == got[4] == got[5] == ("und", 0.0) and got[3][0] in learned.names and len(got) == 6
     assert langid.language_table(odd.where("doc_id is null")).collect()[0].lang_pred == "und"
     assert langid.language_table(odd.limit(0)).count() == 0
 
