@@ -31,7 +31,7 @@ def _intervals(spark, d):
     return table(spark, d, "events").select("user_id", "event_id", start.alias("start"), (start + F.col("value")).alias("end"))
 
 
-def _frames(spark, d):
+def frame_rows(spark, d):
     by = Window.partitionBy("user_id").orderBy("ts", "event_id")
     label = F.when(F.col("event_type").isin("view", "click"), 1).when(F.col("event_type") == "error", -1).otherwise(0)
     rows = table(spark, d, "events").select(F.col("user_id").alias("file_id"), (F.row_number().over(by) - 1).cast("long").alias("frame"), label.alias("label"))
@@ -44,7 +44,7 @@ def _rounded(df, *cols):
 
 @query("speech_islands", f'SELECT file_id, round(start, 6) AS start, round("end", 6) AS "end" FROM {_SPEECH}')
 def speech_islands(spark, d):
-    return _rounded(intervals.speech_intervals(_frames(spark, d)).drop("seg"), "start", "end")
+    return _rounded(intervals.speech_intervals(frame_rows(spark, d)).drop("seg"), "start", "end")
 
 
 _BRIDGED = f"""(SELECT file_id, greatest(0, min(start) - 0.02) AS start, max("end") + 0.02 AS "end" FROM (SELECT *, sum(CASE WHEN p IS NULL OR round(start - p, 6) >= 0.07 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY start) AS i
@@ -53,13 +53,13 @@ _BRIDGED = f"""(SELECT file_id, greatest(0, min(start) - 0.02) AS start, max("en
 
 @query("gap_bridge", f'SELECT file_id, round(start, 6) AS start, round("end", 6) AS "end" FROM {_BRIDGED} WHERE round("end" - start, 6) >= 0.101')
 def gap_bridge(spark, d):
-    rows = intervals.bridge_gaps(intervals.speech_intervals(_frames(spark, d)), max_silence=0.075, padding=0.02, min_speech=0.1005)
+    rows = intervals.bridge_gaps(intervals.speech_intervals(frame_rows(spark, d)), max_silence=0.075, padding=0.02, min_speech=0.1005)
     return _rounded(rows, "start", "end")
 
 
 @query("gap_midpoints", f"""SELECT file_id, round(("end" + n) / 2, 6) AS boundary FROM (SELECT *, lead(start) OVER (PARTITION BY file_id ORDER BY start) AS n FROM {_SPEECH}) WHERE round(n - "end", 6) >= 0.05""")
 def gap_midpoints(spark, d):
-    return _rounded(intervals.gap_midpoints(intervals.speech_intervals(_frames(spark, d)), min_gap=0.045), "boundary")
+    return _rounded(intervals.gap_midpoints(intervals.speech_intervals(frame_rows(spark, d)), min_gap=0.045), "boundary")
 
 
 @query(
@@ -68,7 +68,7 @@ def gap_midpoints(spark, d):
  FROM (SELECT file_id, count(*) * 0.03::DOUBLE AS duration FROM {_FRAMES} GROUP BY file_id) t LEFT JOIN (SELECT file_id, sum("end" - start) AS speech, count(*) AS n FROM {_SPEECH} GROUP BY file_id) s USING (file_id)""",
 )
 def vad_stats(spark, d):
-    frames = _frames(spark, d)
+    frames = frame_rows(spark, d)
     totals = frames.groupBy("file_id").agg((F.count("*") * 0.03).alias("duration"))
     rows = intervals.speech_statistics(intervals.speech_intervals(frames), totals).drop("compression_ratio")
     return _rounded(rows, "speech_ratio", "silence_ratio", "average_segment")
@@ -145,6 +145,11 @@ _CHUNKS = f"""f AS (SELECT file_id, frame, frame * 0.03::DOUBLE AS t, label, max
   FROM (SELECT st.*, frame, total, label, CASE WHEN label = 1 THEN 0 ELSE silent + 0.03 END AS quiet, t + 0.03 AS own_end, coalesce(start, CASE WHEN frame = 0 THEN t ELSE kept END) AS own FROM st JOIN known ON known.file_id = st.file_id AND known.i = st.i + 1)))"""
 
 
+CHUNK_STREAM_SQL = f"""WITH RECURSIVE {_CHUNKS}, ended AS (SELECT file_id, made - 1 AS id, s, e, o FROM st WHERE s IS NOT NULL
+ UNION ALL SELECT file_id, made, start, stop, stop > kept + 0.1 FROM st JOIN last USING (file_id) WHERE st.i = n AND start IS NOT NULL AND stop - start >= 0.1)
+ SELECT file_id, id, round(s, 6) AS "startTime", round(e, 6) AS "endTime", o AS "hasOverlap" FROM ended"""
+
+
 @query(
     "adaptive_chunks",
     f"""WITH RECURSIVE {_CHUNKS}, ended AS (SELECT file_id, made - 1 AS id, s, e, o FROM st WHERE s IS NOT NULL
@@ -153,7 +158,7 @@ _CHUNKS = f"""f AS (SELECT file_id, frame, frame * 0.03::DOUBLE AS t, label, max
 )
 def adaptive_chunks(spark, d):
     plan = config.ModelPlan("test", "whisper", 0.5, 0.1, 0.2, 0.06, 0.1, 1, 0, 0, 0.0)
-    return _rounded(chunking.adaptive_chunks(_frames(spark, d), plan), "startTime", "endTime")
+    return _rounded(chunking.adaptive_chunks(frame_rows(spark, d), plan), "startTime", "endTime")
 
 
 @query(

@@ -14,7 +14,7 @@ from ..operators import catalog, dictionary, intervals, merging, repeats
 from ..sources import asr, audio, sinks, state
 from ..streaming import sessions
 from . import audio as audio_plans
-from .interval_queries import _FRAMES, _SPEECH, _frames, _results, _rounded
+from .interval_queries import _FRAMES, _SPEECH, frame_rows, _results, _rounded
 from .registry import query, spread, table
 
 _RATE = config.SAMPLE_RATE
@@ -80,7 +80,7 @@ def audio_pipeline(spark, d):
  UNION ALL SELECT file_id, 'chunk', 0.0, round(max(frame) * 0.03::DOUBLE + 0.03, 6) FROM {_FRAMES} WHERE label >= 0 GROUP BY file_id HAVING max(frame) * 0.03::DOUBLE + 0.03 >= 0.1""",
 )
 def segments_and_chunks(spark, d):
-    speech, chunks = audio_plans.segments_and_chunks(_frames(spark, d), "gpt-4o-transcribe")
+    speech, chunks = audio_plans.segments_and_chunks(frame_rows(spark, d), "gpt-4o-transcribe")
     told = speech.select("file_id", F.lit("speech").alias("kind"), "start", "end")
     return _rounded(told.unionByName(chunks.select("file_id", F.lit("chunk").alias("kind"), F.col("startTime").alias("start"), F.col("endTime").alias("end"))), "start", "end")
 
@@ -339,7 +339,7 @@ def script_checks(spark, d):
 
 @query("speech_gaps", f'SELECT file_id, count(*) AS gaps, round(max(gap), 6) AS longest FROM (SELECT file_id, lead(start) OVER (PARTITION BY file_id ORDER BY start) - "end" AS gap FROM {_SPEECH}) WHERE round(gap, 6) >= 0.05 GROUP BY file_id')
 def speech_gaps(spark, d):
-    rows = intervals.speech_intervals(_frames(spark, d))
+    rows = intervals.speech_intervals(frame_rows(spark, d))
     middles = intervals.gap_midpoints(rows, min_gap=0.045)
     ends = rows.select("file_id", "end").join(middles, "file_id").where("end <= boundary").groupBy("file_id", "boundary").agg(F.max("end").alias("end"))
     return ends.groupBy("file_id").agg(F.count("*").alias("gaps"), F.round(F.max((F.col("boundary") - F.col("end")) * 2), 6).alias("longest"))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import config
 from ..operators import blocks as B
 from ..sources import asr, audio, sinks
 from ..sources.single_files import SingleFiles
 from ..sources.storage import shared_folder
 from ..sources.wav import read_wav
+from ..streaming.chunks import rocksdb_state, unordered_chunks
+from ..streaming.late import TABLES, LateRows
 from ..streaming.recorded import RecordedSession
+from .interval_queries import CHUNK_STREAM_SQL, frame_rows
 from .registry import query, table
 
 _PCM = "[(CASE WHEN v < 0 THEN trunc(greatest(v::DOUBLE, -1) * 32768) ELSE trunc(least(v::DOUBLE, 1) * 32767) END / 32768)::FLOAT for v in s]"
@@ -80,3 +85,62 @@ def realtime_stream(spark, d):
     told = asr.realtime_events(spark.readStream.format("recorded_session").load(f"{folder}/in"))
     told.select("event_id", "type", F.col("audio_start_ms").alias("start_ms")).writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(path=f"{folder}/out", format="parquet").awaitTermination()
     return spark.read.parquet(f"{folder}/out")
+
+
+@query("chunk_stream", CHUNK_STREAM_SQL)
+def chunk_stream(spark, d):
+    """Frames in disorder through the stream give the chunks of the table form.
+
+    The frames lie in files of hashed content, a batch each; a second run from the
+    same checkpoint brings a last frame of a file of its own, which moves the watermark.
+    """
+    folder = shared_folder(spark, "frames")
+    ends = Window.partitionBy("file_id")
+    frames = frame_rows(spark, d)
+    frames = frames.withColumns({"last": F.col("frame") == F.max("frame").over(ends), "at": F.timestamp_millis(F.col("frame") * 30)})
+    schema = "file_id string, frame long, t double, label int, last boolean, at timestamp"
+    frames = frames.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in schema.split(", ")])
+    frames.repartition(6, F.xxhash64("file_id", "frame")).write.parquet(f"{folder}/in")
+    plan = config.ModelPlan("test", "whisper", 0.5, 0.1, 0.2, 0.06, 0.1, 1, 0, 0, 0.0)
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+        out = unordered_chunks(stream, plan, "at", late="36500 days")
+        with rocksdb_state(spark):
+            out.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(path=f"{folder}/out", format="parquet").awaitTermination()
+
+    run()
+    far = spark.range(1).select(F.lit("~").alias("file_id"), F.lit(0).cast("long").alias("frame"), F.lit(0.0).alias("t"), F.lit(0).alias("label"), F.lit(False).alias("last"), F.timestamp_seconds(F.lit(200 * 365 * 86400)).alias("at"))
+    far.write.mode("append").parquet(f"{folder}/in")
+    run()
+    rows = spark.read.schema("file_id string, id int, startTime double, endTime double, hasOverlap boolean").parquet(f"{folder}/out")
+    return rows.withColumns({"file_id": F.col("file_id").cast("long"), "startTime": F.round("startTime", 6), "endTime": F.round("endTime", 6)})
+
+
+@query(
+    "late_rows",
+    """WITH top AS (SELECT max(event_id) + 1 AS n FROM events), own AS (SELECT e.*, e.event_id * 5 // n AS part FROM events e, top),
+ came AS (SELECT *, CASE WHEN event_id % 7 = 0 THEN least(part + 2, 4) ELSE part END AS arrival FROM own UNION ALL SELECT *, least(part + 1, 4) FROM own WHERE event_id % 11 = 0),
+ newest AS (SELECT p.arrival, max(c.ts) AS newest FROM (SELECT DISTINCT arrival FROM came) p LEFT JOIN came c ON c.arrival < p.arrival GROUP BY p.arrival),
+ judged AS (SELECT c.*, coalesce(c.ts < n.newest - INTERVAL 4 DAY, false) AS late FROM came c JOIN newest n USING (arrival)),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY event_id, late ORDER BY arrival) AS k FROM judged)
+ SELECT CASE WHEN late THEN 'late' WHEN k > 1 THEN 'double' ELSE 'kept' END AS state, arrival::BIGINT AS batch, count(*) AS n, sum(event_id)::BIGINT AS ids FROM placed GROUP BY ALL""",
+)
+def late_rows(spark, d):
+    """Planted delays and doubles: what came late, twice, and what counts adds up to the input."""
+    folder = shared_folder(spark, "late")
+    rows = table(spark, d, "events")
+    top = rows.agg(F.max("event_id") + 1).first()[0]
+    own = rows.withColumn("part", F.floor(F.col("event_id") * 5 / top))
+    came = own.withColumn("arrival", F.when(F.col("event_id") % 7 == 0, F.least(F.col("part") + 2, F.lit(4))).otherwise(F.col("part")))
+    came = came.unionByName(own.where("event_id % 11 = 0").withColumn("arrival", F.least(F.col("part") + 1, F.lit(4))))
+    came = came.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value", "arrival")
+    deal = LateRows(f"{folder}/out", ["event_id"], "ts", 4 * 86400)
+    for k in range(5):  # a file, and so a batch, per arrival
+        came.where(F.col("arrival") == k).drop("arrival").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        deal.start(spark.readStream.schema("event_id long, ts timestamp, value double").parquet(f"{folder}/in")).awaitTermination()
+    parts = [t.withColumn("state", F.lit(n)) for n in TABLES if (t := deal.table(spark, n, ["event_id"])) is not None]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("state", F.col("batch").cast("long").alias("batch")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
