@@ -11,10 +11,10 @@ from ..functions import predicates as P
 from ..functions import signal as S
 from ..functions import text as T
 from ..operators import catalog, dictionary, intervals, merging, repeats
-from ..sources import asr, audio, sinks, state
+from ..sources import asr, audio, redaction, sinks, state
 from ..streaming import sessions
 from . import audio as audio_plans
-from .interval_queries import _FRAMES, _SPEECH, frame_rows, _results, _rounded
+from .interval_queries import _FRAMES, _SPEECH, _results, _rounded, frame_rows
 from .registry import query, spread, table
 
 _RATE = config.SAMPLE_RATE
@@ -300,15 +300,17 @@ def critical_issues(spark, d):
 
 @query(
     "fallback_decision",
-    """SELECT doc_id, CASE WHEN n = 0 THEN true WHEN k = 0 THEN m / (600 * 1.8::DOUBLE) < 0.1 AND n < 80 WHEN k = 1 THEN n < 80 AND (total - n) / total::DOUBLE > 0.9 ELSE false END AS fallback
- FROM (SELECT doc_id, doc_id % 3 AS k, length(left(text, cut)) AS n, length(regexp_replace(left(text, cut), '\\s+', '', 'g')) AS m, length(text) AS total FROM (SELECT doc_id, text, (doc_id % 97)::INT AS cut FROM documents WHERE length(text) > 0))""",
+    """SELECT doc_id, line, CASE WHEN n = 0 THEN true WHEN k = 0 THEN m / (600 * 1.8::DOUBLE) < 0.1 AND n < 80 WHEN k = 1 THEN n < 80 AND (total - n) / total::DOUBLE > 0.9 ELSE false END AS fallback
+ FROM (SELECT doc_id, line::BIGINT AS line, (doc_id + line) % 3 AS k, length(own) AS n, length(regexp_replace(own, '\\s+', '', 'g')) AS m, length(text) AS total
+  FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS own, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents))""",
 )
 def fallback_decision(spark, d):
-    rows = table(spark, d, "documents").where(F.length("text") > 0)
-    k, own = F.col("doc_id") % 3, F.left("text", (F.col("doc_id") % 97).cast("int"))
+    """Each line of the whole texts as what a cleaning of its text has left."""
+    rows = table(spark, d, "documents").select("doc_id", "text", F.posexplode(F.split("text", "\n", -1)).alias("line", "own"))
+    k = (F.col("doc_id") + F.col("line")) % 3
     issues = F.when(k == 1, F.array(F.lit("Unicode replacement characters detected"))).otherwise(F.array(F.lit("minor")))
     plan = config.cleaning_plan("gpt-4o-transcribe")
-    return rows.select("doc_id", T.needs_fallback(own, F.length("text"), issues, F.when(k == 0, 600.0), plan).alias("fallback"))
+    return rows.select("doc_id", F.col("line").cast("long").alias("line"), T.needs_fallback(F.col("own"), F.length("text"), issues, F.when(k == 0, 600.0), plan).alias("fallback"))
 
 
 @query("japanese_rule", "SELECT doc_id, doc_id % 4 = 0 OR (doc_id % 4 = 1 AND doc_id % 9 >= 5) AS japanese FROM documents")
@@ -415,3 +417,19 @@ def removed_text(spark, d):
     after = F.concat(F.left("text", F.lit(10)), F.expr("substring(text, 11 + cast(item_id % 30 as int))"))
     rows = table(spark, d, "benchmark").select("item_id", F.col("text").alias("before"), after.alias("after"))
     return repeats.removed(spread(rows)).select("item_id", "removed")
+
+
+@query(
+    "nested_redaction",
+    """SELECT event_id, '{"data":{"inner":{"prompt":"<redacted: object>","props":' || replace(props, ' ', '') || '},"lines":"<redacted: ' || (length(event_type) + 4) || ' chars>","textLength":' || length(props) || '},"kind":"' || event_type || '","segments":"<redacted: array(len=2)>","text":"<redacted: ' || length(props) || ' chars>"}' AS whole,
+ '{"body":"<redacted: ' || length(event_type) || ' chars>","deep":{"a":[{"b":[{"c":["<redacted: max depth>"]}]}]},"value":' || user_id || '}' AS typed FROM events""",
+)
+def nested_redaction(spark, d):
+    """JSON of unknown shape, and a typed struct."""
+    rows = table(spark, d, "events")
+    inner = F.struct(F.struct(F.lit(1).alias("a")).alias("prompt"), F.parse_json("props").alias("props"))
+    data = F.struct(inner.alias("inner"), F.concat(F.lit("two\n"), "event_type").alias("lines"), F.length("props").alias("textLength"))
+    whole = F.to_json(F.struct(F.col("event_type").alias("kind"), F.array("event_type", "event_type").alias("segments"), F.col("props").alias("text"), data.alias("data")))
+    deep = F.struct(F.array(F.struct(F.array(F.struct(F.array("event_type").alias("c"))).alias("b"))).alias("a"))
+    typed = F.struct(F.col("event_type").alias("body"), deep.alias("deep"), F.col("user_id").alias("value"))
+    return redaction.redacted_columns(rows.select("event_id", redaction.redacted_json(whole).alias("whole"), typed.alias("typed")), "typed")
