@@ -6,7 +6,7 @@ batch) and ``late`` (its time is more than the delay behind the newest one of al
 earlier batches).  Every row of the input is in one of them.  A batch's share is
 written under its number in place of what an attempt before has left, so that batches may run
 again; what a batch needs of earlier ones is the newest time, one row per batch, and the
-ids of kept rows within the delay, for which only those hours are read.
+ids of kept rows within the delay, for which only the folders of that time are read.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ class LateRows:
 
     def __init__(self, folder: str, ids: list[str], time: str, delay_seconds: float):
         self.folder, self.ids, self.time, self.delay = folder.rstrip("/"), ids, time, delay_seconds
+        #: Microseconds of a folder of kept rows: an hour, or a quarter of a long delay.
+        self.span = int(max(3600, delay_seconds / 4) * 1_000_000)
 
     def _read(self, spark: SparkSession, name: str, schema: str | None = None) -> DataFrame | None:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
@@ -44,13 +46,13 @@ class LateRows:
         # Rows without a time are never late; they count as of the mark.
         mark = None if newest is None else newest - round(self.delay * 1e6)
         late = F.lit(False) if mark is None else F.coalesce(micros < mark, F.lit(False))
-        hour = F.coalesce(F.floor(micros / 3_600_000_000), F.lit(0 if mark is None else mark // 3_600_000_000)).cast("long")
+        span = F.coalesce(F.floor(micros / self.span), F.lit(0 if mark is None else mark // self.span)).cast("long")
         at = F.row_number().over(Window.partitionBy(*self.ids, "_late").orderBy(F.col(self.time).asc_nulls_last(), "_place"))
-        dealt = rows.withColumns({"_late": late, "_hour": hour, "_place": F.monotonically_increasing_id()}).withColumn("_at", at)
+        dealt = rows.withColumns({"_late": late, "_span": span, "_place": F.monotonically_increasing_id()}).withColumn("_at", at)
         before = self._read(spark, "kept")
         again = F.lit(False)
         if before is not None and mark is not None:
-            held = before.where((F.col("_hour") >= mark // 3_600_000_000) & (F.col("batch") < number)).select(*[F.col(c).alias(f"_id_{c}") for c in self.ids]).distinct().withColumn("_known", F.lit(True))
+            held = before.where((F.col("_span") >= mark // self.span) & (F.col("batch") < number)).select(*[F.col(c).alias(f"_id_{c}") for c in self.ids]).distinct().withColumn("_known", F.lit(True))
             same = [F.col(c).eqNullSafe(F.col(f"_id_{c}")) for c in self.ids]
             on = same[0]
             for x in same[1:]:
@@ -62,7 +64,7 @@ class LateRows:
         try:
             for name in TABLES:
                 out = dealt.where(F.col("_table") == name).drop("_table")
-                out.write.mode("overwrite").partitionBy("_hour").parquet(f"{self.folder}/{name}/batch={number}")
+                out.write.mode("overwrite").partitionBy("_span").parquet(f"{self.folder}/{name}/batch={number}")
             top = rows.agg(F.max(micros).alias("newest")).select(F.greatest("newest", F.lit(newest).cast("long")).alias("newest"))
             top.write.mode("overwrite").parquet(f"{self.folder}/marks/batch={number}")
         finally:
