@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..operators import blocks as B
+from ..operators import dictionary
 from ..sources import asr, audio, sinks
 from ..sources.single_files import SingleFiles
 from ..sources.storage import shared_folder
+from ..sources.versioned import VersionedTable
 from ..sources.wav import read_wav
 from ..streaming.chunks import rocksdb_state, unordered_chunks
 from ..streaming.late import TABLES, LateRows
@@ -144,3 +146,14 @@ def late_rows(spark, d):
     for more in parts[1:]:
         out = out.unionByName(more)
     return out.groupBy("state", F.col("batch").cast("long").alias("batch")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("versioned_state", "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'updated' ELSE event_type END AS event_type, 2 AS version, (SELECT count(*) FROM events) AS before FROM events WHERE event_id % 7 <> 0")
+def versioned_state(spark, d):
+    """A state and what an upsert and a deletion make of it, as two versions that are checked when read."""
+    held = VersionedTable(spark, shared_folder(spark, "versions"))
+    first = held.write(table(spark, d, "events").select("event_id", "event_type"), 0)
+    rows = held.read(first, check=True)
+    new = rows.where("event_id % 10 = 0").withColumn("event_type", F.lit("updated"))
+    second = held.write(dictionary.delete(dictionary.upsert(rows, new, ["event_id"]), rows.where("event_id % 7 = 0").select("event_id")), first)
+    return held.read(second, check=True).withColumns({"version": F.lit(second), "before": F.lit(held.read(first).count()).cast("long")})

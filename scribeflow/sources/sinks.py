@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import predicates as P
 from ..functions import text as T
+from .versioned import content_digest
 
 
 def notes(results: DataFrame, style: str = "callout", text: str = "text", time: str = "startTime", name: str = "inputFileName") -> DataFrame:
@@ -35,13 +36,13 @@ def note_text(rows: DataFrame) -> DataFrame:
 
 
 def write_notes(rows: DataFrame, folder: str, key: str = "note") -> int:
-    """Write notes as a table and read the count back; a mismatch is an error (K4)."""
+    """Write notes as a table and compare its content with theirs; a mismatch is an error (K4)."""
     rows.write.mode("overwrite").parquet(folder)
-    written = rows.sparkSession.read.parquet(folder)
-    wanted, found = rows.count(), written.where(F.col(key).isNotNull()).count()
-    if wanted != found:
-        raise OSError(f"{found} of {wanted} notes were written")
-    return found
+    written = rows.sparkSession.read.schema(rows.schema).parquet(folder)
+    wanted, found = content_digest(rows), content_digest(written)
+    if wanted != found or written.where(F.col(key).isNull()).limit(1).count():
+        raise OSError(f"{found[0]} notes were written, and not all as the {wanted[0]} that were to be")
+    return found[0]
 
 
 def write_text(rows: DataFrame, folder: str, column: str = "content") -> None:
