@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions import table_functions
 from ..operators import blocks as B
 from ..operators import dictionary
 from ..sources import asr, audio, sinks
@@ -157,3 +158,26 @@ def versioned_state(spark, d):
     new = rows.where("event_id % 10 = 0").withColumn("event_type", F.lit("updated"))
     second = held.write(dictionary.delete(dictionary.upsert(rows, new, ["event_id"]), rows.where("event_id % 7 = 0").select("event_id")), first)
     return held.read(second, check=True).withColumns({"version": F.lit(second), "before": F.lit(held.read(first).count()).cast("long")})
+
+
+@query(
+    "ordered_fold",
+    """WITH g AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS us FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ r AS (SELECT *, sum(CASE WHEN us > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM g),
+ s AS (SELECT user_id, run, count(*) AS n, sum(value) AS total, any_value(CASE WHEN us > 21600000000 THEN us END) AS before FROM r GROUP BY user_id, run)
+ SELECT user_id, run::INT AS run, n, round(total, 6) AS total, round(lead(before) OVER (PARTITION BY user_id ORDER BY run) / 1e6::DOUBLE, 6) AS gap FROM s""",
+)
+def ordered_fold(spark, d):
+    """A fold called by SQL text."""
+    table_functions.register(spark)
+    table(spark, d, "events").createOrReplaceTempView("scribeflow_events")
+    return spark.sql("""SELECT cast(key AS bigint) AS user_id, run, n, round(total, 6) AS total, round(gap, 6) AS gap
+      FROM gap_runs(TABLE(SELECT user_id AS key, cast(ts AS timestamp) AS at, event_id, value FROM scribeflow_events) PARTITION BY key ORDER BY (at, event_id), 21600.0D)""")
+
+
+@query("lateral_chunks", "SELECT doc_id, pos::INT AS pos, round(pos * 55.0::DOUBLE, 6) AS start, round(least(pos * 55.0::DOUBLE + 60, d), 6) AS \"end\" FROM (SELECT doc_id, d, unnest(generate_series(0, greatest(ceil((d - 60) / 55.0::DOUBLE), 0)::INT)) AS pos FROM (SELECT doc_id, length(text) / 2.0::DOUBLE AS d FROM documents WHERE length(text) > 0))")
+def lateral_chunks(spark, d):
+    """A table function per row, by LATERAL."""
+    table_functions.register(spark)
+    table(spark, d, "documents").createOrReplaceTempView("scribeflow_documents")
+    return spark.sql("SELECT doc_id, pos, round(start, 6) AS start, round(`end`, 6) AS `end` FROM scribeflow_documents, LATERAL chunk_times(length(text) / 2.0D, 60.0D, 5.0D)")
