@@ -8,6 +8,7 @@ from .. import config
 from ..functions import numbers as N
 from ..functions import predicates as P
 from ..functions import similarity as S
+from ..functions import borders
 from ..functions import text as T
 from ..operators import catalog, chunking, repeats, similar
 from . import clean, postprocess, report
@@ -630,3 +631,38 @@ def host_unique_lookup(spark, d):
     history = pages.select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise("moved").alias("inputFilePath"), name.alias("inputFileName"))
     files = pages.select(F.col("url").alias("path"), name.alias("name")).distinct()
     return catalog.lookup(history, files).select("page_id", "found")
+
+
+_W = r"[\s\x0B\p{Z}\x{85}\x{FEFF}]"
+
+
+@query(
+    "sentence_rejoin",
+    rf"""WITH p AS (SELECT doc_id, coalesce(lang, 'auto') IN ('en', 'auto') AS joins, string_split(regexp_replace(text || ' Dr. A. B. went 3.5 km to U.S. bases, i.e. far.' || text, '([。.!?！？]+{_W}*)', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents),
+ s AS (SELECT * FROM (SELECT doc_id, joins, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM p) WHERE regexp_matches(s, '[^{_W[1:-1]}]')),
+ l AS (SELECT *, lag(s) OVER w AS a, coalesce(lag(s, 2) OVER w, '') AS b FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ g AS (SELECT *, joins AND a IS NOT NULL AND (regexp_matches(a, '[0-9]\.{_W}*$') AND regexp_matches(s, '^[0-9]') OR regexp_matches(a, '(^|[^A-Za-z0-9_])[A-Z]\.{_W}*$') AND regexp_matches(s, '^[A-Z]\.') OR regexp_matches(b || a, '(^|[^A-Za-z0-9_])([A-Z]\.){{2,}}{_W}*$') OR regexp_matches(a, '(?i)(^|[^A-Za-z0-9_])(etc|vs|mr|ms|mrs|dr|prof|sr|jr|st)\.{_W}*$')) AS goes FROM l),
+ n AS (SELECT *, sum(CASE WHEN goes THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM g)
+ SELECT doc_id, pos::INT AS pos, string_agg(s, '' ORDER BY i) AS sentence FROM n GROUP BY doc_id, pos""",
+)
+def sentence_rejoin(spark, d):
+    """Sentences by end marks, a planted one among them; English ones are put together again."""
+    text = F.concat("text", F.lit(" Dr. A. B. went 3.5 km to U.S. bases, i.e. far."), "text")
+    rows = spread(table(spark, d, "documents"))
+    return rows.select("doc_id", F.posexplode(borders.sentences(text, F.col("lang"))).alias("pos", "sentence"))
+
+
+@query("unicode_sentences")
+def unicode_sentences(spark, d):
+    rows = spread(table(spark, d, "documents"))
+    return rows.select("doc_id", F.posexplode(borders.unicode_sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+_CLUSTERS = "🤦🏼‍♂️é🇩🇪"
+
+
+@query("grapheme_heads", f"SELECT doc_id, left_grapheme(t, 15) AS head, length(left_grapheme(t, 15)) AS points FROM (SELECT doc_id, substr(text, 1, 12) || '{_CLUSTERS}' || text AS t FROM documents)")
+def grapheme_heads(spark, d):
+    """Fifteen characters, of which joined emoji, marks and flags are one each."""
+    t = F.concat(F.substring("text", 1, 12), F.lit(_CLUSTERS), "text")
+    return table(spark, d, "documents").select("doc_id", borders.grapheme_head(t, 15).alias("head")).withColumn("points", F.length("head").cast("long"))

@@ -26,6 +26,7 @@ WORDS = "the river ran past stone houses and nobody knew why it stopped there ag
 COVERED = {
     "phrase_repeat_collapse", "enumeration_collapse", "sentence_collapse", "paragraph_compress", "block_repeat", "tail_compress",
     "stamped_tail_compress", "overlap_merge", "full_clean", "full_clean_whisper", "clean_audit", "seam_overlaps", "duplicate_spans",
+    "unicode_sentences",
 }
 
 
