@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes ratios.
 
-Texts are lower-cased; runs of anything but letters become one space; the bytes
-of each n-gram of 4 to 6 bytes are hashed to buckets, and a feature is the
-presence of a bucket in a text.  On a bounded sample of labelled rows the smoothed
+Texts are lower-cased; runs of anything but letters and the marks on them (Unicode
+categories L and M) become one space; each n-gram of 4 to 6 code points is hashed to
+a bucket, and a feature is the presence of a bucket in a text.  On a bounded sample of labelled rows the smoothed
 log-count ratio of each bucket is taken; the buckets whose presence tells most
 (document frequency in both classes against chance) are kept, each scaled by its
 ratio, and a logistic regression is fitted on them by full-batch gradient steps.
@@ -23,6 +23,8 @@ an empty table gives an empty result; other columns pass through ``score``.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +45,6 @@ COUNT_TASKS = 8
 MIN_DOCS = 4
 #: Characters of sample texts whose grams are held at once.
 BLOCK_CHARS = 1 << 18
-#: ASCII letters lower-cased, other ASCII to space; bytes of other letters stay.
-FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -52,10 +52,25 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def text_bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Folded bytes of all texts, each between spaces, end to end, and their ends."""
-    parts = [b" " + b" ".join((t or "").lower().encode("utf-8", "surrogatepass").translate(FOLD).split()) + b" " for t in texts]
-    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts])
+@functools.cache
+def letters() -> np.ndarray:
+    """Which code points are letters or marks."""
+    return np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
+
+
+def text_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Folded code points of all texts, each between spaces, end to end, and their ends."""
+    parts = [f" {(t or '').lower()} " for t in texts]
+    points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
+    if not len(points):
+        return points, ends
+    own = letters()[points]
+    kept = own.copy()
+    kept[1:] |= own[:-1]  # a space behind each word
+    kept[0] = True
+    kept[ends[:-1]] = True  # and one before each text
+    return np.where(own, points, np.uint32(32))[kept], np.cumsum(kept)[ends - 1]
 
 
 def gram_buckets(data: np.ndarray, n: int) -> np.ndarray:
@@ -63,11 +78,10 @@ def gram_buckets(data: np.ndarray, n: int) -> np.ndarray:
     size = len(data) - n + 1
     if size <= 0:
         return np.zeros(0, np.uint32)
-    wide = data.astype(np.uint32)
     h = np.full(size, n, np.uint32)
     for k in range(n):
         h *= np.uint32(0x01000193)
-        h += wide[k : k + size]
+        h += data[k : k + size]
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
     return h >> np.uint32(32 - BUCKET_BITS)
@@ -114,7 +128,7 @@ class Model:
 def add_counts(counts: np.ndarray, texts: list[str | None], labels: np.ndarray) -> None:
     """Add to (2, buckets) in how many texts of each class a bucket is present."""
     for lo, hi in blocks(texts):
-        rows, buckets = present(*text_bytes(texts[lo:hi]))
+        rows, buckets = present(*text_points(texts[lo:hi]))
         for c in (0, 1):
             np.add.at(counts[c], buckets[labels[lo + rows] == c], 1)
 
@@ -168,7 +182,7 @@ def fit(texts: list[str | None], labels: np.ndarray, features: int = FEATURES) -
     wanted, slot = slots_of(seen[best])
     rows, cols = [], []
     for lo, hi in blocks(texts):
-        r, b = present(*text_bytes(texts[lo:hi]), wanted)
+        r, b = present(*text_points(texts[lo:hi]), wanted)
         rows.append(r + lo)
         cols.append(slot[b])
     return Model(seen[best], ratio[best], *solve(np.concatenate(rows), np.concatenate(cols), labels, ratio[best]))
@@ -236,7 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, sample_r
             texts = b.column(2).to_pylist()
             for lo, hi in blocks(texts):
                 part = b.slice(lo, hi - lo)
-                rows, found = present(*text_bytes(texts[lo:hi]), wanted)
+                rows, found = present(*text_points(texts[lo:hi]), wanted)
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=part.num_rows))])
                 held = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(slot[found], pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), held], names=["toxic", "nth", "slots"])
@@ -261,7 +275,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_co
                 value = np.zeros(b.num_rows)
             else:
                 texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-                rows, buckets = present(*text_bytes(texts), wanted)
+                rows, buckets = present(*text_points(texts), wanted)
                 logit = np.bincount(rows, weight[buckets], len(texts)) + own.intercept
                 value = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
             out = pa.RecordBatch.from_arrays([*b.columns, pa.array(value)], names=[*b.schema.names, score_col])

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import unicodedata
 
 import duckdb
 import numpy as np
@@ -287,12 +288,17 @@ def test_toxicity_edges(spark):
 
 def brute_grams(text):
     """The buckets of a text, gram by gram."""
-    low = b" " + b" ".join(re.findall(rb"[a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").lower().encode()))) + b" "
+    low = " "
+    for c in (text or "").lower() + " ":
+        if unicodedata.category(c)[0] in "LM":
+            low += c
+        elif low[-1] != " ":
+            low += " "
     out = set()
     for n in (4, 5, 6):
         for i in range(len(low) - n + 1):
             h = n
-            for c in low[i : i + n]:
+            for c in map(ord, low[i : i + n]):
                 h = (h * 0x01000193 + c) & 0xFFFFFFFF
             h ^= h >> 15
             out.add((h * 0x2C1B3C6D & 0xFFFFFFFF) >> 10)
@@ -302,11 +308,11 @@ def brute_grams(text):
 def test_toxicity_against_brute_force(spark):
     """Grams, log-count ratios, the choice of features and the scores, by hand."""
     rng = random.Random(16)
-    vocabulary = ["calm", "river", "été", "stone", "Garden", "fool", "idiot", "rot", "window,", "2nd"]
+    vocabulary = ["calm", "river", "été", "stone", "Garden", "fool", "idiot", "rot", "window,", "2nd", "«глупый»", "дом—сад", "日本語。日本語", "हिन्दी"]
     docs, labels = [], []
     for i in range(300):
         toxic = i % 3 == 0
-        docs.append((i, " ".join(rng.choices(vocabulary, [1] * 5 + [4 * toxic] * 3 + [1, 1], k=rng.randrange(3, 15)))))
+        docs.append((i, " ".join(rng.choices(vocabulary, [1] * 5 + [4 * toxic] * 3 + [1, 1, 4 * toxic, 1, 1, 1], k=rng.randrange(3, 15)))))
         labels.append((i, 1, int(toxic)))
     docs += [(300, None), (301, ""), (None, "idiot")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
