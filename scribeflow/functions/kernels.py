@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable, Sequence
 from functools import lru_cache
 
 import numpy as np
+import regex
 
 from .. import config
 from ..config import CleaningPlan, ModelPlan, TailRules
@@ -185,6 +186,17 @@ def collapse_sentences(text: str, language: str, plan: CleaningPlan) -> str:
     return re.sub(r"(?:\s*[・。、]\s*){%d,}\Z" % plan.trailing, "。", out).strip()
 
 
+def head_graphemes(text: str, count: int) -> str:
+    """The first characters as readers see them."""
+    first = text[: count + 1]
+    return first[:count] if first.isascii() and "\r" not in first else _graphemes(count).match(text)[0]
+
+
+@lru_cache
+def _graphemes(count: int) -> regex.Pattern:
+    return regex.compile(r"\X{0,%d}" % count)
+
+
 def compress_paragraphs(text: str, language: str, plan: CleaningPlan) -> str:
     """Runs of sentences with one head and like their predecessor: three or more
     leave the first (W10)."""
@@ -192,12 +204,12 @@ def compress_paragraphs(text: str, language: str, plan: CleaningPlan) -> str:
     head = last = ""
     for s in sentences(text, language):
         own = strict(s)
-        near = bool(runs) and own[: plan.head] == head and min(len(own), len(last)) >= plan.min_similar_length and inclusion(last, own) >= plan.paragraph_similarity
+        near = bool(runs) and head_graphemes(own, plan.head) == head and min(len(own), len(last)) >= plan.min_similar_length and inclusion(last, own) >= plan.paragraph_similarity
         if near:
             runs[-1].append(s)
         else:
             runs.append([s])
-            head = own[: plan.head]
+            head = head_graphemes(own, plan.head)
         last = own
     return "".join(r[0] if len(r) >= plan.paragraph_repeats else "".join(r) for r in runs)
 

@@ -250,6 +250,20 @@ def dictionary_hints(spark, d):
     return dictionary.hints(rules).select("line_no", "hint")
 
 
+@query(
+    "dictionary_hint_lines",
+    """WITH r AS (SELECT p_brand AS lang, CASE WHEN p_type = 'ECONOMY' THEN 'other' ELSE p_type END AS category, p_partkey AS k, p_name || '→' || p_size AS p FROM part),
+ h AS (SELECT lang, category, min(k) AS first, '【' || category || '】' || string_agg(p, '、' ORDER BY k) AS hint FROM r GROUP BY lang, category)
+ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY first, category)::INT AS line_no, category, hint FROM h""",
+)
+def dictionary_hint_lines(spark, d):
+    """A dictionary per brand, its parts as rules."""
+    rules = table(spark, d, "part").select(
+        F.col("p_brand").alias("lang"), F.nullif("p_type", F.lit("ECONOMY")).alias("category"), F.col("p_partkey").cast("int").alias("ord"), F.lit(0).alias("pat_ord"), F.col("p_name").alias("pattern"), F.col("p_size").cast("string").alias("replacement")
+    )
+    return dictionary.hints(rules).select("lang", "line_no", "category", "hint")
+
+
 def _results(spark, d):
     rows = table(spark, d, "conversations")
     return rows.select(

@@ -112,3 +112,31 @@ def test_strategy_with_another_merge_and_figures(spark):
     assert seen.get == {"chunks": 9, "failed": 3, "characters": 34, "seconds": 305.0, "segmented": 3}
     assert strategy_result(planned(spark).limit(0), results(spark)).count() == 0
     assert strategy_result(planned(spark), results(spark).where(F.lit(False))).where("outcome = 'failed'").count() == 6
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6, 1.0])
+def test_near_pairs_of_a_template(spark, least):
+    """All pairs above the similarity, in a block that shares a template and in others."""
+    from scribeflow.operators import similar
+
+    rng = random.Random(3)
+    head = "one template that all of these texts have got, "
+    rows = [(i, head + "".join(rng.choices("abcdef ", k=rng.randrange(0, 60)))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + rng.choice(["", "x", "some more"])) for i in range(30)]
+    rows += [(200, "short"), (201, None), (202, ""), (203, "".join(rng.choices("uvwxyz", k=80)))]
+    grams = {i: {t[k : k + 3] for k in range(len(t) - 2)} for i, t in rows if t and len(t) >= 40}
+    want = {}
+    for a in grams:
+        for b in grams:
+            like = len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+            if a < b and dict(rows)[a][:40] == dict(rows)[b][:40] and like >= least:
+                want[a, b] = round(like, 6)
+    got = {(r.a, r.b): round(r.similarity, 6) for r in similar.jaccard_pairs(spark.createDataFrame(rows, "doc_id long, text string"), least=least).collect()}
+    assert got == want and want
+
+
+def test_heads_by_graphemes():
+    from scribeflow.functions import kernels
+
+    assert kernels.head_graphemes("e\u0301" * 20, 15) == "e\u0301" * 15
+    assert kernels.head_graphemes("abc", 15) == "abc" and kernels.head_graphemes("", 15) == ""
