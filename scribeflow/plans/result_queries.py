@@ -18,7 +18,7 @@ _STRATEGY = """WITH r AS (SELECT *, turn % 3 <> 2 AS good FROM conversations WHE
  j AS (SELECT p.*, coalesce(came, 0) AS came, coalesce(processed, 0) AS processed, merged, segments, report, coalesce(contains(stopped, 'cancelled'), false) AS user_stop FROM p LEFT JOIN a USING (conv_id)),
  o AS (SELECT *, CASE WHEN came > 0 THEN processed < total OR stopped IS NOT NULL ELSE user_stop END AS partial FROM j),
  t AS (SELECT *, CASE WHEN came = 0 AND user_stop THEN 'Partial transcription result' || chr(10) || chr(10) || 'Transcription was cancelled before any chunks were processed.' WHEN came > 0 THEN CASE WHEN partial THEN 'Partial transcription result' || chr(10) || processed || '/' || total || ' chunks processed.' || chr(10) || chr(10) ELSE '' END || merged || coalesce(chr(10) || chr(10) || '---' || chr(10) || report, '') END AS text FROM o)
- SELECT conv_id AS doc_id, CASE WHEN user_stop THEN 'cancelled' WHEN came = 0 THEN 'failed' WHEN partial THEN 'partial' ELSE 'complete' END AS outcome, text, segments, partial,
+ SELECT conv_id AS doc_id, CASE WHEN user_stop THEN 'cancelled' WHEN came = 0 THEN 'failed' WHEN partial THEN 'partial' ELSE 'complete' END AS outcome, text, array_to_string([x.text || '@' || x.start::BIGINT || '-' || x.end::BIGINT for x in segments], ', ') AS segments, partial,
  CASE WHEN came > 0 AND user_stop THEN 'Transcription cancelled. Completed ' || processed || ' out of ' || total || ' chunks.' WHEN came > 0 AND stopped IS NOT NULL THEN 'Partial transcription due to error: ' || stopped || '. Completed ' || processed || ' out of ' || total || ' chunks.' WHEN came = 0 AND user_stop THEN 'Transcription was cancelled before any chunks were processed.' WHEN came = 0 THEN coalesce(stopped, 'No transcription results obtained') END AS error,
  processed, total, CASE WHEN came > 0 THEN 100 ELSE 10 END AS percentage, CASE WHEN processed > 0 THEN 1000.0::DOUBLE / processed * (total - processed) END AS remaining_ms FROM t"""
 
@@ -32,7 +32,9 @@ def strategy(spark, d):
     roles = rows.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("id"), "role")
     segment = F.struct(F.col("startTime").alias("start"), F.col("endTime").alias("end"), F.col("role").alias("text"))
     results = _results(spark, d).where("doc_id % 6 <> 4").join(roles, ["doc_id", "id"]).withColumn("segments", F.array(segment)).drop("role")
-    return with_failures(strategy_result(planned, results, timestamps=True), results)
+    out = with_failures(strategy_result(planned, results, timestamps=True), results)
+    told = F.transform("segments", lambda s: F.concat(s["text"], F.lit("@"), s["start"].cast("long").cast("string"), F.lit("-"), s["end"].cast("long").cast("string")))
+    return out.withColumn("segments", F.array_join(told, ", "))
 
 
 @query(
