@@ -33,6 +33,19 @@ def letters(col: Column, kind: str) -> Column:
     return F.length(col) - F.length(F.regexp_replace(col, f"{kind}+", ""))
 
 
+#: Letters whose upper case is several letters, and the one letter that some of them have.
+_SINGLE_UPPER = {"ß": "ẞ", **{c: c.title() for c in map(chr, range(0x1F80, 0x2000)) if len(c.upper()) > len(c.title()) == 1}}
+
+
+def upper_by_points(text: Column) -> Column:
+    """Upper case of one code point for one, as DuckDB has it; ``upper`` makes SS of ß."""
+
+    def upper(c: Column) -> Column:
+        return F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(F.translate(c, "".join(_SINGLE_UPPER), "".join(_SINGLE_UPPER.values())))
+
+    return F.array_join(F.transform(F.split(text, ""), upper), "")
+
+
 def round_half_up(col: Column) -> Column:
     """Rounding with halves towards plus infinity."""
     return F.floor(col + F.lit(0.5))
