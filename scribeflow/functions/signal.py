@@ -6,6 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def rounded(value: Column, digits: int = 6) -> Column:
+    """A double rounded as DuckDB does: scaled in doubles, halves away from zero, and what
+    becomes zero keeps its sign.  ``round`` goes by decimal digits and has no negative zero."""
+    scaled = value * 10.0**digits
+    whole = F.rint(scaled)
+    return F.when(F.abs(scaled - whole) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(whole) / 10.0**digits
+
+
 def mono(left: Column, right: Column) -> Column:
     """The mean of two channels."""
     return F.zip_with(left, right, lambda a, b: (F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))) / 2)
