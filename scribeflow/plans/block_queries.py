@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import signal as S
 from ..operators import blocks as B
 from .registry import query, table
 
@@ -112,4 +113,4 @@ def range_slice_blocks(spark, d):
 )
 def resample_blocks(spark, d):
     rows = B.resampled(_blocks(spark, d), "file_id", 24_000, 16_000, size=_SIZE)
-    return rows.withColumn("samples", F.transform("samples", lambda x: F.round(x, 6)))
+    return rows.withColumn("samples", F.transform("samples", lambda x: S.rounded(x)))
