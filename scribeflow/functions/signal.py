@@ -78,7 +78,7 @@ def resample(samples: Column, source: int, target: int, clamp: bool = True) -> C
         part = place - low
         now = F.coalesce(F.get(samples, low), F.lit(0.0)).cast("double")
         after = F.get(samples, F.least(low + 1, F.size(samples) - 1) if clamp else low + 1).cast("double")
-        return now * (1 - part) + F.coalesce(after, now) * part
+        return F.when(part == 0, now).otherwise(now * (1 - part) + F.coalesce(after, now) * part)
 
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), at)).otherwise(F.array().cast("array<double>"))
 
