@@ -49,10 +49,13 @@ def line_runs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def tail_run(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 3) -> DataFrame:
     """(key, line, n): equal non-empty lines at the end, where there are enough (W13, unit 1)."""
     lines = F.filter(F.transform(F.split(text, "\n", -1), T.strip), lambda x: x != "")
-    back = F.reverse(lines)
-    other = F.array_position(F.transform(back, lambda x: (x != F.get(back, F.lit(0))).cast("int")), 1)
-    n = F.when(other > 0, other - 1).otherwise(F.size(back))
-    return df.select(key, F.get(back, F.lit(0)).alias("line"), n.cast("long").alias("n")).where(F.col("n") >= least)
+    # Named, so that a line's comparison does not split and strip the text anew.
+    def run(back: Column, line: Column) -> Column:
+        other = F.array_position(F.transform(back, lambda x: x != line), True)
+        return T.let(other, lambda at: F.struct(line.alias("line"), F.when(at > 0, at - 1).otherwise(F.size(back)).cast("long").alias("n")))
+
+    found = T.let(F.reverse(lines), lambda back: T.let(F.get(back, F.lit(0)), lambda line: run(back, line)))
+    return df.select(key, found.alias("_run")).select(key, "_run.line", "_run.n").where(F.col("n") >= least)
 
 
 def collapse_phrases(df: DataFrame, text: str = "text", out: str = "collapsed", enumerations: int | None = None) -> DataFrame:
