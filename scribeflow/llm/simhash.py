@@ -233,9 +233,10 @@ def fingerprint_table(df: DataFrame) -> DataFrame:
 # Texts that share four fifths of their shingles differ in some 15 % of their
 # fingerprint bits, unrelated ones in half.  Bucket keys of fingerprint bits or of
 # distances to references then need tables whose number grows with the corpus, as
-# unrelated texts meet by chance.  So bucket keys here are made of least shingle
-# hashes, which unrelated texts never share: their number is fixed.  Fingerprints
-# (256 bits) and their distances discard, and the shingle sets verify.
+# unrelated texts meet by chance.  So copies within two bits come from the pivot
+# distance tables above, which miss none of them; for those further apart there are
+# bucket keys of least shingle hashes, which unrelated texts never share: their number
+# is fixed.  Fingerprints (256 bits) and their distances discard, and the shingle sets verify.
 
 SIMILAR_WORDS = 4
 #: Tables, and least hashes that make up the key of one.  At a similarity of 0.8 a
@@ -476,13 +477,40 @@ def exact_links(rare: DataFrame, distinct: DataFrame, grams: DataFrame, threshol
     return cells.groupBy("h", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
+def pivot_pairs(distinct: DataFrame) -> DataFrame:
+    """(a, b, away): texts whose first 64 bits are at most two apart, by the pivot distance tables.
+
+    ``distinct`` has a node and its fingerprint in each row.  Texts of equal bits are
+    paired with the first of their block, these with the first of all, and the firsts
+    with each other where ``links`` has them.
+    """
+
+    def head(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            bits = np.array([x[:8] for x in b.column(1).to_pylist()], "S8").view(np.int64) if b.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits)], names=["node", "fp"])
+
+    own = written(distinct.select("node", "fp").mapInArrow(head, "node long, fp long"), "pivot-bits")
+    firsts = written(own.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "pivot-distinct")
+    alike = own.join(firsts.where("n > 1"), "fp").withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("n") / EXACT_BLOCK)))
+    leads = alike.groupBy("fp", "part").agg(F.min("node").alias("lead"), F.first("first").alias("first"))
+    to_lead = alike.select("fp", "part", "node").join(leads, ["fp", "part"]).select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    to_first = leads.select(F.col("lead").alias("a"), F.col("first").alias("b"))
+    equal = to_lead.unionByName(to_first).where("a <> b").withColumn("away", F.lit(0).cast("long"))
+    sides = [firsts.select(F.col("fp").alias(f"f{k}"), F.col("first").alias(k)) for k in "ab"]
+    near = links(firsts.select("fp")).select(F.col("a").alias("fa"), F.col("b").alias("fb")).distinct()
+    apart = near.join(sides[0], "fa").join(sides[1], "fb").select("a", "b", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))).cast("long").alias("away"))
+    return written(equal.unionByName(apart), "pivot-pairs")
+
+
 def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, cap: int = SIMILAR_CAP) -> DataFrame:
     """(doc_id, component_id): the smallest id of each group of near copies.
 
     Two texts are linked where the Jaccard similarity of their shingle sets is
-    ``threshold`` or more; groups are the components of the links.  Candidates come
-    from a fixed number of tables.  First each text is held against the nearest of the
-    middle texts of its buckets, so that a group of thousands costs a pair per text.
+    ``threshold`` or more; groups are the components of the links.  Candidates are the
+    links of the pivot distance tables (``pivot_pairs``), all of them compared, and what
+    a fixed number of further tables has.  First each text is held against the nearest of
+    these links and of the middle texts of its buckets, so that a group of thousands costs a pair per text.
     Texts that share a bucket and are not linked yet are then compared exactly: in
     buckets of up to ``cap`` texts all pairs that the first 64 bits leave; of larger
     ones all that share one of their rarest shingles (``rare_groups`` misses no pair),
@@ -533,7 +561,9 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, cap:
     heavy = shared.where(F.col("n") > cap)
     if large := not heavy.isEmpty():
         hubs = hubs.unionByName(heavy_hubs(heavy))
-    # The nearest middle of each text.
+    pivots = pivot_pairs(distinct)
+    hubs = hubs.unionByName(pivots.select(F.col("a").alias("node"), F.col("b").alias("hub"), "away"))
+    # The nearest link or middle of each text.
     nearest = hubs.where(F.col("away") <= SIMILAR_MAX_BITS).groupBy("node").agg(F.min(F.struct("away", "hub"))["hub"].alias("hub"))
     # All bits of both before any text is fetched: chance pairs end here.
     sides = [distinct.select(F.col("node").alias(k), F.col("fp").alias(f"f{k}")) for k in "ab"]
@@ -560,12 +590,13 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, cap:
             keep = [overlap(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # The sets of all texts that share a bucket.  The bit map leaves out most others
+    # The sets of all texts that share a bucket or have a link.  The bit map leaves out most others
     # before their sets are made, and the join those that it cannot tell apart; no text
     # is shuffled.
     nearest = screened(nearest.select(F.col("node").alias("a"), F.col("hub").alias("b")), "nearest").withColumnsRenamed({"a": "node", "b": "hub"})
     heads = nearest.select(F.col("hub").alias("node")).distinct().withColumn("head", F.lit(True))
-    needed = distinct.select("node", F.col("low").alias("doc_id")).join(shared.select("node").distinct(), "node")
+    meet = shared.select("node").unionByName(pivots.select(F.col("a").alias("node"))).unionByName(pivots.select(F.col("b").alias("node")))
+    needed = distinct.select("node", F.col("low").alias("doc_id")).join(meet.distinct(), "node")
     needed = written(needed.join(nearest, "node", "left").join(heads, "node", "left"), "needed")
     marked = docs.sparkSession.sparkContext.broadcast(marked_ids(needed))
 
@@ -593,7 +624,10 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, cap:
     members = grams.where("hub is not null").select("hub", F.col("node").alias("a"), F.col("grams").alias("ga"))
     middle_sets = grams.where("head").select(F.col("node").alias("hub"), F.col("grams").alias("gb"))
     first = members.join(middle_sets, "hub").select("a", F.col("hub").alias("b"), "ga", "gb")
-    found = connected_components(first.mapInArrow(verify, "a long, b long"), "similar")
+    # What the pivot tables have beside the nearest is compared as well.
+    tried = nearest.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    beside = pivots.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti")
+    found = connected_components(first.mapInArrow(verify, "a long, b long").unionByName(verified(beside)), "similar")
     named = shared.join(found, "node", "left").select("bucket", "node", "bits", "n", F.coalesce("component", "node").alias("component"))
     named = written(named, "named")
     # Buckets of one component have nothing to add.
@@ -601,7 +635,6 @@ def similar_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, cap:
     left = written(named.join(open_, "bucket", "left_semi"), "open")
     if not left.isEmpty():
         light = left.where(F.col("n") <= cap).groupBy("bucket").agg(F.collect_list(F.struct("node", "bits", "component")).alias("own"))
-        tried = nearest.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         pairs = light.select("own").mapInArrow(pairs_of, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
         more = verified(screened(pairs, "more"))
         if large:
