@@ -8,17 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CleaningPlan, TailRules
 from ..functions import kernels
+from ..functions.arrow import row_function
 from ..functions import text as T
 
 
 def arrow_text(fold: Callable[[str], str]):
     """An Arrow function of one text; null stays null."""
-    return F.pandas_udf(lambda s: s.map(lambda t: None if t is None else fold(t)).astype(object), "string")
+    return row_function(lambda t: None if t is None else fold(t), pa.string(), "string")
 
 
 def routed(df: DataFrame, text: str, out: str, gate: Column, fold: Callable[[str], str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +13,13 @@ from .. import config
 from ..config import CleaningPlan
 from ..functions import kernels
 from ..functions import text as T
+from ..functions.arrow import row_function
 
 STAGE_SCHEMA = "array<struct<cleaner:string,before:int,after:int,issues:array<string>,patterns:array<string>>>"
 
+_STAGES = pa.list_(pa.struct([("cleaner", pa.string()), ("before", pa.int32()), ("after", pa.int32()), ("issues", pa.list_(pa.string())), ("patterns", pa.list_(pa.string()))]))
+_RAN = pa.struct([("text", pa.string()), ("stages", _STAGES)])
+
 
 @dataclass(frozen=True)
 class Stage:
@@ -79,10 +83,7 @@ def run_stages(df: DataFrame, stages: Sequence[Stage], text: str, language: str,
     if not stages:
         return df.withColumns({out: F.col(text), audit: F.array().cast(STAGE_SCHEMA)})
 
-    @F.pandas_udf(f"text string, stages {STAGE_SCHEMA}")
-    def run(texts: pd.Series, languages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([staged(t, lang, stages) for t, lang in zip(texts, languages)], columns=["text", "stages"]).astype(object)
-
+    run = row_function(lambda t, lang: dict(zip(("text", "stages"), staged(t, lang, stages))), _RAN, f"text string, stages {STAGE_SCHEMA}", 2)
     ran = run(text, language)
     return df.withColumn("_ran", ran).withColumns({out: F.col("_ran.text"), audit: F.col("_ran.stages").cast(STAGE_SCHEMA)}).drop("_ran")
 
@@ -105,14 +106,10 @@ def with_milder(df: DataFrame, plan: CleaningPlan, asked: Column) -> DataFrame:
     and stages.  Its input is null for nearly all rows, and so is its answer."""
     second, third = stages_of(plan, paragraphs=False), stages_of(plan, artefacts=False)
 
-    @F.pandas_udf(f"two struct<text:string,stages:{STAGE_SCHEMA}>, three struct<text:string,stages:{STAGE_SCHEMA}>")
-    def run(texts: pd.Series, languages: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, lang in zip(texts, languages):
-            both = [dict(zip(("text", "stages"), staged(t, lang, s))) for s in (second, third)] if t is not None else (None, None)
-            out.append(both)
-        return pd.DataFrame(out, columns=["two", "three"]).astype(object)
+    def both(t, lang):
+        return {name: None if t is None else dict(zip(("text", "stages"), staged(t, lang, s))) for name, s in (("two", second), ("three", third))}
 
+    run = row_function(both, pa.struct([("two", _RAN), ("three", _RAN)]), f"two struct<text:string,stages:{STAGE_SCHEMA}>, three struct<text:string,stages:{STAGE_SCHEMA}>", 2)
     ran = df.withColumn("_ran", run(F.when(asked, F.col("_lead")), F.when(asked, F.col("_lang"))))
     parts = {f"_{c}{n}": F.col(f"_ran.{name}.{k}") for n, name in ((2, "two"), (3, "three")) for c, k in (("text", "text"), ("stages", "stages"))}
     return ran.withColumns(parts).drop("_ran")
