@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import kernels
 from ..functions import text as T
+from ..functions.arrow import pieces, row_function
 
 Model = Callable[[str, str], str]
 
@@ -28,7 +30,7 @@ def segments(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int
     language = T.detect_language(F.col(text))
     limit = F.lit(most) if most else F.element_at(F.create_map(*[F.lit(x) for kv in config.MAX_SEGMENT_CHARS.items() for x in kv]), language)
     rows = docs.withColumn("_limit", limit)
-    pack = F.pandas_udf(lambda s, n: pd.Series([None if t is None else kernels.pack_lines(t, int(m)) for t, m in zip(s, n)], dtype=object), "array<string>")
+    pack = row_function(lambda t, n: None if t is None else kernels.pack_lines(t, int(n)), pa.list_(pa.string()), "array<string>", 2)
     large = F.length(text) + 1 > F.col("_limit")
     packed = pack(F.when(large, F.col(text)), F.col("_limit"))
     rows = rows.withColumn("_parts", F.coalesce(packed, F.array(F.col(text))))
@@ -38,7 +40,8 @@ def segments(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int
 def token_chunks(docs: DataFrame, max_tokens: int = 3000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, index, text, tokens, start, end) of pieces within a token budget."""
     kind = "array<struct<text:string,tokens:int,start:int,end:int>>"
-    split = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else [dict(zip(("text", "tokens", "start", "end"), c)) for c in kernels.token_chunks(t, max_tokens)]).astype(object), kind)
+    cut = pa.list_(pa.struct([("text", pa.string()), ("tokens", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+    split = row_function(lambda t: None if t is None else [dict(zip(("text", "tokens", "start", "end"), c)) for c in kernels.token_chunks(t, max_tokens)], cut, kind)
     n = F.length(text)
     small = T.estimate_tokens(F.col(text), F.lit("auto")) <= max_tokens
     one = F.array(F.struct(F.col(text).alias("text"), T.estimate_tokens(F.col(text), F.lit("auto")).cast("int").alias("tokens"), F.lit(0).alias("start"), n.alias("end"))).cast(kind)
@@ -55,19 +58,20 @@ def post_process(docs: DataFrame, model: Model = identity, key: str = "doc_id",
     parts = segments(own, key, text, most)
     kind = dict(docs.dtypes)[key]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
             done, good = [], []
-            for s in pdf["segment"]:
+            for s in b.column("segment").to_pylist():
                 try:
                     done.append(None if s is None else model(s, ""))
                     good.append(True)
                 except Exception:  # a failed call keeps the text
                     done.append(s)
                     good.append(False)
-            yield pd.DataFrame({key: pdf[key], "pos": pdf["pos"], "segment": pd.Series(done, dtype=object), "good": good, "raw": pdf["segment"]})
+            cols = [b.column(key), b.column("pos"), pa.array(done, pa.string()), pa.array(good, pa.bool_()), b.column("segment")]
+            yield pa.RecordBatch.from_arrays(cols, names=[key, "pos", "segment", "good", "raw"])
 
-    rows = parts.mapInPandas(run, f"{key} {kind}, pos int, segment string, good boolean, raw string")
+    rows = parts.mapInArrow(run, f"{key} {kind}, pos int, segment string, good boolean, raw string")
     ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col(c).alias("s")))), lambda p: p["s"]), "")
     out = rows.groupBy(key).agg(ordered("segment").alias("new"), ordered("raw").alias("old"), F.min("good").alias("good"))
     return out.select(key, F.when(F.col("good"), F.col("new")).otherwise(F.col("old")).alias("text"), F.when(F.col("good"), 1.0).otherwise(0.0).alias("confidence"))
@@ -105,9 +109,12 @@ def meta_info(rows: DataFrame, raw: str = "rawContent", model: Model | None = No
 def translation_metadata(docs: DataFrame, model: str = "gpt-4o-mini", key: str = "doc_id") -> DataFrame:
     """Lengths, tokens and number of pieces of each text for a translating model."""
     limit = config.CHUNK_TOKEN_LIMITS.get(model, 3000) * config.CHUNK_TOKEN_FACTORS["auto"]
-    pieces = token_chunks(docs, int(limit), key).groupBy(key).agg(F.count("*").alias("chunks"))
-    rows = docs.select(key, F.length("text").alias("total_length"), T.estimate_tokens(F.col("text"), F.lit("auto")).alias("tokens"))
-    return rows.join(pieces, key).select(key, "total_length", "tokens", "chunks", (F.col("chunks") > 1).alias("needs_chunking"), F.lit(int(limit)).alias("optimal_chunk_size"))
+    # Only the number of pieces comes back; no text is shuffled or copied for it.
+    count = row_function(lambda t: None if t is None else len(kernels.token_cuts(t, int(limit))) - 1, pa.int64(), "long")
+    tokens = T.estimate_tokens(F.col("text"), F.lit("auto"))
+    rows = docs.select(key, F.length("text").alias("total_length"), tokens.alias("tokens"), count(F.when(tokens > int(limit), F.col("text"))).alias("chunks"))
+    rows = rows.withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
+    return rows.select(key, "total_length", "tokens", "chunks", (F.col("chunks") > 1).alias("needs_chunking"), F.lit(int(limit)).alias("optimal_chunk_size"))
 
 
 def needs_chunking(text: Column, max_tokens: int = 3000, language: str = "auto") -> Column:
